@@ -45,23 +45,39 @@ def choose_window(df: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
             .drop("_k"))
 
 
-def array_mean(arr) -> Column:
+def array_moments(arr) -> tuple[Column, Column]:
+    """(mean, sample std) of an array<double> in one ``aggregate`` pass.
+
+    Sums are shifted by the first element ``k`` (``s = sum(x - k)``,
+    ``ss = sum((x - k)^2)``), which keeps the one-pass variance stable for
+    price levels far from zero. The expression is self-contained (no reference
+    to another computed column), so when Catalyst inlines it -- e.g. while
+    pushing a filter on the rendered text below the projection -- it costs a
+    constant factor, never O(n^2). std is NULL for fewer than two values.
+    """
     a = F.col(arr) if isinstance(arr, str) else arr
-    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x), F.size(a))
+    k = F.try_element_at(a, F.lit(1))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
+    acc = F.aggregate(a, zero, lambda c, x: F.struct((c["s"] + (x - k)).alias("s"),
+                                                     (c["ss"] + (x - k) * (x - k)).alias("ss")))
+    n = F.size(a).cast("double")
+    mean = F.when(F.size(a) > 0, k + acc["s"] / n)
+    var = F.when(F.size(a) > 1, (acc["ss"] - acc["s"] * acc["s"] / n) / (n - 1))
+    return mean, F.sqrt(F.greatest(var, F.lit(0.0)))
 
 
-def array_std(arr, mean: Column) -> Column:
-    """Sample standard deviation (ddof=1); NULL for fewer than two values."""
-    a = F.col(arr) if isinstance(arr, str) else arr
-    ss = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.sqrt(F.try_divide(ss, F.size(a) - 1))
+def array_mean(arr) -> Column:
+    return array_moments(arr)[0]
 
 
-def context_stats(ctx: Column) -> dict[str, Column]:
-    """count, mean, sample std, first, last of an ordered close list."""
-    mean = array_mean(ctx)
-    return {"count": F.size(ctx), "mean": mean, "std": array_std(ctx, mean),
-            "first": F.element_at(ctx, 1), "last": F.element_at(ctx, -1)}
+def with_context_stats(df: DataFrame, ctx: str, prefix: str = "") -> DataFrame:
+    """Adds count, mean, sample std, first and last of an ordered close list."""
+    a = F.col(ctx)
+    mean, std = array_moments(a)
+    return df.select("*", F.size(a).alias(prefix + "count"), mean.alias(prefix + "mean"),
+                     std.alias(prefix + "std"),
+                     F.try_element_at(a, F.lit(1)).alias(prefix + "first"),
+                     F.try_element_at(a, F.lit(-1)).alias(prefix + "last"))
 
 
 def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
@@ -83,13 +99,15 @@ def ts_corpus(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
               template: str = K.TRAINING_PROMPT, fixed: tuple[int, int] | None = None) -> DataFrame:
     """``corpus(ticker, i, pred_days, context_days, text)`` -- one prompt per usable row."""
     rows = corpus_positions(prices, seed, horizons, fixed)
-    ctx = F.slice("closes", F.col("i") - F.col("context_days") + 1, F.col("context_days"))
+    # start clamped to 1: Catalyst may evaluate this before the fit filter
+    ctx = F.slice("closes", F.greatest(F.col("i") - F.col("context_days") + 1, F.lit(1)), F.col("context_days"))
     tgt = F.slice("closes", F.col("i") + 1, F.col("pred_days"))
     framed = rows.select("ticker", "i", "pred_days", "context_days", ctx.alias("ctx"), tgt.alias("tgt"))
-    st = context_stats(F.col("ctx"))
+    mean, std = array_moments(F.col("ctx"))
     with_stats = framed.select("ticker", "i", "pred_days", "context_days", "ctx", "tgt",
-                               st["mean"].alias("mean"), st["std"].alias("std"),
-                               trend2(st["first"], st["last"]).alias("trend"))
+                               mean.alias("mean"), std.alias("std"),
+                               trend2(F.try_element_at("ctx", F.lit(1)),
+                                      F.try_element_at("ctx", F.lit(-1))).alias("trend"))
     text = render(template, ticker="ticker", mean=fmt2("mean"), std_dev=fmt2("std"), trend="trend",
                   context_days=F.col("context_days").cast("string"), context=price_list_text("ctx"),
                   pred_days=F.col("pred_days").cast("string"), target=price_list_text("tgt"))
@@ -102,14 +120,23 @@ def fixed_window_corpus(prices: DataFrame, context_days: int = 60, pred_days: in
 
 
 def filter_context(corpus: DataFrame, max_days: int = K.MAX_CONTEXT_DAYS_FILTER) -> DataFrame:
-    """Keep prompts whose ``CONTEXT_DAYS`` tag is <= max_days; keep untagged prompts."""
+    """Keep prompts whose ``CONTEXT_DAYS`` tag is <= max_days; keep untagged prompts.
+
+    A corpus built here carries ``context_days`` as a column (the tag is
+    rendered from it), so the predicate uses the column: a predicate on the
+    rendered text would be pushed below the rendering projection and inline
+    the whole prompt expression into the filter. Text-only corpora (read back
+    from JSONL) are filtered on the tag itself.
+    """
+    if "context_days" in corpus.columns:
+        return corpus.where(F.col("context_days") <= max_days)
     n = context_tag("text")
     return corpus.where(n.isNull() | (n <= max_days))
 
 
 def corpus_counts(corpus: DataFrame, max_days: int = K.MAX_CONTEXT_DAYS_FILTER) -> DataFrame:
     """total / kept / dropped per ticker plus a grand-total row (ticker NULL), one pass."""
-    n = context_tag("text")
+    n = F.col("context_days") if "context_days" in corpus.columns else context_tag("text")
     keep = n.isNull() | (n <= max_days)
     return (corpus.rollup("ticker")
             .agg(F.count(F.lit(1)).alias("total"),

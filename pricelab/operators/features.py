@@ -176,7 +176,7 @@ def series_arrays(prices: DataFrame, value: str = "close", keys=("ticker",), wit
     s = F.array_sort(F.collect_list(F.struct("date", value)))
     out = prices.groupBy(*keys).agg(s.alias("_s"))
     cols = [F.col(f"_s.{value}").alias(value + "s"), F.col("_s")[0]["date"].alias("first_date"),
-            F.element_at("_s", -1)["date"].alias("last_date")]
+            F.try_element_at("_s", F.lit(-1))["date"].alias("last_date")]
     if with_dates:
         cols.append(F.col("_s.date").alias("dates"))
     return out.select(*keys, *cols)

@@ -114,3 +114,56 @@ def with_ctes(body: str, *names: str) -> str:
         return body
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order]
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+# ---------------------------------------------------------------------------
+# SQL text helpers (DuckDB)
+# ---------------------------------------------------------------------------
+
+def sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def render_sql(template: str, **exprs: str) -> str:
+    """``{name}`` template -> ``'lit' || (expr) || ...`` (DuckDB)."""
+    import string
+
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append(sql_lit(literal))
+        if field:
+            parts.append(f"({exprs[field]})")
+    return " || ".join(parts)
+
+
+def fmt2_sql(x: str) -> str:
+    return f"coalesce(printf('%.2f', {x}), 'nan')"
+
+
+def list_text_sql(arr: str) -> str:
+    return f"array_to_string(list_transform({arr}, lambda x: printf('%.2f', x)), ', ')"
+
+
+def _sums(arr: str) -> tuple[str, str]:
+    k = f"{arr}[1]"
+    s = f"list_reduce(list_transform({arr}, lambda x: x - {k}), lambda a, y: a + y)"
+    ss = f"list_reduce(list_transform({arr}, lambda x: (x - {k}) * (x - {k})), lambda a, y: a + y)"
+    return s, ss
+
+
+def mean_sql(arr: str) -> str:
+    """Mean as the one-pass shifted fold computes it (same operation order)."""
+    s, _ = _sums(arr)
+    return f"(CASE WHEN len({arr}) > 0 THEN {arr}[1] + ({s}) / CAST(len({arr}) AS DOUBLE) END)"
+
+
+def std_sql(arr: str, mean: str | None = None) -> str:
+    s, ss = _sums(arr)
+    n = f"CAST(len({arr}) AS DOUBLE)"
+    return (f"(CASE WHEN len({arr}) > 1 THEN sqrt(greatest((({ss}) - ({s}) * ({s}) / {n}) / ({n} - 1), 0.0)) END)")
+
+
+def bucket_sql(seed: str, *parts: str, start: int = 1) -> str:
+    joined = " || '|' || ".join([sql_lit(seed)] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"('0x' || substr(md5({joined}), {start}, 8))::BIGINT"

@@ -23,7 +23,7 @@ from ..functions.scalar import forecast_dates, ticker_from_url, trend3, unreliab
 from ..functions.text import fmt2, parse_prices, price_list_text, py_list_text, render, summary_trim
 from ..operators import backtest as BT
 from ..operators import models as M
-from ..operators.corpus import array_mean, array_std, corpus_counts, filter_context, split_corpus, ts_corpus
+from ..operators.corpus import array_moments, corpus_counts, filter_context, split_corpus, ts_corpus
 from ..operators.features import ingest, overlap_chunks, series_arrays
 from ..operators.horizons import resolve_horizon, validate_requests
 from ..operators.news import (cap_per_group, lookback, next_day_change, non_blank, quota_by_level,
@@ -168,7 +168,7 @@ def fold_sql_chunk_summarizer(chunks: Column, init: str = K.INITIAL_SUMMARY) ->
         n = F.size(ch)
         k = F.coalesce(F.regexp_extract(acc, r"^Chunk (\d+),", 1).try_cast("int"), F.lit(0)) + 1
         out = F.concat(F.lit("Chunk "), k.cast("string"), F.lit(", "), n.cast("string"), F.lit(" closes from "),
-                       fmt2(F.element_at(ch, 1)), F.lit(" to "), fmt2(F.element_at(ch, -1)), F.lit("."))
+                       fmt2(F.try_element_at(ch, F.lit(1))), F.lit(" to "), fmt2(F.try_element_at(ch, F.lit(-1))), F.lit("."))
         return F.when(n >= 31, out).otherwise(acc)
 
     return F.aggregate(chunks, F.lit(init), step)
@@ -236,9 +236,9 @@ def _forecast(df: DataFrame, ctx: str, last_price: str, summarizer, forecaster)
         "summary", summary_trim(F.coalesce("summary", F.lit(K.INITIAL_SUMMARY))))
     final = _tail(F.col(ctx), K.FINAL_CONTEXT_ROWS)
     df = df.withColumn("_final", final)
-    mean = array_mean(F.col("_final"))
-    df = (df.withColumn("_mean", mean).withColumn("_std", array_std(F.col("_final"), F.col("_mean")))
-          .withColumn("trend", trend3(F.element_at("_final", 1), F.element_at("_final", -1))))
+    mean, std = array_moments(F.col("_final"))
+    df = (df.withColumn("_mean", mean).withColumn("_std", std)
+          .withColumn("trend", trend3(F.try_element_at("_final", F.lit(1)), F.try_element_at("_final", F.lit(-1)))))
     prompt = render(K.SERVING_PROMPT, summary="summary", ticker="ticker", last_price=fmt2(last_price),
                     mean=fmt2("_mean"), std_dev=fmt2("_std"), trend="trend",
                     context_days=F.size("_final").cast("string"), context=price_list_text("_final"),
@@ -262,7 +262,7 @@ def pl_analyze(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
     df = df.withColumn("error_message", F.coalesce("error_message", F.when(n < F.col("context_days"), not_enough)))
     failed = df.where(F.col("error_message").isNotNull())
     ok = (df.where(F.col("error_message").isNull())
-          .withColumn("last_actual_price", F.element_at("closes", -1))
+          .withColumn("last_actual_price", F.try_element_at("closes", F.lit(-1)))
           .withColumn("ctx", _tail(F.col("closes"), F.col("context_days"))))
     ok = _forecast(ok, "ctx", "last_actual_price", summarizer, forecaster)
     bad_fc = ok.where(F.col("error_message").isNotNull())
@@ -304,8 +304,8 @@ def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
     split_at = F.size("closes") - F.col("prediction_days")
     ok = (ok.withColumn("ctx", F.slice("closes", F.lit(1), split_at))
           .withColumn("actual_prices", F.slice("closes", split_at + 1, F.col("prediction_days")))
-          .withColumn("last_price_in_context", F.element_at("ctx", -1))
-          .withColumn("last_context_date", F.element_at("dates", split_at)))
+          .withColumn("last_price_in_context", F.try_element_at("ctx", F.lit(-1)))
+          .withColumn("last_context_date", F.try_element_at("dates", split_at)))
     ok = _forecast(ok, "ctx", "last_price_in_context", summarizer, forecaster)
     bad_fc = ok.where(F.col("error_message").isNotNull())
     good = ok.where(F.col("error_message").isNull())
