@@ -52,4 +52,4 @@ class Ctx:
 
 
 # modules that register queries (import for side effects)
-from . import queries_core, queries_corpus  # noqa: E402,F401
+from . import queries_core, queries_corpus, queries_news  # noqa: E402,F401
