@@ -167,3 +167,26 @@ def std_sql(arr: str, mean: str | None = None) -> str:
 def bucket_sql(seed: str, *parts: str, start: int = 1) -> str:
     joined = " || '|' || ".join([sql_lit(seed)] + [f"CAST({p} AS VARCHAR)" for p in parts])
     return f"('0x' || substr(md5({joined}), {start}, 8))::BIGINT"
+
+
+TICKER_SQL = ("list_filter(string_split(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), "
+              "'^[a-zA-Z]+://[^/]*', ''), '/'), lambda x: x <> '')[-1]")
+
+
+def drift_list_sql(last: str, k: str) -> str:
+    """Stand-in drift prices (formatted) for ``k`` steps from ``last``."""
+    return (f"list_transform(range(1, greatest({k}, 1) + 1), lambda j: printf('%.2f', {last} * "
+            f"(CAST(1.0 AS DOUBLE) + CAST(0.01 AS DOUBLE) * (((j * 7) % 5) - 2))))")
+
+
+cte("rq", ("requests",), f"SELECT *, {TICKER_SQL} AS ticker FROM requests")
+
+cte("responses", ("rq", "series5y"), f"""
+SELECT request_id,
+       'PREDICTION:' || CASE WHEN request_id % 5 = 4 THEN ' I cannot forecast this stock.'
+            WHEN request_id % 5 = 3 THEN ' Sure. Here is my forecast:  [' || array_to_string(pl, ', ') || '] -- hope this helps.'
+            ELSE ' [' || array_to_string(pl, ', ') || ']' END AS text
+FROM (SELECT r.request_id, {drift_list_sql('s.closes[-1]', '''CASE WHEN r.request_id % 5 = 1 THEN r.prediction_days + 3
+                 WHEN r.request_id % 5 = 2 THEN greatest(r.prediction_days // 2, 1)
+                 WHEN r.request_id % 5 = 4 THEN 0 ELSE r.prediction_days END''')} AS pl
+      FROM rq r JOIN series5y s ON r.ticker = s.ticker)""")

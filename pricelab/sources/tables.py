@@ -95,3 +95,38 @@ def requests(spark: SparkSession, sf_dir: str, bars_df: DataFrame | None = None)
                                     F.lit(QUOTE_URL + UNKNOWN_TICKER).alias("url"),
                                     F.lit(5).alias("prediction_days"))
     return known.unionByName(unknown)
+
+
+# FIXED VALUES -- stand-in model answers of the responses fixture
+RESPONSE_PROSE_HEAD = "Sure. Here is my forecast: "
+RESPONSE_PROSE_TAIL = " -- hope this helps."
+RESPONSE_NO_NUMBER = "I cannot forecast this stock."
+
+
+def responses(spark: SparkSession, sf_dir: str, requests_df: DataFrame | None = None,
+              series: DataFrame | None = None) -> DataFrame:
+    """``responses(request_id, text)``: stand-in model output per answerable request.
+
+    ``PREDICTION: [p1, ..]`` with ``p_k = last * (1 + 0.01 * ((7k mod 5) - 2))``;
+    by ``request_id % 5``: exact length, 3 too many, half, prose around the
+    numbers, no number at all.
+    """
+    from ..functions.scalar import ticker_from_url
+    from ..functions.text import fmt2_strict
+    from ..operators.features import ingest, series_arrays
+
+    r = requests_df if requests_df is not None else requests(spark, sf_dir)
+    s = series if series is not None else series_arrays(ingest(bars(spark, sf_dir)))
+    j = r.withColumn("ticker", ticker_from_url("url")).join(s, "ticker", "inner")
+    n = F.col("prediction_days")
+    mode = F.col("request_id") % 5
+    k = (F.when(mode == 1, n + 3).when(mode == 2, F.greatest(F.floor(n / 2).cast("int"), F.lit(1)))
+         .when(mode == 4, F.lit(0)).otherwise(n))
+    last = F.try_element_at("closes", F.lit(-1))
+    prices = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
+                         lambda x: fmt2_strict(last * (F.lit(1.0) + F.lit(0.01) * (((x * 7) % 5) - 2))))
+    body = F.concat(F.lit(" ["), F.array_join(prices, ", "), F.lit("]"))
+    text = (F.when(mode == 4, F.lit(" " + RESPONSE_NO_NUMBER))
+            .when(mode == 3, F.concat(F.lit(" " + RESPONSE_PROSE_HEAD), body, F.lit(RESPONSE_PROSE_TAIL)))
+            .otherwise(body))
+    return j.select("request_id", F.concat(F.lit("PREDICTION:"), text).alias("text"))
