@@ -52,4 +52,4 @@ class Ctx:
 
 
 # modules that register queries (import for side effects)
-from . import queries_core, queries_corpus, queries_news, queries_serving, queries_pipelines, queries_io, queries_stream  # noqa: E402,F401
+from . import queries_core, queries_corpus, queries_news, queries_serving, queries_pipelines, queries_io, queries_stream, queries_indicators  # noqa: E402,F401
