@@ -30,8 +30,12 @@ def text_udf(factory: Callable[[], TextModel]):
         model = factory()
         for s in batches:
             vals = s.tolist()
-            out = model([v if v is not None else "" for v in vals])
-            yield pd.Series([o if v is not None else None for o, v in zip(out, vals)], dtype=object)
+            idx = [k for k, v in enumerate(vals) if v is not None]  # NULL prompt: no model call
+            outs = model([vals[k] for k in idx]) if idx else []
+            res: list = [None] * len(vals)
+            for k, o in zip(idx, outs):
+                res[k] = o
+            yield pd.Series(res, dtype=object)
 
     return run
 

@@ -210,13 +210,28 @@ def _headline_blocks(headlines: DataFrame, asof_by_ticker: DataFrame, classifier
 
 
 def _sentiment_summary(df: DataFrame, writer: Callable) -> DataFrame:
+    """Model summary of the headline block; the default sentence when there is none.
+
+    One pass: rows without headlines get a NULL prompt, which the UDF skips.
+    """
     has = F.coalesce(F.col("n_headlines"), F.lit(0)) > 0
-    with_news = df.where(has).withColumn(
-        "_sp", render(K.SENTIMENT_SYNTHESIS_PROMPT, ticker="ticker", headlines="headline_block"))
-    with_news = M.generate(with_news, "_sp", "_ss", writer).withColumn("sentiment_summary", F.trim("_ss")) \
-        .drop("_sp", "_ss")
-    without = df.where(~has).withColumn("sentiment_summary", F.lit(K.NO_NEWS_SUMMARY))
-    return with_news.unionByName(without)
+    df = df.withColumn("_sp", F.when(has, render(K.SENTIMENT_SYNTHESIS_PROMPT, ticker="ticker",
+                                                 headlines="headline_block")))
+    df = M.generate(df, "_sp", "_ss", writer)
+    return df.withColumn("sentiment_summary",
+                         F.when(has, F.trim("_ss")).otherwise(F.lit(K.NO_NEWS_SUMMARY))).drop("_sp", "_ss")
+
+
+def _materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Used right after model calls: the outputs feed several branches (success
+    rows, failure rows, reports) and must not be recomputed per branch, nor
+    re-inferred when an executor is lost.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _prepare(requests: DataFrame, bars: DataFrame, period: str, asof):
@@ -259,12 +274,13 @@ def pl_analyze(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
     n = F.coalesce(F.size("closes"), F.lit(0))
     not_enough = F.format_string(K.MSG_NOT_ENOUGH.replace("{ticker}", "%s").replace("{need}", "%d"),
                                  F.coalesce("ticker", F.lit("")), F.col("context_days"))
-    df = df.withColumn("error_message", F.coalesce("error_message", F.when(n < F.col("context_days"), not_enough)))
+    df = _materialize(df.withColumn("error_message",
+                                    F.coalesce("error_message", F.when(n < F.col("context_days"), not_enough))))
     failed = df.where(F.col("error_message").isNotNull())
     ok = (df.where(F.col("error_message").isNull())
           .withColumn("last_actual_price", F.try_element_at("closes", F.lit(-1)))
           .withColumn("ctx", _tail(F.col("closes"), F.col("context_days"))))
-    ok = _forecast(ok, "ctx", "last_actual_price", summarizer, forecaster)
+    ok = _materialize(_forecast(ok, "ctx", "last_actual_price", summarizer, forecaster).drop("closes", "dates"))
     bad_fc = ok.where(F.col("error_message").isNotNull())
     good = ok.where(F.col("error_message").isNull())
     blocks = _headline_blocks(headlines, good.select("ticker", F.col("last_date").alias("asof")).distinct(),
@@ -283,8 +299,6 @@ def pl_analyze(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
             "error_message", "last_actual_price", "is_unreliable", "summary", "forecast_prices",
             "forecast_dates", "n_headlines", "sentiment_summary", "analyst_report"]
     fail_all = failed.unionByName(bad_fc, allowMissingColumns=True).withColumn("status", F.lit(K.STATUS_FAIL))
-    if "last_actual_price" not in fail_all.columns:
-        fail_all = fail_all.withColumn("last_actual_price", F.lit(None).cast("double"))
     return good.select(*cols).unionByName(fail_all.select(*[
         c if c in fail_all.columns else F.lit(None).alias(c) for c in cols]), allowMissingColumns=True)
 
@@ -298,7 +312,7 @@ def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
     n = F.coalesce(F.size("closes"), F.lit(0))
     need = F.col("context_days") + F.col("prediction_days")
     msg = F.format_string(K.MSG_NOT_ENOUGH_BACKTEST.replace("{need}", "%d"), need)
-    df = df.withColumn("error_message", F.coalesce("error_message", F.when(n < need, msg)))
+    df = _materialize(df.withColumn("error_message", F.coalesce("error_message", F.when(n < need, msg))))
     failed = df.where(F.col("error_message").isNotNull())
     ok = df.where(F.col("error_message").isNull())
     split_at = F.size("closes") - F.col("prediction_days")
@@ -306,7 +320,8 @@ def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
           .withColumn("actual_prices", F.slice("closes", split_at + 1, F.col("prediction_days")))
           .withColumn("last_price_in_context", F.try_element_at("ctx", F.lit(-1)))
           .withColumn("last_context_date", F.try_element_at("dates", split_at)))
-    ok = _forecast(ok, "ctx", "last_price_in_context", summarizer, forecaster)
+    ok = _materialize(_forecast(ok, "ctx", "last_price_in_context", summarizer, forecaster)
+                      .drop("closes", "dates"))
     bad_fc = ok.where(F.col("error_message").isNotNull())
     good = ok.where(F.col("error_message").isNull())
     good = good.withColumn("_pairs", BT.pair_arrays("forecast_prices", "actual_prices"))
