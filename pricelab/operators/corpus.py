@@ -63,7 +63,8 @@ def array_moments(arr) -> tuple[Column, Column]:
     n = F.size(a).cast("double")
     mean = F.when(F.size(a) > 0, k + acc["s"] / n)
     var = F.when(F.size(a) > 1, (acc["ss"] - acc["s"] * acc["s"] / n) / (n - 1))
-    return mean, F.sqrt(F.greatest(var, F.lit(0.0)))
+    # greatest() skips NULLs, so keep the NULL of a one-element list explicitly
+    return mean, F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
 def array_mean(arr) -> Column:

@@ -171,13 +171,14 @@ SELECT request_id, list_transform(range(1, n + 1), lambda k: {'step': k, 'f': fo
 FROM (SELECT p.request_id, p.forecast, s.closes[len(s.closes) - p.prediction_days + 1 :] AS actual,
              least(len(p.forecast), p.prediction_days) AS n, s.closes[len(s.closes) - p.prediction_days] AS last_close
       FROM parsed p JOIN rq r ON p.request_id = r.request_id JOIN series5y s ON r.ticker = s.ticker
-      WHERE p.prediction_days BETWEEN 1 AND 90)""")
+      WHERE p.prediction_days BETWEEN 1 AND 90 AND len(s.closes) > p.prediction_days)""")
 
 
 def _pairs(c: Ctx):
     p = _parsed(c).where(F.col("prediction_days").between(1, 90))
     s = _series(c)
     j = p.join(_req(c).select("request_id", "ticker"), "request_id").join(s, "ticker")
+    j = j.where(F.size("closes") > F.col("prediction_days"))  # a holdout needs history before it
     n = F.size("closes")
     j = j.withColumn("actual", F.slice("closes", n - F.col("prediction_days") + 1, F.col("prediction_days"))) \
         .withColumn("last_close", F.try_element_at("closes", n - F.col("prediction_days")))
