@@ -18,12 +18,12 @@ horizons although each row uses one; the slice plan costs O(n*w) once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalar import trend2
-from ..functions.text import context_tag, fmt2, price_list_text, render
+from ..functions.text import context_tag, fmt2, fmt2_strict, render
 from .features import series_arrays
 
 
@@ -56,12 +56,17 @@ def array_moments(arr) -> tuple[Column, Column]:
     constant factor, never O(n^2). std is NULL for fewer than two values.
     """
     a = F.col(arr) if isinstance(arr, str) else arr
-    k = F.try_element_at(a, F.lit(1))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
-    acc = F.aggregate(a, zero, lambda c, x: F.struct((c["s"] + (x - k)).alias("s"),
-                                                     (c["ss"] + (x - k) * (x - k)).alias("ss")))
+    # the shift k (first element) lives in the accumulator: the lambda never
+    # references the outer array, so an array *expression* is evaluated once
+    zero = F.struct(F.lit(None).cast("double").alias("k"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
+
+    def step(c, x):
+        k = F.coalesce(c["k"], x)
+        return F.struct(k.alias("k"), (c["s"] + (x - k)).alias("s"), (c["ss"] + (x - k) * (x - k)).alias("ss"))
+
+    acc = F.aggregate(a, zero, step)
     n = F.size(a).cast("double")
-    mean = F.when(F.size(a) > 0, k + acc["s"] / n)
+    mean = F.when(F.size(a) > 0, acc["k"] + acc["s"] / n)
     var = F.when(F.size(a) > 1, (acc["ss"] - acc["s"] * acc["s"] / n) / (n - 1))
     # greatest() skips NULLs, so keep the NULL of a one-element list explicitly
     return mean, F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))
@@ -81,14 +86,48 @@ def with_context_stats(df: DataFrame, ctx: str, prefix: str = "") -> DataFrame:
                      F.try_element_at(a, F.lit(-1)).alias(prefix + "last"))
 
 
+def prefix_series(prices: DataFrame) -> DataFrame:
+    """One row per ticker: closes, their 2-decimal texts, and shifted prefix sums.
+
+    ``p1[j] = sum(x_t - k)`` and ``p2[j] = sum((x_t - k)^2)`` over the first
+    ``j`` closes (``p1[0] = p2[0] = 0``), with ``k`` the ticker's first close.
+    They are running window sums (sequential, codegen'd), so the mean and
+    sample std of any window come out of two lookups instead of an O(c) fold.
+    """
+    from .features import W
+
+    run = W().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.first("close").over(W().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    v = prices.select("ticker", "date", "close", (F.col("close") - first).alias("_v"))
+    v = v.select("ticker", "date", "close", F.sum("_v").over(run).alias("_p1"),
+                 F.sum(F.col("_v") * F.col("_v")).over(run).alias("_p2"))
+    agg = v.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close", "_p1", "_p2"))).alias("_s"))
+    zero = F.array(F.lit(0.0))
+    return agg.select("ticker", F.col("_s.close").alias("closes"),
+                      F.transform("_s.close", fmt2_strict).alias("close_texts"),
+                      F.concat(zero, F.col("_s._p1")).alias("p1"), F.concat(zero, F.col("_s._p2")).alias("p2"))
+
+
+def window_moments(p1: str, p2: str, k: Column, start0: Column, length: Column) -> tuple[Column, Column]:
+    """(mean, sample std) of ``length`` closes from 0-based ``start0`` via prefix sums."""
+    a, b = start0 + 1, start0 + length + 1
+    s = F.try_element_at(p1, b) - F.try_element_at(p1, a)
+    ss = F.try_element_at(p2, b) - F.try_element_at(p2, a)
+    n = length.cast("double")
+    mean = k + s / n
+    var = F.when(length > 1, (ss - s * s / n) / (n - 1))
+    return mean, F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))
+
+
 def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
                      fixed: tuple[int, int] | None = None) -> DataFrame:
-    """``(ticker, closes, n, i, pred_days, context_days)`` for every usable row.
+    """``(ticker, closes, close_texts, p1, p2, n, i, pred_days, context_days)`` for every usable row.
 
     ``fixed=(context, pred)`` replaces the random choice (fixed-window variant).
     """
-    s = series_arrays(prices).select("ticker", "closes", F.size("closes").alias("n"))
-    rows = s.select("ticker", "closes", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    s = prefix_series(prices).withColumn("n", F.size("closes"))
+    rows = s.select("ticker", "closes", "close_texts", "p1", "p2", "n",
+                    F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     if fixed is None:
         rows = choose_window(rows, seed, horizons)
     else:
@@ -98,21 +137,24 @@ def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZO
 
 def ts_corpus(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
               template: str = K.TRAINING_PROMPT, fixed: tuple[int, int] | None = None) -> DataFrame:
-    """``corpus(ticker, i, pred_days, context_days, text)`` -- one prompt per usable row."""
+    """``corpus(ticker, i, pred_days, context_days, text)`` -- one prompt per usable row.
+
+    Per prompt the work is two prefix-sum lookups for the statistics plus the
+    join of the pre-formatted close texts (the output itself).
+    """
     rows = corpus_positions(prices, seed, horizons, fixed)
     # start clamped to 1: Catalyst may evaluate this before the fit filter
-    ctx = F.slice("closes", F.greatest(F.col("i") - F.col("context_days") + 1, F.lit(1)), F.col("context_days"))
-    tgt = F.slice("closes", F.col("i") + 1, F.col("pred_days"))
-    framed = rows.select("ticker", "i", "pred_days", "context_days", ctx.alias("ctx"), tgt.alias("tgt"))
-    mean, std = array_moments(F.col("ctx"))
-    with_stats = framed.select("ticker", "i", "pred_days", "context_days", "ctx", "tgt",
-                               mean.alias("mean"), std.alias("std"),
-                               trend2(F.try_element_at("ctx", F.lit(1)),
-                                      F.try_element_at("ctx", F.lit(-1))).alias("trend"))
-    text = render(template, ticker="ticker", mean=fmt2("mean"), std_dev=fmt2("std"), trend="trend",
-                  context_days=F.col("context_days").cast("string"), context=price_list_text("ctx"),
-                  pred_days=F.col("pred_days").cast("string"), target=price_list_text("tgt"))
-    return with_stats.select("ticker", "i", "pred_days", "context_days", text.alias("text"))
+    start = F.greatest(F.col("i") - F.col("context_days") + 1, F.lit(1))
+    ctx_text = F.array_join(F.slice("close_texts", start, F.col("context_days")), ", ")
+    tgt_text = F.array_join(F.slice("close_texts", F.col("i") + 1, F.col("pred_days")), ", ")
+    k = F.try_element_at("closes", F.lit(1))
+    mean, std = window_moments("p1", "p2", k, start - 1, F.col("context_days"))
+    first = F.try_element_at("closes", start)
+    last = F.try_element_at("closes", F.col("i"))
+    text = render(template, ticker="ticker", mean=fmt2(mean), std_dev=fmt2(std), trend=trend2(first, last),
+                  context_days=F.col("context_days").cast("string"), context=ctx_text,
+                  pred_days=F.col("pred_days").cast("string"), target=tgt_text)
+    return rows.select("ticker", "i", "pred_days", "context_days", text.alias("text"))
 
 
 def fixed_window_corpus(prices: DataFrame, context_days: int = 60, pred_days: int = 5) -> DataFrame:

@@ -76,6 +76,27 @@ SELECT ticker, list(close ORDER BY date) AS closes, list(date ORDER BY date) AS
        min(date) AS first_date, max(date) AS last_date
 FROM prices5y GROUP BY ticker""")
 
+# shifted prefix sums, summed left to right like a running window sum
+cte("prefix5y", ("series5y",), """
+SELECT *, [0.0] || list_transform(range(1, len(closes) + 1),
+            lambda j: list_reduce(list_transform(closes[1 : j], lambda x: x - closes[1]), lambda a, y: a + y)) AS p1,
+          [0.0] || list_transform(range(1, len(closes) + 1),
+            lambda j: list_reduce(list_transform(closes[1 : j], lambda x: (x - closes[1]) * (x - closes[1])),
+                                  lambda a, y: a + y)) AS p2
+FROM series5y""")
+
+
+def window_mean_sql(start0: str, length: str) -> str:
+    s = f"(p1[{start0} + {length} + 1] - p1[{start0} + 1])"
+    return f"(closes[1] + {s} / CAST({length} AS DOUBLE))"
+
+
+def window_std_sql(start0: str, length: str) -> str:
+    s = f"(p1[{start0} + {length} + 1] - p1[{start0} + 1])"
+    ss = f"(p2[{start0} + {length} + 1] - p2[{start0} + 1])"
+    n = f"CAST({length} AS DOUBLE)"
+    return f"(CASE WHEN {length} > 1 THEN sqrt(greatest(({ss} - {s} * {s} / {n}) / ({n} - 1), 0.0)) END)"
+
 cte("vol2y", ("prices2y",), f"""
 SELECT ticker, CAST(count(*) AS BIGINT) AS n,
        stddev_samp(CASE WHEN prev <> 0 THEN close / prev - 1 END) * sqrt({K.TRADING_DAYS_PER_YEAR}) AS volatility,

@@ -11,16 +11,18 @@ from ..operators import corpus as CO
 from ..operators import features as FE
 from . import pipelines as PL
 from .catalog import Ctx, r6, register
-from .oracle import bucket_sql, cte, fmt2_sql, list_text_sql, mean_sql, render_sql, std_sql
+from .oracle import (bucket_sql, cte, fmt2_sql, list_text_sql, mean_sql, render_sql, std_sql,
+                     window_mean_sql, window_std_sql)
 
 _PREDS = ", ".join(str(p) for p, _ in K.CORPUS_HORIZONS)
 _CTXS = ", ".join(str(c) for _, c in K.CORPUS_HORIZONS)
 
-cte("positions5y", ("series5y",), f"""
-SELECT ticker, closes, n, i,
+cte("positions5y", ("prefix5y",), f"""
+SELECT ticker, closes, p1, p2, n, i,
        [{_PREDS}][k] AS pred_days, [{_CTXS}][k] AS context_days
-FROM (SELECT ticker, closes, n, i, CAST({bucket_sql('42', 'ticker', 'i')} % {len(K.CORPUS_HORIZONS)} + 1 AS INTEGER) AS k
-      FROM (SELECT ticker, closes, len(closes) AS n, unnest(range(len(closes))) AS i FROM series5y))""")
+FROM (SELECT ticker, closes, p1, p2, n, i,
+             CAST({bucket_sql('42', 'ticker', 'i')} % {len(K.CORPUS_HORIZONS)} + 1 AS INTEGER) AS k
+      FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix5y))""")
 
 
 def _corpus_sql(rows: str, template: str) -> str:
@@ -30,23 +32,23 @@ def _corpus_sql(rows: str, template: str) -> str:
                       pred_days="CAST(pred_days AS VARCHAR)", target=list_text_sql("tgt"))
     return f"""
 SELECT ticker, i, pred_days, context_days, {text} AS text
-FROM (SELECT *, {std_sql('ctx', 'mean')} AS std
-      FROM (SELECT *, {mean_sql('ctx')} AS mean
-            FROM (SELECT ticker, i, pred_days, context_days,
-                         closes[i - context_days + 1 : i] AS ctx, closes[i + 1 : i + pred_days] AS tgt
-                  FROM {rows} WHERE i >= context_days AND i + pred_days <= n)))"""
+FROM (SELECT ticker, i, pred_days, context_days,
+             closes[i - context_days + 1 : i] AS ctx, closes[i + 1 : i + pred_days] AS tgt,
+             {window_mean_sql('i - context_days', 'context_days')} AS mean,
+             {window_std_sql('i - context_days', 'context_days')} AS std
+      FROM {rows} WHERE i >= context_days AND i + pred_days <= n)"""
 
 
 cte("corpus", ("positions5y",), _corpus_sql("positions5y", K.TRAINING_PROMPT))
 
-cte("fixed_positions", ("series5y",), """
-SELECT ticker, closes, n, i, 5 AS pred_days, 60 AS context_days
-FROM (SELECT ticker, closes, len(closes) AS n, unnest(range(len(closes))) AS i FROM series5y)""")
+cte("fixed_positions", ("prefix5y",), """
+SELECT ticker, closes, p1, p2, n, i, 5 AS pred_days, 60 AS context_days
+FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix5y)""")
 cte("fixed_corpus", ("fixed_positions",), _corpus_sql("fixed_positions", K.FIXED_WINDOW_PROMPT))
 
-cte("short_positions", ("series5y",), """
-SELECT ticker, closes, n, i, 1 AS pred_days, 30 AS context_days
-FROM (SELECT ticker, closes, len(closes) AS n, unnest(range(len(closes))) AS i FROM series5y)""")
+cte("short_positions", ("prefix5y",), """
+SELECT ticker, closes, p1, p2, n, i, 1 AS pred_days, 30 AS context_days
+FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix5y)""")
 cte("short_corpus", ("short_positions",), _corpus_sql("short_positions", K.TRAINING_PROMPT))
 
 _KEYS = "ticker, CAST(i AS BIGINT) AS i, CAST(pred_days AS BIGINT) AS pred_days, " \
@@ -127,19 +129,20 @@ def q_wn_target_frame(spark, sf):
                     price_list_text("target").alias("tgt_text"))
 
 
-@register("ag_context_stats", """
-SELECT ticker, i, CAST(len(ctx) AS BIGINT) AS n, round(mean, 6) AS mean, round(std, 6) AS std,
-       round(ctx[1], 6) AS first, round(ctx[-1], 6) AS last
-FROM (SELECT *, """ + std_sql("ctx", "mean") + """ AS std
-      FROM (SELECT *, """ + mean_sql("ctx") + """ AS mean
-            FROM (SELECT ticker, CAST(i AS BIGINT) AS i, closes[i - context_days + 1 : i] AS ctx
-                  FROM positions5y WHERE i >= context_days AND i + pred_days <= n)))""", ("positions5y",))
+@register("ag_context_stats", f"""
+SELECT ticker, CAST(i AS BIGINT) AS i, CAST(context_days AS BIGINT) AS n,
+       round({window_mean_sql('i - context_days', 'context_days')}, 6) AS mean,
+       round({window_std_sql('i - context_days', 'context_days')}, 6) AS std,
+       round(closes[i - context_days + 1], 6) AS first, round(closes[i], 6) AS last
+FROM positions5y WHERE i >= context_days AND i + pred_days <= n""", ("positions5y",))
 def q_ag_context_stats(spark, sf):
     rows = CO.corpus_positions(FE.ingest(Ctx(spark, sf).bars()))
-    ctx = F.slice("closes", F.greatest(F.col("i") - F.col("context_days") + 1, F.lit(1)), F.col("context_days"))
-    x = CO.with_context_stats(rows.select("ticker", F.col("i").cast("bigint").alias("i"), ctx.alias("ctx")), "ctx")
-    return x.select("ticker", "i", F.col("count").cast("bigint").alias("n"), r6("mean").alias("mean"),
-                    r6("std").alias("std"), r6("first").alias("first"), r6("last").alias("last"))
+    start0 = F.col("i") - F.col("context_days")
+    mean, std = CO.window_moments("p1", "p2", F.try_element_at("closes", F.lit(1)), start0, F.col("context_days"))
+    return rows.select("ticker", F.col("i").cast("bigint").alias("i"), F.col("context_days").cast("bigint").alias("n"),
+                       r6(mean).alias("mean"), r6(std).alias("std"),
+                       r6(F.try_element_at("closes", start0 + 1)).alias("first"),
+                       r6(F.try_element_at("closes", F.col("i"))).alias("last"))
 
 
 @register("flt_context_len", f"SELECT {_KEYS} FROM corpus WHERE context_days <= {K.MAX_CONTEXT_DAYS_FILTER}",
