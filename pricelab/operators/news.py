@@ -83,22 +83,30 @@ def next_day_change(headlines: DataFrame, prices: DataFrame) -> DataFrame:
 def asof_forward(headlines: DataFrame, prices: DataFrame) -> DataFrame:
     """For each headline, the first trading bar strictly after its date.
 
-    Union of both sides ordered by date *descending* with news before the bar of
-    the same day; ``last(close, ignorenulls)`` over the growing frame
-    ``unbounded preceding .. 1 preceding`` is then the nearest later bar -- a
-    running aggregate, O(n) per ticker.
+    Skew-safe in two steps:
+
+    1. The as-of search runs on the *distinct* (ticker, headline date) keys
+       only -- at most one per calendar day -- unioned with the bars, ordered by
+       date descending with the key before the bar of the same day;
+       ``last(close, ignorenulls)`` over the growing frame ``unbounded preceding
+       .. 1 preceding`` is then the nearest later bar (a running aggregate,
+       O(n) per ticker). A ticker with a huge number of headlines does not
+       grow this window partition.
+    2. The answer is equi-joined back to the headlines on (ticker, date), a
+       join AQE can split if one key is hot.
     """
-    hcols = headlines.columns
-    news = headlines.select(*hcols, F.lit(0).alias("_kind"),
-                            F.lit(None).cast("double").alias("_close"), F.lit(None).cast("date").alias("_bdate"))
+    keys = headlines.select("ticker", "date").distinct()
+    k = keys.select("ticker", "date", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_close"),
+                    F.lit(None).cast("date").alias("_bdate"))
     bars = prices.select("ticker", "date", F.lit(1).alias("_kind"), F.col("close").alias("_close"),
                          F.col("date").alias("_bdate"))
-    u = news.unionByName(bars, allowMissingColumns=True)
     w = (Window.partitionBy("ticker").orderBy(F.col("date").desc(), F.col("_kind").asc())
          .rowsBetween(Window.unboundedPreceding, -1))
-    out = u.select("*", F.last("_close", ignorenulls=True).over(w).alias("next_close"),
+    nxt = (k.unionByName(bars)
+           .select("ticker", "date", "_kind", F.last("_close", ignorenulls=True).over(w).alias("next_close"),
                    F.last("_bdate", ignorenulls=True).over(w).alias("next_date"))
-    return out.where(F.col("_kind") == 0).select(*hcols, "next_date", "next_close")
+           .where(F.col("_kind") == 0).drop("_kind"))
+    return headlines.join(nxt, ["ticker", "date"], "left")
 
 
 def volatility_levels(prices: DataFrame, probs=(0.25, 0.75)) -> DataFrame:
