@@ -26,8 +26,8 @@ from ..operators import models as M
 from ..operators.corpus import array_moments, corpus_counts, filter_context, split_corpus, ts_corpus
 from ..operators.features import ingest, overlap_chunks, series_arrays
 from ..operators.horizons import resolve_horizon, validate_requests
-from ..operators.news import (cap_per_group, lookback, next_day_change, non_blank, quota_by_level,
-                              quota_news, select_news, union_headlines, volatility_levels)
+from ..operators.news import (next_day_change, quota_by_level, quota_news, select_news, union_headlines,
+                              volatility_levels)
 from ..operators.portfolio import annual_volatility, interleave, select_portfolio
 
 # ---------------------------------------------------------------------------

@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalar import trend2
-from ..functions.text import fmt2, price_list_text, render
+from ..functions.text import price_list_text, render
 from ..operators import corpus as CO
 from ..operators import features as FE
 from . import pipelines as PL
 from .catalog import Ctx, r6, register
-from .oracle import (bucket_sql, cte, fmt2_sql, list_text_sql, mean_sql, render_sql, std_sql,
-                     window_mean_sql, window_std_sql)
+from .oracle import bucket_sql, cte, fmt2_sql, list_text_sql, render_sql, window_mean_sql, window_std_sql
 
 _PREDS = ", ".join(str(p) for p, _ in K.CORPUS_HORIZONS)
 _CTXS = ", ".join(str(c) for _, c in K.CORPUS_HORIZONS)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
@@ -150,5 +149,3 @@ def q_jn_resume_positional(spark, sf):
     last = uni.join(done, "ticker", "left_semi").select(F.max("pos")).scalar()
     return uni.where(F.col("pos") > F.coalesce(last, F.lit(-1)))
 
-
-_ = Window

@@ -15,7 +15,6 @@ from ..operators import models as M
 from ..operators.corpus import array_moments
 from ..operators.horizons import horizon_table, resolve_horizon, validate_requests
 from ..sources import tables as T
-from . import pipelines as PL
 from .catalog import Ctx, r6, register
 from .oracle import (cte, drift_list_sql, fmt2_sql, list_text_sql, mean_sql, render_sql, std_sql)
 
@@ -369,5 +368,3 @@ def q_ud_forecast(spark, sf):
     return out.select("request_id", F.size("fc").cast("bigint").alias("n_prices"),
                       price_list_text("fc").alias("prices_text"))
 
-
-_ = (PL, py_list_text)
