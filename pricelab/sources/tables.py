@@ -52,8 +52,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _published_at(date_col, rel_col):
-    # a deterministic time of day so that ordering by publication time is total
-    return F.timestamp_seconds(F.unix_date(date_col).cast("bigint") * 86400 + (rel_col * 7919) % 86400)
+    # a deterministic time of day so that ordering by publication time is total;
+    # TIMESTAMP_NTZ (wall clock), so text renderings do not depend on the session time zone
+    secs = ((rel_col * 7919) % 86400).cast("int")
+    return date_col.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from ..operators.corpus import ts_corpus
 
 PRICE_STREAM_SCHEMA = ("ticker string, date date, open double, high double, low double, close double, "
                        "volume double, ma_20 double")
-HEADLINE_STREAM_SCHEMA = ("ticker string, date date, published_at timestamp, title string, source string, "
+HEADLINE_STREAM_SCHEMA = ("ticker string, date date, published_at timestamp_ntz, title string, source string, "
                           "lang string, relevancy long")
 CHUNK_STREAM_SCHEMA = "ticker string, chunk_no int, chunk_text string"
 
@@ -63,7 +63,9 @@ def headline_dedupe(spark: SparkSession, input_dirs: list[str], output_dir: str,
     u = streams[0]
     for s in streams[1:]:
         u = u.unionByName(s)
-    d = u.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["ticker", "title"])
+    # watermarks need TIMESTAMP: the wall-clock publication time read in the session zone
+    u = u.withColumn("event_time", F.col("published_at").cast("timestamp"))
+    d = u.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["ticker", "title"])
     q = (d.writeStream.format("parquet").option("path", output_dir).option("checkpointLocation", checkpoint_dir)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
