@@ -59,9 +59,13 @@ def price_history_by_token(prices: DataFrame, token_col: str, asof=None) -> Data
 
 
 def moving_average(prices: DataFrame, n: int = K.MA_WINDOW, out: str = "ma_20") -> DataFrame:
-    """n-row simple moving average of ``close``; NULL until n rows exist."""
+    """n-row simple moving average of ``close``; NULL until n non-NULL closes are in the frame.
+
+    Counting non-NULL closes (not rows) gives pandas ``rolling(n).mean()`` semantics:
+    every window that contains a missing close has no average.
+    """
     frame = W().rowsBetween(-(n - 1), 0)
-    return prices.withColumn(out, F.when(F.count(F.lit(1)).over(frame) == n, F.avg("close").over(frame)))
+    return prices.withColumn(out, F.when(F.count("close").over(frame) == n, F.avg("close").over(frame)))
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def rolling_volatility(prices: DataFrame, k: int = 20) -> DataFrame:
 
 def _ma(n: int):
     frame = W().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(F.lit(1)).over(frame) == n, F.avg("close").over(frame))
+    return F.when(F.count("close").over(frame) == n, F.avg("close").over(frame))
 
 
 def ma_cross(prices: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:

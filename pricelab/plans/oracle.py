@@ -59,7 +59,7 @@ def _ingest_sql(src: str, months: int) -> str:
     return f"""
 SELECT * FROM (
   SELECT ticker, date, open, high, low, close, volume,
-         CASE WHEN count(*) OVER w20 = 20 THEN avg(close) OVER w20 END AS ma_20
+         CASE WHEN count(close) OVER w20 = 20 THEN avg(close) OVER w20 END AS ma_20
   FROM {src}
   WHERE date > (SELECT max(date) FROM {src}) - INTERVAL {months} MONTH
   WINDOW w20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))

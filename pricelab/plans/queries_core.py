@@ -73,7 +73,7 @@ def q_pl_ingest(spark, sf):
 
 @register("wn_ma20", """
 SELECT ticker, date, round(close, 6) AS close,
-       round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END, 6) AS ma_20
+       round(CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END, 6) AS ma_20
 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", ("bars",))
 def q_wn_ma20(spark, sf):
     m = FE.moving_average(Ctx(spark, sf).bars())
@@ -83,7 +83,7 @@ def q_wn_ma20(spark, sf):
 @register("prj_drop_incomplete", """
 SELECT ticker, CAST(count(*) AS BIGINT) AS n_rows, min(date) AS first_date
 FROM (SELECT ticker, date,
-             CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS ma_20
+             CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END AS ma_20
       FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 WHERE ma_20 IS NOT NULL GROUP BY ticker""", ("bars",))
 def q_prj_drop_incomplete(spark, sf):

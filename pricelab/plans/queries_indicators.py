@@ -17,8 +17,8 @@ FROM prices5y WINDOW w AS (PARTITION BY ticker ORDER BY date)""")
 cte("ind1", ("ind0",), """
 SELECT ticker, date, close,
        CASE WHEN count(r) OVER w20 = 20 THEN stddev_samp(r) OVER w20 END AS vol,
-       CASE WHEN count(*) OVER w50 = 50 THEN avg(close) OVER w50 END AS ma50,
-       CASE WHEN count(*) OVER w200 = 200 THEN avg(close) OVER w200 END AS ma200,
+       CASE WHEN count(close) OVER w50 = 50 THEN avg(close) OVER w50 END AS ma50,
+       CASE WHEN count(close) OVER w200 = 200 THEN avg(close) OVER w200 END AS ma200,
        CASE WHEN count(d) OVER w14 = 14 THEN avg(greatest(d, 0.0)) OVER w14 END AS g,
        CASE WHEN count(d) OVER w14 = 14 THEN avg(greatest(-d, 0.0)) OVER w14 END AS l
 FROM ind0

@@ -87,3 +87,15 @@ def test_portfolio_few_tickers_overlap(spark):
                                                 ("stable", "A"), ("stable", "B"), ("stable", "C")]
     order = PF.interleave(PF.select_portfolio(vol)).orderBy("order_no").collect()
     assert [r.ticker for r in order] == ["A", "C", "B", "B", "C", "A"]
+
+
+def test_ma20_null_close_matches_pandas(spark):
+    closes = [100.0 + k for k in range(45)]
+    closes[25] = None
+    df = bars_df(spark, {"T": closes})
+    got = FE.moving_average(df).orderBy("date").select("ma_20").toPandas()["ma_20"].tolist()
+    ref = pd.Series([float("nan") if c is None else c for c in closes]).rolling(20).mean().tolist()
+    for g, r in zip(got, ref):
+        assert (g is None or g != g) if math.isnan(r) else abs(g - r) < 1e-9
+    # ingestion drops every row whose 20-row window touches the gap, like dropna after rolling
+    assert FE.drop_incomplete(FE.moving_average(df)).count() == sum(1 for r in ref if not math.isnan(r))
