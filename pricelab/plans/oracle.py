@@ -55,13 +55,14 @@ UNION ALL
 SELECT 0, 'https://quotes.example.com/quote/NOSUCH', 5""")
 
 
-def _ingest_sql(src: str, months: int) -> str:
+def _ingest_sql(src: str, months: int | None) -> str:
+    cut = f"WHERE date > (SELECT max(date) FROM {src}) - INTERVAL {months} MONTH" if months else ""
     return f"""
 SELECT * FROM (
   SELECT ticker, date, open, high, low, close, volume,
          CASE WHEN count(close) OVER w20 = 20 THEN avg(close) OVER w20 END AS ma_20
   FROM {src}
-  WHERE date > (SELECT max(date) FROM {src}) - INTERVAL {months} MONTH
+  {cut}
   WINDOW w20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 WHERE ma_20 IS NOT NULL"""
 
@@ -69,6 +70,7 @@ WHERE ma_20 IS NOT NULL"""
 cte("prices5y", ("bars",), _ingest_sql("bars", 60))
 cte("prices2y", ("bars",), _ingest_sql("bars", 24))
 cte("prices3mo", ("bars",), _ingest_sql("bars", 3))
+cte("prices_all", ("bars",), _ingest_sql("bars", None))
 
 # one row per ticker, closes ordered by date
 cte("series5y", ("prices5y",), """
@@ -76,6 +78,22 @@ SELECT ticker, list(close ORDER BY date) AS closes, list(date ORDER BY date) AS
        min(date) AS first_date, max(date) AS last_date
 FROM prices5y GROUP BY ticker""")
 
+cte("series_all", ("prices_all",), """
+SELECT ticker, list(close ORDER BY date) AS closes FROM prices_all GROUP BY ticker""")
+
+
+def _prefix_sql(series: str) -> str:
+    return f"""
+SELECT *, [0.0] || list_transform(range(1, len(closes) + 1),
+            lambda j: list_reduce(list_transform(closes[1 : j], lambda x: x - closes[1]), lambda a, y: a + y)) AS p1,
+          [0.0] || list_transform(range(1, len(closes) + 1),
+            lambda j: list_reduce(list_transform(closes[1 : j], lambda x: (x - closes[1]) * (x - closes[1])),
+                                  lambda a, y: a + y)) AS p2
+FROM {series}"""
+
+
+cte("prefix_all", ("series_all",), _prefix_sql("series_all"))
+
 # shifted prefix sums, summed left to right like a running window sum
 cte("prefix5y", ("series5y",), """
 SELECT *, [0.0] || list_transform(range(1, len(closes) + 1),

@@ -40,6 +40,14 @@ FROM (SELECT ticker, i, pred_days, context_days,
 
 cte("corpus", ("positions5y",), _corpus_sql("positions5y", K.TRAINING_PROMPT))
 
+cte("positions_all", ("prefix_all",), f"""
+SELECT ticker, closes, p1, p2, n, i,
+       [{_PREDS}][k] AS pred_days, [{_CTXS}][k] AS context_days
+FROM (SELECT ticker, closes, p1, p2, n, i,
+             CAST({bucket_sql('42', 'ticker', 'i')} % {len(K.CORPUS_HORIZONS)} + 1 AS INTEGER) AS k
+      FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix_all))""")
+cte("corpus_all", ("positions_all",), _corpus_sql("positions_all", K.TRAINING_PROMPT))
+
 cte("fixed_positions", ("prefix5y",), """
 SELECT ticker, closes, p1, p2, n, i, 5 AS pred_days, 60 AS context_days
 FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix5y)""")

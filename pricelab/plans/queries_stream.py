@@ -16,18 +16,21 @@ from .queries_corpus import _fold_oracle
 
 @register("sm_incremental_corpus", """
 SELECT ticker, CAST(i AS BIGINT) AS i, CAST(pred_days AS BIGINT) AS pred_days,
-       CAST(context_days AS BIGINT) AS context_days, md5(text) AS text_md5 FROM corpus""", ("corpus",))
+       CAST(context_days AS BIGINT) AS context_days, md5(text) AS text_md5 FROM corpus_all""", ("corpus_all",))
 def q_sm_incremental_corpus(spark, sf):
     base = scratch_path(spark, "stream-corpus")
-    inp, out, ck = (os.path.join(base, x) for x in ("in", "out", "ckpt"))
-    prices = FE.ingest(Ctx(spark, sf).bars())
-    odd = F.substr("ticker", F.lit(2)).cast("int") % 2 == 1
-    # delivery 1: odd tickers; delivery 2: even tickers plus a re-delivery of delivery 1
-    prices.where(odd).repartition("ticker").write.parquet(os.path.join(inp, "d1"))
-    S.incremental_corpus(spark, inp, out, ck)
-    prices.where(~odd).repartition("ticker").write.parquet(os.path.join(inp, "d2"))
-    prices.where(odd).repartition("ticker").write.parquet(os.path.join(inp, "d3"))
-    S.incremental_corpus(spark, inp, out, ck)
+    inp, out, ck, store = (os.path.join(base, x) for x in ("in", "out", "ckpt", "bars"))
+    bars = Ctx(spark, sf).bars()
+    month = F.date_format("date", "yyyy-MM")
+    # deliveries cut by month: run 1 gets every month but the latest; run 2 gets the latest
+    # month late, plus a second copy of an early month
+    last = bars.select(F.max(month)).scalar()
+    first = bars.select(F.min(month)).scalar()
+    bars.where(month != last).repartition(month).write.parquet(os.path.join(inp, "d1"))
+    S.incremental_corpus(spark, inp, out, ck, store)
+    bars.where(month == last).write.parquet(os.path.join(inp, "d2"))
+    bars.where(month == first).write.parquet(os.path.join(inp, "d3"))
+    S.incremental_corpus(spark, inp, out, ck, store)
     c = spark.read.parquet(out)
     return c.select("ticker", F.col("i").cast("bigint").alias("i"), F.col("pred_days").cast("bigint").alias("pred_days"),
                     F.col("context_days").cast("bigint").alias("context_days"), F.md5("text").alias("text_md5"))

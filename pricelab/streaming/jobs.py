@@ -1,9 +1,12 @@
 """Structured Streaming jobs (file sources, ``availableNow`` triggers, checkpoints).
 
-* ``incremental_corpus``: price files arrive per ticker; each micro-batch builds
-  the corpus for its tickers and appends it. An anti join against the tickers
-  already in the output makes a re-delivered file (or a replayed batch) a no-op;
-  the checkpoint is the resume state.
+* ``incremental_corpus``: raw daily bars arrive in files of any cut (per ticker,
+  per month, late, twice). Each micro-batch appends its bars to a bar store
+  partitioned by ticker, re-ingests only the touched tickers from the store
+  (duplicates removed on (ticker, date)) and rewrites their corpus partitions
+  with a dynamic partition overwrite. A replayed batch, a re-delivered file
+  or a late month therefore converges to the batch result; the checkpoint is
+  the resume state.
 * ``headline_dedupe``: two headline streams, one event-time watermark of the
   look-back (5 days), ``dropDuplicatesWithinWatermark`` on (ticker, title).
 * ``rolling_summary``: per-ticker ordered fold over arriving chunks with
@@ -16,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -24,32 +26,36 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions import constants as K
 from ..operators import models as M
 from ..operators.corpus import ts_corpus
+from ..operators.features import ingest
 
-PRICE_STREAM_SCHEMA = ("ticker string, date date, open double, high double, low double, close double, "
-                       "volume double, ma_20 double")
+BAR_STREAM_SCHEMA = "ticker string, date date, open double, high double, low double, close double, volume double"
 HEADLINE_STREAM_SCHEMA = ("ticker string, date date, published_at timestamp_ntz, title string, source string, "
                           "lang string, relevancy long")
 CHUNK_STREAM_SCHEMA = "ticker string, chunk_no int, chunk_text string"
 
 
-def _done_tickers(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select("ticker").distinct()
-    except AnalysisException:
-        return None
-
-
 def incremental_corpus(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
-                       seed: int = 42) -> None:
-    """Run the corpus stream until the available files are processed (``availableNow``)."""
-    src = spark.readStream.schema(PRICE_STREAM_SCHEMA).option("recursiveFileLookup", "true").parquet(input_dir)
+                       store_dir: str, seed: int = 42, period: str | None = None,
+                       max_files_per_trigger: int | None = None) -> None:
+    """Run the corpus stream until the available files are processed (``availableNow``).
+
+    ``period=None`` uses each ticker's whole stored history (a trailing period
+    would move with every delivery).
+    """
+    reader = spark.readStream.schema(BAR_STREAM_SCHEMA).option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(input_dir)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        prices = df.dropDuplicates(["ticker", "date"])
-        done = _done_tickers(spark, output_dir)
-        if done is not None:
-            prices = prices.join(done, "ticker", "left_anti")
-        ts_corpus(prices, seed=seed).write.mode("append").partitionBy("ticker").parquet(output_dir)
+        touched = df.select("ticker").distinct()
+        df.write.mode("append").partitionBy("ticker").parquet(store_dir)
+        # semi join on the partition column: only the touched tickers' folders are read
+        bars = (spark.read.schema(BAR_STREAM_SCHEMA).parquet(store_dir).join(touched, "ticker", "left_semi")
+                .dropDuplicates(["ticker", "date"]))
+        corpus = ts_corpus(ingest(bars, period), seed=seed)
+        (corpus.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("ticker").parquet(output_dir))
 
     q = (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())

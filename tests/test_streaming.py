@@ -9,19 +9,24 @@ from pricelab.streaming import jobs as S
 from .conftest import bars_df
 
 
-def test_incremental_corpus_equals_batch_and_is_idempotent(spark):
+def test_incremental_corpus_monthly_late_and_duplicate_files(spark):
+    from pricelab.operators.features import ingest
+
     closes = [100.0 + (k % 11) for k in range(260)]
-    prices = bars_df(spark, {"A": closes, "B": closes[:200], "C": closes[:120]}).withColumn("ma_20", F.lit(1.0))
+    bars = bars_df(spark, {"A": closes, "B": closes[:200], "C": closes[:120]})
     base = scratch_path(spark, "t-stream")
-    inp, out, ck = (os.path.join(base, x) for x in ("in", "out", "ck"))
-    prices.where("ticker = 'A'").write.parquet(os.path.join(inp, "d1"))
-    S.incremental_corpus(spark, inp, out, ck)
-    prices.where("ticker <> 'A'").write.parquet(os.path.join(inp, "d2"))
-    prices.where("ticker = 'A'").write.parquet(os.path.join(inp, "d3"))  # re-delivered file
-    S.incremental_corpus(spark, inp, out, ck)
-    S.incremental_corpus(spark, inp, out, ck)  # nothing new
+    inp, out, ck, store = (os.path.join(base, x) for x in ("in", "out", "ck", "bars"))
+    month = F.date_format("date", "yyyy-MM")
+    months = sorted(r[0] for r in bars.select(month).distinct().collect())
+    for m in months[:-1]:  # one file per month, several micro-batches
+        bars.where(month == m).coalesce(1).write.parquet(os.path.join(inp, "m" + m))
+    S.incremental_corpus(spark, inp, out, ck, store, max_files_per_trigger=2)
+    bars.where(month == months[-1]).coalesce(1).write.parquet(os.path.join(inp, "late"))  # late month
+    bars.where(month == months[0]).coalesce(1).write.parquet(os.path.join(inp, "again"))  # delivered twice
+    S.incremental_corpus(spark, inp, out, ck, store, max_files_per_trigger=2)
+    S.incremental_corpus(spark, inp, out, ck, store)  # nothing new
     stream = {(r.ticker, r.i, r.text) for r in spark.read.parquet(out).collect()}
-    batch = {(r.ticker, r.i, r.text) for r in CO.ts_corpus(prices).collect()}
+    batch = {(r.ticker, r.i, r.text) for r in CO.ts_corpus(ingest(bars, None)).collect()}
     assert stream == batch and spark.read.parquet(out).count() == len(batch)
 
 
