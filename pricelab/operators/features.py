@@ -184,3 +184,17 @@ def series_arrays(prices: DataFrame, value: str = "close", keys=("ticker",), wit
     if with_dates:
         cols.append(F.col("_s.date").alias("dates"))
     return out.select(*keys, *cols)
+
+
+def distinct_tickers(df: DataFrame, col: str = "ticker") -> DataFrame:
+    return df.select(col).distinct()
+
+
+def last_actual(prices: DataFrame) -> DataFrame:
+    """``(ticker, last_date, last_close)``: one partial+final aggregate per ticker."""
+    return prices.groupBy("ticker").agg(F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"))
+
+
+def prices_for(requests: DataFrame, series: DataFrame, how: str = "left") -> DataFrame:
+    """Attach each request's ticker series (one row per ticker) -- the batch form of one call per stock."""
+    return requests.join(series, "ticker", how)

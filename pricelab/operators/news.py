@@ -161,3 +161,19 @@ def news_match(headlines: DataFrame, companies: DataFrame) -> DataFrame:
     word = F.concat(F.lit(r"(^|\W)"), F.col("ticker"), F.lit(r"($|\W)"))
     hit = F.contains(F.lower("title"), name) | F.regexp(F.col("title"), word)
     return j.withColumn("matched", F.coalesce(hit, F.lit(False)))
+
+
+def headline_block(labelled: DataFrame, label: str = "_lab") -> DataFrame:
+    """``(ticker, n_headlines, headline_block)``: bulleted ``'<title>' (Sentiment: X, Score: 0.93)`` lines.
+
+    ``label`` is a ``struct<label, score>`` column. Lines are sorted by (date,
+    title); the list per ticker is bounded by the selection caps upstream.
+    """
+    from ..functions.text import fmt2, render
+
+    line = render(K.HEADLINE_LINE, title="title", label=F.initcap(F.col(f"{label}.label")),
+                  score=fmt2(F.col(f"{label}.score")))
+    lines = labelled.select("ticker", "date", "title", F.concat(F.lit("- "), line).alias("line"))
+    agg = lines.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "title", "line"))).alias("_l"))
+    return agg.select("ticker", F.size("_l").cast("bigint").alias("n_headlines"),
+                      F.array_join(F.col("_l.line"), "\n").alias("headline_block"))

@@ -24,9 +24,9 @@ from ..functions.text import fmt2, parse_prices, price_list_text, py_list_text,
 from ..operators import backtest as BT
 from ..operators import models as M
 from ..operators.corpus import array_moments, corpus_counts, filter_context, split_corpus, ts_corpus
-from ..operators.features import ingest, overlap_chunks, series_arrays
+from ..operators.features import ingest, overlap_chunks, prices_for, series_arrays
 from ..operators.horizons import resolve_horizon, validate_requests
-from ..operators.news import (next_day_change, quota_by_level, quota_news, select_news, union_headlines,
+from ..operators.news import (headline_block, next_day_change, quota_by_level, quota_news, select_news, union_headlines,
                               volatility_levels)
 from ..operators.portfolio import annual_volatility, interleave, select_portfolio
 
@@ -199,14 +199,7 @@ def _headline_blocks(headlines: DataFrame, asof_by_ticker: DataFrame, classifier
                     cap=cap, bounded=bounded)
     u = union_headlines(a.select("ticker", "title", "published_at", "date"),
                         b.select("ticker", "title", "published_at", "date"))
-    lab = M.classify(u, "title", "_lab", classifier)
-    line = render(K.HEADLINE_LINE, title="title", label=F.initcap(F.col("_lab.label")),
-                  score=fmt2(F.col("_lab.score")))
-    lines = lab.select("ticker", "date", "title", F.concat(F.lit("- "), line).alias("line"))
-    agg = lines.groupBy("ticker").agg(
-        F.array_sort(F.collect_list(F.struct("date", "title", "line"))).alias("_l"))
-    return agg.select("ticker", F.size("_l").cast("bigint").alias("n_headlines"),
-                      F.array_join(F.col("_l.line"), "\n").alias("headline_block"))
+    return headline_block(M.classify(u, "title", "_lab", classifier))
 
 
 def _sentiment_summary(df: DataFrame, writer: Callable) -> DataFrame:
@@ -239,7 +232,7 @@ def _prepare(requests: DataFrame, bars: DataFrame, period: str, asof):
     r = r.withColumn("ticker", ticker_from_url("url"))
     r = resolve_horizon(r)
     series = series_arrays(ingest(bars, period, asof), with_dates=True)
-    return r.join(series, "ticker", "left")
+    return prices_for(r, series)
 
 
 def _forecast(df: DataFrame, ctx: str, last_price: str, summarizer, forecaster) -> DataFrame:

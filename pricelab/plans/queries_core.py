@@ -162,15 +162,14 @@ def q_sc_volatile_flag(spark, sf):
 SELECT ticker, max(date) AS last_date, round(arg_max(close, date), 6) AS last_close
 FROM prices5y GROUP BY ticker""", ("prices5y",))
 def q_ag_last_actual(spark, sf):
-    p = FE.ingest(Ctx(spark, sf).bars())
-    return p.groupBy("ticker").agg(F.max("date").alias("last_date"),
-                                   r6(F.max_by("close", "date")).alias("last_close"))
+    la = FE.last_actual(FE.ingest(Ctx(spark, sf).bars()))
+    return la.select("ticker", "last_date", r6("last_close").alias("last_close"))
 
 
 @register("ag_distinct_tickers", """
 SELECT DISTINCT ticker FROM bars""", ("bars",))
 def q_ag_distinct_tickers(spark, sf):
-    return Ctx(spark, sf).bars().select("ticker").distinct()
+    return FE.distinct_tickers(Ctx(spark, sf).bars())
 
 
 @register("flt_min_history", f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..operators import resume as RS
 from ..session import scratch_path
 from ..sources import files as IO
 from ..sources import tables as T
@@ -123,7 +124,7 @@ def _universe_and_done(spark, sf):
 SELECT DISTINCT ticker FROM bars WHERE ticker NOT IN (SELECT ticker FROM portfolio)""", ("bars", "portfolio"))
 def q_jn_resume_anti(spark, sf):
     universe, done = _universe_and_done(spark, sf)
-    return universe.join(done.distinct(), "ticker", "left_anti")
+    return RS.remaining(universe, done)
 
 
 @register("st_except_done", """
@@ -146,6 +147,5 @@ def q_jn_resume_positional(spark, sf):
     doc = IO.universe_json(c.bars()).select(F.from_json("value", "struct<tickers:array<string>>").alias("j"))
     uni = doc.select(F.posexplode("j.tickers").alias("pos", "ticker")).select(F.col("pos").cast("bigint"), "ticker")
     done = PL.pl_portfolio(c.bars()).where(F.col("side") == "volatile").select("ticker")
-    last = uni.join(done, "ticker", "left_semi").select(F.max("pos")).scalar()
-    return uni.where(F.col("pos") > F.coalesce(last, F.lit(-1)))
+    return RS.remaining_after(uni, done)
 

@@ -238,13 +238,7 @@ GROUP BY ticker""", ("headlines", "bars"))
 def q_ag_collect_headlines(spark, sf):
     c = Ctx(spark, sf)
     s = NW.select_news(c.headlines(), asof=_asof(c), days=K.NEWS_LOOKBACK_DAYS, lang="en", cap=K.NEWS_CAP)
-    lab = M.classify(s, "title", "_l", M.md5_classifier)
-    line = F.concat(F.lit("- "), render(K.HEADLINE_LINE, title="title", label=F.initcap(F.col("_l.label")),
-                                        score=fmt2(F.col("_l.score"))))
-    agg = lab.select("ticker", "date", "title", line.alias("line")).groupBy("ticker").agg(
-        F.array_sort(F.collect_list(F.struct("date", "title", "line"))).alias("_l"))
-    return agg.select("ticker", F.size("_l").cast("bigint").alias("n_headlines"),
-                      F.array_join(F.col("_l.line"), "\n").alias("headline_block"))
+    return NW.headline_block(M.classify(s, "title", "_lab", M.md5_classifier))
 
 
 _LABEL_PROMPT_SQL = render_sql(K.LABEL_PROMPT, headline="coalesce(title, 'None')")

@@ -83,7 +83,7 @@ SELECT r.request_id, r.ticker, CAST(coalesce(len(s.closes), 0) AS BIGINT) AS n_b
 FROM rq r LEFT JOIN series5y s ON r.ticker = s.ticker""", ("rq", "series5y"))
 def q_jn_request_prices(spark, sf):
     c = Ctx(spark, sf)
-    j = _req(c).join(_series(c), "ticker", "left")
+    j = FE.prices_for(_req(c), _series(c))
     return j.select("request_id", "ticker", F.coalesce(F.size("closes"), F.lit(0)).cast("bigint").alias("n_bars"),
                     "last_date")
 
