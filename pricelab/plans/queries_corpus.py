@@ -99,11 +99,12 @@ def q_wn_fixed_window(spark, sf):
 
 
 @register("sc_price_list_text", f"""
-SELECT ticker, {list_text_sql('closes[len(closes) - 59 : len(closes)]')} AS last60_text FROM series5y""",
-          ("series5y",))
+SELECT ticker, md5({list_text_sql('closes')}) AS closes_text_md5, CAST(len(closes) AS BIGINT) AS n
+FROM series5y""", ("series5y",))
 def q_sc_price_list_text(spark, sf):
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
-    return s.select("ticker", price_list_text(F.slice("closes", -60, 60)).alias("last60_text"))
+    return s.select("ticker", F.md5(price_list_text("closes")).alias("closes_text_md5"),
+                    F.size("closes").cast("bigint").alias("n"))
 
 
 @register("sc_trend2", """
@@ -208,11 +209,11 @@ SELECT ticker, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(len(chunk) AS BIGINT)
 FROM (SELECT ticker, chunk_no, ctx[chunk_no * 150 + 1 : chunk_no * 150 + 180] AS chunk
       FROM (SELECT ticker, ctx, unnest(range(CASE WHEN len(ctx) = 0 THEN 0 WHEN len(ctx) <= 180 THEN 1
                                               ELSE CAST(ceil((len(ctx) - 180) / 150.0) AS BIGINT) + 1 END)) AS chunk_no
-            FROM (SELECT ticker, closes[greatest(len(closes) - 999, 1):] AS ctx FROM series5y)))""",
+            FROM (SELECT ticker, closes AS ctx FROM series5y)))""",
           ("series5y",))
 def q_wn_overlap_chunks(spark, sf):
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
-    s = s.select("ticker", F.slice("closes", F.greatest(F.size("closes") - 999, F.lit(1)), 1000).alias("ctx"))
+    s = s.select("ticker", F.col("closes").alias("ctx"))
     ch = FE.overlap_chunks(s, arr="ctx")
     return ch.select("ticker", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                      F.size("chunk").cast("bigint").alias("n"), r6(F.try_element_at("chunk", F.lit(1))).alias("first"),
@@ -234,7 +235,7 @@ FROM (SELECT ticker, count(*) FILTER (WHERE len(chunk) >= 31) AS m,
       FROM (SELECT ticker, chunk_no, ctx[chunk_no * 150 + 1 : chunk_no * 150 + 180] AS chunk
             FROM (SELECT ticker, ctx, unnest(range(CASE WHEN len(ctx) = 0 THEN 0 WHEN len(ctx) <= 180 THEN 1
                                     ELSE CAST(ceil((len(ctx) - 180) / 150.0) AS BIGINT) + 1 END)) AS chunk_no
-                  FROM (SELECT ticker, closes[greatest(len(closes) - 999, 1):] AS ctx FROM series5y)))
+                  FROM (SELECT ticker, closes AS ctx FROM series5y)))
       GROUP BY ticker)"""
 
 
@@ -242,7 +243,7 @@ FROM (SELECT ticker, count(*) FILTER (WHERE len(chunk) >= 31) AS m,
 def q_wn_ordered_fold(spark, sf):
     from ..functions.text import summary_trim
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
-    s = s.select("ticker", F.slice("closes", F.greatest(F.size("closes") - 999, F.lit(1)), 1000).alias("ctx"))
+    s = s.select("ticker", F.col("closes").alias("ctx"))
     ch = FE.overlap_chunks(s, arr="ctx")
     arr = ch.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("_c"))
     folded = arr.select("ticker", PL.fold_sql_chunk_summarizer(F.col("_c.chunk")).alias("summary"))
@@ -254,7 +255,7 @@ def q_ud_fold_summary(spark, sf):
     from ..functions.text import summary_trim
     from ..operators import models as M
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
-    s = s.select("ticker", F.slice("closes", F.greatest(F.size("closes") - 999, F.lit(1)), 1000).alias("ctx"))
+    s = s.select("ticker", F.col("closes").alias("ctx"))
     ch = FE.overlap_chunks(s, arr="ctx").withColumn("chunk_text", price_list_text("chunk"))
     out = PL.ordered_fold(ch, "ticker", "chunk_no", "chunk_text", M.chunk_summarizer)
     return out.select("ticker", summary_trim("summary").alias("summary"))
@@ -267,11 +268,11 @@ SELECT ticker, CAST(chunk_no AS BIGINT) AS chunk_no, md5(""" + render_sql(
 FROM (SELECT ticker, chunk_no, ctx[chunk_no * 150 + 1 : chunk_no * 150 + 180] AS chunk
       FROM (SELECT ticker, ctx, unnest(range(CASE WHEN len(ctx) = 0 THEN 0 WHEN len(ctx) <= 180 THEN 1
                               ELSE CAST(ceil((len(ctx) - 180) / 150.0) AS BIGINT) + 1 END)) AS chunk_no
-            FROM (SELECT ticker, closes[greatest(len(closes) - 999, 1):] AS ctx FROM series5y)))""",
+            FROM (SELECT ticker, closes AS ctx FROM series5y)))""",
           ("series5y",))
 def q_sc_summary_prompt(spark, sf):
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
-    s = s.select("ticker", F.slice("closes", F.greatest(F.size("closes") - 999, F.lit(1)), 1000).alias("ctx"))
+    s = s.select("ticker", F.col("closes").alias("ctx"))
     ch = FE.overlap_chunks(s, arr="ctx")
     p = render(K.SUMMARIZER_PROMPT, prior=F.lit(K.INITIAL_SUMMARY), chunk=price_list_text("chunk"))
     return ch.select("ticker", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5(p).alias("prompt_md5"))
@@ -313,15 +314,13 @@ def q_wn_one_shot_example(spark, sf):
 
 
 @register("wn_step_ratio", """
-SELECT ticker, CAST(k AS BIGINT) AS step, round(tail[k + 1] / tail[k], 6) AS ratio,
-       round(tail[k + 1] - tail[k], 6) AS delta
-FROM (SELECT ticker, tail, unnest(range(1, len(tail))) AS k
-      FROM (SELECT ticker, closes[len(closes) - 9 :] AS tail FROM series5y))""", ("series5y",))
+SELECT ticker, CAST(k AS BIGINT) AS step, round(closes[k + 1] / closes[k], 6) AS ratio,
+       round(closes[k + 1] - closes[k], 6) AS delta
+FROM (SELECT ticker, closes, unnest(range(1, len(closes))) AS k FROM series5y)""", ("series5y",))
 def q_wn_step_ratio(spark, sf):
     from ..functions.scalar import step_delta, step_ratio
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
-    s = s.select("ticker", F.slice("closes", -10, 10).alias("tail"))
-    z = s.select("ticker", F.posexplode(F.arrays_zip(step_ratio("tail").alias("ratio"),
-                                                     step_delta("tail").alias("delta"))).alias("k", "z"))
+    z = s.select("ticker", F.posexplode(F.arrays_zip(step_ratio("closes").alias("ratio"),
+                                                     step_delta("closes").alias("delta"))).alias("k", "z"))
     return z.select("ticker", (F.col("k") + 1).cast("bigint").alias("step"), r6("z.ratio").alias("ratio"),
                     r6("z.delta").alias("delta"))

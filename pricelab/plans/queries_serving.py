@@ -146,12 +146,16 @@ def q_sc_parse_prices_loose(spark, sf):
 
 
 @register("sc_unreliable_jump", """
-SELECT ticker, coalesce(list_bool_or(list_transform(range(2, len(t) + 1),
+SELECT r.request_id, coalesce(list_bool_or(list_transform(range(2, len(t) + 1),
          lambda k: t[k] < t[k - 1] * 0.5 OR t[k] > t[k - 1] * 2.0)), false) AS is_unreliable
-FROM (SELECT ticker, closes[len(closes) - 9 :] AS t FROM series5y)""", ("series5y",))
+FROM rq r JOIN (SELECT ticker, closes FROM series5y) s ON r.ticker = s.ticker,
+     LATERAL (SELECT s.closes[greatest(len(s.closes) - r.prediction_days + 1, 1) :] AS t)
+WHERE r.prediction_days BETWEEN 1 AND 90""", ("rq", "series5y"))
 def q_sc_unreliable_jump(spark, sf):
-    s = _series(Ctx(spark, sf))
-    return s.select("ticker", unreliable_jump(F.slice("closes", -10, 10)).alias("is_unreliable"))
+    c = Ctx(spark, sf)
+    j = _req(c).join(_series(c), "ticker").where(F.col("prediction_days").between(1, 90))
+    t = F.slice("closes", F.greatest(F.size("closes") - F.col("prediction_days") + 1, F.lit(1)), F.col("prediction_days"))
+    return j.select("request_id", unreliable_jump(t).alias("is_unreliable"))
 
 
 @register("sc_trend3", """

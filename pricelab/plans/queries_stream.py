@@ -54,7 +54,7 @@ def q_sm_rolling_summary(spark, sf):
     base = scratch_path(spark, "stream-summary")
     inp, out, ck = (os.path.join(base, x) for x in ("in", "out", "ckpt"))
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
-    s = s.select("ticker", F.slice("closes", F.greatest(F.size("closes") - 999, F.lit(1)), 1000).alias("ctx"))
+    s = s.select("ticker", F.col("closes").alias("ctx"))
     ch = FE.overlap_chunks(s, arr="ctx").select("ticker", "chunk_no", price_list_text("chunk").alias("chunk_text"))
     early = F.col("chunk_no") < 4
     ch.where(early).write.parquet(os.path.join(inp, "d1"))
