@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -47,11 +47,12 @@ def resolve_horizon(requests: DataFrame, table: DataFrame | None = None, days: s
         raise ValueError(f"horizon table has {n} rows; expected a small lookup table")
     t = F.broadcast(table.select(F.col("pred_days").alias("_p"), F.col("context_days").alias("_c")))
     j = requests.join(t, F.col("_p") >= F.col(days), "left")
-    best = F.min_by(F.struct("_p", "_c"), F.col("_p"))
-    agg = j.groupBy(*requests.columns).agg(best.alias("_b"))
-    return (agg.withColumn("model_days", F.coalesce(F.col("_b._p"), F.col(days)).cast("int"))
-            .withColumn("context_days", F.coalesce(F.col("_b._c"), F.lit(fallback)).cast("int"))
-            .drop("_b"))
+    # smallest qualifying entry per request: at most len(table) rows per key (WindowGroupLimit)
+    w = Window.partitionBy(key).orderBy(F.col("_p").asc_nulls_last())
+    best = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    return (best.withColumn("model_days", F.coalesce(F.col("_p"), F.col(days)).cast("int"))
+            .withColumn("context_days", F.coalesce(F.col("_c"), F.lit(fallback)).cast("int"))
+            .drop("_p", "_c", "_rn"))
 
 
 def validate_requests(requests: DataFrame, days: str = "prediction_days") -> DataFrame:
