@@ -6,7 +6,8 @@ import __spark_entry__ as E
 from .conftest import SF001
 
 FAST = ["pl_portfolio", "tk_interleave", "pl_ingest", "wn_window_choice", "sc_training_prompt", "src_news",
-        "st_union_headlines", "jn_asof_next_day", "ag_forecast_error", "pn_rsi", "ud_classify_headlines"]
+        "st_union_headlines", "jn_asof_next_day", "ag_forecast_error", "pn_rsi", "ud_classify_headlines",
+        "pl_ts_corpus", "pl_sentiment_corpus", "pl_analyze", "pl_backtest", "jn_horizon_lookup"]
 
 
 def test_entry_returns_portfolio(spark):
