@@ -82,6 +82,8 @@ MSG_NOT_ENOUGH = "Not enough historical data for {ticker} (need at least {need}
 MSG_NOT_ENOUGH_BACKTEST = "Not enough historical data to perform backtest (need {need} days)."
 MSG_NO_FORECAST = "Model failed to generate a parsable forecast."
 MSG_LOOSE_PARSE = "Could not parse forecast."
+# not a reference message: the strict backtest option's own error text
+MSG_LENGTH_MISMATCH = "Forecast has {f} prices but the holdout has {a}."
 INITIAL_SUMMARY = "No significant trend observed yet."
 NO_NEWS_SUMMARY = "No recent news found to analyze."
 STATUS_OK = "Success"

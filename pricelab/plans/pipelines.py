@@ -299,8 +299,13 @@ def pl_analyze(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
 def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
                 forecaster: Callable = M.drift_forecaster, summarizer: Callable = M.chunk_summarizer,
                 writer: Callable = M.md5_writer, classifier: Callable = M.md5_classifier,
-                period: str = "5y", asof=None, allow_lookahead: bool = False) -> DataFrame:
-    """Hold out the last ``prediction_days`` rows, forecast them, score the forecast."""
+                period: str = "5y", asof=None, allow_lookahead: bool = False, strict: bool = False) -> DataFrame:
+    """Hold out the last ``prediction_days`` rows, forecast them, score the forecast.
+
+    Forecast and holdout are paired step by step and truncated to the shorter
+    list (``n_compared``); ``strict=True`` turns a length mismatch into an
+    error row instead.
+    """
     df = _prepare(requests, bars, period, asof)
     n = F.coalesce(F.size("closes"), F.lit(0))
     need = F.col("context_days") + F.col("prediction_days")
@@ -315,6 +320,11 @@ def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
           .withColumn("last_context_date", F.try_element_at("dates", split_at)))
     ok = _materialize(_forecast(ok, "ctx", "last_price_in_context", summarizer, forecaster)
                       .drop("closes", "dates"))
+    if strict:
+        mismatch = F.size("forecast_prices") != F.size("actual_prices")
+        msg_len = F.format_string(K.MSG_LENGTH_MISMATCH.replace("{f}", "%d").replace("{a}", "%d"),
+                                  F.size("forecast_prices"), F.size("actual_prices"))
+        ok = ok.withColumn("error_message", F.coalesce("error_message", F.when(mismatch, msg_len)))
     bad_fc = ok.where(F.col("error_message").isNotNull())
     good = ok.where(F.col("error_message").isNull())
     good = good.withColumn("_pairs", BT.pair_arrays("forecast_prices", "actual_prices"))

@@ -38,7 +38,8 @@ def read_prices_csv(spark: SparkSession, path: str, layout: str = "partitioned")
     ``layout='files'``: flat ``<TICKER>_processed_data.csv`` files; the ticker
     comes from the file name.
     """
-    r = spark.read.option("header", True).option("dateFormat", "yyyy-MM-dd")
+    # malformed rows are dropped (the application skips a whole unreadable file instead)
+    r = spark.read.option("header", True).option("dateFormat", "yyyy-MM-dd").option("mode", "DROPMALFORMED")
     if layout == "partitioned":
         return r.schema(PRICE_SCHEMA + ", ticker string").csv(path)
     df = r.schema(PRICE_SCHEMA).csv(path)

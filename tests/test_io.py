@@ -51,3 +51,12 @@ def test_link_texts(spark):
     pages = spark.createDataFrame([('<ul><li><a href="/x"> AAPL </a></li><li><a>  </a></li><li><a>MSFT</a></li></ul>',),
                                    ('<li><a href="/y">AAPL</a></li>',)], "html string")
     assert sorted(r.symbol for r in IO.extract_link_texts(pages).collect()) == ["AAPL", "MSFT"]
+
+
+def test_price_csv_drops_malformed_rows(spark):
+    flat = scratch_path(spark, "flat-bad")
+    os.makedirs(flat)
+    with open(os.path.join(flat, "X_processed_data.csv"), "w") as f:
+        f.write("date,open,high,low,close,volume,ma_20\n2024-01-02,1,1,1,5.5,1,5\n2024-01-03,1,1,1,oops,1,5\n")
+    rows = IO.read_prices_csv(spark, flat, layout="files").collect()
+    assert [(r.ticker, r.close) for r in rows] == [("X", 5.5)]

@@ -67,3 +67,17 @@ def test_ordered_fold_matches_sql_fold(spark):
     sql_fold = {r.ticker: r.s for r in arr.select("ticker", PL.fold_sql_chunk_summarizer(F.col("c.chunk")).alias("s")).collect()}
     assert udf_fold == sql_fold
     assert sql_fold["C"] == K.INITIAL_SUMMARY and sql_fold["A"].startswith("Chunk 5,")
+
+
+def test_backtest_strict_length_mismatch(spark):
+    closes = [100.0 + (k % 13) for k in range(300)]
+    bars = bars_df(spark, {"AAA": closes})
+    req = requests(spark, [(1, "https://q.example.com/quote/AAA", 7)])
+
+    def short_forecaster():
+        return lambda prompts: [" [1.00, 2.00]" for _ in prompts]
+
+    loose = PL.pl_backtest(req, bars, no_news(spark), forecaster=short_forecaster, period=None).first()
+    assert loose.status == "Success" and loose.n_compared == 2
+    strict = PL.pl_backtest(req, bars, no_news(spark), forecaster=short_forecaster, period=None, strict=True).first()
+    assert strict.status == "Failure" and strict.error_message == "Forecast has 2 prices but the holdout has 7."
