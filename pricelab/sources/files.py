@@ -131,3 +131,17 @@ def extract_link_texts(pages: DataFrame, pattern: str = r"<li><a[^>]*>([^<]*)</a
     """Link texts of list items: trimmed, non-empty, unique (``symbol``)."""
     t = pages.select(F.explode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("s"))
     return t.select(F.trim("s").alias("symbol")).where(F.col("symbol") != "").distinct()
+
+
+def read_optional(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """A source that may be missing: an empty DataFrame of ``schema`` instead of an error.
+
+    Lets a union of several headline sources survive one source being absent
+    (the application logs the failing source and keeps the others).
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).format(fmt).load(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)

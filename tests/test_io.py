@@ -60,3 +60,15 @@ def test_price_csv_drops_malformed_rows(spark):
         f.write("date,open,high,low,close,volume,ma_20\n2024-01-02,1,1,1,5.5,1,5\n2024-01-03,1,1,1,oops,1,5\n")
     rows = IO.read_prices_csv(spark, flat, layout="files").collect()
     assert [(r.ticker, r.close) for r in rows] == [("X", 5.5)]
+
+
+def test_union_survives_a_missing_source(spark):
+    from pricelab.operators.news import union_headlines
+    from pricelab.streaming.jobs import HEADLINE_STREAM_SCHEMA
+
+    present = scratch_path(spark, "news-a")
+    spark.createDataFrame([("T", None, None, "hello", "a", "en", 1)], HEADLINE_STREAM_SCHEMA).write.parquet(present)
+    a = IO.read_optional(spark, present, HEADLINE_STREAM_SCHEMA)
+    b = IO.read_optional(spark, scratch_path(spark, "news-missing"), HEADLINE_STREAM_SCHEMA)
+    assert b.count() == 0
+    assert [r.title for r in union_headlines(a, b).collect()] == ["hello"]
