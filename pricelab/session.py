@@ -33,7 +33,7 @@ def local_session(cpus: int | str = "*", app: str = "pricelab", **conf) -> Spark
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
@@ -63,3 +63,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pricelab`` importable in Python workers on every executor (once per context).
+
+    UDFs, ``applyInPandas`` and streaming state functions reference this
+    package; ``addPyFile`` distributes a zip of it through Spark, as
+    ``--py-files`` would. The zip is written next to the checkpoint folder when
+    that is a local path, else to a driver-side file that Spark uploads.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    folder = base[len("file:"):] if base.startswith("file:") else (base if "://" not in base else tempfile.mkdtemp())
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, f"pricelab-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
+
+
+def prepare_session(spark: SparkSession) -> str:
+    """Checkpoint folder + package shipping; returns the checkpoint folder."""
+    d = ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return d
