@@ -55,6 +55,19 @@ def label_udf(factory: Callable[[], Callable[[list[str]], list[tuple[str, float]
     return run
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over the available cores before a model call.
+
+    Prompt rows are small in bytes but expensive per row; AQE would coalesce
+    them by bytes into a few tasks. A numbered repartition is not coalesced.
+    The width is ``spark.pricelab.model.partitions`` when set, else the
+    context's default parallelism (all executor cores).
+    """
+    conf = df.sparkSession.conf.get("spark.pricelab.model.partitions", None)
+    width = int(conf) if conf else df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width, *keys) if keys else df.repartition(width)
+
+
 def generate(df: DataFrame, prompt: str, out: str, factory: Callable[[], TextModel]) -> DataFrame:
     return df.withColumn(out, text_udf(factory)(F.col(prompt)))
 
