@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import W, W_DESC
+from .features import W, W_ALL, W_DESC
 
 
 def rolling_volatility(prices: DataFrame, k: int = 20) -> DataFrame:
@@ -36,8 +36,8 @@ def rolling_volatility(prices: DataFrame, k: int = 20) -> DataFrame:
     x = prices.withColumn("_r", ret)
     x = x.withColumn("vol", F.when(F.count("_r").over(frame) == k, F.stddev_samp("_r").over(frame)))
     x = x.withColumn("_v9", F.round("vol", 9))
-    med = x.groupBy("ticker").agg(F.percentile("_v9", 0.5).alias("_med"))
-    x = x.join(med, "ticker")
+    # median as a whole-partition window aggregate: same exchange and sort, no join back
+    x = x.withColumn("_med", F.percentile("_v9", 0.5).over(W_ALL()))
     level = F.when(F.col("_v9").isNull(), F.lit(None)).when(F.col("_v9") >= F.col("_med"), "HIGH").otherwise("LOW")
     return x.withColumn("vol_level", level).drop("_r", "_v9", "_med")
 

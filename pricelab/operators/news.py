@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalar import next_change_pct, volatility_level, volatile_flag
-from .features import W, abs_change_pct, change_quantiles
+from .features import W, W_ALL, abs_change_pct
 
 
 def non_blank(headlines: DataFrame, title: str = "title") -> DataFrame:
@@ -112,8 +112,10 @@ def asof_forward(headlines: DataFrame, prices: DataFrame) -> DataFrame:
 def volatility_levels(prices: DataFrame, probs=(0.25, 0.75)) -> DataFrame:
     """``(ticker, date, close, price_change_pct, q25, q75, volatility, is_volatile)``."""
     ch = abs_change_pct(prices)
-    q = change_quantiles(ch, "price_change_pct", probs)
-    j = ch.join(q, "ticker")
+    # exact quantiles as whole-partition window aggregates: no second aggregate + join
+    q = F.percentile(F.col("price_change_pct").cast("double"), F.array(*[F.lit(p) for p in probs])).over(W_ALL())
+    j = ch.withColumn("_q", q).select("*", *[F.col("_q")[k].alias(f"q{int(round(p * 100))}")
+                                             for k, p in enumerate(probs)]).drop("_q")
     return (j.withColumn("volatility", volatility_level("price_change_pct", "q25", "q75"))
             .withColumn("is_volatile", volatile_flag("price_change_pct", "q75")))
 
