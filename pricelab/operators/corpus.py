@@ -127,10 +127,13 @@ def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZO
     """
     # The per-ticker rows are small (one array per ticker) but explode into the
     # whole corpus, several hundred times their size. AQE would coalesce them by
-    # their *input* bytes into a handful of tasks, so spread them explicitly
-    # (a numbered repartition is not coalesced) over the configured shuffle width.
+    # their *input* bytes into a handful of tasks, so spread them explicitly over
+    # the configured shuffle width: a numbered round-robin repartition is neither
+    # coalesced nor elided (a hash repartition on ``ticker`` would be elided, the
+    # rows already being hash-partitioned by ticker), and one row per ticker
+    # balances exactly.
     width = int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = prefix_series(prices).repartition(width, "ticker").withColumn("n", F.size("closes"))
+    s = prefix_series(prices).repartition(width).withColumn("n", F.size("closes"))
     rows = s.select("ticker", "closes", "close_texts", "p1", "p2", "n",
                     F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     if fixed is None:

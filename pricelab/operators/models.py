@@ -59,7 +59,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over the available cores before a model call.
 
     Prompt rows are small in bytes but expensive per row; AQE would coalesce
-    them by bytes into a few tasks. A numbered repartition is not coalesced.
+    them by bytes into a few tasks. A numbered repartition is not coalesced;
+    without keys it is round-robin (balanced, and never elided because of an
+    existing hash partitioning). Pass keys only when the next step groups by them.
     The width is ``spark.pricelab.model.partitions`` when set, else the
     context's default parallelism (all executor cores).
     """

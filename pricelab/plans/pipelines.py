@@ -87,7 +87,7 @@ def pl_sentiment_corpus(bars: DataFrame, headlines: DataFrame, portfolio: DataFr
     h = select_news(h, asof=asof, days=news_days, lang="en", cap=news_cap, bounded=False)
     j = next_day_change(h, prices)
     j = j.withColumn("_prompt", render(K.LABEL_PROMPT, headline=F.coalesce("title", F.lit("None"))))
-    j = M.generate(M.spread(j, "ticker", "date"), "_prompt", "_answer", scorer)
+    j = M.generate(M.spread(j), "_prompt", "_answer", scorer)
     score = F.coalesce(F.nullif(F.regexp_extract("_answer", K.RE_SENTIMENT, 1), F.lit("")).try_cast("double"),
                        F.lit(0.0))
     j = j.withColumn("sentiment_score", score)
@@ -200,7 +200,7 @@ def _headline_blocks(headlines: DataFrame, asof_by_ticker: DataFrame, classifier
                     cap=cap, bounded=bounded)
     u = union_headlines(a.select("ticker", "title", "published_at", "date"),
                         b.select("ticker", "title", "published_at", "date"))
-    return headline_block(M.classify(M.spread(u, "ticker"), "title", "_lab", classifier))
+    return headline_block(M.classify(M.spread(u), "title", "_lab", classifier))
 
 
 def _sentiment_summary(df: DataFrame, writer: Callable) -> DataFrame:
@@ -211,7 +211,7 @@ def _sentiment_summary(df: DataFrame, writer: Callable) -> DataFrame:
     has = F.coalesce(F.col("n_headlines"), F.lit(0)) > 0
     df = df.withColumn("_sp", F.when(has, render(K.SENTIMENT_SYNTHESIS_PROMPT, ticker="ticker",
                                                  headlines="headline_block")))
-    df = M.generate(M.spread(df, "request_id"), "_sp", "_ss", writer)
+    df = M.generate(M.spread(df), "_sp", "_ss", writer)
     return df.withColumn("sentiment_summary",
                          F.when(has, F.trim("_ss")).otherwise(F.lit(K.NO_NEWS_SUMMARY))).drop("_sp", "_ss")
 
@@ -252,7 +252,7 @@ def _forecast(df: DataFrame, ctx: str, last_price: str, summarizer, forecaster)
                     mean=fmt2("_mean"), std_dev=fmt2("_std"), trend="trend",
                     context_days=F.size("_final").cast("string"), context=price_list_text("_final"),
                     pred_days=F.col("model_days").cast("string"))
-    df = M.spread(df.withColumn("prompt", prompt), "request_id")
+    df = M.spread(df.withColumn("prompt", prompt))
     df = M.generate(df, "prompt", "forecast_text", forecaster)
     df = df.withColumn("forecast_prices", parse_prices("forecast_text", F.col("prediction_days")))
     df = df.withColumn("error_message", F.when(F.size("forecast_prices") == 0, F.lit(K.MSG_NO_FORECAST)))
