@@ -40,10 +40,18 @@ def pl_ingest(bars: DataFrame, period: str = "5y", asof=None) -> DataFrame:
     return ingest(bars, period, asof)
 
 
-def pl_ts_corpus(bars: DataFrame, seed: int = 42, period: str = "5y", done: DataFrame | None = None) -> DataFrame:
+def _asof_col(bars: DataFrame, asof):
+    """The run's as-of date: given (str / date / Column) or the latest bar (scalar subquery)."""
+    if asof is None:
+        return bars.select(F.max("date")).scalar()
+    return asof if isinstance(asof, Column) else F.to_date(F.lit(str(asof)))
+
+
+def pl_ts_corpus(bars: DataFrame, seed: int = 42, period: str = "5y", done: DataFrame | None = None,
+                 asof=None) -> DataFrame:
     """Sliding-window prompt corpus over every ticker; ``done`` (an existing corpus)
     turns it into a resume: tickers already present are skipped (anti join)."""
-    prices = ingest(bars, period)
+    prices = ingest(bars, period, asof)
     if done is not None:
         prices = prices.join(done.select("ticker").distinct(), "ticker", "left_anti")
     return ts_corpus(prices, seed=seed)
@@ -60,15 +68,15 @@ def pl_corpus_counts(corpus: DataFrame) -> DataFrame:
     return corpus_counts(corpus)
 
 
-def pl_portfolio(bars: DataFrame, period: str = "2y") -> DataFrame:
+def pl_portfolio(bars: DataFrame, period: str = "2y", asof=None) -> DataFrame:
     """``(pos, side, ticker, volatility)`` -- 8 most and 7 least volatile tickers."""
-    return select_portfolio(annual_volatility(ingest(bars, period)))
+    return select_portfolio(annual_volatility(ingest(bars, period, asof)))
 
 
 def pl_sentiment_corpus(bars: DataFrame, headlines: DataFrame, portfolio: DataFrame | None = None,
                         scorer: Callable = M.md5_scorer, price_period: str = "3mo",
                         news_days: int = K.CORPUS_NEWS_LOOKBACK_DAYS, news_cap: int = K.CORPUS_NEWS_CAP,
-                        done: DataFrame | None = None) -> DataFrame:
+                        done: DataFrame | None = None, asof=None) -> DataFrame:
     """Headline -> (sentiment score, actual next-day change) training samples.
 
     portfolio (interleaved order) -> last ``price_period`` of bars -> headlines of
@@ -76,15 +84,14 @@ def pl_sentiment_corpus(bars: DataFrame, headlines: DataFrame, portfolio: DataFr
     join -> next trading close -> model score -> sample text.
     """
     if portfolio is None:
-        portfolio = pl_portfolio(bars)
+        portfolio = pl_portfolio(bars, asof=asof)
     order = interleave(portfolio).select("ticker", "order_no")
     order = order.groupBy("ticker").agg(F.min("order_no").alias("order_no"))
     if done is not None:
         order = order.join(done.select("ticker").distinct(), "ticker", "left_anti")
-    prices = ingest(bars, price_period).join(order, "ticker", "left_semi")
-    asof = bars.select(F.max("date")).scalar()
+    prices = ingest(bars, price_period, asof).join(order, "ticker", "left_semi")
     h = headlines.join(order, "ticker", "inner")
-    h = select_news(h, asof=asof, days=news_days, lang="en", cap=news_cap, bounded=False)
+    h = select_news(h, asof=_asof_col(bars, asof), days=news_days, lang="en", cap=news_cap, bounded=False)
     j = next_day_change(h, prices)
     j = j.withColumn("_prompt", render(K.LABEL_PROMPT, headline=F.coalesce("title", F.lit("None"))))
     j = M.generate(M.spread(j), "_prompt", "_answer", scorer)
@@ -98,17 +105,16 @@ def pl_sentiment_corpus(bars: DataFrame, headlines: DataFrame, portfolio: DataFr
 
 
 def pl_volatility_news(bars: DataFrame, headlines: DataFrame, days: int = 29, period: str = "3mo",
-                       mode: str = "level") -> DataFrame:
+                       mode: str = "level", asof=None) -> DataFrame:
     """Per trading day quota of headlines by that day's volatility.
 
     ``mode='level'``: low/medium/high -> 10/25/50 over the last ``days`` days.
     ``mode='flag'``: 50 on volatile days else 10 over the last 5 trading days.
     """
-    prices = ingest(bars, period)
+    prices = ingest(bars, period, asof)
     lv = volatility_levels(prices)
     if mode == "level":
-        asof = bars.select(F.max("date")).scalar()
-        days_df = lv.where(F.col("date") >= F.date_sub(asof, days))
+        days_df = lv.where(F.col("date") >= F.date_sub(_asof_col(bars, asof), days))
         quota = quota_by_level(F.col("volatility"))
         max_q = max(n for _, n in K.VOLATILITY_TO_ARTICLE_COUNT)
     else:

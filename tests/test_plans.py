@@ -40,3 +40,16 @@ def test_scan_reads_only_needed_columns(spark):
     p = plan(spark, "pl_portfolio")
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
     assert schemas and all("l_comment" not in s and "l_tax" not in s and "l_discount" not in s for s in schemas)
+
+
+def test_explicit_asof_drops_the_subquery_and_keeps_results(spark):
+    from pricelab.plans import pipelines as PL
+    from pricelab.sources import tables as T
+
+    bars = T.bars(spark, SF001)
+    last = bars.agg({"date": "max"}).first()[0]
+    implicit = PL.pl_portfolio(bars)
+    explicit = PL.pl_portfolio(bars, asof=str(last))
+    assert "Subquery" in implicit._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" not in explicit._jdf.queryExecution().executedPlan().toString()
+    assert sorted(implicit.collect()) == sorted(explicit.collect())
