@@ -117,3 +117,14 @@ def latest_summaries(spark: SparkSession, output_dir: str) -> DataFrame:
     """Final summary per ticker: the emitted row with the highest chunk number."""
     df = spark.read.parquet(output_dir)
     return df.groupBy("ticker").agg(F.max_by("summary", "last_chunk").alias("summary"))
+
+
+def compact_store(spark: SparkSession, store_dir: str, target_dir: str) -> None:
+    """Rewrite the bar store with one file per ticker and no duplicate (ticker, date) rows.
+
+    Micro-batches append small files per ticker; compaction writes a new
+    version (a path cannot be overwritten while it is read). Pass
+    ``target_dir`` as ``store_dir`` on the next run of ``incremental_corpus``.
+    """
+    bars = spark.read.schema(BAR_STREAM_SCHEMA).parquet(store_dir).dropDuplicates(["ticker", "date"])
+    bars.repartition("ticker").write.mode("overwrite").partitionBy("ticker").parquet(target_dir)

@@ -40,3 +40,16 @@ def test_rolling_summary_rejects_late_chunks(spark):
     S.rolling_summary(spark, inp, out, ck)
     r = S.latest_summaries(spark, out).first()
     assert r.summary.startswith("Chunk 3,")  # chunk 1 arrived late and was rejected
+
+
+def test_compact_store(spark):
+    base = scratch_path(spark, "t-compact")
+    store, compacted = os.path.join(base, "bars"), os.path.join(base, "bars-v2")
+    bars = bars_df(spark, {"A": [1.0, 2.0, 3.0], "B": [4.0, 5.0]})
+    for _ in range(3):  # three appends, the same rows twice over
+        bars.write.mode("append").partitionBy("ticker").parquet(store)
+    S.compact_store(spark, store, compacted)
+    back = spark.read.parquet(compacted)
+    assert back.count() == 5
+    files = [f for root, _, fs in os.walk(compacted) for f in fs if f.endswith(".parquet")]
+    assert len(files) == 2  # one per ticker
