@@ -41,3 +41,38 @@ def test_chunks_cover_series_in_order(spark, n, so):
     assert all(len(r.chunk) <= size for r in ch)
     if ch:
         assert ch[-1].chunk[-1] == n - 1 and ch[0].chunk[0] == 0
+
+
+def _py_trend3(first, last):
+    pct = (last - first) / first * 100 if first > 0 else 0.0
+    if abs(pct) < 5.0:
+        return "stable"
+    return "upward" if last > first else "downward"
+
+
+def _py_jump(xs):
+    return any(b < a * 0.5 or b > a * 2.0 for a, b in zip(xs, xs[1:]))
+
+
+pairs = st.tuples(st.floats(min_value=-10, max_value=1e5, allow_nan=False, allow_infinity=False),
+                  st.floats(min_value=0.01, max_value=1e5, allow_nan=False, allow_infinity=False))
+
+
+@SETTINGS
+@given(st.lists(pairs, min_size=1, max_size=30))
+def test_trend3_matches_rule(spark, rows):
+    from pricelab.functions.scalar import trend3
+
+    df = spark.createDataFrame(rows, "f double, l double")
+    got = [r.t for r in df.select(trend3("f", "l").alias("t")).collect()]
+    assert got == [_py_trend3(f, l) for f, l in rows]
+
+
+@SETTINGS
+@given(st.lists(prices, min_size=1, max_size=10))
+def test_jump_flag_matches_rule(spark, lists):
+    from pricelab.functions.scalar import unreliable_jump
+
+    df = spark.createDataFrame([(x,) for x in lists], "a array<double>")
+    got = [r.j for r in df.select(unreliable_jump("a").alias("j")).collect()]
+    assert got == [_py_jump(x) for x in lists]
