@@ -30,6 +30,7 @@ def main(argv: list[str]) -> int:
 
     from .session import prepare_session
 
+    existing = SparkSession.getActiveSession()
     builder = SparkSession.builder.appName(f"pricelab-{name}")
     if len(argv) > 4:
         builder = builder.master(argv[4])
@@ -40,7 +41,8 @@ def main(argv: list[str]) -> int:
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(out)
-    spark.stop()
+    if existing is None:  # stop only a session this run created
+        spark.stop()
     return 0
 
 

@@ -36,3 +36,12 @@ def test_query_matches_oracle_sf0001(spark, name):
         return sorted(out, key=repr)
 
     assert norm(s) == norm(d)
+
+
+def test_cli_lists_and_runs(spark, tmp_path, capsys):
+    from pricelab.__main__ import main
+
+    assert main(["--list"]) == 0
+    assert "pl_portfolio" in capsys.readouterr().out.split()
+    out = str(tmp_path / "portfolio")
+    assert main(["pl_portfolio", SF001, out, "json"]) == 0
