@@ -3,17 +3,20 @@
 A text is brought to a canonical form: lower case; copyright lines removed;
 punctuation to spaces; equivalent spellings to one; white space to one space.
 The sha256 of the whole form is joined with the digests of the known notices,
-and so is every line's (a passage between line breaks), because notices are
-mostly one line of a document. A line's own copyright statement is a line
+and so is every line's, because notices are mostly one line of a document; a
+notice listed under two licences counts as the one that sorts first. A line's own copyright statement is a line
 removed, so it names no licence.
 
-Null texts count as empty; an empty form matches nothing. Repeated rows are each
-reported. The table of known notices is fixed and small, so it is broadcast; a
+Null texts count as empty; an empty form matches nothing. Rows repeated with
+the same doc_id and form are one row of the result, their lines counted together. The table of known notices is fixed and small, so it is broadcast; a
 table given by the caller is joined as Spark decides.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,33 +37,40 @@ KNOWN = (
     ("MIT", "Licensed under the MIT License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
 )
-# FIXED VALUES: equivalent spellings, as patterns over the words of the canonical form.
+# FIXED VALUES: equivalent spellings, as (strings without which the pattern cannot match, pattern, common form).
 SPELLINGS = (
-    (r"\b(author|emphas|initial|maxim|optim|organ|real|recogn|util)is(e|ed|es|ing|ation|ations)\b", "$1iz$2"),
-    (r"\b(behavi|col|fav|hon|lab)our", "$1or"),
-    (r"\b(defen|licen|offen)ce", "$1se"),
-    (r"\b(calib|cent)re\b", "$1er"),
-    (r"\b(cancel|label|model|signal)l(ed|ing)\b", "$1$2"),
-    (r"\b(anal|catal)ogue", "$1og"),
-    (r"\b(acknowledg|judg)ement", "$1ment"),
-    (r"\bpractis(e|ed|es|ing)\b", "practic$1"),
+    (("authoris", "emphasis", "initialis", "maximis", "optimis", "organis", "realis", "recognis", "utilis"),
+     r"\b(author|emphas|initial|maxim|optim|organ|real|recogn|util)is(e|ed|es|ing|ation|ations)\b", "$1iz$2"),
+    (("behaviour", "colour", "favour", "honour", "labour"), r"\b(behavi|col|fav|hon|lab)our", "$1or"),
+    (("defence", "licence", "offence"), r"\b(defen|licen|offen)ce", "$1se"),
+    (("calibre", "centre"), r"\b(calib|cent)re\b", "$1er"),
+    (("cancell", "labell", "modell", "signall"), r"\b(cancel|label|model|signal)l(ed|ing)\b", "$1$2"),
+    (("analogue", "catalogue"), r"\b(anal|catal)ogue", "$1og"),
+    (("acknowledgement", "judgement"), r"\b(acknowledg|judg)ement", "$1ment"),
+    (("practis",), r"\bpractis(e|ed|es|ing)\b", "practic$1"),
 )
+COPYRIGHT_WORDS = ("copyright", "(c)", "©", "all rights reserved")
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}\n]+"
-ANY_SPELLING = "|".join(f"({p})" for p, _ in SPELLINGS)
+
+
+def holds(c: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(c, F.lit(p)) for p in parts])
 
 
 def with_form(df: DataFrame, text: Column, out: str) -> DataFrame:
     """``df`` with the canonical form of ``text``, line breaks kept; empty for null.
 
-    Two projections, so that the form is made once; only forms that hold one of the spellings pay for their replacement.
+    One projection for each step, so that a step's input is made once; a pattern is only run on texts that hold a
+    string which it needs.
     """
-    c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\r\n?", "\n")
-    c = F.regexp_replace(F.regexp_replace(c, COPYRIGHT_LINE, " "), OTHER, " ")
-    spelled = F.col(out)
-    for pattern, spelling in SPELLINGS:
-        spelled = F.regexp_replace(spelled, pattern, spelling)
-    return df.withColumn(out, c).withColumn(out, F.when(F.regexp_like(out, F.lit(ANY_SPELLING)), spelled).otherwise(F.col(out)))
+    c = F.col(out)
+    df = df.withColumn(out, F.lower(F.coalesce(text, F.lit(""))))
+    df = df.withColumn(out, F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c))
+    df = df.withColumn(out, F.when(holds(c, COPYRIGHT_WORDS), F.regexp_replace(c, COPYRIGHT_LINE, " ")).otherwise(c))
+    df = df.withColumn(out, F.regexp_replace(c, OTHER, " "))
+    spelled = reduce(lambda x, s: F.regexp_replace(x, s[1], s[2]), SPELLINGS, c)
+    return df.withColumn(out, F.when(holds(c, tuple(p for s in SPELLINGS for p in s[0])), spelled).otherwise(c))
 
 
 def one_line(form: Column) -> Column:
@@ -83,19 +93,22 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", do
     known = known_digests(docs.sparkSession) if fixed else known.select("license", "digest").distinct()
     hint = F.broadcast if fixed else (lambda x: x)
     rows = with_form(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), F.col("text"), "form").select("doc_id", "form")
-    whole = hint(known.groupBy("digest").agg(F.min("license").alias("license")))
-    out = rows.select("doc_id", digest(one_line(F.col("form"))).alias("digest")).join(whole, "digest", "left")
-    line = rows.select("doc_id", F.explode(F.split("form", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
-    lines = line.select("doc_id", digest(F.col("line")).alias("digest")).join(hint(known.select("digest", F.col("license").alias("found"))), "digest")
-    per_doc = lines.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("found")), ",").alias("line_licenses"), F.count("*").alias("n_lines"))
-    per_doc = per_doc.withColumnRenamed("doc_id", "d")
-    out = out.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return out.select("doc_id", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    lines = F.transform(F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != ""), digest)
+    rows = rows.select("doc_id", digest(one_line(F.col("form"))).alias("digest"), lines.alias("lines"))
+    # A row for the text and for each of its lines; only the text's and those that name a licence go on.
+    each = rows.select("doc_id", "digest", F.explode(F.concat(F.array(F.lit(None).cast("string")), "lines")).alias("line"))
+    each = each.withColumn("sought", F.coalesce("line", "digest"))
+    found = known.groupBy("digest").agg(F.min("license").alias("found")).withColumnRenamed("digest", "known")
+    each = each.join(hint(found), F.col("sought") == F.col("known"), "left").where("found is not null or line is null")
+    return each.groupBy("doc_id", "digest").agg(
+        F.max(F.when(F.col("line").isNull(), F.col("found"))).alias("license"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("line").isNotNull(), F.col("found")))), ",").alias("line_licenses"),
+        F.count("line").alias("n_lines"))
 
 
 def sql_forms(name: str, source: str) -> str:
     """A common table expression for checking: the rows of ``source`` (text in ``t``) with their canonical ``form``."""
     c = f"regexp_replace(lower(coalesce(t, '')), '\\r\\n?', chr(10), 'g')"
-    for pattern, by in ((COPYRIGHT_LINE, " "), (OTHER, " "), *((p, s.replace("$", "\\")) for p, s in SPELLINGS)):
+    for pattern, by in ((COPYRIGHT_LINE, " "), (OTHER, " "), *((p, by.replace("$", "\\")) for _, p, by in SPELLINGS)):
         c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
     return f"{name} AS (SELECT *, {c} AS form FROM ({source}))"

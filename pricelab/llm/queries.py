@@ -109,13 +109,13 @@ FROM q, cut
 ORACLE["op6_license_scan"] = f"""
 WITH {licenses.sql_forms("d", "SELECT doc_id, text AS t FROM documents")},
 {licenses.sql_forms("k", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in licenses.KNOWN) + ") AS v(license, t)")},
-known AS (SELECT DISTINCT license, sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) AS digest FROM k),
+known AS (SELECT min(license) AS license, sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) AS digest FROM k GROUP BY 2),
 lines AS (
   SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n_lines
   FROM (SELECT doc_id, trim(unnest(string_split(form, chr(10)))) AS line FROM d) AS x JOIN known ON digest = sha256(line) WHERE line <> '' GROUP BY doc_id
 )
-SELECT d.doc_id, sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) AS digest, license,
+SELECT d.doc_id, sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) AS digest, w.license,
        coalesce(line_licenses, '') AS line_licenses, coalesce(n_lines, 0) AS n_lines
-FROM d LEFT JOIN (SELECT digest, min(license) AS license FROM known GROUP BY digest) AS w ON digest = sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g')))
+FROM d LEFT JOIN known AS w ON digest = sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g')))
 LEFT JOIN lines ON lines.doc_id = d.doc_id
 """
