@@ -19,18 +19,20 @@ from __future__ import annotations
 import json
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000  # in each of three memos
+SLICE_BYTES = 1 << 20  # text turned into Python objects at a time
 LONG_WORD = 64  # bytes; longer words are merged by a heap
 ID = (1 << 24) - 1  # a merge is rank << 24 | new id
 NEVER = 1 << 60
@@ -229,27 +231,42 @@ def _slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str
         yield run
 
 
-def encode(text: Column, path: str | None = None) -> Column:
-    """Token ids of ``text`` as binary (little-endian unsigned 32-bit integers); null gives no ids."""
+def _passed(df: DataFrame, out: list[tuple[str, str]], made: Callable[[pa.RecordBatch], list[pa.Array]], text: str) -> DataFrame:
+    """``df`` with columns made from slices of its batches; only one slice at a time is Python objects."""
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in out)])
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = np.flatnonzero(np.diff(np.cumsum(size) // SLICE_BYTES, prepend=0)).tolist()
+            for begin, end in zip([0, *cut], [*cut, len(size)]):
+                if end > begin:
+                    part = batch.slice(begin, end - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made(part)], [*batch.schema.names, *(n for n, _ in out)])
+
+    return df.mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str | None = None) -> DataFrame:
+    """``df`` with the token ids of ``text`` (binary, little-endian unsigned 32-bit integers), and with their decoded text if ``decoded`` names a column."""
     path = path or default_path()
+    k = df.columns.index(text)
 
-    @F.pandas_udf("binary")
-    def bpe_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
         c = codec(path)
-        for s in batches:
-            yield pd.Series([x for run in _slices([t or "" for t in s]) for x in c.encode(run)], dtype=object)
+        got = c.encode([t or "" for t in batch.column(k).to_pylist()])
+        return [pa.array(got, pa.binary())] + ([pa.array([c.decode(x) for x in got], pa.string())] if decoded else [])
 
-    return bpe_encode(text)
+    return _passed(df, [(ids, "binary"), *([(decoded, "string")] if decoded else [])], made, text)
 
 
-def decode(ids: Column, path: str | None = None) -> Column:
-    """The text of ``ids`` (binary as ``encode`` gives it), special tokens kept; null gives an empty text."""
+def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
+    """``df`` with the text of ``ids`` (as ``encode`` gives them), special tokens kept; null gives an empty text."""
     path = path or default_path()
+    k = df.columns.index(ids)
 
-    @F.pandas_udf("string")
-    def bpe_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path)
-        for s in batches:
-            yield pd.Series([c.decode(x or b"") for x in s], dtype=object)
+    def made(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([codec(path).decode(x or b"") for x in batch.column(k).to_pylist()], pa.string())]
 
-    return bpe_decode(ids)
+    return _passed(df, [(text, "string")], made, ids)

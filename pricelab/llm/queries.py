@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, licenses, mixing, topk, toxicity
+from . import bpe, exactdedup, htmltext, langid, licenses, mixing, neardup, topk, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,12 +21,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    both = docs.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ids="ids", decoded="decoded")
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.decide(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), out="found")
@@ -119,3 +128,9 @@ SELECT d.doc_id, sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) AS dige
 FROM d LEFT JOIN known AS w ON digest = sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g')))
 LEFT JOIN lines ON lines.doc_id = d.doc_id
 """
+
+ORACLE["op1_exact_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
