@@ -60,8 +60,10 @@ def owner_bounds(owners: int, bits: int) -> np.ndarray:
     return np.array([-(-(k << bits) // owners) for k in range(owners)], np.uint64)
 
 
-def shared(prints: DataFrame, total: int, bits: int = 56, owner_share: int = OWNER_SHARE) -> DataFrame:
-    """(block, answer): one row a block with one entry (owner, n, bits) for each list that it sent, in order.
+def shared(prints: DataFrame, total: int, bits: int = 56, owner_share: int = OWNER_SHARE, hot: int = 1 << 30) -> DataFrame:
+    """(block, answer): one row a block with one entry (owner, n, bits, hot) for each list that it sent, in order.
+
+    ``bits`` marks the fingerprints of more than one list, ``hot`` those of ``hot`` lists or more.
 
     ``prints``: (block, prints), a block's distinct uint64 fingerprints, sorted. ``total``: about how many there are in all.
     """
@@ -91,22 +93,27 @@ def shared(prints: DataFrame, total: int, bits: int = 56, owner_share: int = OWN
         mark = np.zeros(len(v), np.uint8)
         mark[order[1:][same]] = 1
         mark[order[:-1][same]] = 1
+        first = np.flatnonzero(np.r_[True, ~same])
+        often = np.diff(np.append(first, len(v)))
+        many = np.zeros(len(v), np.uint8)
+        many[order] = np.repeat(often >= hot, often)
         ends = np.cumsum(pdf["n"].to_numpy())
-        bit = [np.packbits(mark[e - n : e]).tobytes() for e, n in zip(ends, pdf["n"])]
-        return pd.DataFrame({"block": pdf["block"], "owner": pdf["owner"], "n": pdf["n"], "bits": bit})
+        cut = [slice(e - n, e) for e, n in zip(ends, pdf["n"])]
+        return pd.DataFrame({"block": pdf["block"], "owner": pdf["owner"], "n": pdf["n"], "bits": [np.packbits(mark[c]).tobytes() for c in cut],
+                             "hot": [np.packbits(many[c]).tobytes() if many[c].any() else None for c in cut]})
 
     lists = prints.select("block", "prints").mapInArrow(send, "owner int, block long, n int, k int, code binary")
-    marks = lists.groupBy("owner").applyInPandas(answer, "block long, owner int, n int, bits binary")
-    return marks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("owner", "n", "bits"))).alias("answer"))
+    marks = lists.groupBy("owner").applyInPandas(answer, "block long, owner int, n int, bits binary, hot binary")
+    return marks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("owner", "n", "bits", "hot"))).alias("answer"))
 
 
-def marked(answer) -> np.ndarray:
+def marked(answer, field: str = "bits") -> np.ndarray:
     """One boolean for each fingerprint of the block, in their order."""
-    parts = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in answer or ()]
+    parts = [np.unpackbits(np.frombuffer(a[field], np.uint8), count=a["n"]) if a[field] else np.zeros(a["n"], np.uint8) for a in answer or ()]
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: DataFrame, name: str = "answer") -> DataFrame:
     """Each block with its answer; the small side is hashed, the blocks are not sorted."""
-    answers = answers.select(F.col("block").alias("to_block"), "answer").hint("shuffle_hash")
+    answers = answers.select(F.col("block").alias("to_block"), F.col("answer").alias(name)).hint("shuffle_hash")
     return blocks.join(answers, F.col("block") == F.col("to_block"), "left").drop("to_block")

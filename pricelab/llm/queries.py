@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, htmltext, langid, licenses, mixing, neardup, topk, toxicity
+from . import bpe, exactdedup, htmltext, langid, licenses, mixing, neardup, substring, topk, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op9_exact_topk"] = """
 WITH ok AS (
   SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
