@@ -10,7 +10,7 @@ each, weighted back to the labels' frequencies. Broadcast is only the fitted
 table folded with the softmax: one number for each bucket.
 
 Whole texts are scored. Null texts and texts without words get the labels'
-base rate; if nothing could be learnt every score is 0.
+base rate, as all texts do if the labels are all alike; without labels it is 0.
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ class Model:
 
     def __init__(self, value: np.ndarray, bias: float, base: float):
         self.value, self.bias, self.base = value, bias, base
+        self.taught = bool(value.any())
         self.memo: dict[str, int] = {}
         self.words = np.empty((0, 2))  # sum of values, number of n-grams
 
@@ -80,7 +81,7 @@ class Model:
             self.words = np.vstack([self.words, got])
         get, out = self.memo.__getitem__, []
         for ws in words:
-            if not ws:
+            if not ws or not self.taught:
                 out.append(self.base)
                 continue
             total, n = self.words[list(map(get, ws))].sum(0)
