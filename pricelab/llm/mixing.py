@@ -5,9 +5,10 @@ times all words, at most ``repeats`` times its own size, what is over being
 shared again by weight among the others (water-filling on the table of
 sources). Documents of a source are queued in a shuffled order (md5 of seed and
 doc_id), as often over as the target needs. A copy's virtual finish time is the
-source's running word count up to it divided by the source's target; all queues
+source's running word count, up to the copy's middle, divided by the source's target; all queues
 are served in the order of that time, and the mix is cut where its running
-count reaches the budget.
+count, to the middle again, reaches the budget. (Counted to their ends, copies across the border
+would all stay out, and the sources of short documents would get what those leave.)
 
 Both running counts are sums over ranges of the order key, then over the rows of
 one range, so neither a hot source nor the whole table is ever one task's. The
@@ -95,13 +96,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     rows = stored(rows.drop("shuffle"), "queues")
 
     def finish(turn: Column) -> Column:
-        return F.try_divide((F.col("upto") + turn * F.col("source_size")).cast("double"), F.col("target"))
+        return F.try_divide(F.col("upto") + turn * F.col("source_size") - F.col("size") / 2, F.col("target"))
 
     turns = rows.where(F.col("size") > 0).select("source", "doc_id", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), finish)).alias("finish"))
     # A source's target is at most ``repeats`` times its size, so its last copy finishes by ``repeats`` times the longest time.
     last = turns.agg(F.max("finish").alias("f")).collect()[0]["f"] or 1.0
     served = running(turns, [], ["finish", "source", "doc_id"], "size", "served", repeats * ranges, F.floor(F.col("finish") / last * repeats * ranges))
-    cut = served.where(F.col("served") <= total).agg(F.max("finish").alias("f")).collect()[0]["f"] or 0.0
+    cut = served.where(F.col("served") - F.col("size") / 2 <= total).agg(F.max("finish").alias("f")).collect()[0]["f"] or 0.0
     copies = sum(((F.col("size") > 0) & F.coalesce(finish(F.lit(k)) <= cut, F.lit(False))).cast("int") for k in range(repeats))
     out = rows.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")

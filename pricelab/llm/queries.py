@@ -109,14 +109,14 @@ WITH d AS (
                          ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), turns AS (
-  SELECT doc_id, source, size, CAST(upto + r * source_size AS DOUBLE) / target AS finish FROM q, (VALUES (0), (1)) AS x(r) WHERE size > 0
+  SELECT doc_id, source, size, (upto + r * source_size - size / 2) / target AS finish FROM q, (VALUES (0), (1)) AS x(r) WHERE size > 0
 ), served AS (
-  SELECT finish, sum(size) OVER (ORDER BY finish, source, doc_id ROWS UNBOUNDED PRECEDING) AS served FROM turns
+  SELECT finish, sum(size) OVER (ORDER BY finish, source, doc_id ROWS UNBOUNDED PRECEDING) - size / 2 AS served FROM turns
 ), cut AS (
   SELECT max(finish) AS f FROM served WHERE served <= 1.5 * (SELECT sum(size) FROM d)
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
-       CAST(CASE WHEN size > 0 THEN size * ((CAST(upto AS DOUBLE) / target <= f)::INT + (CAST(upto + source_size AS DOUBLE) / target <= f)::INT) ELSE 0 END AS BIGINT) AS taken
+       CAST(CASE WHEN size > 0 THEN size * (((upto - size / 2) / target <= f)::INT + ((upto + source_size - size / 2) / target <= f)::INT) ELSE 0 END AS BIGINT) AS taken
 FROM q, cut
 """
 
