@@ -14,8 +14,8 @@ from .text import col, lit_or_col
 
 
 def ticker_from_url(url) -> Column:
-    """Last non-empty part of the URL path (query string and fragment ignored)."""
-    path = F.coalesce(F.call_function("parse_url", col(url), F.lit("PATH")), F.lit(""))
+    """Last non-empty part of the URL path (query string and fragment ignored); NULL for what is no URL."""
+    path = F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit(""))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     return F.try_element_at(parts, F.lit(-1))
 

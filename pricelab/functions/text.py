@@ -43,7 +43,20 @@ def price_list_text(arr) -> Column:
 
 def py_list_text(arr) -> Column:
     """``str(list_of_floats)``: ``[1.5, 2.0]`` (shortest round-trip digits)."""
-    return F.concat(F.lit("["), F.array_join(F.transform(col(arr), lambda x: x.cast("string")), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(col(arr), py_float_text), ", "), F.lit("]"))
+
+
+def py_float_text(x: Column) -> Column:
+    """``repr(float)``: plain digits from 1e-4 up to 1e16, where the JVM writes an exponent below 1e-3 and from 1e7 on."""
+    s = x.cast("string")
+    plain = F.regexp_replace(x.cast("string").try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    parts = F.split(s, "E")
+    power = F.try_element_at(parts, F.lit(2)).try_cast("int")
+    far = F.concat(F.regexp_replace(F.try_element_at(parts, F.lit(1)), r"\.0$", ""), F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                   F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return (F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf"))
+            .when(~F.contains(s, F.lit("E")), s)
+            .when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), plain).otherwise(far))
 
 
 def placeholders(template: str) -> list[str]:

@@ -79,6 +79,7 @@ def one_shot_example(ctx, h, example_len: int = 60) -> tuple[Column, Column]:
     hh = h if isinstance(h, Column) else F.lit(h)
     end = F.size(a) - hh
     ok = end >= example_len
-    ex_ctx = F.when(ok, F.slice(a, end - example_len + 1, F.lit(example_len)))
-    ex_tgt = F.when(ok, F.slice(a, end + 1, hh))
+    # starts are clamped: a slice may be evaluated before the condition around it
+    ex_ctx = F.when(ok, F.slice(a, F.greatest(end - example_len + 1, F.lit(1)), F.lit(example_len)))
+    ex_tgt = F.when(ok, F.slice(a, F.greatest(end + 1, F.lit(1)), F.greatest(hh, F.lit(0))))
     return ex_ctx, ex_tgt

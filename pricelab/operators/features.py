@@ -186,6 +186,13 @@ def series_arrays(prices: DataFrame, value: str = "close", keys=("ticker",), wit
     return out.select(*keys, *cols)
 
 
+def last_n(arr, n) -> Column:
+    """The last ``n`` elements of an array, all of a shorter one."""
+    a = F.col(arr) if isinstance(arr, str) else arr
+    nn = n if isinstance(n, Column) else F.lit(n)
+    return F.slice(a, F.greatest(F.size(a) - nn + 1, F.lit(1)), nn)
+
+
 def distinct_tickers(df: DataFrame, col: str = "ticker") -> DataFrame:
     return df.select(col).distinct()
 

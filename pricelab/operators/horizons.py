@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import col
 
-MAX_BROADCAST_ROWS = 10_000
-
 
 def horizon_table(spark, horizons=K.SERVING_HORIZONS) -> DataFrame:
     return spark.createDataFrame([(p, c) for p, c in horizons], "pred_days int, context_days int")
@@ -35,24 +33,25 @@ def resolve_horizon(requests: DataFrame, table: DataFrame | None = None, days: s
     """Adds ``model_days`` and ``context_days`` to each request.
 
     With no ``table`` the fixed serving table is inlined as a CASE chain (no
-    join at all). With a table DataFrame it is a forward non-equi join against
-    the table, broadcast only after checking that the table is small
-    (``MAX_BROADCAST_ROWS``), then ``min_by`` per request.
+    join at all). With a table DataFrame the distinct requested days are put
+    among the table's, and each takes the nearest entry from its day on (a
+    running ``first`` from above); the requests join the answer on their days.
+    The ordered part holds distinct whole days only, however many requests there are.
     """
     if table is None:
         m, c = resolve_horizon_expr(days, fallback=fallback)
         return requests.withColumn("model_days", m).withColumn("context_days", c)
-    n = table.count()
-    if n > MAX_BROADCAST_ROWS:
-        raise ValueError(f"horizon table has {n} rows; expected a small lookup table")
-    t = F.broadcast(table.select(F.col("pred_days").alias("_p"), F.col("context_days").alias("_c")))
-    j = requests.join(t, F.col("_p") >= F.col(days), "left")
-    # smallest qualifying entry per request: at most len(table) rows per key (WindowGroupLimit)
-    w = Window.partitionBy(key).orderBy(F.col("_p").asc_nulls_last())
-    best = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-    return (best.withColumn("model_days", F.coalesce(F.col("_p"), F.col(days)).cast("int"))
-            .withColumn("context_days", F.coalesce(F.col("_c"), F.lit(fallback)).cast("int"))
-            .drop("_p", "_c", "_rn"))
+    entries = table.groupBy(F.col("pred_days").cast("int").alias("_d")).agg(F.min("context_days").alias("_c"))
+    asked = requests.select(F.col(days).cast("int").alias("_d")).where(F.col(days).isNotNull()).distinct()
+    above = Window.orderBy(F.col("_d").desc(), F.col("_c").isNull().asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = entries.select("_d", "_c", F.col("_d").alias("_p")).unionByName(
+        asked.select("_d", F.lit(None).cast("int").alias("_c"), F.lit(None).cast("int").alias("_p")))
+    found = both.select("_d", "_p", F.last("_c", ignorenulls=True).over(above).alias("_ctx"), F.last("_p", ignorenulls=True).over(above).alias("_model"))
+    found = found.where(F.col("_p").isNull()).select("_d", "_ctx", "_model")
+    j = requests.join(found, F.col(days).cast("int") == F.col("_d"), "left")
+    return (j.withColumn("model_days", F.coalesce(F.col("_model"), F.col(days)).cast("int"))
+            .withColumn("context_days", F.coalesce(F.col("_ctx"), F.lit(fallback)).cast("int"))
+            .drop("_d", "_ctx", "_model"))
 
 
 def validate_requests(requests: DataFrame, days: str = "prediction_days") -> DataFrame:

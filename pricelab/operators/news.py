@@ -40,15 +40,19 @@ def cap_per_group(df: DataFrame, keys, cap: int, order=None) -> DataFrame:
 
 
 def select_news(headlines: DataFrame, asof=None, days: int = K.NEWS_LOOKBACK_DAYS, lang: str = "en",
-                cap: int = K.NEWS_CAP, bounded: bool = True, keys=("ticker",)) -> DataFrame:
-    """Language filter + look-back + non-blank + top ``cap`` by relevancy per key.
+                cap: int | None = K.NEWS_CAP, bounded: bool = True, keys=("ticker",), skip_blank: bool = True) -> DataFrame:
+    """Language filter + look-back + top ``cap`` by relevancy per key, then without blank titles.
 
-    ``asof`` may be a Column present on ``headlines`` (per-ticker as-of).
+    A blank title counts against the cap, as an article of the provider's page
+    does; ``skip_blank=False`` keeps it. ``asof`` may be a Column present on
+    ``headlines`` (as-of per ticker); ``cap=None`` takes all.
     """
     h = headlines.where(F.col("lang") == lang) if lang else headlines
     if asof is not None:
         h = lookback(h, asof, days, bounded)
-    return cap_per_group(non_blank(h), list(keys), cap)
+    if cap is not None:
+        h = cap_per_group(h, list(keys), cap)
+    return non_blank(h) if skip_blank else h
 
 
 def union_headlines(a: DataFrame, b: DataFrame, keys=("ticker", "title")) -> DataFrame:
@@ -152,30 +156,58 @@ def quota_news(headlines: DataFrame, quota: Column, max_quota: int) -> DataFrame
 
 
 def news_match(headlines: DataFrame, companies: DataFrame) -> DataFrame:
-    """``"<company>" OR <ticker>`` search over un-keyed headlines.
+    """``"<company>" OR <ticker>`` of headlines that carry a candidate ticker: adds ``matched``.
 
     ``companies(ticker, name)`` is joined on the candidate ticker: a headline
     matches when its title contains the company name (case-insensitive) or the
-    ticker as a whole word.
+    ticker as a word of its own.
     """
     name = F.lower(F.coalesce(F.col("name"), F.col("ticker")))
     j = headlines.join(companies, "ticker", "left")
-    word = F.concat(F.lit(r"(^|\W)"), F.col("ticker"), F.lit(r"($|\W)"))
-    hit = F.contains(F.lower("title"), name) | F.regexp(F.col("title"), word)
+    hit = F.contains(F.lower("title"), name) | F.array_contains(title_words("title"), F.col("ticker"))
     return j.withColumn("matched", F.coalesce(hit, F.lit(False)))
 
 
-def headline_block(labelled: DataFrame, label: str = "_lab") -> DataFrame:
-    """``(ticker, n_headlines, headline_block)``: bulleted ``'<title>' (Sentiment: X, Score: 0.93)`` lines.
+def title_words(title) -> Column:
+    """The words of a title as they stand: runs of letters, digits and the signs inside tickers (``BRK.B``, ``^GSPC``).
+
+    A sentence's last full stop and other outer signs are no part of a word.
+    """
+    words = F.regexp_extract_all(F.col(title) if isinstance(title, str) else title, F.lit(r"\^?[\p{L}\p{N}_]+(?:[.\-=][\p{L}\p{N}_]+)*"), 0)
+    parts = F.regexp_extract_all(F.col(title) if isinstance(title, str) else title, F.lit(r"[\p{L}\p{N}_]+"), 0)
+    return F.array_union(words, parts)
+
+
+def news_search(headlines: DataFrame, companies: DataFrame) -> DataFrame:
+    """``"<company>" OR <ticker>`` over headlines without a ticker: one row for each headline and company found.
+
+    Two equi-joins, no pattern is built from data: the ticker is one of the
+    title's words; the company's first word is one of the title's (lower-cased)
+    and the title contains the whole name. ``companies(ticker, name)``.
+    """
+    h = headlines.drop("ticker").withColumn("_id", F.xxhash64(*[F.col(c).cast("string") for c in headlines.columns if c != "ticker"]))
+    c = companies.select("ticker", F.lower(F.coalesce("name", "ticker")).alias("_name")).distinct()
+    by_ticker = h.withColumn("_w", F.explode(F.array_distinct(title_words("title")))).join(
+        c.select("ticker", F.col("ticker").alias("_w")), "_w").drop("_w")
+    first = F.try_element_at(F.regexp_extract_all("_name", F.lit(r"[\p{L}\p{N}_]+"), 0), F.lit(1))
+    lower = F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    by_name = h.withColumn("_w", F.explode(F.array_distinct(lower))).join(c.withColumn("_w", first), "_w").where(
+        F.contains(F.lower("title"), F.col("_name"))).drop("_w", "_name")
+    both = by_ticker.unionByName(by_name)
+    return both.dropDuplicates(["_id", "ticker"]).drop("_id")
+
+
+def headline_block(labelled: DataFrame, label: str = "_lab", keys=("ticker",)) -> DataFrame:
+    """``(keys.., n_headlines, headline_block)``: bulleted ``'<title>' (Sentiment: X, Score: 0.93)`` lines.
 
     ``label`` is a ``struct<label, score>`` column. Lines are sorted by (date,
-    title); the list per ticker is bounded by the selection caps upstream.
+    title); a block is one prompt, so its list is as long as the selection upstream lets it be.
     """
     from ..functions.text import fmt2, render
 
     line = render(K.HEADLINE_LINE, title="title", label=F.initcap(F.col(f"{label}.label")),
                   score=fmt2(F.col(f"{label}.score")))
-    lines = labelled.select("ticker", "date", "title", F.concat(F.lit("- "), line).alias("line"))
-    agg = lines.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "title", "line"))).alias("_l"))
-    return agg.select("ticker", F.size("_l").cast("bigint").alias("n_headlines"),
+    lines = labelled.select(*keys, "date", "title", F.concat(F.lit("- "), line).alias("line"))
+    agg = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "title", "line"))).alias("_l"))
+    return agg.select(*keys, F.size("_l").cast("bigint").alias("n_headlines"),
                       F.array_join(F.col("_l.line"), "\n").alias("headline_block"))

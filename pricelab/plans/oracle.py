@@ -46,13 +46,15 @@ FROM (
   FROM documents)""")
 
 cte("requests", ("bars",), """
-SELECT request_id,
+SELECT id + more AS request_id,
        'https://quotes.example.com/quote/' || ticker ||
-         CASE request_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/' ELSE '?p=x' END AS url,
-       CAST(1 + (request_id * 13) % 95 AS INTEGER) AS prediction_days
-FROM (SELECT DISTINCT ticker, CAST(substr(ticker, 2) AS BIGINT) AS request_id FROM bars)
+         CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '/' ELSE '?p=x' END AS url,
+       CAST(1 + (id * 13 + more) % 95 AS INTEGER) AS prediction_days
+FROM (SELECT DISTINCT ticker, CAST(substr(ticker, 2) AS BIGINT) AS id FROM bars), (VALUES (0), (1017)) AS x(more)
+UNION ALL
+SELECT 0, 'https://quotes.example.com/quote/NOSUCH', 5
 UNION ALL
-SELECT 0, 'https://quotes.example.com/quote/NOSUCH', 5""")
+SELECT 5000, 'https://quotes.example.com/quote/BAD TICKER|x', 5""")
 
 
 def _ingest_sql(src: str, months: int | None) -> str:
@@ -218,7 +220,8 @@ def drift_list_sql(last: str, k: str) -> str:
             f"(CAST(1.0 AS DOUBLE) + CAST(0.01 AS DOUBLE) * (((j * 7) % 5) - 2))))")
 
 
-cte("rq", ("requests",), f"SELECT *, {TICKER_SQL} AS ticker FROM requests")
+# a URL with a blank or a bar is none: no ticker
+cte("rq", ("requests",), f"SELECT *, CASE WHEN NOT regexp_matches(url, '[ |]') THEN {TICKER_SQL} END AS ticker FROM requests")
 
 cte("responses", ("rq", "series5y"), f"""
 SELECT request_id,

@@ -24,9 +24,9 @@ from ..functions.text import fmt2, parse_prices, price_list_text, py_list_text,
 from ..operators import backtest as BT
 from ..operators import models as M
 from ..operators.corpus import array_moments, corpus_counts, filter_context, split_corpus, ts_corpus
-from ..operators.features import ingest, overlap_chunks, prices_for, series_arrays
+from ..operators.features import ingest, last_n, overlap_chunks, prices_for, series_arrays
 from ..operators.horizons import resolve_horizon, validate_requests
-from ..operators.news import (headline_block, next_day_change, quota_by_level, quota_news, select_news, union_headlines,
+from ..operators.news import (headline_block, next_day_change, non_blank, quota_by_level, quota_news, select_news, union_headlines,
                               volatility_levels)
 from ..operators.portfolio import annual_volatility, interleave, select_portfolio
 
@@ -91,7 +91,7 @@ def pl_sentiment_corpus(bars: DataFrame, headlines: DataFrame, portfolio: DataFr
         order = order.join(done.select("ticker").distinct(), "ticker", "left_anti")
     prices = ingest(bars, price_period, asof).join(order, "ticker", "left_semi")
     h = headlines.join(order, "ticker", "inner")
-    h = select_news(h, asof=_asof_col(bars, asof), days=news_days, lang="en", cap=news_cap, bounded=False)
+    h = select_news(h, asof=_asof_col(bars, asof), days=news_days, lang="en", cap=news_cap, bounded=False, skip_blank=False)
     j = next_day_change(h, prices)
     j = j.withColumn("_prompt", render(K.LABEL_PROMPT, headline=F.coalesce("title", F.lit("None"))))
     j = M.generate(M.spread(j), "_prompt", "_answer", scorer)
@@ -186,27 +186,28 @@ def fold_sql_chunk_summarizer(chunks: Column, init: str = K.INITIAL_SUMMARY) ->
 # ---------------------------------------------------------------------------
 
 
-def _tail(arr: Column, n) -> Column:
-    nn = n if isinstance(n, Column) else F.lit(n)
-    return F.slice(arr, F.greatest(F.size(arr) - nn + 1, F.lit(1)), nn)
-
-
 def _headline_blocks(headlines: DataFrame, asof_by_ticker: DataFrame, classifier: Callable,
-                     days: int = K.NEWS_LOOKBACK_DAYS, cap: int = K.NEWS_CAP, bounded: bool = True) -> DataFrame:
-    """``(ticker, n_headlines, headline_block)`` for the tickers in ``asof_by_ticker(ticker, asof)``.
-
-    Two sources (``documents`` = search API, ``pages`` = quote-page feed), each
-    look-back filtered and capped, unioned and de-duplicated by title, labelled by
-    the classifier, and joined into one bulleted block sorted by (date, title).
+                     days: int = K.NEWS_LOOKBACK_DAYS, cap: int = K.NEWS_CAP, bounded: bool = True,
+                     feed_bounded: bool = False) -> DataFrame:
+    """``(ticker, asof, n_headlines, headline_block)`` for every row of ``asof_by_ticker(ticker, asof)``.
+
+    Two sources: ``documents`` (search API) is look-back filtered and capped;
+    of ``pages`` (quote-page feed) every item is taken, for a backtest up to the
+    as-of date (``feed_bounded``). Unioned and de-duplicated by title, labelled
+    by the classifier, and joined into one bulleted block sorted by (date, title).
+    Everything is keyed by (ticker, as-of), so two requests of one ticker see
+    each its own news.
     """
+    keys = ("ticker", "asof")
     h = headlines.join(asof_by_ticker, "ticker", "inner")
     a = select_news(h.where(F.col("source") == "documents"), asof=F.col("asof"), days=days, lang="en",
-                    cap=cap, bounded=bounded)
-    b = select_news(h.where(F.col("source") == "pages"), asof=F.col("asof"), days=days, lang=None,
-                    cap=cap, bounded=bounded)
-    u = union_headlines(a.select("ticker", "title", "published_at", "date"),
-                        b.select("ticker", "title", "published_at", "date"))
-    return headline_block(M.classify(M.spread(u), "title", "_lab", classifier))
+                    cap=cap, bounded=bounded, keys=keys)
+    b = non_blank(h.where(F.col("source") == "pages"))
+    if feed_bounded:
+        b = b.where(F.col("date") <= F.col("asof"))
+    u = union_headlines(a.select(*keys, "title", "published_at", "date"),
+                        b.select(*keys, "title", "published_at", "date"), keys=(*keys, "title"))
+    return headline_block(M.classify(M.spread(u), "title", "_lab", classifier), keys=keys)
 
 
 def _sentiment_summary(df: DataFrame, writer: Callable) -> DataFrame:
@@ -249,7 +250,7 @@ def _forecast(df: DataFrame, ctx: str, last_price: str, summarizer, forecaster)
     summ = ordered_fold(chunks, "request_id", "chunk_no", "chunk_text", summarizer)
     df = df.join(summ, "request_id", "left").withColumn(
         "summary", summary_trim(F.coalesce("summary", F.lit(K.INITIAL_SUMMARY))))
-    final = _tail(F.col(ctx), K.FINAL_CONTEXT_ROWS)
+    final = last_n(F.col(ctx), K.FINAL_CONTEXT_ROWS)
     df = df.withColumn("_final", final)
     mean, std = array_moments(F.col("_final"))
     df = (df.withColumn("_mean", mean).withColumn("_std", std)
@@ -279,13 +280,13 @@ def pl_analyze(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
     failed = df.where(F.col("error_message").isNotNull())
     ok = (df.where(F.col("error_message").isNull())
           .withColumn("last_actual_price", F.try_element_at("closes", F.lit(-1)))
-          .withColumn("ctx", _tail(F.col("closes"), F.col("context_days"))))
+          .withColumn("ctx", last_n(F.col("closes"), F.col("context_days"))))
     ok = _materialize(_forecast(ok, "ctx", "last_actual_price", summarizer, forecaster).drop("closes", "dates"))
     bad_fc = ok.where(F.col("error_message").isNotNull())
     good = ok.where(F.col("error_message").isNull())
     blocks = _headline_blocks(headlines, good.select("ticker", F.col("last_date").alias("asof")).distinct(),
                               classifier)
-    good = good.join(blocks, "ticker", "left")
+    good = good.join(blocks.withColumnRenamed("asof", "last_date"), ["ticker", "last_date"], "left")
     good = _sentiment_summary(good, writer)
     warning = F.when(F.col("is_unreliable"), F.lit(K.UNRELIABLE_WARNING)).otherwise(F.lit(""))
     good = good.withColumn("_rp", render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=warning,
@@ -339,8 +340,8 @@ def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
         good = good.withColumn(name, c)
     good = good.withColumn("directional_accuracy", BT.directional_accuracy("_pairs"))
     blocks = _headline_blocks(headlines, good.select("ticker", F.col("last_context_date").alias("asof")).distinct(),
-                              classifier, bounded=not allow_lookahead)
-    good = good.join(blocks, "ticker", "left")
+                              classifier, bounded=not allow_lookahead, feed_bounded=not allow_lookahead)
+    good = good.join(blocks.withColumnRenamed("asof", "last_context_date"), ["ticker", "last_context_date"], "left")
     good = _sentiment_summary(good, writer)
     good = good.withColumn("_rp", render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=F.lit(""),
                                          last_price=fmt2("last_price_in_context"),

@@ -301,13 +301,13 @@ def q_wn_holdout_split(spark, sf):
 
 
 @register("wn_one_shot_example", """
-SELECT ticker, """ + list_text_sql("closes[len(closes) - 10 - 59 : len(closes) - 10]") + """ AS example_context,
-       """ + list_text_sql("closes[len(closes) - 9 : len(closes)]") + """ AS example_target
+SELECT ticker, CASE WHEN len(closes) - 10 >= 60 THEN """ + list_text_sql("closes[len(closes) - 10 - 59 : len(closes) - 10]") + """ END AS example_context,
+       CASE WHEN len(closes) - 10 >= 60 THEN """ + list_text_sql("closes[len(closes) - 9 : len(closes)]") + """ END AS example_target
 FROM (SELECT ticker, closes[1 : len(closes) - 10] AS closes FROM series5y)""", ("series5y",))
 def q_wn_one_shot_example(spark, sf):
     from ..operators.backtest import one_shot_example
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
-    s = s.select("ticker", F.slice("closes", F.lit(1), F.size("closes") - 10).alias("ctx"))
+    s = s.select("ticker", F.slice("closes", F.lit(1), F.greatest(F.size("closes") - 10, F.lit(0))).alias("ctx"))
     ex_c, ex_t = one_shot_example(F.col("ctx"), 10)
     return s.select("ticker", price_list_text(ex_c).alias("example_context"),
                     price_list_text(ex_t).alias("example_target"))

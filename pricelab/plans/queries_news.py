@@ -188,7 +188,8 @@ SELECT ticker, arg_min(lower(split_part(title, ' ', 1)), (relevancy, source)) AS
 @register("prj_news_query", r"""
 SELECT h.ticker, h.source, h.relevancy,
        coalesce(contains(lower(h.title), lower(coalesce(c.name, h.ticker)))
-                OR regexp_matches(h.title, '(^|\W)' || h.ticker || '($|\W)'), false) AS matched
+                OR list_contains(regexp_extract_all(h.title, '\^?[\p{L}\p{N}_]+(?:[.\-=][\p{L}\p{N}_]+)*'), h.ticker)
+                OR list_contains(regexp_extract_all(h.title, '[\p{L}\p{N}_]+'), h.ticker), false) AS matched
 FROM headlines h LEFT JOIN companies c ON h.ticker = c.ticker""", ("headlines", "companies"))
 def q_prj_news_query(spark, sf):
     h = Ctx(spark, sf).headlines()
@@ -232,8 +233,8 @@ SELECT ticker, CAST(count(*) AS BIGINT) AS n_headlines,
        string_agg(line, chr(10) ORDER BY date, title, line) AS headline_block
 FROM (SELECT ticker, date, title, {_LINE_SQL} AS line FROM (
         SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY relevancy, title) AS rn FROM headlines
-        WHERE lang = 'en' AND date >= {ASOF_SQL} - 5 AND date <= {ASOF_SQL} AND title IS NOT NULL AND title <> '')
-      WHERE rn <= 20)
+        WHERE lang = 'en' AND date >= {ASOF_SQL} - 5 AND date <= {ASOF_SQL})
+      WHERE rn <= 20 AND title IS NOT NULL AND title <> '')
 GROUP BY ticker""", ("headlines", "bars"))
 def q_ag_collect_headlines(spark, sf):
     c = Ctx(spark, sf)
@@ -337,7 +338,7 @@ FROM (SELECT h.ticker, o.order_no, h.date, h.relevancy, h.title,
              (CASE WHEN n.close <> 0 THEN n.next_close / n.close END - 1) * 100 AS chg
       FROM (SELECT *, {_H_SQL} AS hh FROM (
               SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY relevancy, title) AS rn FROM headlines
-              WHERE lang = 'en' AND date >= {ASOF_SQL} - 30 AND title IS NOT NULL AND title <> '')
+              WHERE lang = 'en' AND date >= {ASOF_SQL} - 30)
             WHERE rn <= 100) h
       JOIN order3 o ON h.ticker = o.ticker
       JOIN next3mo n ON h.ticker = n.ticker AND h.date = n.date
@@ -351,10 +352,10 @@ def q_pl_sentiment_corpus(spark, sf):
 
 
 @register("sc_summary_trim", """
-SELECT ticker, relevancy,
+SELECT ticker, source, relevancy,
        CASE WHEN strpos(title, ',') > 0
             THEN regexp_replace(substr(title, strpos(title, ',') + 1), '^\\s+|\\s+$', '', 'g') ELSE title END AS trimmed
-FROM headlines WHERE source = 'documents'""", ("headlines",))
+FROM headlines""", ("headlines",))
 def q_sc_summary_trim(spark, sf):
-    h = Ctx(spark, sf).headlines().where(F.col("source") == "documents")
-    return h.select("ticker", "relevancy", summary_trim("title").alias("trimmed"))
+    h = Ctx(spark, sf).headlines()
+    return h.select("ticker", "source", "relevancy", summary_trim("title").alias("trimmed"))

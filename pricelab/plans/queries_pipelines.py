@@ -33,29 +33,24 @@ FROM (SELECT request_id, count(*) FILTER (WHERE len(chunk) >= 31) AS m,
       FROM {chunks} GROUP BY request_id)"""
 
 
-def _blocks_sql(asof: str, bounded: bool = True) -> str:
-    upper = "AND h.date <= a.asof" if bounded else ""
-
-    def src(name: str, lang: bool) -> str:
-        lf = "AND h.lang = 'en'" if lang else ""
-        return f"""
-SELECT * FROM (
-  SELECT h.ticker, h.title, h.published_at, h.date,
-         row_number() OVER (PARTITION BY h.ticker ORDER BY h.relevancy, h.title) AS rn
-  FROM headlines h JOIN {asof} a ON h.ticker = a.ticker
-  WHERE h.source = '{name}' {lf} AND h.date >= a.asof - 5 {upper} AND h.title IS NOT NULL AND h.title <> '')
-WHERE rn <= 20"""
-
+def _blocks_sql(as_of: str, feed_bounded: bool) -> str:
+    upper = "AND h.date <= a.as_of" if feed_bounded else ""
     return f"""
-SELECT ticker, CAST(count(*) AS BIGINT) AS n_headlines,
+SELECT ticker, as_of, CAST(count(*) AS BIGINT) AS n_headlines,
        string_agg(line, chr(10) ORDER BY date, title, line) AS headline_block
-FROM (SELECT ticker, date, title, {_LINE_SQL} AS line FROM (
-        SELECT *, row_number() OVER (PARTITION BY ticker, title ORDER BY published_at, date) AS rn2 FROM (
-          {src('documents', True)}
+FROM (SELECT ticker, as_of, date, title, {_LINE_SQL} AS line FROM (
+        SELECT *, row_number() OVER (PARTITION BY ticker, as_of, title ORDER BY published_at, date) AS rn2 FROM (
+          SELECT ticker, as_of, title, published_at, date FROM (
+            SELECT h.*, a.as_of, row_number() OVER (PARTITION BY h.ticker, a.as_of ORDER BY h.relevancy, h.title) AS rn
+            FROM headlines h JOIN {as_of} a ON h.ticker = a.ticker
+            WHERE h.source = 'documents' AND h.lang = 'en' AND h.date BETWEEN a.as_of - 5 AND a.as_of)
+          WHERE rn <= 20
           UNION ALL
-          {src('pages', False)}))
+          SELECT h.ticker, a.as_of, h.title, h.published_at, h.date
+          FROM headlines h JOIN {as_of} a ON h.ticker = a.ticker WHERE h.source = 'pages' {upper})
+        WHERE title IS NOT NULL AND title <> '')
       WHERE rn2 = 1)
-GROUP BY ticker"""
+GROUP BY ticker, as_of"""
 
 
 def _writer_sql(prompt: str) -> str:
@@ -83,13 +78,13 @@ cte("an_good", ("an_fc",), """
 SELECT *, coalesce(list_bool_or(list_transform(range(2, len(fc) + 1),
          lambda k: fc[k] < fc[k - 1] * 0.5 OR fc[k] > fc[k - 1] * 2.0)), false) AS is_unreliable
 FROM an_fc WHERE len(fc) > 0""")
-cte("an_asof", ("an_good",), "SELECT DISTINCT ticker, last_date AS asof FROM an_good")
-cte("an_blocks", ("an_asof", "headlines"), _blocks_sql("an_asof"))
+cte("an_as_of", ("an_good",), "SELECT DISTINCT ticker, last_date AS as_of FROM an_good")
+cte("an_blocks", ("an_as_of", "headlines"), _blocks_sql("an_as_of", False))
 cte("an_sent", ("an_good", "an_blocks"), f"""
 SELECT g.*, coalesce(b.n_headlines, 0) AS n_headlines,
        CASE WHEN coalesce(b.n_headlines, 0) > 0 THEN {_writer_sql(_SYNTH)} ELSE '{K.NO_NEWS_SUMMARY}' END
          AS sentiment_summary
-FROM an_good g LEFT JOIN an_blocks b ON g.ticker = b.ticker""")
+FROM an_good g LEFT JOIN an_blocks b ON g.ticker = b.ticker AND g.last_date = b.as_of""")
 
 _WARNING = "'" + K.UNRELIABLE_WARNING.replace("'", "''") + "'"
 _AN_REPORT = render_sql(K.ANALYST_REPORT_PROMPT, ticker="ticker",
@@ -108,7 +103,7 @@ UNION ALL
 SELECT r.request_id, r.ticker, 'Failure',
        CASE WHEN r.prediction_days NOT BETWEEN 1 AND 90 THEN '{K.MSG_BAD_DAYS}'
             WHEN coalesce(len(s.closes), 0) < r.context_days
-              THEN 'Not enough historical data for ' || r.ticker || ' (need at least ' || CAST(r.context_days AS VARCHAR) || ' days).'
+              THEN 'Not enough historical data for ' || coalesce(r.ticker, '') || ' (need at least ' || CAST(r.context_days AS VARCHAR) || ' days).'
             ELSE '{K.MSG_NO_FORECAST}' END,
        NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM rqh r LEFT JOIN series5y s ON r.ticker = s.ticker
@@ -154,14 +149,14 @@ cte("bt_good", ("bt_fc",), """
 SELECT *, list_transform(range(1, least(len(fc), len(actual)) + 1),
                          lambda k: {'step': k, 'f': fc[k], 'a': actual[k]}) AS pairs
 FROM bt_fc WHERE len(fc) > 0""")
-cte("bt_asof", ("bt_good",), "SELECT DISTINCT ticker, last_context_date AS asof FROM bt_good")
-cte("bt_blocks", ("bt_asof", "headlines"), _blocks_sql("bt_asof"))
+cte("bt_as_of", ("bt_good",), "SELECT DISTINCT ticker, last_context_date AS as_of FROM bt_good")
+cte("bt_blocks", ("bt_as_of", "headlines"), _blocks_sql("bt_as_of", True))
 cte("bt_sent", ("bt_good", "bt_blocks"), f"""
 SELECT g.*, coalesce(b.n_headlines, 0) AS n_headlines,
        CASE WHEN coalesce(b.n_headlines, 0) > 0 THEN {_writer_sql(_SYNTH)} ELSE '{K.NO_NEWS_SUMMARY}' END
          AS sentiment_summary,
        {_MAE} AS mae, {_MAPE} AS mape, {_MSE} AS mse, sqrt({_MSE}) AS rmse, {_DA} AS da
-FROM bt_good g LEFT JOIN bt_blocks b ON g.ticker = b.ticker""")
+FROM bt_good g LEFT JOIN bt_blocks b ON g.ticker = b.ticker AND g.last_context_date = b.as_of""")
 
 _BT_REPORT = render_sql(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning="''", last_price=fmt2_sql("last_ctx"),
                         pred_days="CAST(prediction_days AS VARCHAR)", forecast=_py_list_sql("fc"),

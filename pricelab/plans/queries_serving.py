@@ -164,7 +164,7 @@ SELECT ticker,
             WHEN t[-1] > t[1] THEN 'upward' ELSE 'downward' END AS trend
 FROM (SELECT ticker, closes[greatest(len(closes) - 179, 1) :] AS t FROM series5y)""", ("series5y",))
 def q_sc_trend3(spark, sf):
-    s = _series(Ctx(spark, sf)).select("ticker", F.slice("closes", -180, 180).alias("t"))
+    s = _series(Ctx(spark, sf)).select("ticker", FE.last_n("closes", 180).alias("t"))
     return s.select("ticker", trend3(F.try_element_at("t", F.lit(1)), F.try_element_at("t", F.lit(-1))).alias("trend"))
 
 
@@ -208,8 +208,8 @@ FROM (SELECT request_id, unnest(pairs) AS p FROM pairs)""", ("pairs",))
 def q_jn_forecast_actual(spark, sf):
     c = Ctx(spark, sf)
     p = _pairs(c)
-    rows = BT.pair_rows(p.select("request_id", "forecast"), p.select("request_id", "actual"))
-    return rows.select("request_id", "step", r6("forecast").alias("forecast"), r6("actual").alias("actual"))
+    rows = p.select("request_id", F.explode("pairs").alias("s"))  # paired in the row: no join
+    return rows.select("request_id", F.col("s.step").cast("bigint").alias("step"), r6("s.forecast").alias("forecast"), r6("s.actual").alias("actual"))
 
 
 @register("ag_forecast_error", f"""
@@ -248,7 +248,7 @@ SELECT ticker, md5(""" + render_sql(K.PLAIN_INFERENCE_PROMPT, ticker="ticker", m
                                    pred_days="'5'") + """) AS prompt_md5
 FROM (SELECT ticker, closes[greatest(len(closes) - 59, 1) :] AS t FROM series5y)""", ("series5y",))
 def q_sc_inference_prompt(spark, sf):
-    s = _series(Ctx(spark, sf)).select("ticker", F.slice("closes", -60, 60).alias("t"))
+    s = _series(Ctx(spark, sf)).select("ticker", FE.last_n("closes", 60).alias("t"))
     mean, std = array_moments(F.col("t"))
     p = render(K.PLAIN_INFERENCE_PROMPT, ticker="ticker", mean=fmt2(mean), std_dev=fmt2(std),
                trend=trend2(F.try_element_at("t", F.lit(1)), F.try_element_at("t", F.lit(-1))),
@@ -270,7 +270,7 @@ FROM (SELECT r.request_id, r.ticker, r.prediction_days AS h, s.closes[1 : len(s.
 def q_sc_one_shot_prompt(spark, sf):
     c = Ctx(spark, sf)
     j = _req(c).join(_series(c), "ticker").where(F.col("prediction_days").between(1, 90))
-    j = j.withColumn("ctx", F.slice("closes", F.lit(1), F.size("closes") - F.col("prediction_days")))
+    j = j.withColumn("ctx", F.slice("closes", F.lit(1), F.greatest(F.size("closes") - F.col("prediction_days"), F.lit(0))))
     j = j.where(F.size("ctx") - F.col("prediction_days") >= K.ONE_SHOT_CONTEXT)
     ex_c, ex_t = BT.one_shot_example(F.col("ctx"), F.col("prediction_days"))
     mean, std = array_moments(F.col("ctx"))
@@ -296,10 +296,10 @@ _REPORT_SQL = render_sql(
 
 
 @register("sc_report_prompts", f"""
-SELECT ticker, md5({_REPORT_SQL}) AS prompt_md5 FROM (SELECT ticker, closes, closes[len(closes) - 4 :] AS t FROM series5y)""",
+SELECT ticker, md5({_REPORT_SQL}) AS prompt_md5 FROM (SELECT ticker, closes, closes[greatest(len(closes) - 4, 1) :] AS t FROM series5y)""",
           ("series5y",))
 def q_sc_report_prompts(spark, sf):
-    s = _series(Ctx(spark, sf)).withColumn("t", F.slice("closes", -5, 5))
+    s = _series(Ctx(spark, sf)).withColumn("t", FE.last_n("closes", 5))
     warning = F.when(unreliable_jump("t"), F.lit(K.UNRELIABLE_WARNING)).otherwise(F.lit(""))
     p = render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=warning,
                last_price=fmt2(F.try_element_at("closes", F.lit(-1))), pred_days=F.lit("5"),
@@ -309,9 +309,9 @@ def q_sc_report_prompts(spark, sf):
 
 @register("ud_write_text", f"""
 SELECT ticker, 'REPORT ' || substr(md5({_REPORT_SQL}), 1, 12) AS report
-FROM (SELECT ticker, closes, closes[len(closes) - 4 :] AS t FROM series5y)""", ("series5y",))
+FROM (SELECT ticker, closes, closes[greatest(len(closes) - 4, 1) :] AS t FROM series5y)""", ("series5y",))
 def q_ud_write_text(spark, sf):
-    s = _series(Ctx(spark, sf)).withColumn("t", F.slice("closes", -5, 5))
+    s = _series(Ctx(spark, sf)).withColumn("t", FE.last_n("closes", 5))
     warning = F.when(unreliable_jump("t"), F.lit(K.UNRELIABLE_WARNING)).otherwise(F.lit(""))
     p = render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=warning,
                last_price=fmt2(F.try_element_at("closes", F.lit(-1))), pred_days=F.lit("5"),

@@ -26,6 +26,8 @@ N_TICKERS_MOD = 25
 HEADLINE_DAYS = 60
 QUOTE_URL = "https://quotes.example.com/quote/"
 UNKNOWN_TICKER = "NOSUCH"
+SECOND_REQUEST = 1017  # added to the number (and so to the horizon) of a ticker's second request
+BAD_URL_REQUEST, BAD_URL = 5000, "https://quotes.example.com/quote/BAD TICKER|x"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -83,20 +85,22 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str, bars_df: DataFrame | None = None) -> DataFrame:
-    """``requests(request_id, url, prediction_days)``: one per ticker + one unknown."""
+    """``requests(request_id, url, prediction_days)``: two horizons per ticker, one unknown ticker, one bad URL."""
     b = bars_df if bars_df is not None else bars(spark, sf_dir)
     rid = F.substr("ticker", F.lit(2)).cast("bigint")
     t = b.select("ticker").distinct().select("ticker", rid.alias("request_id"))
     suffix = (F.when(F.col("request_id") % 3 == 0, F.lit(""))
               .when(F.col("request_id") % 3 == 1, F.lit("/"))
               .otherwise(F.lit("?p=x")))
-    known = t.select("request_id",
-                     F.concat(F.lit(QUOTE_URL), "ticker", suffix).alias("url"),
-                     (F.lit(1) + (F.col("request_id") * 13) % 95).cast("int").alias("prediction_days"))
+    known = t.select("request_id", F.concat(F.lit(QUOTE_URL), "ticker", suffix).alias("url"),
+                     F.explode(F.array(F.lit(0), F.lit(SECOND_REQUEST))).alias("more"))
+    known = known.select((F.col("request_id") + F.col("more")).cast("bigint").alias("request_id"), "url",
+                         (F.lit(1) + (F.col("request_id") * 13 + F.col("more")) % 95).cast("int").alias("prediction_days"))
     unknown = spark.range(1).select(F.lit(0).cast("bigint").alias("request_id"),
                                     F.lit(QUOTE_URL + UNKNOWN_TICKER).alias("url"),
                                     F.lit(5).alias("prediction_days"))
-    return known.unionByName(unknown)
+    bad = unknown.select(F.lit(BAD_URL_REQUEST).cast("bigint").alias("request_id"), F.lit(BAD_URL).alias("url"), "prediction_days")
+    return known.unionByName(unknown).unionByName(bad)
 
 
 # FIXED VALUES -- stand-in model answers of the responses fixture
