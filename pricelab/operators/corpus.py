@@ -7,9 +7,9 @@ Plan (one job, no driver collect):
 2. ``explode(sequence(0, n-1))`` positions; the horizon choice is a
    deterministic md5 bucket of (seed, ticker, i) looked up in a literal array
    (no join), and rows that cannot fit are filtered *before* slicing.
-3. ``slice`` gives context/target; mean and sample std are two ``aggregate``
-   folds (mean first, then squared deviations) -- numerically stable and
-   identical to a sequential left fold in any engine.
+3. ``slice`` gives context/target; mean and sample std come from exact prefix
+   sums of the closes in whole units of 1e-8 (``prefix_series``), shifted by the
+   window's own first close, so no digits cancel.
 4. The prompt is one ``concat`` of literals and formatted columns.
 
 Sliding ``collect_list`` frames would cost O(n*w) per horizon for all seven
@@ -18,13 +18,16 @@ horizons although each row uses one; the slice plan costs O(n*w) once.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalar import trend2
 from ..functions.text import context_tag, fmt2, fmt2_strict, render
-from .features import series_arrays
+
+UNITS = 1e8  # whole units of a price in the exact sums
 
 
 def md5_bucket(*parts: Column, start: int = 1) -> Column:
@@ -76,52 +79,50 @@ def array_mean(arr) -> Column:
     return array_moments(arr)[0]
 
 
-def with_context_stats(df: DataFrame, ctx: str, prefix: str = "") -> DataFrame:
-    """Adds count, mean, sample std, first and last of an ordered close list."""
-    a = F.col(ctx)
-    mean, std = array_moments(a)
-    return df.select("*", F.size(a).alias(prefix + "count"), mean.alias(prefix + "mean"),
-                     std.alias(prefix + "std"),
-                     F.try_element_at(a, F.lit(1)).alias(prefix + "first"),
-                     F.try_element_at(a, F.lit(-1)).alias(prefix + "last"))
-
-
 def prefix_series(prices: DataFrame) -> DataFrame:
-    """One row per ticker: closes, their 2-decimal texts, and shifted prefix sums.
+    """One row per ticker: closes, their 2-decimal texts, and exact prefix sums.
 
-    ``p1[j] = sum(x_t - k)`` and ``p2[j] = sum((x_t - k)^2)`` over the first
-    ``j`` closes (``p1[0] = p2[0] = 0``), with ``k`` the ticker's first close.
-    They are running window sums (sequential, codegen'd), so the mean and
-    sample std of any window come out of two lookups instead of an O(c) fold.
+    With ``m_t`` the close in whole units of 1e-8, ``p1[j]`` and ``p2[j]`` are the
+    DECIMAL sums of ``m_t`` and ``m_t ** 2`` over the first ``j`` closes
+    (``p1[0] = p2[0] = 0``): running window sums, so the mean and sample std of any
+    window come out of lookups instead of an O(c) fold, without rounding.
     """
     from .features import W
 
     run = W().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first("close").over(W().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    v = prices.select("ticker", "date", "close", (F.col("close") - first).alias("_v"))
-    v = v.select("ticker", "date", "close", F.sum("_v").over(run).alias("_p1"),
-                 F.sum(F.col("_v") * F.col("_v")).over(run).alias("_p2"))
-    agg = v.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close", "_p1", "_p2"))).alias("_s"))
-    zero = F.array(F.lit(0.0))
+    v = prices.select("ticker", "date", "close", F.round(F.col("close") * UNITS).cast("decimal(19,0)").alias("_m"))
+    v = v.select("ticker", "date", "close", "_m", F.sum("_m").over(run).cast("decimal(29,0)").alias("_p1"),
+                 F.sum((F.col("_m") * F.col("_m")).cast("decimal(38,0)")).over(run).alias("_p2"))
+    agg = v.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close", "_m", "_p1", "_p2"))).alias("_s"))
     return agg.select("ticker", F.col("_s.close").alias("closes"),
-                      F.transform("_s.close", fmt2_strict).alias("close_texts"),
-                      F.concat(zero, F.col("_s._p1")).alias("p1"), F.concat(zero, F.col("_s._p2")).alias("p2"))
+                      F.transform("_s.close", fmt2_strict).alias("close_texts"), F.col("_s._m").alias("units"),
+                      F.concat(F.array(F.lit(0).cast("decimal(29,0)")), F.col("_s._p1")).alias("p1"),
+                      F.concat(F.array(F.lit(0).cast("decimal(38,0)")), F.col("_s._p2")).alias("p2"))
 
 
-def window_moments(p1: str, p2: str, k: Column, start0: Column, length: Column) -> tuple[Column, Column]:
-    """(mean, sample std) of ``length`` closes from 0-based ``start0`` via prefix sums."""
+def window_moments(start0: Column, length: Column) -> tuple[Column, Column]:
+    """(mean, sample std) of ``length`` closes from 0-based ``start0``, from a row of ``prefix_series``.
+
+    Sums of differences from the window's first close are exact integers until
+    the last division, so a flat window has a std of 0 at any price.
+    """
     a, b = start0 + 1, start0 + length + 1
-    s = F.try_element_at(p1, b) - F.try_element_at(p1, a)
-    ss = F.try_element_at(p2, b) - F.try_element_at(p2, a)
-    n = length.cast("double")
-    mean = k + s / n
-    var = F.when(length > 1, (ss - s * s / n) / (n - 1))
-    return mean, F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))))
+    k = F.try_element_at("units", a)
+    n = length.cast("decimal(10,0)")
+    s1 = F.try_element_at("p1", b) - F.try_element_at("p1", a)
+    s2 = F.try_element_at("p2", b) - F.try_element_at("p2", a)
+    s = (s1 - n * k).cast("double")
+    ss = (s2 - F.lit(2).cast("decimal(1,0)") * k * s1 + n * k * k).cast("double")
+    m = length.cast("double")
+    # the sum in exact decimals first: the mean of cents often is a tie of two decimals
+    mean = (s1.cast("decimal(29,0)") * F.lit(Decimal("0.00000001"))).cast("double") / m
+    var = F.when(length > 1, (ss - s * s / m) / (m - 1))
+    return mean, F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0))) / UNITS)
 
 
 def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
                      fixed: tuple[int, int] | None = None) -> DataFrame:
-    """``(ticker, closes, close_texts, p1, p2, n, i, pred_days, context_days)`` for every usable row.
+    """``(ticker, closes, close_texts, units, p1, p2, n, i, pred_days, context_days)`` for every usable row.
 
     ``fixed=(context, pred)`` replaces the random choice (fixed-window variant).
     """
@@ -134,7 +135,7 @@ def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZO
     # balances exactly.
     width = int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = prefix_series(prices).repartition(width).withColumn("n", F.size("closes"))
-    rows = s.select("ticker", "closes", "close_texts", "p1", "p2", "n",
+    rows = s.select("ticker", "closes", "close_texts", "units", "p1", "p2", "n",
                     F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     if fixed is None:
         rows = choose_window(rows, seed, horizons)
@@ -155,8 +156,7 @@ def ts_corpus(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
     start = F.greatest(F.col("i") - F.col("context_days") + 1, F.lit(1))
     ctx_text = F.array_join(F.slice("close_texts", start, F.col("context_days")), ", ")
     tgt_text = F.array_join(F.slice("close_texts", F.col("i") + 1, F.col("pred_days")), ", ")
-    k = F.try_element_at("closes", F.lit(1))
-    mean, std = window_moments("p1", "p2", k, start - 1, F.col("context_days"))
+    mean, std = window_moments(start - 1, F.col("context_days"))
     first = F.try_element_at("closes", start)
     last = F.try_element_at("closes", F.col("i"))
     text = render(template, ticker="ticker", mean=fmt2(mean), std_dev=fmt2(std), trend=trend2(first, last),

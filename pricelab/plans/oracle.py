@@ -84,38 +84,17 @@ cte("series_all", ("prices_all",), """
 SELECT ticker, list(close ORDER BY date) AS closes FROM prices_all GROUP BY ticker""")
 
 
-def _prefix_sql(series: str) -> str:
-    return f"""
-SELECT *, [0.0] || list_transform(range(1, len(closes) + 1),
-            lambda j: list_reduce(list_transform(closes[1 : j], lambda x: x - closes[1]), lambda a, y: a + y)) AS p1,
-          [0.0] || list_transform(range(1, len(closes) + 1),
-            lambda j: list_reduce(list_transform(closes[1 : j], lambda x: (x - closes[1]) * (x - closes[1])),
-                                  lambda a, y: a + y)) AS p2
-FROM {series}"""
-
-
-cte("prefix_all", ("series_all",), _prefix_sql("series_all"))
-
-# shifted prefix sums, summed left to right like a running window sum
-cte("prefix5y", ("series5y",), """
-SELECT *, [0.0] || list_transform(range(1, len(closes) + 1),
-            lambda j: list_reduce(list_transform(closes[1 : j], lambda x: x - closes[1]), lambda a, y: a + y)) AS p1,
-          [0.0] || list_transform(range(1, len(closes) + 1),
-            lambda j: list_reduce(list_transform(closes[1 : j], lambda x: (x - closes[1]) * (x - closes[1])),
-                                  lambda a, y: a + y)) AS p2
-FROM series5y""")
+def _window(start0: str, length: str) -> str:
+    return f"closes[{start0} + 1 : {start0} + {length}]"
 
 
 def window_mean_sql(start0: str, length: str) -> str:
-    s = f"(p1[{start0} + {length} + 1] - p1[{start0} + 1])"
-    return f"(closes[1] + {s} / CAST({length} AS DOUBLE))"
+    return f"(CAST(list_sum(list_transform({_window(start0, length)}, lambda x: CAST(x AS DECIMAL(18, 4)))) AS DOUBLE) / {length})"
 
 
 def window_std_sql(start0: str, length: str) -> str:
-    s = f"(p1[{start0} + {length} + 1] - p1[{start0} + 1])"
-    ss = f"(p2[{start0} + {length} + 1] - p2[{start0} + 1])"
-    n = f"CAST({length} AS DOUBLE)"
-    return f"(CASE WHEN {length} > 1 THEN sqrt(greatest(({ss} - {s} * {s} / {n}) / ({n} - 1), 0.0)) END)"
+    return f"list_aggregate({_window(start0, length)}, 'stddev_samp')"
+
 
 cte("vol2y", ("prices2y",), f"""
 SELECT ticker, CAST(count(*) AS BIGINT) AS n,
@@ -186,23 +165,12 @@ def list_text_sql(arr: str) -> str:
     return f"array_to_string(list_transform({arr}, lambda x: printf('%.2f', x)), ', ')"
 
 
-def _sums(arr: str) -> tuple[str, str]:
-    k = f"{arr}[1]"
-    s = f"list_reduce(list_transform({arr}, lambda x: x - {k}), lambda a, y: a + y)"
-    ss = f"list_reduce(list_transform({arr}, lambda x: (x - {k}) * (x - {k})), lambda a, y: a + y)"
-    return s, ss
-
-
 def mean_sql(arr: str) -> str:
-    """Mean as the one-pass shifted fold computes it (same operation order)."""
-    s, _ = _sums(arr)
-    return f"(CASE WHEN len({arr}) > 0 THEN {arr}[1] + ({s}) / CAST(len({arr}) AS DOUBLE) END)"
+    return f"list_avg({arr})"
 
 
-def std_sql(arr: str, mean: str | None = None) -> str:
-    s, ss = _sums(arr)
-    n = f"CAST(len({arr}) AS DOUBLE)"
-    return (f"(CASE WHEN len({arr}) > 1 THEN sqrt(greatest((({ss}) - ({s}) * ({s}) / {n}) / ({n} - 1), 0.0)) END)")
+def std_sql(arr: str) -> str:
+    return f"list_aggregate({arr}, 'stddev_samp')"
 
 
 def bucket_sql(seed: str, *parts: str, start: int = 1) -> str:

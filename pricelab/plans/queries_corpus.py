@@ -16,12 +16,12 @@ from .oracle import bucket_sql, cte, fmt2_sql, list_text_sql, render_sql, window
 _PREDS = ", ".join(str(p) for p, _ in K.CORPUS_HORIZONS)
 _CTXS = ", ".join(str(c) for _, c in K.CORPUS_HORIZONS)
 
-cte("positions5y", ("prefix5y",), f"""
-SELECT ticker, closes, p1, p2, n, i,
+cte("positions5y", ("series5y",), f"""
+SELECT ticker, closes, n, i,
        [{_PREDS}][k] AS pred_days, [{_CTXS}][k] AS context_days
-FROM (SELECT ticker, closes, p1, p2, n, i,
+FROM (SELECT ticker, closes, n, i,
              CAST({bucket_sql('42', 'ticker', 'i')} % {len(K.CORPUS_HORIZONS)} + 1 AS INTEGER) AS k
-      FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix5y))""")
+      FROM (SELECT ticker, closes, len(closes) AS n, unnest(range(len(closes))) AS i FROM series5y))""")
 
 
 def _corpus_sql(rows: str, template: str) -> str:
@@ -40,22 +40,22 @@ FROM (SELECT ticker, i, pred_days, context_days,
 
 cte("corpus", ("positions5y",), _corpus_sql("positions5y", K.TRAINING_PROMPT))
 
-cte("positions_all", ("prefix_all",), f"""
-SELECT ticker, closes, p1, p2, n, i,
+cte("positions_all", ("series_all",), f"""
+SELECT ticker, closes, n, i,
        [{_PREDS}][k] AS pred_days, [{_CTXS}][k] AS context_days
-FROM (SELECT ticker, closes, p1, p2, n, i,
+FROM (SELECT ticker, closes, n, i,
              CAST({bucket_sql('42', 'ticker', 'i')} % {len(K.CORPUS_HORIZONS)} + 1 AS INTEGER) AS k
-      FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix_all))""")
+      FROM (SELECT ticker, closes, len(closes) AS n, unnest(range(len(closes))) AS i FROM series_all))""")
 cte("corpus_all", ("positions_all",), _corpus_sql("positions_all", K.TRAINING_PROMPT))
 
-cte("fixed_positions", ("prefix5y",), """
-SELECT ticker, closes, p1, p2, n, i, 5 AS pred_days, 60 AS context_days
-FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix5y)""")
+cte("fixed_positions", ("series5y",), """
+SELECT ticker, closes, n, i, 5 AS pred_days, 60 AS context_days
+FROM (SELECT ticker, closes, len(closes) AS n, unnest(range(len(closes))) AS i FROM series5y)""")
 cte("fixed_corpus", ("fixed_positions",), _corpus_sql("fixed_positions", K.FIXED_WINDOW_PROMPT))
 
-cte("short_positions", ("prefix5y",), """
-SELECT ticker, closes, p1, p2, n, i, 1 AS pred_days, 30 AS context_days
-FROM (SELECT ticker, closes, p1, p2, len(closes) AS n, unnest(range(len(closes))) AS i FROM prefix5y)""")
+cte("short_positions", ("series5y",), """
+SELECT ticker, closes, n, i, 1 AS pred_days, 30 AS context_days
+FROM (SELECT ticker, closes, len(closes) AS n, unnest(range(len(closes))) AS i FROM series5y)""")
 cte("short_corpus", ("short_positions",), _corpus_sql("short_positions", K.TRAINING_PROMPT))
 
 _KEYS = "ticker, CAST(i AS BIGINT) AS i, CAST(pred_days AS BIGINT) AS pred_days, " \
@@ -146,7 +146,7 @@ FROM positions5y WHERE i >= context_days AND i + pred_days <= n""", ("positions5
 def q_ag_context_stats(spark, sf):
     rows = CO.corpus_positions(FE.ingest(Ctx(spark, sf).bars()))
     start0 = F.col("i") - F.col("context_days")
-    mean, std = CO.window_moments("p1", "p2", F.try_element_at("closes", F.lit(1)), start0, F.col("context_days"))
+    mean, std = CO.window_moments(start0, F.col("context_days"))
     return rows.select("ticker", F.col("i").cast("bigint").alias("i"), F.col("context_days").cast("bigint").alias("n"),
                        r6(mean).alias("mean"), r6(std).alias("std"),
                        r6(F.try_element_at("closes", start0 + 1)).alias("first"),
