@@ -73,9 +73,21 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
 
+def one_bar_per_day(prices: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per (ticker, date): the last by ``order`` (a delivery number), then by the row's values.
+
+    A lead over the window that the next steps use too, in a finer order: no
+    exchange and no sort of its own. A feed that repeats days without bound is
+    better aggregated by (ticker, date) before, as ``sources.tables.bars`` does.
+    """
+    ties = [c for c in ([order] if order else []) + prices.columns if c not in ("ticker", "date")]
+    following = F.lead("date").over(Window.partitionBy("ticker").orderBy("date", *dict.fromkeys(ties)))
+    return prices.withColumn("_next", following).where(~F.col("_next").eqNullSafe(F.col("date"))).drop("_next")
+
+
 def ingest(bars: DataFrame, period: str | None = "5y", asof=None) -> DataFrame:
-    """Trailing period -> MA20 -> drop incomplete rows (the ingestion feature step)."""
-    return drop_incomplete(moving_average(price_history(bars, period, asof)))
+    """Trailing period -> one bar per day -> MA20 -> drop incomplete rows (the ingestion feature step)."""
+    return drop_incomplete(moving_average(one_bar_per_day(price_history(bars, period, asof))))
 
 
 def daily_return(prices: DataFrame, out: str = "returns") -> DataFrame:

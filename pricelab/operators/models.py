@@ -1,15 +1,12 @@
-"""Injected models behind Arrow-batched pandas UDFs, plus deterministic stand-ins.
+"""Injected models behind Arrow-batched pandas UDFs.
 
 A model is a *factory* returning a callable ``list[str] -> list[...]``. The
 factory runs once per Python worker (iterator UDF), the callable once per
-Arrow batch. Tests and the oracle use the stand-ins below; each is a small pure
-function that SQL can reproduce, so whole pipelines are checkable.
+Arrow batch. The registered queries use the test doubles of ``plans.standins``.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -62,11 +59,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     them by bytes into a few tasks. A numbered repartition is not coalesced;
     without keys it is round-robin (balanced, and never elided because of an
     existing hash partitioning). Pass keys only when the next step groups by them.
-    The width is ``spark.pricelab.model.partitions`` when set, else the
-    context's default parallelism (all executor cores).
+    The width is ``spark.pricelab.model.partitions`` when set, else the larger of
+    the context's default parallelism (all executor cores) and the shuffle width.
     """
     conf = df.sparkSession.conf.get("spark.pricelab.model.partitions", None)
-    width = int(conf) if conf else df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    width = int(conf) if conf else max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(width, *keys) if keys else df.repartition(width)
 
 
@@ -76,148 +74,3 @@ def generate(df: DataFrame, prompt: str, out: str, factory: Callable[[], TextMod
 
 def classify(df: DataFrame, title: str, out: str, factory) -> DataFrame:
     return df.withColumn(out, label_udf(factory)(F.col(title)))
-
-
-# ---------------------------------------------------------------------------
-# stand-ins (deterministic, SQL-reproducible)
-# ---------------------------------------------------------------------------
-
-def _md5(s: str) -> str:
-    return hashlib.md5(s.encode("utf-8")).hexdigest()
-
-
-_RE_LAST = re.compile(r"LAST_PRICE: (\d+\.\d+)")
-_RE_NEXT = re.compile(r"Predict the next (\d+) closing prices")
-_RE_PRIOR = re.compile(r"PRIOR_SUMMARY: Chunk (\d+),")
-_RE_CHUNK = re.compile(r"NEW_DATA_CHUNK: \[([^\]]*)\]")
-
-PROSE_HEAD = "Sure. Here is my forecast: "
-PROSE_TAIL = " -- hope this helps."
-NO_NUMBER = "I cannot forecast this stock."
-
-
-def drift_prices(last: float, n: int) -> list[str]:
-    return ["%.2f" % (last * (1.0 + 0.01 * (((k * 7) % 5) - 2))) for k in range(1, n + 1)]
-
-
-def drift_forecaster() -> TextModel:
-    """Reads ``LAST_PRICE`` and the horizon from the prompt; five answer shapes by md5.
-
-    mode 0: exactly n prices; 1: n + 3; 2: max(n // 2, 1); 3: prose around n
-    prices; 4: no number at all.
-    """
-
-    def model(prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            m_last, m_n = _RE_LAST.search(p), _RE_NEXT.search(p)
-            if not m_last or not m_n:
-                out.append(NO_NUMBER)
-                continue
-            last, n = float(m_last.group(1)), int(m_n.group(1))
-            mode = int(_md5(p)[0], 16) % 5
-            if mode == 4:
-                out.append(NO_NUMBER)
-                continue
-            k = {0: n, 1: n + 3, 2: max(n // 2, 1), 3: n}[mode]
-            body = " [" + ", ".join(drift_prices(last, k)) + "]"
-            out.append(PROSE_HEAD + body + PROSE_TAIL if mode == 3 else body)
-        return out
-
-    return model
-
-
-def last_value_forecaster() -> TextModel:
-    """Repeats LAST_PRICE n times."""
-
-    def model(prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            m_last, m_n = _RE_LAST.search(p), _RE_NEXT.search(p)
-            if not m_last or not m_n:
-                out.append(NO_NUMBER)
-            else:
-                out.append(" [" + ", ".join([m_last.group(1)] * int(m_n.group(1))) + "]")
-        return out
-
-    return model
-
-
-def chunk_summarizer() -> TextModel:
-    """``Chunk k, <n> closes from <first> to <last>.``; empty for chunks under 31 closes.
-
-    ``k`` continues the prior summary's count, so the fold result depends on order.
-    """
-
-    def model(prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            m_c = _RE_CHUNK.search(p)
-            vals = [v for v in (m_c.group(1).split(", ") if m_c else []) if v]
-            if len(vals) < 31:
-                out.append("")
-                continue
-            m_p = _RE_PRIOR.search(p)
-            k = int(m_p.group(1)) + 1 if m_p else 1
-            out.append(f"Chunk {k}, {len(vals)} closes from {vals[0]} to {vals[-1]}.")
-        return out
-
-    return model
-
-
-def md5_writer() -> TextModel:
-    """``REPORT <first 12 hex of md5(prompt)>`` -- pins the prompt byte for byte."""
-
-    def model(prompts: list[str]) -> list[str]:
-        return ["REPORT " + _md5(p)[:12] for p in prompts]
-
-    return model
-
-
-def md5_classifier():
-    """headline -> (positive|negative|neutral, 0.50..0.99) from md5 of the title."""
-    labels = ["positive", "negative", "neutral"]
-
-    def model(titles: list[str]) -> list[tuple[str, float]]:
-        res = []
-        for t in titles:
-            h = int(_md5(t)[:2], 16)
-            res.append((labels[h % 3], 0.5 + (h % 50) / 100.0))
-        return res
-
-    return model
-
-
-def md5_scorer() -> TextModel:
-    """Zero-shot label answer; every fourth shape has no decimal point (parses to 0.0)."""
-
-    def model(prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            h = int(_md5(p)[:4], 16)
-            score = ((h % 201) - 100) / 100.0
-            change = ((h // 201) % 1001 - 500) / 100.0
-            if h % 4 == 0:
-                out.append(f"SENTIMENT_SCORE: {int(score)}, NEXT_DAY_PRICE_CHANGE: {int(change)}%")
-            else:
-                out.append(f"SENTIMENT_SCORE: {score:.2f}, NEXT_DAY_PRICE_CHANGE: {change:.2f}%")
-        return out
-
-    return model
-
-
-STAND_INS = {
-    "drift": drift_forecaster,
-    "last_value": last_value_forecaster,
-    "chunk_summarizer": chunk_summarizer,
-    "md5_writer": md5_writer,
-    "md5_classifier": md5_classifier,
-    "md5_scorer": md5_scorer,
-}
-
-
-def md5_label_cols(title: Column) -> tuple[Column, Column]:
-    """SQL form of ``md5_classifier`` (for checks)."""
-    h = F.conv(F.substr(F.md5(title), F.lit(1), F.lit(2)), 16, 10).cast("int")
-    label = F.element_at(F.array(F.lit("positive"), F.lit("negative"), F.lit("neutral")), h % 3 + 1)
-    return label, F.lit(0.5) + (h % 50) / 100.0

@@ -12,9 +12,11 @@ only on rows that have not already failed (errors are rows, unioned back).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +75,8 @@ def pl_portfolio(bars: DataFrame, period: str = "2y", asof=None) -> DataFrame:
     return select_portfolio(annual_volatility(ingest(bars, period, asof)))
 
 
-def pl_sentiment_corpus(bars: DataFrame, headlines: DataFrame, portfolio: DataFrame | None = None,
-                        scorer: Callable = M.md5_scorer, price_period: str = "3mo",
+def pl_sentiment_corpus(bars: DataFrame, headlines: DataFrame, scorer: Callable,
+                        portfolio: DataFrame | None = None, price_period: str = "3mo",
                         news_days: int = K.CORPUS_NEWS_LOOKBACK_DAYS, news_cap: int = K.CORPUS_NEWS_CAP,
                         done: DataFrame | None = None, asof=None) -> DataFrame:
     """Headline -> (sentiment score, actual next-day change) training samples.
@@ -137,12 +139,17 @@ def pl_volatility_news(bars: DataFrame, headlines: DataFrame, days: int = 29, pe
 _MODEL_CACHE: dict = {}
 
 
-def _cached(factory):
-    m = _MODEL_CACHE.get(factory)
-    if m is None:
-        m = factory()
-        _MODEL_CACHE[factory] = m
-    return m
+def model_id(factory: Callable) -> str:
+    """A name for the model that a factory makes: the same for the same code and captured values."""
+    return hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+
+
+def cached_model(name: str, factory: Callable):
+    """The worker's model of that name; a worker holds one at a time."""
+    if name not in _MODEL_CACHE:
+        _MODEL_CACHE.clear()
+        _MODEL_CACHE[name] = factory()
+    return _MODEL_CACHE[name]
 
 
 def ordered_fold(chunks: DataFrame, key: str, order: str, text: str, factory: Callable,
@@ -152,10 +159,10 @@ def ordered_fold(chunks: DataFrame, key: str, order: str, text: str, factory: Ca
     Sequential within a key, parallel across keys: ``groupBy(key).applyInPandas``.
     A group holds one series' chunks (bounded by the series length).
     """
-    key_type = dict(chunks.dtypes)[key]
+    key_type, name = dict(chunks.dtypes)[key], model_id(factory)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = _cached(factory)
+        model = cached_model(name, factory)
         pdf = pdf.sort_values(order)
         s = init
         for t in pdf[text].tolist():
@@ -267,8 +274,7 @@ def _forecast(df: DataFrame, ctx: str, last_price: str, summarizer, forecaster)
 
 
 def pl_analyze(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
-               forecaster: Callable = M.drift_forecaster, summarizer: Callable = M.chunk_summarizer,
-               writer: Callable = M.md5_writer, classifier: Callable = M.md5_classifier,
+               forecaster: Callable, summarizer: Callable, writer: Callable, classifier: Callable,
                period: str = "5y", asof=None) -> DataFrame:
     """One result row per request (failures included)."""
     df = _prepare(requests, bars, period, asof)
@@ -305,8 +311,7 @@ def pl_analyze(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
 
 
 def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
-                forecaster: Callable = M.drift_forecaster, summarizer: Callable = M.chunk_summarizer,
-                writer: Callable = M.md5_writer, classifier: Callable = M.md5_classifier,
+                forecaster: Callable, summarizer: Callable, writer: Callable, classifier: Callable,
                 period: str = "5y", asof=None, allow_lookahead: bool = False, strict: bool = False) -> DataFrame:
     """Hold out the last ``prediction_days`` rows, forecast them, score the forecast.
 

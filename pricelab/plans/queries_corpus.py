@@ -253,11 +253,11 @@ def q_wn_ordered_fold(spark, sf):
 @register("ud_fold_summary", _fold_oracle(), ("series5y",))
 def q_ud_fold_summary(spark, sf):
     from ..functions.text import summary_trim
-    from ..operators import models as M
+    from . import standins as SI
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
     s = s.select("ticker", F.col("closes").alias("ctx"))
     ch = FE.overlap_chunks(s, arr="ctx").withColumn("chunk_text", price_list_text("chunk"))
-    out = PL.ordered_fold(ch, "ticker", "chunk_no", "chunk_text", M.chunk_summarizer)
+    out = PL.ordered_fold(ch, "ticker", "chunk_no", "chunk_text", SI.chunk_summarizer)
     return out.select("ticker", summary_trim("summary").alias("summary"))
 
 

@@ -10,6 +10,7 @@ from ..session import scratch_path
 from ..sources import files as IO
 from ..sources import tables as T
 from . import pipelines as PL
+from . import standins as SI
 from .catalog import Ctx, r6, register
 
 
@@ -95,7 +96,7 @@ SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM bt_good) THEN
 FROM rqh""", ("bt_good", "rqh"))
 def q_snk_result_records(spark, sf):
     c = Ctx(spark, sf)
-    res = PL.pl_backtest(c.requests(), c.bars(), c.headlines())
+    res = PL.pl_backtest(c.requests(), c.bars(), c.headlines(), *SI.MODELS)
     path = scratch_path(spark, "records")
     IO.write_records(res, path)
     back = spark.read.text(path).select(F.from_json("value", "request_id bigint, status string").alias("r"))

@@ -11,6 +11,7 @@ from ..operators import features as FE
 from ..operators import models as M
 from ..operators import news as NW
 from . import pipelines as PL
+from . import standins as SI
 from .catalog import Ctx, r6, register
 from .oracle import cte, fmt2_sql, render_sql
 
@@ -214,7 +215,7 @@ SELECT ticker, source, relevancy, {_LABEL_SQL} AS label, round({_SCORE_SQL}, 6)
 FROM headlines WHERE title IS NOT NULL""", ("headlines",))
 def q_ud_classify_headlines(spark, sf):
     h = Ctx(spark, sf).headlines().where(F.col("title").isNotNull())
-    lab = M.classify(h, "title", "_l", M.md5_classifier)
+    lab = M.classify(h, "title", "_l", SI.md5_classifier)
     return lab.select("ticker", "source", "relevancy", F.col("_l.label").alias("label"),
                       r6(F.col("_l.score")).alias("score"))
 
@@ -223,7 +224,7 @@ def q_ud_classify_headlines(spark, sf):
 SELECT ticker, source, relevancy, {_LINE_SQL} AS line FROM headlines WHERE title IS NOT NULL""", ("headlines",))
 def q_sc_headline_line(spark, sf):
     h = Ctx(spark, sf).headlines().where(F.col("title").isNotNull())
-    label, score = M.md5_label_cols(F.col("title"))
+    label, score = SI.md5_label_cols(F.col("title"))
     line = F.concat(F.lit("- "), render(K.HEADLINE_LINE, title="title", label=F.initcap(label), score=fmt2(score)))
     return h.select("ticker", "source", "relevancy", line.alias("line"))
 
@@ -239,7 +240,7 @@ GROUP BY ticker""", ("headlines", "bars"))
 def q_ag_collect_headlines(spark, sf):
     c = Ctx(spark, sf)
     s = NW.select_news(c.headlines(), asof=_asof(c), days=K.NEWS_LOOKBACK_DAYS, lang="en", cap=K.NEWS_CAP)
-    return NW.headline_block(M.classify(s, "title", "_lab", M.md5_classifier))
+    return NW.headline_block(M.classify(s, "title", "_lab", SI.md5_classifier))
 
 
 _LABEL_PROMPT_SQL = render_sql(K.LABEL_PROMPT, headline="coalesce(title, 'None')")
@@ -270,7 +271,7 @@ FROM (SELECT *, {_H_SQL} AS h FROM headlines)""", ("headlines",))
 def q_ud_score_headlines(spark, sf):
     h = Ctx(spark, sf).headlines()
     h = h.withColumn("_p", render(K.LABEL_PROMPT, headline=F.coalesce("title", F.lit("None"))))
-    h = M.generate(h, "_p", "_a", M.md5_scorer)
+    h = M.generate(h, "_p", "_a", SI.md5_scorer)
     s, c = parse_label_pair("_a")
     return h.select("ticker", "source", "relevancy", r6(s).alias("sentiment_score"), r6(c).alias("predicted_change"))
 
@@ -345,7 +346,7 @@ FROM (SELECT h.ticker, o.order_no, h.date, h.relevancy, h.title,
       WHERE n.next_close IS NOT NULL)""", ("headlines", "order3", "next3mo", "bars"))
 def q_pl_sentiment_corpus(spark, sf):
     c = Ctx(spark, sf)
-    s = PL.pl_sentiment_corpus(c.bars(), c.headlines())
+    s = PL.pl_sentiment_corpus(c.bars(), c.headlines(), SI.md5_scorer)
     return s.select("ticker", F.col("order_no").cast("bigint").alias("order_no"), "date", "relevancy",
                     r6("sentiment_score").alias("sentiment_score"), r6("next_day_change").alias("next_day_change"),
                     F.md5("text").alias("text_md5"))

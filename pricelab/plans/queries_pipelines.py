@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import price_list_text
 from . import pipelines as PL
+from . import standins as SI
 from .catalog import Ctx, r6, register
 from .oracle import cte, fmt2_sql, list_text_sql, render_sql
 from .queries_news import _LINE_SQL
@@ -110,7 +111,7 @@ FROM rqh r LEFT JOIN series5y s ON r.ticker = s.ticker
 WHERE r.request_id NOT IN (SELECT request_id FROM an_good)""", ("an_sent", "rqh", "series5y"))
 def q_pl_analyze(spark, sf):
     c = Ctx(spark, sf)
-    a = PL.pl_analyze(c.requests(), c.bars(), c.headlines())
+    a = PL.pl_analyze(c.requests(), c.bars(), c.headlines(), *SI.MODELS)
     ok = F.col("status") == K.STATUS_OK
 
     def w(col):
@@ -186,7 +187,7 @@ FROM rqh r LEFT JOIN series5y s ON r.ticker = s.ticker
 WHERE r.request_id NOT IN (SELECT request_id FROM bt_good)""", ("bt_rep", "rqh", "series5y"))
 def q_pl_backtest(spark, sf):
     c = Ctx(spark, sf)
-    b = PL.pl_backtest(c.requests(), c.bars(), c.headlines())
+    b = PL.pl_backtest(c.requests(), c.bars(), c.headlines(), *SI.MODELS)
     ok = F.col("status") == K.STATUS_OK
 
     def w(col):

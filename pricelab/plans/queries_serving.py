@@ -15,6 +15,7 @@ from ..operators import models as M
 from ..operators.corpus import array_moments
 from ..operators.horizons import horizon_table, resolve_horizon, validate_requests
 from ..sources import tables as T
+from . import standins as SI
 from .catalog import Ctx, r6, register
 from .oracle import (cte, drift_list_sql, fmt2_sql, list_text_sql, mean_sql, render_sql, std_sql)
 
@@ -316,7 +317,7 @@ def q_ud_write_text(spark, sf):
     p = render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=warning,
                last_price=fmt2(F.try_element_at("closes", F.lit(-1))), pred_days=F.lit("5"),
                forecast=py_list_text("t"), sentiment=F.lit(K.NO_NEWS_SUMMARY))
-    out = M.generate(s.withColumn("_p", p), "_p", "report", M.md5_writer)
+    out = M.generate(s.withColumn("_p", p), "_p", "report", SI.md5_writer)
     return out.select("ticker", "report")
 
 
@@ -367,7 +368,7 @@ def q_ud_forecast(spark, sf):
                trend=trend3(F.try_element_at("_f", F.lit(1)), F.try_element_at("_f", F.lit(-1))),
                context_days=F.size("_f").cast("string"), context=price_list_text("_f"),
                pred_days=F.col("model_days").cast("string"))
-    out = M.generate(j.withColumn("_p", p), "_p", "_t", M.drift_forecaster)
+    out = M.generate(j.withColumn("_p", p), "_p", "_t", SI.drift_forecaster)
     out = out.withColumn("fc", parse_prices("_t", F.col("prediction_days")))
     return out.select("request_id", F.size("fc").cast("bigint").alias("n_prices"),
                       price_list_text("fc").alias("prices_text"))

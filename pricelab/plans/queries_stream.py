@@ -10,6 +10,7 @@ from ..functions.text import price_list_text, summary_trim
 from ..operators import features as FE
 from ..session import scratch_path
 from ..streaming import jobs as S
+from . import standins as SI
 from .catalog import Ctx, register
 from .queries_corpus import _fold_oracle
 
@@ -42,10 +43,12 @@ def q_sm_headline_dedupe(spark, sf):
     base = scratch_path(spark, "stream-news")
     a, b, out, ck = (os.path.join(base, x) for x in ("pages", "documents", "out", "ckpt"))
     h = Ctx(spark, sf).headlines().where(F.col("title").isNotNull())
-    h.where(F.col("source") == "pages").write.parquet(a)
-    h.where(F.col("source") == "documents").write.parquet(b)
-    S.headline_dedupe(spark, [a, b], out, ck)
-    S.headline_dedupe(spark, [a, b], out, ck)  # second run: nothing new
+    for part in (1, 0, 3, 2, 1):  # by weeks, out of order, one delivered twice
+        h = h.withColumn("part", F.floor(F.datediff(F.lit("2001-11-04"), "date") / 7) % 4)
+        cut = h.where(F.col("part") == part).drop("part")
+        cut.where(F.col("source") == "pages").write.mode("append").parquet(a)
+        cut.where(F.col("source") == "documents").write.mode("append").parquet(b)
+        S.headline_dedupe(spark, [a, b], out, ck)
     return spark.read.parquet(out).select("ticker", "title")
 
 
@@ -56,9 +59,9 @@ def q_sm_rolling_summary(spark, sf):
     s = FE.series_arrays(FE.ingest(Ctx(spark, sf).bars()))
     s = s.select("ticker", F.col("closes").alias("ctx"))
     ch = FE.overlap_chunks(s, arr="ctx").select("ticker", "chunk_no", price_list_text("chunk").alias("chunk_text"))
-    early = F.col("chunk_no") < 4
-    ch.where(early).write.parquet(os.path.join(inp, "d1"))
-    S.rolling_summary(spark, inp, out, ck)
-    ch.where(~early).write.parquet(os.path.join(inp, "d2"))
-    S.rolling_summary(spark, inp, out, ck)
+    for part in (2, 0, 3, 1):  # out of order, and the first part twice
+        ch.where(F.col("chunk_no") % 4 == part).write.parquet(os.path.join(inp, f"d{part}"))
+        S.rolling_summary(spark, inp, out, ck, SI.chunk_summarizer)
+    ch.where(F.col("chunk_no") % 4 == 2).write.parquet(os.path.join(inp, "again"))
+    S.rolling_summary(spark, inp, out, ck, SI.chunk_summarizer)
     return S.latest_summaries(spark, out).select("ticker", summary_trim("summary").alias("summary"))

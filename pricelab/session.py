@@ -40,29 +40,30 @@ def local_session(cpus: int | str = "*", app: str = "pricelab", **conf) -> Spark
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only when
-    neither is set -- local runs and tests -- a fresh folder under the system
-    temp dir is created and registered.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Where
+    neither is set, a local session -- tests, the bench -- gets a fresh folder
+    under the system's temp folder; any other session is an error, since its
+    executors would not share such a folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
-        if d:
-            sc.setCheckpointDir(d)
-    if not d:
-        d = tempfile.mkdtemp(prefix="pricelab-ckpt-")
+        if not d:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            d = tempfile.mkdtemp(prefix="pricelab-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", d)
         sc.setCheckpointDir(d)
-        spark.conf.set("spark.checkpoint.dir", d)
     return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path below the shared checkpoint folder (for written tables)."""
+    """A unique path below the shared checkpoint folder (for written tables); a local one has no scheme."""
     base = ensure_checkpoint_dir(spark)
     if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+        base = "/" + base[len("file:"):].lstrip("/")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 _SHIPPED: set[str] = set()
@@ -73,8 +74,7 @@ def ship_package(spark: SparkSession) -> None:
 
     UDFs, ``applyInPandas`` and streaming state functions reference this
     package; ``addPyFile`` distributes a zip of it through Spark, as
-    ``--py-files`` would. The zip is written next to the checkpoint folder when
-    that is a local path, else to a driver-side file that Spark uploads.
+    ``--py-files`` would. The zip is a file of the driver, which Spark uploads.
     """
     import zipfile
 
@@ -83,9 +83,7 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = ensure_checkpoint_dir(spark)
-    folder = base[len("file:"):] if base.startswith("file:") else (base if "://" not in base else tempfile.mkdtemp())
-    os.makedirs(folder, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix="pricelab-code-")
     target = os.path.join(folder, f"pricelab-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):

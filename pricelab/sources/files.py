@@ -31,20 +31,34 @@ def write_prices(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
         w.format(fmt).save(path)
 
 
-def read_prices_csv(spark: SparkSession, path: str, layout: str = "partitioned") -> DataFrame:
-    """Read price CSVs with an explicit schema.
+def read_prices_csv(spark: SparkSession, path: str, layout: str = "partitioned", keep_corrupt: bool = False) -> DataFrame:
+    """Read price CSVs by their header's names, in any order and case; further columns are left out.
 
     ``layout='partitioned'``: folders written by ``write_prices``.
     ``layout='files'``: flat ``<TICKER>_processed_data.csv`` files; the ticker
-    comes from the file name.
+    comes from the file name. A row with a value that is no number or date is
+    left out, whatever columns are asked for; ``keep_corrupt=True`` keeps it, with
+    its text in ``corrupt_record`` (NULL for good rows).
     """
-    # malformed rows are dropped (the application skips a whole unreadable file instead)
-    r = spark.read.option("header", True).option("dateFormat", "yyyy-MM-dd").option("mode", "DROPMALFORMED")
+    r = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
+    df = r.option("basePath", path).csv(path) if layout == "partitioned" else r.csv(path)
+    there = {c.strip().lower(): c for c in df.columns}
     if layout == "partitioned":
-        return r.schema(PRICE_SCHEMA + ", ticker string").csv(path)
-    df = r.schema(PRICE_SCHEMA).csv(path)
-    ticker = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_processed_data", 1)
-    return df.select(ticker.alias("ticker"), *[c for c in df.columns])
+        ticker = F.col("ticker").cast("string")
+    else:
+        ticker = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_processed_data", 1)
+    cols, bad = [], F.lit(False)
+    for name, kind in (f.split() for f in PRICE_SCHEMA.split(", ")):
+        if name not in there:
+            cols.append(F.lit(None).cast(kind).alias(name))
+            continue
+        raw = F.nullif(F.trim(F.col(f"`{there[name]}`")), F.lit(""))
+        value = (F.substr(raw, F.lit(1), F.lit(10)) if kind == "date" else raw).try_cast(kind)
+        bad = bad | (raw.isNotNull() & value.isNull())
+        cols.append(value.alias(name))
+    text = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c != "ticker" or layout == "files"])
+    out = df.select(ticker.alias("ticker"), *cols, F.when(bad, text).alias("corrupt_record"))
+    return out if keep_corrupt else out.where(F.col("corrupt_record").isNull()).drop("corrupt_record")
 
 
 # ---------------------------------------------------------------------------

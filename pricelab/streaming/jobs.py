@@ -1,32 +1,38 @@
 """Structured Streaming jobs (file sources, ``availableNow`` triggers, checkpoints).
 
-* ``incremental_corpus``: raw daily bars arrive in files of any cut (per ticker,
-  per month, late, twice). Each micro-batch appends its bars to a bar store
-  partitioned by ticker, re-ingests only the touched tickers from the store
-  (duplicates removed on (ticker, date)) and rewrites their corpus partitions
-  with a dynamic partition overwrite. A replayed batch, a re-delivered file
-  or a late month therefore converges to the batch result; the checkpoint is
-  the resume state.
-* ``headline_dedupe``: two headline streams, one event-time watermark of the
-  look-back (5 days), ``dropDuplicatesWithinWatermark`` on (ticker, title).
-* ``rolling_summary``: per-ticker ordered fold over arriving chunks with
-  ``applyInPandasWithState``; state = (summary, last chunk number); chunks at or
-  below the last folded number are rejected as late or duplicate.
+All three converge to the batch result under late, repeated and out-of-order
+deliveries, and replaying a micro-batch changes nothing:
+
+* ``incremental_corpus``: raw daily bars arrive in files of any cut. Each
+  micro-batch appends its bars to a bar store partitioned by a hash bucket of
+  the ticker, reads only the buckets that it touches, re-ingests the touched
+  tickers (of several bars of a day the last delivered stays) and rewrites
+  their corpus partitions with a dynamic partition overwrite.
+* ``headline_dedupe``: two headline streams; a micro-batch adds the titles that
+  the output does not hold yet (anti join on the buckets that it touches), so a
+  title is never emitted twice and never lost, however late. The row kept is
+  that of the first delivery, and within it of the earliest publication.
+* ``rolling_summary``: per-ticker ordered fold over arriving chunks. The state
+  keeps a series' chunks with the summary after each (bounded by the length of
+  the series); a late chunk takes its place and the fold goes on from there.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import constants as K
-from ..operators import models as M
 from ..operators.corpus import ts_corpus
-from ..operators.features import ingest
+from ..operators.features import ingest, one_bar_per_day
+
+BUCKETS = 64  # partitions of a store
 
 BAR_STREAM_SCHEMA = "ticker string, date date, open double, high double, low double, close double, volume double"
 HEADLINE_STREAM_SCHEMA = ("ticker string, date date, published_at timestamp_ntz, title string, source string, "
@@ -49,11 +55,10 @@ def incremental_corpus(spark: SparkSession, input_dir: str, output_dir: str, che
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         touched = df.select("ticker").distinct()
-        df.write.mode("append").partitionBy("ticker").parquet(store_dir)
-        # semi join on the partition column: only the touched tickers' folders are read
-        bars = (spark.read.schema(BAR_STREAM_SCHEMA).parquet(store_dir).join(touched, "ticker", "left_semi")
-                .dropDuplicates(["ticker", "date"]))
-        corpus = ts_corpus(ingest(bars, period), seed=seed)
+        new = df.withColumn("batch", F.lit(epoch_id).cast("long")).withColumn("bucket", bucket_of("ticker"))
+        new.write.mode("append").partitionBy("bucket").parquet(store_dir)
+        bars = touched_buckets(new, stored_bars(spark, store_dir)).join(touched, "ticker", "left_semi")
+        corpus = ts_corpus(ingest(one_bar_per_day(bars, "batch").drop("batch", "bucket"), period), seed=seed)
         (corpus.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("ticker").parquet(output_dir))
 
@@ -62,49 +67,77 @@ def incremental_corpus(spark: SparkSession, input_dir: str, output_dir: str, che
     q.awaitTermination()
 
 
-def headline_dedupe(spark: SparkSession, input_dirs: list[str], output_dir: str, checkpoint_dir: str,
-                    delay: str = f"{K.NEWS_LOOKBACK_DAYS} days") -> None:
+def bucket_of(*keys: str):
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def touched_buckets(batch: DataFrame, store: DataFrame) -> DataFrame:
+    """The partitions of ``store`` that ``batch`` touches: at most ``BUCKETS`` numbers, as a filter on the partition column."""
+    found = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
+    return store.where(F.col("bucket").isin(found))
+
+
+def stored_bars(spark: SparkSession, store_dir: str) -> DataFrame:
+    return spark.read.schema(BAR_STREAM_SCHEMA + ", batch long, bucket int").parquet(store_dir)
+
+
+def headline_dedupe(spark: SparkSession, input_dirs: list[str], output_dir: str, checkpoint_dir: str) -> None:
     streams = [spark.readStream.schema(HEADLINE_STREAM_SCHEMA).option("recursiveFileLookup", "true").parquet(d)
                for d in input_dirs]
     u = streams[0]
     for s in streams[1:]:
         u = u.unionByName(s)
-    # watermarks need TIMESTAMP: the wall-clock publication time read in the session zone
-    u = u.withColumn("event_time", F.col("published_at").cast("timestamp"))
-    d = u.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["ticker", "title"])
-    q = (d.writeStream.format("parquet").option("path", output_dir).option("checkpointLocation", checkpoint_dir)
-         .outputMode("append").trigger(availableNow=True).start())
+    schema = HEADLINE_STREAM_SCHEMA + ", bucket int"
+
+    def batch(df: DataFrame, epoch_id: int) -> None:
+        rest = [c for c in df.columns if c not in ("ticker", "title", "published_at")]
+        new = df.groupBy("ticker", "title").agg(F.min(F.struct("published_at", *rest)).alias("_m")).select("ticker", "title", "_m.*")
+        new = new.withColumn("bucket", bucket_of("ticker", "title"))
+        try:
+            there = touched_buckets(new, spark.read.schema(schema).parquet(output_dir))
+        except AnalysisException:  # the first batch
+            there = spark.createDataFrame([], schema)
+        keys = there.select(F.col("ticker").alias("_t"), F.col("title").alias("_h"))
+        new = new.join(keys, F.col("ticker").eqNullSafe(F.col("_t")) & F.col("title").eqNullSafe(F.col("_h")), "left_anti")
+        new.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").partitionBy("bucket").parquet(output_dir)
+
+    q = (u.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-SUMMARY_STATE = "summary string, last_chunk int"
-SUMMARY_OUT = "ticker string, summary string, last_chunk int"
+SUMMARY_STATE = "chunks string"  # JSON: [[number, text, summary after it], ...] in order
+SUMMARY_OUT = "ticker string, summary string, n_chunks int"
 
 
 def _summary_fold(factory: Callable):
+    from ..plans.pipelines import cached_model, model_id
+
+    name = model_id(factory)
+
     def fn(key, pdfs, state):
-        from ..plans.pipelines import _cached
-        model = _cached(factory)
-        if state.exists:
-            summary, last = state.get
-        else:
-            summary, last = K.INITIAL_SUMMARY, -1
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values("chunk_no")
-        for no, text in zip(rows["chunk_no"].tolist(), rows["chunk_text"].tolist()):
-            if no <= last:
-                continue  # late or duplicate chunk
-            out = (model([K.SUMMARIZER_PROMPT.format(prior=summary, chunk=text)])[0] or "").strip()
-            if out:
-                summary = out
-            last = int(no)
-        state.update((summary, int(last)))
-        yield pd.DataFrame({"ticker": [key[0]], "summary": [summary], "last_chunk": [int(last)]})
+        model = cached_model(name, factory)
+        chunks = json.loads(state.get[0]) if state.exists else []
+        known = {c[0] for c in chunks}
+        rows = pd.concat(list(pdfs), ignore_index=True).drop_duplicates("chunk_no")
+        new = [[int(n), t, None] for n, t in zip(rows["chunk_no"], rows["chunk_text"]) if int(n) not in known]
+        if not new:
+            return
+        first = min(c[0] for c in new)
+        chunks = sorted(chunks + new, key=lambda c: c[0])
+        at = next(k for k, c in enumerate(chunks) if c[0] == first)
+        summary = chunks[at - 1][2] if at else K.INITIAL_SUMMARY
+        for c in chunks[at:]:  # a late chunk: the fold goes on from its place
+            out = (model([K.SUMMARIZER_PROMPT.format(prior=summary, chunk=c[1])])[0] or "").strip()
+            summary = c[2] = out or summary
+        state.update((json.dumps(chunks),))
+        yield pd.DataFrame({"ticker": [key[0]], "summary": [summary], "n_chunks": [len(chunks)]})
 
     return fn
 
 
 def rolling_summary(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
-                    factory: Callable = M.chunk_summarizer) -> None:
+                    factory: Callable) -> None:
     src = spark.readStream.schema(CHUNK_STREAM_SCHEMA).option("recursiveFileLookup", "true").parquet(input_dir)
     out = src.groupBy("ticker").applyInPandasWithState(
         _summary_fold(factory), SUMMARY_OUT, SUMMARY_STATE, "append", GroupStateTimeout.NoTimeout)
@@ -114,17 +147,17 @@ def rolling_summary(spark: SparkSession, input_dir: str, output_dir: str, checkp
 
 
 def latest_summaries(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Final summary per ticker: the emitted row with the highest chunk number."""
+    """Final summary per ticker: the emitted row with the most chunks."""
     df = spark.read.parquet(output_dir)
-    return df.groupBy("ticker").agg(F.max_by("summary", "last_chunk").alias("summary"))
+    return df.groupBy("ticker").agg(F.max_by("summary", "n_chunks").alias("summary"))
 
 
 def compact_store(spark: SparkSession, store_dir: str, target_dir: str) -> None:
-    """Rewrite the bar store with one file per ticker and no duplicate (ticker, date) rows.
+    """Rewrite the bar store with one file per bucket and one bar per (ticker, date), the last delivered.
 
-    Micro-batches append small files per ticker; compaction writes a new
-    version (a path cannot be overwritten while it is read). Pass
-    ``target_dir`` as ``store_dir`` on the next run of ``incremental_corpus``.
+    Micro-batches append small files; compaction writes a new version (a path
+    cannot be overwritten while it is read). Pass ``target_dir`` as
+    ``store_dir`` on the next run of ``incremental_corpus``.
     """
-    bars = spark.read.schema(BAR_STREAM_SCHEMA).parquet(store_dir).dropDuplicates(["ticker", "date"])
-    bars.repartition("ticker").write.mode("overwrite").partitionBy("ticker").parquet(target_dir)
+    bars = one_bar_per_day(stored_bars(spark, store_dir), "batch")
+    bars.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target_dir)

@@ -60,6 +60,20 @@ def test_price_csv_drops_malformed_rows(spark):
         f.write("date,open,high,low,close,volume,ma_20\n2024-01-02,1,1,1,5.5,1,5\n2024-01-03,1,1,1,oops,1,5\n")
     rows = IO.read_prices_csv(spark, flat, layout="files").collect()
     assert [(r.ticker, r.close) for r in rows] == [("X", 5.5)]
+    df = IO.read_prices_csv(spark, flat, layout="files")
+    assert df.select("ticker").count() == 1  # not a matter of the columns asked for
+    bad = IO.read_prices_csv(spark, flat, layout="files", keep_corrupt=True).where("corrupt_record is not null").collect()
+    assert len(bad) == 1 and "oops" in bad[0].corrupt_record
+
+
+def test_price_csv_of_the_vendor_layout(spark):
+    flat = scratch_path(spark, "flat-vendor")
+    os.makedirs(flat)
+    with open(os.path.join(flat, "BRK.B_processed_data.csv"), "w") as f:
+        f.write("Date,Open,High,Low,Close,Volume,Dividends,Stock Splits,MA_20\n2024-01-02,1,3,0.5,2.5,100,0.0,0.0,2.25\n")
+        f.write("2024-01-03 00:00:00-05:00,1,3,0.5,0.0005,100,0.0,0.0,\n")
+    rows = IO.read_prices_csv(spark, flat, layout="files").orderBy("date").collect()
+    assert [(r.ticker, str(r.date), r.low, r.close, r.ma_20) for r in rows] == [("BRK.B", "2024-01-02", 0.5, 2.5, 2.25), ("BRK.B", "2024-01-03", 0.5, 0.0005, None)]
 
 
 def test_union_survives_a_missing_source(spark):

@@ -1,8 +1,8 @@
 import datetime as dt
 
 from pricelab.functions import constants as K
-from pricelab.operators import models as M
 from pricelab.plans import pipelines as PL
+from pricelab.plans import standins as SI
 
 from .conftest import bars_df
 
@@ -23,7 +23,7 @@ def test_analyze_error_rows_and_success(spark):
                            (2, "https://q.example.com/quote/AAA", 95),
                            (3, "https://q.example.com/quote/SHORT", 30),
                            (4, "https://q.example.com/quote/NONE", 1)])
-    out = {r.request_id: r for r in PL.pl_analyze(req, bars, no_news(spark), forecaster=M.last_value_forecaster,
+    out = {r.request_id: r for r in PL.pl_analyze(req, bars, no_news(spark), SI.last_value_forecaster, *SI.MODELS[1:],
                                                   period=None).collect()}
     assert out[2].status == "Failure" and out[2].error_message == K.MSG_BAD_DAYS
     assert out[3].error_message == "Not enough historical data for SHORT (need at least 365 days)."
@@ -41,7 +41,7 @@ def test_backtest_metrics_and_truncation(spark):
     closes = [100.0 + (k % 13) for k in range(300)]
     bars = bars_df(spark, {"AAA": closes})
     req = requests(spark, [(1, "https://q.example.com/quote/AAA", 7), (2, "https://q.example.com/quote/AAA", 90)])
-    out = {r.request_id: r for r in PL.pl_backtest(req, bars, no_news(spark), forecaster=M.last_value_forecaster,
+    out = {r.request_id: r for r in PL.pl_backtest(req, bars, no_news(spark), SI.last_value_forecaster, *SI.MODELS[1:],
                                                    period=None).collect()}
     r = out[1]
     assert r.status == "Success" and r.n_compared == 7
@@ -62,7 +62,7 @@ def test_ordered_fold_matches_sql_fold(spark):
     s = FE.series_arrays(bars_df(spark, {"A": closes, "B": closes[:200], "C": closes[:20]}))
     ch = FE.overlap_chunks(s).withColumn("chunk_text", price_list_text("chunk"))
     udf_fold = {r.ticker: r.summary for r in PL.ordered_fold(ch, "ticker", "chunk_no", "chunk_text",
-                                                               M.chunk_summarizer).collect()}
+                                                               SI.chunk_summarizer).collect()}
     arr = ch.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"))
     sql_fold = {r.ticker: r.s for r in arr.select("ticker", PL.fold_sql_chunk_summarizer(F.col("c.chunk")).alias("s")).collect()}
     assert udf_fold == sql_fold
@@ -77,7 +77,7 @@ def test_backtest_strict_length_mismatch(spark):
     def short_forecaster():
         return lambda prompts: [" [1.00, 2.00]" for _ in prompts]
 
-    loose = PL.pl_backtest(req, bars, no_news(spark), forecaster=short_forecaster, period=None).first()
+    loose = PL.pl_backtest(req, bars, no_news(spark), short_forecaster, *SI.MODELS[1:], period=None).first()
     assert loose.status == "Success" and loose.n_compared == 2
-    strict = PL.pl_backtest(req, bars, no_news(spark), forecaster=short_forecaster, period=None, strict=True).first()
+    strict = PL.pl_backtest(req, bars, no_news(spark), short_forecaster, *SI.MODELS[1:], period=None, strict=True).first()
     assert strict.status == "Failure" and strict.error_message == "Forecast has 2 prices but the holdout has 7."

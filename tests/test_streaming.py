@@ -3,6 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from pricelab.operators import corpus as CO
+from pricelab.plans import standins as SI
 from pricelab.session import scratch_path
 from pricelab.streaming import jobs as S
 
@@ -30,26 +31,41 @@ def test_incremental_corpus_monthly_late_and_duplicate_files(spark):
     assert stream == batch and spark.read.parquet(out).count() == len(batch)
 
 
-def test_rolling_summary_rejects_late_chunks(spark):
+def test_rolling_summary_takes_late_chunks_in_order(spark):
     base = scratch_path(spark, "t-sum")
     inp, out, ck = (os.path.join(base, x) for x in ("in", "out", "ck"))
     text = ", ".join("1.00" for _ in range(40))
     spark.createDataFrame([("T", 0, text), ("T", 2, text)], S.CHUNK_STREAM_SCHEMA).write.parquet(os.path.join(inp, "a"))
-    S.rolling_summary(spark, inp, out, ck)
+    S.rolling_summary(spark, inp, out, ck, SI.chunk_summarizer)
     spark.createDataFrame([("T", 1, text), ("T", 3, text)], S.CHUNK_STREAM_SCHEMA).write.parquet(os.path.join(inp, "b"))
-    S.rolling_summary(spark, inp, out, ck)
+    S.rolling_summary(spark, inp, out, ck, SI.chunk_summarizer)
     r = S.latest_summaries(spark, out).first()
-    assert r.summary.startswith("Chunk 3,")  # chunk 1 arrived late and was rejected
+    assert r.summary.startswith("Chunk 4,")  # chunk 1 arrived late and took its place
+
+
+def test_headlines_neither_twice_nor_lost(spark):
+    import datetime as dt
+
+    base = scratch_path(spark, "t-news")
+    inp, out, ck = (os.path.join(base, x) for x in ("in", "out", "ck"))
+    day = lambda n: dt.datetime(2024, 3, 1) + dt.timedelta(days=n)
+    for n, rows in enumerate(([("seen", 0)], [("other", 31)], [("seen", 31)], [("late", 3)], [("late", 40), ("seen", 0)])):
+        df = spark.createDataFrame([("T", day(d).date(), day(d), t, "a", "en", n) for t, d in rows], S.HEADLINE_STREAM_SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(inp)
+        S.headline_dedupe(spark, [inp], out, ck)
+    assert sorted(r.title for r in spark.read.parquet(out).collect()) == ["late", "other", "seen"]
 
 
 def test_compact_store(spark):
     base = scratch_path(spark, "t-compact")
     store, compacted = os.path.join(base, "bars"), os.path.join(base, "bars-v2")
     bars = bars_df(spark, {"A": [1.0, 2.0, 3.0], "B": [4.0, 5.0]})
-    for _ in range(3):  # three appends, the same rows twice over
-        bars.write.mode("append").partitionBy("ticker").parquet(store)
+    for n in range(3):  # three deliveries of the same days, the last with other closes for B
+        more = bars.withColumn("close", F.when(F.col("ticker") == "B", F.col("close") + n).otherwise(F.col("close")))
+        more.withColumn("batch", F.lit(n).cast("long")).withColumn("bucket", S.bucket_of("ticker")).write.mode("append").partitionBy("bucket").parquet(store)
     S.compact_store(spark, store, compacted)
     back = spark.read.parquet(compacted)
     assert back.count() == 5
     files = [f for root, _, fs in os.walk(compacted) for f in fs if f.endswith(".parquet")]
-    assert len(files) == 2  # one per ticker
+    assert len(files) <= 2  # one per bucket
+    assert sorted(r.close for r in back.where("ticker = 'B'").collect()) == [6.0, 7.0]
