@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources import tables as T
 from .oracle import with_ctes
 
@@ -36,19 +37,30 @@ def r6(c) -> F.Column:
 
 
 class Ctx:
-    """Per-call access to the fixture tables."""
+    """Per-call access to the fixture tables.
+
+    The bars are written once per call to the shared folder: most queries use
+    them two to four times (the latest date, the windows, the requests), and
+    each use would read all of ``lineitem`` again.
+    """
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
+        self._bars: DataFrame | None = None
 
     def bars(self) -> DataFrame:
-        return T.bars(self.spark, self.sf)
+        if self._bars is None:
+            made = T.bars(self.spark, self.sf)
+            path = scratch_path(self.spark, "bars")
+            made.write.parquet(path)
+            self._bars = self.spark.read.schema(made.schema).parquet(path)
+        return self._bars
 
     def headlines(self) -> DataFrame:
         return T.headlines(self.spark, self.sf)
 
     def requests(self) -> DataFrame:
-        return T.requests(self.spark, self.sf)
+        return T.requests(self.spark, self.sf, self.bars())
 
 
 # modules that register queries (import for side effects)

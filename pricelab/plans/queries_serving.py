@@ -34,6 +34,10 @@ def _series(c: Ctx, with_dates=False):
     return FE.series_arrays(FE.ingest(c.bars()), with_dates=with_dates)
 
 
+def _responses(c: Ctx):
+    return T.responses(c.spark, c.sf, c.requests(), _series(c))
+
+
 def _req(c: Ctx):
     return c.requests().withColumn("ticker", ticker_from_url("url"))
 
@@ -109,7 +113,7 @@ FROM responses p JOIN rq r ON p.request_id = r.request_id""")
 
 
 def _parsed(c: Ctx):
-    resp = T.responses(c.spark, c.sf)
+    resp = _responses(c)
     r = c.requests().select("request_id", "prediction_days")
     j = resp.join(r, "request_id")
     return j.select("request_id", "prediction_days", "text",
@@ -128,7 +132,7 @@ def q_sc_parse_prices(spark, sf):
 @register("sc_after_marker", """
 SELECT request_id, string_split(text, 'PREDICTION:')[2] AS after FROM responses""", ("responses",))
 def q_sc_after_marker(spark, sf):
-    resp = T.responses(spark, sf)
+    resp = _responses(Ctx(spark, sf))
     return resp.select("request_id", after_marker("text").alias("after"))
 
 
@@ -139,7 +143,7 @@ SELECT request_id,
 FROM (SELECT request_id, regexp_extract_all(string_split(text, 'PREDICTION:')[2], '[\d\.]+') AS toks FROM responses)""",
           ("responses",))
 def q_sc_parse_prices_loose(spark, sf):
-    resp = T.responses(spark, sf)
+    resp = _responses(Ctx(spark, sf))
     after = after_marker("text")
     toks = F.regexp_extract_all(after, F.lit(K.RE_PRICE_LOOSE), 0)
     return resp.select("request_id", parse_prices_loose(after).isNotNull().alias("parsed_ok"),

@@ -35,21 +35,32 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def order_key():
+    """(l_orderkey, l_linenumber, l_partkey, l_suppkey) in one decimal: 13, 2, 12 and 11 digits.
+
+    A number of fixed width is a key that a hash aggregate can hold; a struct
+    would have every raw row sorted before and after the shuffle.
+    """
+    out = F.col("l_orderkey").cast("decimal(38,0)")
+    for c, digits in (("l_linenumber", 2), ("l_partkey", 12), ("l_suppkey", 11)):
+        out = (out * F.lit(10**digits).cast(f"decimal({digits + 1},0)")).cast("decimal(38,0)") + F.col(c).cast("decimal(12,0)")
+    return out.cast("decimal(38,0)")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``bars(ticker, date, open, high, low, close, volume)``."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     part = table(spark, sf_dir, "part", "p_partkey", "p_brand")
-    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return (li.join(part, li.l_partkey == part.p_partkey)
             .select(F.concat(F.lit("B"), F.substr("p_brand", F.lit(7))).alias("ticker"),
                     F.to_date("l_shipdate").alias("date"),
-                    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+                    order_key().alias("key"), "l_extendedprice", "l_quantity")
             .groupBy("ticker", "date")
-            .agg(F.min_by("l_extendedprice", key).alias("open"),
+            .agg(F.min_by("l_extendedprice", "key").alias("open"),
                  F.max("l_extendedprice").alias("high"),
                  F.min("l_extendedprice").alias("low"),
-                 F.max_by("l_extendedprice", key).alias("close"),
+                 F.max_by("l_extendedprice", "key").alias("close"),
                  F.sum("l_quantity").alias("volume")))
 
 

@@ -42,6 +42,18 @@ def test_scan_reads_only_needed_columns(spark):
     assert schemas and all("l_comment" not in s and "l_tax" not in s and "l_discount" not in s for s in schemas)
 
 
+def test_bars_are_hashed_not_sorted(spark):
+    from pricelab.sources import tables as T
+
+    p = T.bars(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in p and "Sort [" not in p.replace("SortMergeJoin", "") and p.count("HashAggregate") >= 2
+
+
+@pytest.mark.parametrize("name", ["pl_ingest", "pl_portfolio", "pl_ts_corpus", "pl_sentiment_corpus", "pl_backtest"])
+def test_lineitem_is_read_once(spark, name):
+    assert "lineitem.parquet" not in plan(spark, name)  # bars come from the table written once for the call
+
+
 def test_explicit_asof_drops_the_subquery_and_keeps_results(spark):
     from pricelab.plans import pipelines as PL
     from pricelab.sources import tables as T
