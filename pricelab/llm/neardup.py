@@ -1,7 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its word shingles, as 64-bit hashes. In a sketch every
-shingle flips one bit, so the Hamming distance of two sketches is at most the
+shingle flips one bit of a very wide segment (2**64 bits, named by the XOR of the
+hashes of the bits that are set), so the Hamming distance of two sketches is at most the
 size of the symmetric difference. Sets of Jaccard similarity at least
 ``percent`` / 100 differ in at most
 
@@ -9,11 +10,11 @@ size of the symmetric difference. Sets of Jaccard similarity at least
 
 elements. Sizes fall into bands, each up to 100 / percent times as wide as it
 begins, so partners are in one band or in neighbouring ones; a level joins a
-band with itself and the next. The level's sketch has more than D words of 64
-bits (``segments``), and D changed shingles leave at least one word of the
-sketch as it was (pigeonhole): (level, place, word) is a join key. Words that no
-shingle falls into say nothing and are no keys; a set with too few other words
-for the pigeonhole to hold without them adds its empty words as keys.
+band with itself and the next. The level's sketch has more than D
+``segments``, and D changed shingles leave at least one segment of the
+sketch as it was (pigeonhole): (level, place, segment) is a join key. Segments that no
+shingle falls into say nothing and are no keys; a set with too few others
+for the pigeonhole to hold without them adds its empty segments as keys.
 
 The keys of all blocks go through the fingerprint exchange; only keys that occur
 twice become rows. Sets that share a key, directly or through others, are a
@@ -50,7 +51,7 @@ SLOT = 1000  # sets: a larger cluster is verified slot by slot
 
 
 class Levels:
-    """Bands of sizes, and for each level the number of words of its sketch."""
+    """Bands of sizes, and for each level the number of segments of its sketch."""
 
     def __init__(self, percent: int, largest: int):
         self.percent, self.first = percent, [1]
@@ -77,9 +78,9 @@ class Levels:
                 continue
             place = ((x >> np.uint64(32)) * parts[d].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
             start = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (place[1:] != place[:-1])])
-            word = np.bitwise_xor.reduceat(np.uint64(1) << (x & np.uint64(63)), start)
+            word = np.bitwise_xor.reduceat(mix(x), start)
             d, place = d[start], place[start]
-            filled = word != 0  # flips may also cancel: that word is as empty as one without shingles
+            filled = word != 0
             found.append((d[filled], self._key(level[d], place, word)[filled]))
             full = np.bincount(d[filled], minlength=len(count))
             for k in np.flatnonzero(use & (full <= self.most[np.maximum(level, 0)])):
