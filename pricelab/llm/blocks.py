@@ -54,7 +54,7 @@ def _emit(parts: list[tuple[np.ndarray, np.ndarray, bytes]], number: int, extra:
     ids, sizes = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (0, 1))
     raw = b"".join(p[2] for p in parts)
     row = {"block": pa.array([number], pa.int64()), "ids": [ids.tobytes()], "sizes": [sizes.tobytes()],
-           "data": [pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)]}
+           "data": [pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)]}
     if extra:
         b = Block(row["ids"][0], row["sizes"][0], None)
         b.raw = raw

@@ -60,7 +60,7 @@ def owner_bounds(owners: int, bits: int) -> np.ndarray:
     return np.array([-(-(k << bits) // owners) for k in range(owners)], np.uint64)
 
 
-def shared(prints: DataFrame, total: int, bits: int = 56, owner_share: int = OWNER_SHARE, hot: int = 1 << 30) -> DataFrame:
+def shared(prints: DataFrame, total: int, bits: int = 40, owner_share: int = OWNER_SHARE, hot: int = 1 << 30) -> DataFrame:
     """(block, answer): one row a block with one entry (owner, n, bits, hot) for each list that it sent, in order.
 
     ``bits`` marks the fingerprints of more than one list, ``hot`` those of ``hot`` lists or more.
@@ -68,7 +68,7 @@ def shared(prints: DataFrame, total: int, bits: int = 56, owner_share: int = OWN
     ``prints``: (block, prints), a block's distinct uint64 fingerprints, sorted. ``total``: about how many there are in all.
     """
     owners = max(1, ceil(total / owner_share))
-    bits = max(bits, min(63, int(np.log2(total + 1)) + 24))
+    bits = max(bits, min(63, int(np.log2(total + 1)) + 22))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = owner_bounds(owners, bits)

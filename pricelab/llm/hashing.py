@@ -16,9 +16,12 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed permutation of the 64-bit integers whose output bits all depend on all input bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULT))
@@ -45,7 +48,9 @@ class Prefixes:
     def __init__(self, raw: np.ndarray):
         up, self.down = powers(len(raw))
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE[raw] * up[: len(raw)], out=self.sums[1:])
+        part = BYTE[raw]
+        part *= up[: len(raw)]
+        np.cumsum(part, out=self.sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Unmixed hashes of raw[start:end]; compare only those of equal length, or mix the length in."""
@@ -56,7 +61,9 @@ class Prefixes:
         n = len(self.sums) - size
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
+        h = self.sums[size:] - self.sums[:n]
+        h *= self.down[:n]
+        return mix(h)
 
 
 def words(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

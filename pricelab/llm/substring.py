@@ -45,7 +45,7 @@ from .blocks import NO_ID, Block, pack, raw_bytes
 from .exchange import marked, shared, with_answers
 from .hashing import BYTE, MULT, Prefixes, mix, powers
 
-GRAM, HOT, OWNER_ENTRIES = 24, 128, 100_000
+GRAM, HOT, OWNER_ANCHORS = 24, 128, 200_000
 
 
 class Anchors:
@@ -237,7 +237,7 @@ def seen_before(h, first, last, ids, context, size: int) -> np.ndarray:
     return out
 
 
-def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 2 << 20, hot: int = HOT,
+def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 1 << 20, hot: int = HOT,
              with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row (and ``kept``, the remaining bytes)."""
     assert GRAM < size < GRAM + 64
@@ -253,7 +253,7 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
 
     answers = shared(blocks.mapInArrow(prints, "block long, prints binary"), 2 * total // (size - GRAM + 2), hot=hot)
     asked = with_answers(blocks, answers)
-    owners = max(1, ceil(total / (size - GRAM + 2) / OWNER_ENTRIES))
+    owners = max(1, ceil(total / (size - GRAM + 2) / OWNER_ANCHORS))
 
     def dealt(deal: np.ndarray) -> np.ndarray:
         return ((mix(deal) >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
@@ -269,24 +269,34 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
                 cut = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0]) if len(order) else []
                 for k in np.split(order, cut[1:]) if len(order) else []:
                     context = raw[begin[k][:, None] + np.arange(wide)]
-                    context[np.arange(wide) >= (last - first)[k][:, None] + size] = 0
-                    body = b"".join([h[k].tobytes(), ids[k].tobytes(), first[k].astype(np.uint8).tobytes(), last[k].astype(np.uint8).tobytes(), context.tobytes()])
+                    context = context[np.arange(wide) < (last - first)[k][:, None] + size]  # end to end
+                    least = int(ids[k].min())
+                    kind = np.min_scalar_type(int(ids[k].max()) - least)
+                    body = b"".join([(ids[k] - least).astype(kind).tobytes(), first[k].astype(np.uint8).tobytes(), last[k].astype(np.uint8).tobytes(), context.tobytes()])
                     yield pa.record_batch([pa.array([int(owner[k[0]])], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([len(k)], pa.int32()),
-                                           pa.array([pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)], pa.binary())], names=["owner", "block", "n", "body"])
+                                           pa.array([least], pa.int64()), pa.array([kind.itemsize], pa.int32()), pa.array([len(body)], pa.int32()),
+                                           pa.array([pa.Codec("zstd", compression_level=3).compress(body, asbytes=True)], pa.binary())],
+                                          names=["owner", "block", "n", "least", "width", "raw", "body"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        for n, body in zip(pdf["n"], pdf["body"]):
-            raw = np.frombuffer(pa.Codec("zstd").decompress(body, int(n) * (18 + wide), asbytes=True), np.uint8)
-            cut = np.cumsum([0, 8 * n, 8 * n, n, n, wide * n])
+        for n, least, width, length, body in zip(*(pdf[c].tolist() for c in ("n", "least", "width", "raw", "body"))):
+            raw = np.frombuffer(pa.Codec("zstd").decompress(body, length, asbytes=True), np.uint8)
+            cut = np.cumsum([0, width * n, n, n])
             p = [raw[a:b] for a, b in zip(cut, cut[1:])]
-            parts.append((p[0].view(np.uint64), p[1].view(np.int64), p[2].astype(np.int64), p[3].astype(np.int64), p[4].reshape(n, wide)))
-        h, ids, first, last, context = (np.concatenate(x) for x in zip(*parts))
+            parts.append((p[0].view(f"<u{width}").astype(np.int64) + least, p[1].astype(np.int64), p[2].astype(np.int64), raw[cut[-1] :]))
+        ids, first, last, flat = (np.concatenate(x) for x in zip(*parts))
+        used = last - first + size
+        begin = np.cumsum(used) - used
+        h = mix(Prefixes(flat).spans(begin + last, begin + last + GRAM))  # the anchor's hash
+        flat = np.append(flat, np.zeros(wide, np.uint8))
+        context = flat[begin[:, None] + np.arange(wide)]
+        context[np.arange(wide) >= used[:, None]] = 0
         mask = seen_before(h, first, last, ids, context, size)
         ends = np.cumsum(pdf["n"].to_numpy())
         return pd.DataFrame({"block": pdf["block"], "owner": pdf["owner"], "masks": [mask[e - n : e].astype("<u4" if size - GRAM < 32 else "<u8").tobytes() for e, n in zip(ends, pdf["n"])]})
 
-    lists = asked.mapInArrow(send, "owner int, block long, n int, body binary")
+    lists = asked.mapInArrow(send, "owner int, block long, n int, least long, width int, raw int, body binary")
     masks = lists.groupBy("owner").applyInPandas(answer, "block long, owner int, masks binary")
     masks = masks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("owner", "masks"))).alias("answer"))
 
