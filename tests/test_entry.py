@@ -7,7 +7,9 @@ from .conftest import SF001
 
 FAST = ["pl_portfolio", "tk_interleave", "pl_ingest", "wn_window_choice", "sc_training_prompt", "src_news",
         "st_union_headlines", "jn_asof_next_day", "ag_forecast_error", "pn_rsi", "ud_classify_headlines",
-        "pl_ts_corpus", "pl_sentiment_corpus", "pl_analyze", "pl_backtest", "jn_horizon_lookup"]
+        "pl_ts_corpus", "pl_sentiment_corpus", "pl_analyze", "pl_backtest", "jn_horizon_lookup",
+        "sc_trend3", "sc_one_shot_prompt", "wn_one_shot_example", "jn_forecast_actual", "prj_ticker_from_url", "prj_news_query",
+        "sc_report_prompts", "sc_inference_prompt", "ag_context_stats", "snk_result_records"]
 
 
 def test_entry_returns_portfolio(spark):
@@ -16,7 +18,10 @@ def test_entry_returns_portfolio(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    from pricelab.plans import catalog
+
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert set(E.queries()) >= set(catalog.QUERIES) and set(E.oracle_sql()) >= set(catalog.ORACLE)
 
 
 @pytest.mark.parametrize("name", FAST)
