@@ -20,7 +20,6 @@ import json
 import sys
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import ahocorasick
@@ -31,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import held
+
 MEMO_WORDS = 250_000  # in each of three memos
 SLICE_BYTES = 1 << 20  # text turned into Python objects at a time
 LONG_WORD = 64  # bytes; longer words are merged by a heap
@@ -61,14 +62,18 @@ def little(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+def vocabulary(path: str) -> dict[int, bytes]:
+    """The bytes of every ordinary token."""
+    to_byte = byte_alphabet()
+    return {i: bytes(to_byte[c] for c in t) for t, i in json.loads(open(path, encoding="utf-8").read())["model"]["vocab"].items()}
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
     def __init__(self, path: str):
         spec = json.loads(open(path, encoding="utf-8").read())
-        to_byte = byte_alphabet()
-        vocab = spec["model"]["vocab"]
-        raw = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items()}
+        vocab, raw = spec["model"]["vocab"], vocabulary(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = [b""] * (max([*raw, *self.special.values()]) + 1)
         for i, b in raw.items():
@@ -213,9 +218,8 @@ class Codec:
         return b"".join(map(get, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held("codec", path, lambda: Codec(path))
 
 
 def _slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:

@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import fresh, held_out
+from .common import bounded_sample, fresh, held, held_out
 
-PIECE_BYTES, WORD_BYTES, MEMO_WORDS = 8, 32, 400_000
+PIECE_BYTES, WORD_BYTES, MEMO_WORDS = 8, 32, 250_000
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +38,7 @@ class Vocabulary:
     """Piece ids of byte strings, vectorised: a polynomial hash for each length and a sorted table of exact keys."""
 
     def __init__(self, path: str | None = None):
-        raw = [b for b in bpe.codec(path or bpe.default_path()).bytes_of if 0 < len(b) <= PIECE_BYTES]
+        raw = [b for b in bpe.vocabulary(path or bpe.default_path()).values() if 0 < len(b) <= PIECE_BYTES]
         self.pieces = sorted({*raw, *(bytes([b]) for b in range(256))})
         self.single = np.array([self.pieces.index(bytes([b])) for b in range(256)])
         key = np.array([self._key(p) for p in self.pieces], np.uint64)
@@ -149,15 +149,12 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     """Word counts of a bounded sample of labelled rows, the rows of smallest hash in each language."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).where(
         F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not langs:
-        return {}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.where(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows)
+    langs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    picked = bounded_sample(rows, "lang", langs, sample_rows)
     # At most sample_rows * max_langs ids: small enough to broadcast.
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length(text) <= sample_chars)
     out: dict[str, Counter] = {x: Counter() for x in langs}
-    for r in texts.join(F.broadcast(picked.select("id", "lang").distinct()), "id").toLocalIterator():
+    for r in texts.join(F.broadcast(picked), "id").toLocalIterator():
         out[r["lang"]].update(words_of(r["text"]))
     return {x: c for x, c in out.items() if c}
 
@@ -200,23 +197,18 @@ class Scorer:
         return lang, conf
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict(text: Column, spark: SparkSession, model: tuple[list[str], np.ndarray], path: str | None = None) -> Column:
     """struct(lang, score) of ``text`` under a fitted model."""
     shared, key = spark.sparkContext.broadcast((model[0], model[1].astype(np.float64))), fresh("m")
 
     @F.pandas_udf("lang string, score double")
     def lang_id(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(*shared.value, path)
+        scorer = held("language", key, lambda: Scorer(*shared.value, path))
         for s in batches:
             lang, score = [], []
             texts = [None if t is None or t != t else t for t in s]
             for run in bpe._slices(texts):
-                a, b = _SCORERS[key].score(run)
+                a, b = scorer.score(run)
                 lang += a
                 score += b
             yield pd.DataFrame({"lang": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype=float)})

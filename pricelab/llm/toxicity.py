@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import fresh, held_out
+from .common import bounded_sample, fresh, held, held_out
 
-NGRAMS, BUCKETS, MEMO_WORDS = (3, 4, 5), 1 << 17, 500_000
+NGRAMS, BUCKETS, MEMO_WORDS = (3, 4, 5), 1 << 17, 300_000
 MULT, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 17)
 WORDS = re.compile(r"[^\W_]+(?:[^\w\s][^\W_]+)*")
 
@@ -155,8 +155,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rows = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(
         F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy("id").agg(F.max("y").alias("y"))
     count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    picked = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).select("id", "y")
+    picked = bounded_sample(rows, "y", count, sample_rows)
     # At most 2 * sample_rows ids: small enough to broadcast.
     got = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length(text) <= sample_chars).join(F.broadcast(picked), "id")
     pairs = sorted((r["id"], r["text"], r["y"]) for r in got.toLocalIterator())
@@ -164,19 +163,14 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return [t for _, t, _ in pairs], np.array([y for *_, y in pairs], np.int64), count.get(1, 0) / total if total else 0.0
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def predict(text: Column, spark: SparkSession, model: Model) -> Column:
     shared, key = spark.sparkContext.broadcast(model), fresh("m")
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = shared.value
+        model = held("toxicity", key, lambda: Model(*shared.value.__getstate__()))
         for s in batches:
-            yield pd.Series([x for run in _slices(list(s)) for x in _MODELS[key].score(run)], dtype=float)
+            yield pd.Series([x for run in _slices(list(s)) for x in model.score(run)], dtype=float)
 
     return toxicity(text)
 
