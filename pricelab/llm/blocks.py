@@ -47,6 +47,12 @@ class Block:
         return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time as Python objects: a batch may hold tens of blocks."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 Extra = Callable[[Block], dict[str, bytes]]
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, Block, pack
+from .blocks import NO_ID, Block, pack, rows_of
 from .common import fresh, stored
 from .exchange import marked, shared, with_answers
 
@@ -49,17 +49,12 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_by
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     blocks = pack(docs, text, doc_id, block_bytes, _digests, "shas binary")
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = [np.unique(_prints(x)).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(v, pa.binary())], names=["block", "prints"])
-
     rows = blocks.agg(F.sum(F.octet_length("ids"))).collect()[0][0] or 0
-    answers = shared(blocks.select("block", "shas").mapInArrow(prints, "block long, prints binary"), rows // 8)
+    answers = shared(blocks.select("block", "shas"), lambda row: np.unique(_prints(row["shas"])), rows // 8)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b, fp = Block(row["ids"], row["sizes"], row["data"]), _prints(row["shas"])
                 uniq, inv, count = np.unique(fp, return_inverse=True, return_counts=True)
                 often = count > 1

@@ -13,7 +13,7 @@ a few different ones may (about n / 2**bits of them), so callers verify.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import rows_of
+
 OWNER_SHARE = 1_000_000  # fingerprints an owner
 
 
@@ -60,12 +62,13 @@ def owner_bounds(owners: int, bits: int) -> np.ndarray:
     return np.array([-(-(k << bits) // owners) for k in range(owners)], np.uint64)
 
 
-def shared(prints: DataFrame, total: int, bits: int = 40, owner_share: int = OWNER_SHARE, hot: int = 1 << 30) -> DataFrame:
+def shared(blocks: DataFrame, prints: Callable[[dict], np.ndarray], total: int, bits: int = 40, owner_share: int = OWNER_SHARE, hot: int = 1 << 30) -> DataFrame:
     """(block, answer): one row a block with one entry (owner, n, bits, hot) for each list that it sent, in order.
 
     ``bits`` marks the fingerprints of more than one list, ``hot`` those of ``hot`` lists or more.
 
-    ``prints``: (block, prints), a block's distinct uint64 fingerprints, sorted. ``total``: about how many there are in all.
+    ``prints`` gives a block's distinct uint64 fingerprints, sorted, from its row; it runs in the task that encodes
+    them, so there is one Python worker a task. ``total``: about how many there are in all.
     """
     owners = max(1, ceil(total / owner_share))
     bits = max(bits, min(63, int(np.log2(total + 1)) + 22))
@@ -73,8 +76,8 @@ def shared(prints: DataFrame, total: int, bits: int = 40, owner_share: int = OWN
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = owner_bounds(owners, bits)
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = np.frombuffer(raw.as_buffer(), np.uint64) >> np.uint64(64 - bits)
+            for row in rows_of(batch):
+                block, v = row["block"], prints(row) >> np.uint64(64 - bits)
                 cut = np.append(np.searchsorted(v, low), len(v))
                 out = []
                 for owner in np.flatnonzero(np.diff(cut)).tolist():
@@ -102,7 +105,7 @@ def shared(prints: DataFrame, total: int, bits: int = 40, owner_share: int = OWN
         return pd.DataFrame({"block": pdf["block"], "owner": pdf["owner"], "n": pdf["n"], "bits": [np.packbits(mark[c]).tobytes() for c in cut],
                              "hot": [np.packbits(many[c]).tobytes() if many[c].any() else None for c in cut]})
 
-    lists = prints.select("block", "prints").mapInArrow(send, "owner int, block long, n int, k int, code binary")
+    lists = blocks.mapInArrow(send, "owner int, block long, n int, k int, code binary")
     marks = lists.groupBy("owner").applyInPandas(answer, "block long, owner int, n int, bits binary, hot binary")
     return marks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("owner", "n", "bits", "hot"))).alias("answer"))
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, Block, pack, raw_bytes
+from .blocks import NO_ID, Block, pack, rows_of
 from .common import fresh, stored
 from .components import components
 from .exchange import marked, shared, with_answers
@@ -198,19 +198,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         doc, h, count = doc[keep], h[keep], np.where(first, count, 0)
         return (doc, h, count, node, *levels.keys(doc, h, count))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                *_, key = distinct(Block(row["ids"], row["sizes"], row["data"]))
-                yield pa.record_batch([pa.array([row["block"]], pa.int64()), pa.array([np.unique(key).tobytes()], pa.binary())], names=["block", "prints"])
+    def prints(row: dict) -> np.ndarray:
+        return np.unique(distinct(Block(row["ids"], row["sizes"], row["data"]))[-1])
 
     parts = blocks.select("block", "ids", "sizes", "data")
     share = 2 * (100 - percent) / percent  # keys a shingle, over two levels
-    answers = shared(parts.mapInArrow(prints, "block long, prints binary"), int(total["all"] * share))
+    answers = shared(parts, prints, int(total["all"] * share))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 doc, h, count, node, kdoc, key = distinct(Block(row["ids"], row["sizes"], row["data"]))
                 uniq, inv, n = np.unique(key, return_inverse=True, return_counts=True)
                 often = n > 1

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, Block, pack, raw_bytes
+from .blocks import NO_ID, Block, pack, raw_bytes, rows_of
 from .exchange import marked, shared, with_answers
 from .hashing import BYTE, MULT, Prefixes, mix, powers
 
@@ -146,7 +146,10 @@ def suffix_sort(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple
     """
     n = len(rows)
     table = np.zeros((n, rows.shape[1] + 1), np.uint64)
-    np.cumsum((BYTE[rows] * powers(rows.shape[1])[0][: rows.shape[1]]), axis=1, out=table[:, 1:])
+    part = BYTE[rows]
+    part *= powers(rows.shape[1])[0][: rows.shape[1]]
+    np.cumsum(part, axis=1, out=table[:, 1:])
+    del part
     padded = np.zeros((n, rows.shape[1] + 1), np.int16)  # 0 ends a row, a byte counts one more
     padded[:, :-1] = np.where(np.arange(rows.shape[1]) < sizes[:, None], rows.astype(np.int16) + 1, 0)
 
@@ -206,13 +209,15 @@ def seen_before(h, first, last, ids, context, size: int) -> np.ndarray:
     order = np.argsort(h, kind="stable")
     h, first, last, ids, context = h[order], first[order], last[order], ids[order], context[order]
     group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
-    row = np.arange(n)[:, None]
+    row = np.arange(n, dtype=np.int32)[:, None]
     # right of the anchor: up to the end of the string that starts last; left of it, reversed
     right_size, left_size = size - first, last
-    col = np.minimum(last[:, None] + np.arange(size), context.shape[1] - 1)
+    behind = last.astype(np.int32)[:, None]
+    col = np.minimum(behind + np.arange(size, dtype=np.int32), context.shape[1] - 1)
     right = np.where(np.arange(size) < right_size[:, None], context[row, col], 0).astype(np.uint8)
+    del col
     most = max(1, int(last.max()))
-    left = np.where(np.arange(most) < left_size[:, None], context[row, np.maximum(last[:, None] - 1 - np.arange(most), 0)], 0).astype(np.uint8)
+    left = np.where(np.arange(most) < left_size[:, None], context[row, np.maximum(behind - 1 - np.arange(most, dtype=np.int32), 0)], 0).astype(np.uint8)
     by_right, common_right = suffix_sort(right, right_size, group)
     by_left, common_left = suffix_sort(left, left_size, group)
     mask = np.zeros(n, np.uint64)
@@ -245,13 +250,10 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
     total = raw_bytes(blocks)
     wide = 2 * size - GRAM
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                v = Anchors(Block(row["ids"], row["sizes"], row["data"]), size).prints()
-                yield pa.record_batch([pa.array([row["block"]], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["block", "prints"])
+    def prints(row: dict) -> np.ndarray:
+        return Anchors(Block(row["ids"], row["sizes"], row["data"]), size).prints()
 
-    answers = shared(blocks.mapInArrow(prints, "block long, prints binary"), 2 * total // (size - GRAM + 2), hot=hot)
+    answers = shared(blocks, prints, 2 * total // (size - GRAM + 2), hot=hot)
     asked = with_answers(blocks, answers)
     owners = max(1, ceil(total / (size - GRAM + 2) / OWNER_ANCHORS))
 
@@ -260,7 +262,7 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 anchors = Anchors(Block(row["ids"], row["sizes"], row["data"]), size)
                 h, first, last, begin, deal, ids, *_ = anchors.entries(row["answer"])
                 raw = np.append(anchors.raw, np.zeros(wide, np.uint8))
@@ -302,7 +304,7 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b = Block(row["ids"], row["sizes"], row["data"])
                 anchors = Anchors(b, size)
                 _, first, last, _, deal, least, entry, low, high, doc = anchors.entries(row["answer"])

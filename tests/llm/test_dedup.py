@@ -28,7 +28,7 @@ def test_exchange_marks_what_occurs_in_two_blocks(spark):
     blocks = [np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64)) for _ in range(6)]
     blocks[3] = np.unique(np.concatenate([blocks[3], blocks[0][::7], blocks[5][:5]]))
     df = spark.createDataFrame([(k, bytearray(b.tobytes())) for k, b in enumerate(blocks)], "block long, prints binary")
-    got = {r["block"]: r["answer"] for r in exchange.shared(df, 2000, owner_share=300, hot=3).collect()}
+    got = {r["block"]: r["answer"] for r in exchange.shared(df, lambda r: np.frombuffer(r["prints"], np.uint64), 2000, owner_share=300, hot=3).collect()}
     count = collections.Counter(x for b in blocks for x in b.tolist())
     for k, b in enumerate(blocks):
         assert exchange.marked(got[k]).tolist() == [count[x] > 1 for x in b.tolist()]
