@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 NO_ID = (1 << 63) - 1
+SLICE_ROWS = 500  # rows of a batch that are copied at a time
 SCHEMA = "block long, ids binary, sizes binary, data binary"
 
 
@@ -68,14 +69,14 @@ def _emit(parts: list[tuple[np.ndarray, np.ndarray, bytes]], number: int, extra:
     return pa.record_batch({k: v if isinstance(v, pa.Array) else pa.array(v, pa.binary()) for k, v in row.items()})
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 2 << 20, extra: Extra | None = None,
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 1 << 20, extra: Extra | None = None,
          extra_schema: str = "") -> DataFrame:
     """A stored table of blocks; ``extra`` adds binary columns made from a block."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, [], 0
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             col = batch.column(1).cast(pa.large_binary())
             sizes = pc.binary_length(col).to_numpy(zero_copy_only=False)

@@ -45,7 +45,7 @@ def _prints(shas: bytes) -> np.ndarray:
     return np.frombuffer(shas, ">u8").reshape(-1, 4)[:, 0].astype(np.uint64)
 
 
-def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 2 << 20) -> DataFrame:
+def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     blocks = pack(docs, text, doc_id, block_bytes, _digests, "shas binary")
 

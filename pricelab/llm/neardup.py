@@ -174,7 +174,7 @@ def _links(rows: DataFrame, percent: int, group_rows: int = 2000) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
-                    block_bytes: int = 2 << 20) -> DataFrame:
+                    block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
 
     def nodes(b: Block) -> dict[str, bytes]:
