@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import held
 
-MEMO_WORDS = 250_000  # in each of three memos
+MEMO_WORDS = 200_000  # in each memo of chunks; half as many pre-tokens
 SLICE_BYTES = 1 << 20  # text turned into Python objects at a time
 LONG_WORD = 64  # bytes; longer words are merged by a heap
 ID = (1 << 24) - 1  # a merge is rank << 24 | new id
@@ -181,8 +181,8 @@ class Codec:
         holds what follows a space (``self.spaced``) or starts a text (``self.first``). A text with two spaces
         together, or one at its end, is cut by the pattern alone.
         """
-        for memo in (self.first, self.spaced, self.known):
-            if len(memo) > MEMO_WORDS:
+        for memo, most in ((self.first, MEMO_WORDS), (self.spaced, MEMO_WORDS), (self.known, MEMO_WORDS // 2)):
+            if len(memo) > most:
                 memo.clear()
         plan = []  # per text: (ids, chunk that starts it, chunks behind spaces)
         for t in texts:
