@@ -7,8 +7,8 @@ places that can matter:
 1. Anchors. Each string is found by its *anchor*, the position of the smallest
    hash among its ``GRAM``-byte substrings (leftmost of equals), so equal strings
    have the same anchor at the same offset, and only every 14th position or so is
-   one. The blocks exchange the anchors' hashes (Golomb-coded) and learn which
-   occur elsewhere.
+   one. The blocks exchange two hashes of every anchor (Golomb-coded), one for
+   each half of its strings, and learn which occur elsewhere.
 2. Suffixes. Those anchors go to owners with the bytes that their strings cover,
    one entry for each different context of a block, under its smallest doc_id. An
    owner sorts the suffixes from the anchors, and the reversed prefixes before
@@ -20,7 +20,7 @@ places that can matter:
 3. Answers. One bit for each string of an entry returns to its block, which marks
    the covered bytes.
 
-An anchor that ``HOT`` or more blocks send (a passage of a great part of all
+An anchor's half that ``HOT`` or more blocks send (a passage of a great part of all
 documents) is split: each of its strings is an entry by itself and goes to an
 owner by its own hash, so copies fall together in their block before they are sent.
 
@@ -82,14 +82,27 @@ class Anchors:
         self.high = start[np.append(first[1:], len(start)) - 1] if len(start) else start
         self.hash, self.doc = grams[self.at], doc[self.at].astype(np.int64)
 
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, left half?, print): a print for an anchor's strings of small offset, and one for those of large.
+
+        A string holds the anchor's gram and at least half of what it has besides on one side, so a print of that
+        longer piece says more than the gram alone, and equal strings still share it.
+        """
+        mid = (self.size - GRAM) // 2
+        right, left = np.flatnonzero(self.at - self.high <= mid), np.flatnonzero(self.at - self.low > mid)
+        at_r, at_l = self.at[right], self.at[left]
+        return (np.concatenate([right, left]), np.repeat([False, True], [len(right), len(left)]), np.concatenate(
+            [mix(self.prefixes.spans(at_r, at_r + GRAM + mid)), mix(self.prefixes.spans(at_l - mid - 1, at_l + GRAM) ^ np.uint64(MULT))]))
+
     def prints(self) -> np.ndarray:
-        return np.unique(self.hash)
+        return np.unique(self.halves()[2])
 
     def entries(self, answer):
         """The block's entries. Returns (anchor hash, offset of the first string, of the last, context start, key that deals it out,
         document id, entry of each use, use's first string, use's last, use's document)."""
-        uniq, inv = np.unique(self.hash, return_inverse=True)
-        ids = self.block.ids[self.doc] if len(self.doc) else np.empty(0, np.int64)
+        anchor, is_left, half = self.halves()
+        uniq, inv = np.unique(half, return_inverse=True)
+        ids = self.block.ids[self.doc[anchor]] if len(anchor) else np.empty(0, np.int64)
         least = np.full(len(uniq), NO_ID)
         most = np.full(len(uniq), -NO_ID - 1)
         np.minimum.at(least, inv, ids)
@@ -97,8 +110,17 @@ class Anchors:
         hit, hot = least < most, np.zeros(len(uniq), bool)
         if answer:
             hit, hot = hit | marked(answer), marked(answer, "hot")
-        take = np.flatnonzero(hit[inv])
-        low, high, at, doc, h, is_hot = self.low[take], self.high[take], self.at[take], self.doc[take], self.hash[take], hot[inv[take]]
+        hit_by, hot_by = np.zeros((2, len(self.at)), bool), np.zeros((2, len(self.at)), bool)
+        hit_by[is_left.astype(int), anchor], hot_by[is_left.astype(int), anchor] = hit[inv], hot[inv] & hit[inv]
+        mid = (self.size - GRAM) // 2
+        whole = hit_by.all(0) & ~hot_by.any(0)
+        uses = [(np.flatnonzero(whole), self.low, self.high, False)]
+        for side, (first, last) in enumerate(((np.maximum(self.low, self.at - mid), self.high), (self.low, np.minimum(self.high, self.at - mid - 1)))):
+            uses += [(np.flatnonzero(hit_by[side] & ~hot_by[side] & ~whole), first, last, False), (np.flatnonzero(hot_by[side]), first, last, True)]
+        take = np.concatenate([k for k, *_ in uses])
+        low, high = np.concatenate([f[k] for k, f, *_ in uses]), np.concatenate([x[k] for k, _, x, _ in uses])
+        is_hot = np.concatenate([np.full(len(k), z) for k, *_, z in uses])
+        at, doc, h = self.at[take], self.doc[take], self.hash[take]
         if is_hot.any():  # one use for each string
             n = np.where(is_hot, high - low + 1, 1)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -253,7 +275,7 @@ def repeated(docs: DataFrame, size: int = 50, text: str = "text", doc_id: str =
     def prints(row: dict) -> np.ndarray:
         return Anchors(Block(row["ids"], row["sizes"], row["data"]), size).prints()
 
-    answers = shared(blocks, prints, 2 * total // (size - GRAM + 2), hot=hot)
+    answers = shared(blocks, prints, 4 * total // (size - GRAM + 2), hot=hot)
     asked = with_answers(blocks, answers)
     owners = max(1, ceil(total / (size - GRAM + 2) / OWNER_ANCHORS))
 
