@@ -118,6 +118,14 @@ class Lines(HTMLParser):
             self.text.append(" ")
         self.close_to({tag}, SCOPE - {tag})
 
+    def parse_marked_section(self, i, report=1):
+        """'<![': a CDATA section that ends before the next '<![', or else a comment up to the next '>'."""
+        if self.rawdata[i : i + 9].upper() == "<![CDATA[":
+            end = self.rawdata.find("]]>", i + 9)
+            if end >= 0 and self.rawdata.find("<![", i + 9, end) < 0:
+                return end + 3
+        return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][1]):
             self.text.append(data)
@@ -131,11 +139,8 @@ def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 def main_text(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
     p = Lines()
-    try:
-        p.feed(html or "")
-        p.close()
-    except AssertionError:  # broken declarations; what was read before stays
-        pass
+    p.feed(html or "")
+    p.close()
     p.flush()
     lines = p.lines
     if not lines:

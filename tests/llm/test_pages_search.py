@@ -25,6 +25,12 @@ def test_odd_pages(html, text):
     assert text is None or got == text
 
 
+@pytest.mark.parametrize("section", ["<![foo bar]>", "<![ ", "<![1]>", "<![if !IE>", "<![endif]>", "<![CDATA[ a > b ]]>", "<![CDATA[ open", "<![RCDATA[ open", "<!["])
+def test_text_after_a_marked_section_stays(section):
+    got = htmltext.main_text(f"<article><p>one</p>{section}><p>two</p><![endif]><p>three</p><![CDATA[ last ]]></article>").split("\n")
+    assert [x for x in got if x != ">"] == ["one", "two", "three"]
+
+
 def test_page_without_article():
     long = "A paragraph with many words that goes on for quite a while, as the text of an article does. " * 3
     html = f"<body><div><a href=1>a</a><a href=2>b</a></div><div class=menu>menu</div><h2>Head</h2><p>{long}</p><p>{long}</p><div class='comment-list'><p>{long}</p></div></body>"
