@@ -4,7 +4,8 @@ The standard library's parser streams events; block-level tags cut the page
 into lines. A line's text-to-tag ratio is its characters over the tags seen
 since the line before. Lines in elements that are boilerplate by their own
 markup (navigation, header, footer, aside, form, script, hidden; adverts,
-notices, comments and the like by class, id or role) have no text. The ratios
+notices, comments and the like by class, id or role) have no text; a class or id
+does not count for an element that holds the page's article or main. The ratios
 are smoothed with a Gaussian; lines at or above the threshold (``level`` times
 the standard deviation of the smoothed ratios) form clusters. The regions that
 hold a cluster are kept whole: the article (or main) elements of a page that
@@ -40,6 +41,8 @@ NO_NAME = re.compile(
     r"breadcrumbs?|comments?|disqus|repl(?:y|ies)|footer|header|masthead|share|sharing|social|related|recommended|newsletter|subscribe|"
     r"login|signup|search|toolbar|widgets?|pagination|pager|skip)$")
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
+#: Words of a name after which the rest says what an element or its page has, lacks or shows, not what it is.
+STATE = frozenset("and disable disabled enable enabled has have hide hides no non not plus show shows use uses with without".split())
 CONTENT = frozenset(("article", "main"))
 SCOPE = frozenset(("html", "table", "td", "th", "caption", "template", "object", "marquee"))
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -52,31 +55,63 @@ def boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         return True
     if tag in ("html", "body"):
         return False
-    for k, v in attrs:
-        if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v and v.lower() in NO_ROLE:
-            return True
-        if k in ("class", "id") and v and tag not in CONTENT and any(NO_NAME.match(x.lower()) for x in NAME.findall(v)):
-            return True
+    return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v and v.lower() in NO_ROLE for k, v in attrs)
+
+
+def named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """True if a class or id names the element as boilerplate."""
+    if tag in CONTENT or tag in ("html", "body"):
+        return False
+    for name in (x for k, v in attrs if k in ("class", "id") and v for x in v.split()):
+        for x in map(str.lower, NAME.findall(name)):
+            if x in STATE:
+                break
+            if NO_NAME.match(x):
+                return True
     return False
 
 
 class Lines(HTMLParser):
-    """lines: (text, tags since the line before, region or 0, heading)."""
+    """Of a page: runs of text between block tags, and which elements hold its regions (article or main)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, without text, region
-        self.text: list[str] = []
-        self.tags = self.regions = 0
+        self.runs: list[tuple[list[tuple[str, tuple[int, ...]]], int, int, bool]] = []  # pieces, tags since the run before, region, heading
+        self.stack: list[tuple[str, bool, tuple[int, ...], int]] = []  # tag, without text, elements around it that a class or id names, region
+        self.text: list[tuple[str, tuple[int, ...]]] = []
+        self.tags = self.names = 0
+        self.regions: list[tuple[str, tuple[int, ...]]] = []  # tag, named elements around it
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if text:
-            region = self.stack[-1][2] if self.stack else 0
-            self.lines.append((text, self.tags, region, any(t in HEADING for t, *_ in self.stack[-3:])))
+        if any(not t.isspace() for t, _ in self.text):
+            region = self.stack[-1][3] if self.stack else 0
+            self.runs.append((self.text, self.tags, region, any(t in HEADING for t, *_ in self.stack[-3:])))
             self.tags = 0
+        self.text = []
+
+    def lines(self) -> list[tuple[str, int, int, bool]]:
+        """(text, tags since the line before, region or 0, heading).
+
+        A region in elements named as boilerplate counts if it is a main, or has more text than any region outside of
+        them. The names of the elements that hold such a region (or, on a page whose regions are empty, any) do not count.
+        """
+        chars = [0] * (len(self.regions) + 1)
+        for pieces, _, region, _ in self.runs:
+            chars[region] += sum(len(t) for t, _ in pieces)
+        least = max((n for n, (_, names) in zip(chars[1:], self.regions) if not names), default=0)
+        counts = [not names or n > 0 and (tag == "main" or n > least) for n, (tag, names) in zip(chars[1:], self.regions)]
+        filled = any(c and n for c, n in zip(counts, chars[1:]))
+        freed = {x for c, (_, names) in zip(counts, self.regions) if c or not filled for x in names}
+        out, tags = [], 0
+        for pieces, n, region, heading in self.runs:
+            tags += n
+            if region and not counts[region - 1]:
+                continue
+            text = " ".join("".join(t for t, names in pieces if freed.issuperset(names)).split())
+            if text:
+                out.append((text, tags, region, heading))
+                tags = 0
+        return out
 
     def close_to(self, tags: set[str], stop: frozenset[str]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -89,7 +124,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", ()))
         if tag in BLOCK:
             self.flush()
             self.close_to({"p"}, SCOPE | CONTENT | {"div", "section", "li", "body", "blockquote"})
@@ -97,12 +132,15 @@ class Lines(HTMLParser):
             self.close_to(ENDS[tag], SCOPE - {"td", "th"} if tag == "tr" else frozenset({"ul", "ol", "dl", "table", "body", "select"}))
         if tag in VOID:
             return
-        _, silent, region = self.stack[-1] if self.stack else ("", False, 0)
+        _, silent, names, region = self.stack[-1] if self.stack else ("", False, (), 0)
         silent = silent or boilerplate(tag, attrs)
+        if not silent and named(tag, attrs):
+            self.names += 1
+            silent, names = bool(region), (*names, self.names)  # a region's own parts hold no other region
         if tag in CONTENT and not silent and not region:
-            self.regions += 1
-            region = self.regions
-        self.stack.append((tag, silent, region))
+            self.regions.append((tag, names))
+            region, names = len(self.regions), ()
+        self.stack.append((tag, silent, names, region))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -115,7 +153,7 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", ()))
         self.close_to({tag}, SCOPE - {tag})
 
     def parse_marked_section(self, i, report=1):
@@ -127,8 +165,9 @@ class Lines(HTMLParser):
         return self.parse_bogus_comment(i, report)
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][1]):
-            self.text.append(data)
+        _, silent, names, _ = self.stack[-1] if self.stack else ("", False, (), 0)
+        if not silent:
+            self.text.append((data, names))
 
 
 def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -142,7 +181,7 @@ def main_text(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
     p.feed(html or "")
     p.close()
     p.flush()
-    lines = p.lines
+    lines = p.lines()
     if not lines:
         return ""
     ratio = smooth(np.array([len(t) / max(1, n) for t, n, *_ in lines]), sigma)

@@ -31,6 +31,16 @@ def test_text_after_a_marked_section_stays(section):
     assert [x for x in got if x != ">"] == ["one", "two", "three"]
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "page-with-header", "layout-sidebar-left", "withSidebar", "widget"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_a_class_does_not_silence_what_holds_the_article(name, tag):
+    html = f"<div class='{name}'><div id='{name}'><{tag}><h1>Head</h1><p>The text of it.<div class=ad>Buy</div><p>And more.</{tag}></div></div><div class=sidebar>Links</div>"
+    assert htmltext.main_text(html).split("\n") == ["Head", "The text of it.", "And more."]
+    html = f"<{tag}><p>The text of it.</{tag}><div class=comments><article><p>Not so.</article></div>"
+    assert htmltext.main_text(html) == "The text of it."
+    assert htmltext.main_text("<div class='no-sidebar'><p>Words</div>") == htmltext.main_text("<div class=sidebar><main></main><p>Words</div>") == "Words"
+
+
 def test_page_without_article():
     long = "A paragraph with many words that goes on for quite a while, as the text of an article does. " * 3
     html = f"<body><div><a href=1>a</a><a href=2>b</a></div><div class=menu>menu</div><h2>Head</h2><p>{long}</p><p>{long}</p><div class='comment-list'><p>{long}</p></div></body>"
