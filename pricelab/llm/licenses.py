@@ -2,13 +2,14 @@
 
 A text is brought to a canonical form: lower case; copyright lines removed;
 punctuation to spaces; equivalent spellings to one; white space to one space.
-The sha256 of the whole form is joined with the digests of the known notices,
+The sha256 of the whole form is joined with the digests of the known full
+licence texts (``license_digests``, with and without their titles) and notices,
 and so is every line's, because notices are mostly one line of a document; a
 notice listed under two licences counts as the one that sorts first. A line's own copyright statement is a line
 removed, so it names no licence.
 
 Null texts count as empty; an empty form matches nothing. Rows repeated with
-the same doc_id and form are one row of the result, their lines counted together. The table of known notices is fixed and small, so it is broadcast; a
+the same doc_id and form are one row of the result, their lines counted together. The table of known digests is fixed and small, so it is broadcast; a
 table given by the caller is joined as Spark decides.
 """
 
@@ -20,6 +21,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import DIGESTS
+
 # FIXED VALUES: known notices. Titles and short notices by which the licences are granted.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -82,9 +85,10 @@ def digest(form: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """(license, digest) of the known notices: at most ``len(KNOWN)`` rows."""
+    """(license, digest) of the known notices and full texts: a fixed table."""
     df = with_form(spark.createDataFrame(list(KNOWN), "license string, notice string"), F.col("notice"), "form")
-    return df.select("license", digest(one_line(F.col("form"))).alias("digest")).distinct()
+    texts = spark.createDataFrame([(name, d) for name, found in DIGESTS.items() for d in found], "license string, digest string")
+    return df.select("license", digest(one_line(F.col("form"))).alias("digest")).unionByName(texts).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -1,8 +1,13 @@
+import os
+import re
+import textwrap
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pricelab.llm import htmltext, licenses, topk
+from pricelab.llm.license_digests import DIGESTS
 
 from .helpers import docs_frame
 
@@ -93,6 +98,41 @@ def test_licences(spark):
     assert licenses.scan(docs_frame(spark, [])).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def test_full_licence_texts(spark):
+    wrapped = "\n\n".join(textwrap.fill(p, 72) for p in MIT.split("\n\n"))
+    rows = [
+        (1, "The MIT Licence (MIT)\n\nCopyright (c) 2031 A Body\nAll rights reserved.\n\n" + MIT, "MIT"), (2, MIT.replace("\n", "\r\n"), "MIT"), (3, wrapped, "MIT"),
+        (4, "ISC Licence\n\nCopyright 2001-2004 Somebody Else <a@b.c>\n\n" + ISC, "ISC"), (5, MIT + "\nNot for anybody else.", None), (6, "Licensed under the ISC Licence.", "ISC"),
+    ]
+    common = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for k, (f, name) in enumerate(common.items()):
+        if os.path.exists(path := f"/usr/share/common-licenses/{f}"):
+            text = open(path, encoding="utf-8").read()
+            rows += [(10 + k, text, name), (20 + k, re.sub(r"\b([Aa])uthoriz", r"\1uthoris", re.sub(r"\b([Ll])icense", r"\1icence", text)), name)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs_frame(spark, [(i, t, None, None) for i, t, _ in rows])).collect()}
+    assert got == {i: name for i, _, name in rows}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "EPL-2.0", "Unlicense", "Zlib"} <= set(DIGESTS)
+
+
 def licenses_digest(spark, text):
     df = licenses.with_form(spark.createDataFrame([(text,)], "t string"), F.col("t"), "form")
     return df.select(licenses.digest(licenses.one_line(F.col("form")))).collect()[0][0]
