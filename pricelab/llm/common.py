@@ -50,6 +50,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_each(docs: DataFrame, id: Column, key: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by ``decided`` (id, key, kept), one row for each of theirs; of rows alike in
+    id and key any one stays.
+
+    Only keys that go or occur twice are joined, so a table without copies is not joined with itself.
+    """
+    i, k, r = fresh("i"), fresh("k"), fresh("r")
+    groups = decided.groupBy("id", "key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    groups = stored(groups.select(F.col("id").alias(i + "g"), F.col("key").alias(k + "g"), "kept"), "decisions")
+    rows = docs.withColumns({i: id, k: key})
+    same = lambda g: (F.col(i) == g[i + "g"]) & (F.col(k) == g[k + "g"])
+    stay, repeated = rows.join(groups, same(groups), "left_anti").select(docs.columns), groups.where("kept")
+    if repeated.isEmpty():
+        return stay
+    some = rows.join(repeated, same(repeated), "left_semi").groupBy(i, k).agg(F.first(F.struct(*docs.columns)).alias(r))
+    return stay.union(some.select(*[F.col(r).getField(c).alias(c) for c in docs.columns]))
+
+
 _HELD: dict = {}
 
 

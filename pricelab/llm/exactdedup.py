@@ -9,9 +9,9 @@ texts the row with the smallest doc_id stays.
 
 Null texts count as empty, and empty texts are equal. A null doc_id comes after
 all others, so it stays only if its whole group has none. Rows that repeat a
-doc_id and text share one decision and each count for the group's size; rows
-without a doc_id cannot be told apart, so ``deduplicated`` keeps them all if one
-of them stays. An empty table gives no rows.
+doc_id and text share one decision and each count for the group's size;
+``deduplicated`` keeps one row of each group, any one of those that share the
+decision to stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, Block, pack, rows_of
-from .common import fresh, stored
+from .common import one_each, stored
 from .exchange import marked, shared, with_answers
 
 #: Runs of white space other than one space; they become one space.
@@ -86,7 +87,14 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_by
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay."""
-    d = fresh("d")
-    stay = decide(docs, text, doc_id).where("kept").select(F.col("doc_id").alias(d)).distinct()
-    return docs.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col(d))).select(docs.columns)
+    """The rows of ``docs`` that stay: one of every group of equal texts."""
+
+    @F.pandas_udf("string")
+    def text_sha256(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([hashlib.sha256(normalised(x)).hexdigest() for x in s], dtype=object)
+
+    no_id = F.lit(NO_ID)
+    decided = decide(docs, text, doc_id).select(F.coalesce("doc_id", no_id).alias("id"), F.col("text_sha256").alias("key"),
+                                                F.equal_null("doc_id", "keep_id").alias("kept"))
+    return one_each(docs, F.coalesce(F.col(doc_id).cast("long"), no_id), text_sha256(F.coalesce(F.col(text), F.lit("")).cast("binary")), decided)

@@ -41,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, Block, pack, rows_of
-from .common import fresh, stored
+from .blocks import NO_ID, SLICE_ROWS, Block, pack, rows_of
+from .common import one_each, stored
 from .components import components
 from .exchange import marked, shared, with_answers
 from .hashing import MULT, mix, shingle_sets
@@ -176,6 +176,12 @@ def _links(rows: DataFrame, percent: int, group_rows: int = 2000) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
                     block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
+    out = decide(docs, words, percent, text, doc_id, block_bytes)
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+
+
+def decide(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 1 << 20) -> DataFrame:
+    """id, n, node, component (as ids) and first (the row's set is the one that stays for its component) for every row."""
 
     def nodes(b: Block) -> dict[str, bytes]:
         _, _, count, node = _sets(b, words)
@@ -185,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     names = _explode(blocks, words)
     total = names.agg(F.max("n").alias("largest"), F.sum("n").alias("all")).collect()[0]
     if not total["largest"]:
-        return names.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("id", F.lit(NO_ID)).alias("component_id"))
+        return names.select("id", "n", "node", F.col("id").alias("component"), F.lit(True).alias("first"))
     levels = Levels(percent, total["largest"])
 
     def distinct(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -249,15 +255,27 @@ def _named(names: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest id of every component: first a table of nodes, then of components, each joined from a table of its own."""
     nodes = stored(names.where("n > 0").groupBy("node").agg(F.min("id").alias("least")), "nodes")
     nodes = stored(nodes.join(labels.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", F.coalesce("label", "node").alias("label"), "least"), "nodes")
-    whole = stored(nodes.groupBy("label").agg(F.min("least").alias("component")).withColumnRenamed("label", "l"), "components")
-    nodes = stored(nodes.join(whole, F.col("label") == F.col("l")).select(F.col("node").alias("m"), "component"), "nodes")
+    least = F.min(F.struct("least", "node"))
+    whole = stored(nodes.groupBy("label").agg(least["least"].alias("component"), least["node"].alias("top")).withColumnRenamed("label", "l"), "components")
+    nodes = stored(nodes.join(whole, F.col("label") == F.col("l")).select(F.col("node").alias("m"), "component", (F.col("node") == F.col("top")).alias("first")), "nodes")
     out = names.join(nodes, (F.col("node") == F.col("m")) & (F.col("n") > 0), "left")
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
-                      F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component."""
-    d = fresh("d")
-    stay = near_duplicates(docs, text=text, doc_id=doc_id, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias(d)).distinct()
-    return docs.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col(d))).select(docs.columns)
+    return out.select("id", "n", "node", F.coalesce("component", "id").alias("component"), F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """One row of every component, one of those with its smallest doc_id; all rows without words."""
+
+    @F.pandas_udf("long")
+    def set_node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            nodes = []
+            for k in range(0, len(s), SLICE_ROWS):
+                raw = s.iloc[k : k + SLICE_ROWS].tolist()
+                b = Block(np.arange(len(raw)).tobytes(), np.fromiter(map(len, raw), np.int64, len(raw)).tobytes(), None)
+                b.raw = b"".join(raw)
+                _, _, count, node = _sets(b, words)
+                nodes.append(np.where(count > 0, node, 0))
+            yield pd.Series(np.concatenate(nodes) if nodes else np.empty(0, np.int64))
+
+    decided = decide(docs, words, percent, text, doc_id, **how).where("n > 0").select("id", F.col("node").alias("key"), (F.col("first") & (F.col("id") == F.col("component"))).alias("kept"))
+    return one_each(docs, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), set_node(F.coalesce(F.col(text), F.lit("")).cast("binary")), decided)

@@ -53,6 +53,20 @@ def test_exact(spark):
     assert exactdedup.decide(docs_frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Copies with equal and null ids, and ids repeated with other texts."""
+    text = {x: " ".join(f"{x}{k}" for k in range(60)) for x in "abcde"}
+    ids = [(1, "a"), (1, "a"), (None, "a"), (1, "b"), (0, "b"), (None, "c"), (None, "c"), (None, "d"), (2, "e"), (2, "e"), (3, "e")]
+    rows = [(i, text[t], "en", "a") for i, t in ids]
+    want = sorted([(1, text["a"]), (0, text["b"]), (None, text["c"]), (None, text["d"]), (2, text["e"])], key=key)
+    for df in (exactdedup.deduplicated(docs_frame(spark, rows)), neardup.one_of_each(docs_frame(spark, rows))):
+        assert df.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        assert sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=key) == want
+    near = [(i, text[t] + (" more" if k % 2 else ""), "en", "a") for k, (i, t) in enumerate(ids)] + [(None, None, None, None), (None, "", None, None)]
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in neardup.one_of_each(docs_frame(spark, near)).collect()]
+    assert sorted(got, key=key) == sorted([(1, "a"), (0, "b"), (None, "c"), (None, "d"), (2, "e"), (None, ""), (None, "")], key=key)
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80), (1, 50)])
 def test_near(spark, words, percent):
     rows = odd_docs()
