@@ -5,9 +5,10 @@ probability of a word is the sum over all its segmentations into pieces, by the
 forward algorithm; a text is the product of its words. The piece probabilities
 are learnt by expectation-maximisation (forward-backward, so training
 marginalises over segmentations as well) on a bounded sample of labelled rows:
-``sample_rows`` rows a language, of at most ``sample_chars`` characters each,
-for the ``max_langs`` most frequent languages. Only the fitted table is
-broadcast; its size is bounded by the vocabulary times ``max_langs``.
+``sample_rows`` rows a language, of at most ``sample_chars`` characters each.
+Every language is learnt that has a labelled row with letters outside the
+held-out fold, each in a task of its own. Only the fitted table is broadcast, the
+pieces that a language's sample holds.
 
 Whole texts are scored (words longer than ``WORD_BYTES`` as runs of that many
 bytes). Null texts, texts without letters, and all texts if nothing could be
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_sample, fresh, held, held_out
+from .common import fresh, held, held_out
 
 PIECE_BYTES, WORD_BYTES, MEMO_WORDS = 8, 32, 250_000
+PART = 64  # languages with a dense table at a time
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -112,98 +114,141 @@ def forward(vocab: Vocabulary, prob: np.ndarray, words: np.ndarray, keep: bool =
     return (alpha, used) if keep else alpha[size]
 
 
-def fit(samples: dict[str, Counter], path: str | None = None, rounds: int = 3, seen: float = 0.05) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log-free table piece x language of probabilities."""
-    vocab, langs = Vocabulary(path), sorted(samples)
-    prob = np.zeros((len(vocab.pieces), len(langs)))
-    for c, lang in enumerate(langs):
-        count: Counter = Counter()
-        for w, n in samples[lang].items():
-            for x in chunks(w):
-                count[x] += n
-        items = list(count)
-        weight = np.array([count[x] for x in items], float)
-        groups = list(by_length(items))
-        p = np.full((len(vocab.pieces), 1), 1.0 / len(vocab.pieces))
-        for _ in range(rounds):
-            expected = np.zeros(len(vocab.pieces))
-            for at, words in groups:
-                alpha, used = forward(vocab, p, words, keep=True)
-                beta = np.zeros_like(alpha)
-                beta[-1] = 1
-                for start, end, hit, ids in reversed(used):
-                    beta[start, hit] += beta[end, hit] * p[ids]
-                total = alpha[-1, :, 0]
-                scale = np.divide(weight[at], total, out=np.zeros(len(at)), where=total > 0)
-                for start, end, hit, ids in used:
-                    share = alpha[start, hit, 0] * p[ids, 0] * beta[end, hit, 0] * scale[hit]
-                    expected += np.bincount(ids, share, len(expected))
-            expected[vocab.single] += seen  # any text stays possible
-            p = (expected / expected.sum())[:, None]
-        prob[:, c] = p[:, 0]
-    return langs, prob
-
-
-def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = 300,
-           sample_chars: int = 20_000, max_langs: int = 64) -> dict[str, Counter]:
-    """Word counts of a bounded sample of labelled rows, the rows of smallest hash in each language."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).where(
-        F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    langs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    picked = bounded_sample(rows, "lang", langs, sample_rows)
-    # At most sample_rows * max_langs ids: small enough to broadcast.
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length(text) <= sample_chars)
-    out: dict[str, Counter] = {x: Counter() for x in langs}
-    for r in texts.join(F.broadcast(picked), "id").toLocalIterator():
-        out[r["lang"]].update(words_of(r["text"]))
-    return {x: c for x, c in out.items() if c}
-
-
-class Scorer:
-    def __init__(self, langs: list[str], prob: np.ndarray, path: str | None = None):
-        self.langs, self.prob, self.vocab = langs, prob, Vocabulary(path)
+def learn(vocab: Vocabulary, words: Counter, rounds: int = 3, seen: float = 0.05) -> np.ndarray:
+    """Probability of every piece in the language of a sample's words; 0 for pieces that no word holds."""
+    count: Counter = Counter()
+    for w, n in words.items():
+        for x in chunks(w):
+            count[x] += n
+    items = list(count)
+    weight = np.array([count[x] for x in items], float)
+    groups = list(by_length(items))
+    p = np.full((len(vocab.pieces), 1), 1.0 / len(vocab.pieces))
+    for _ in range(rounds):
+        expected = np.zeros(len(vocab.pieces))
+        for at, words in groups:
+            alpha, used = forward(vocab, p, words, keep=True)
+            beta = np.zeros_like(alpha)
+            beta[-1] = 1
+            for start, end, hit, ids in reversed(used):
+                beta[start, hit] += beta[end, hit] * p[ids]
+            total = alpha[-1, :, 0]
+            scale = np.divide(weight[at], total, out=np.zeros(len(at)), where=total > 0)
+            for start, end, hit, ids in used:
+                share = alpha[start, hit, 0] * p[ids, 0] * beta[end, hit, 0] * scale[hit]
+                expected += np.bincount(ids, share, len(expected))
+        expected[vocab.single] += seen  # any text stays possible
+        p = (expected / expected.sum())[:, None]
+    return p[:, 0]
+
+
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = 300, sample_chars: int = 20_000) -> DataFrame:
+    """lang and text (at most ``sample_chars`` characters) of ``sample_rows`` labelled rows of each language.
+
+    Of the rows with letters that are short enough, those of smallest hash; of a language without such rows the
+    shortest, by their first ``sample_chars`` characters. A threshold on the hash leaves about twice as many to order.
+    """
+    n = F.length(text)
+    rows = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id) & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text"), n.alias("size"), F.xxhash64(doc_id, text).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count_if(F.col("size") <= sample_chars).alias("n")).collect()
+    # One row a language.
+    counts = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counts], "l string, n long")
+    place = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.join(F.broadcast(counts), F.col("lang") == F.col("l"))
+    rows = rows.where((F.col("n") == 0) | (F.col("size") <= sample_chars) & (place * F.col("n") < 2.0 * sample_rows)).select("lang", "text", "h", F.when(F.col("n") == 0, F.col("size")).otherwise(0).alias("size")).distinct()
+    order = Window.partitionBy("lang").orderBy("size", "h")
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).select("lang", "text")
+
+
+class Model:
+    """Sparse tables of the piece probabilities: (language, ids, probabilities) in the languages' order."""
+
+    def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]]):
+        self.rows = sorted(rows, key=lambda r: r[0])
+        self.langs = [r[0] for r in self.rows]
+
+    def dense(self, vocab: Vocabulary, begin: int, end: int) -> np.ndarray:
+        prob = np.zeros((len(vocab.pieces), min(end, len(self.rows)) - begin))
+        for c, (_, ids, p) in enumerate(self.rows[begin:end]):
+            prob[ids, c] = p
+        return prob
+
+
+def fit(texts: DataFrame, path: str | None = None) -> Model:
+    """Every language of ``texts`` (lang, text), each learnt in a task of its own."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        words: Counter = Counter()
+        for t in pdf["text"]:
+            words.update(words_of(t))
+        if not words:
+            return pd.DataFrame({"lang": [], "ids": [], "p": []})
+        p = learn(held("vocabulary", str(path), lambda: Vocabulary(path)), words)
+        ids = np.flatnonzero(p).astype(np.int32)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "ids": [ids.tobytes()], "p": [p[ids].tobytes()]})
+
+    found = texts.groupBy("lang").applyInPandas(one, "lang string, ids binary, p binary").toLocalIterator()
+    return Model([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["p"])) for r in found])
+
+
+class Part:
+    """Some of the languages: log probabilities of words, kept from call to call."""
+
+    def __init__(self, prob: np.ndarray, vocab: Vocabulary):
+        self.prob, self.vocab = prob, vocab
         self.memo: dict[str, int] = {}
-        self.logp = np.empty((0, len(langs)))
+        self.logp = np.empty((0, prob.shape[1]))
 
     def _learn(self, words: list[str]) -> None:
         cut = [chunks(w) for w in words]
         flat = [x for xs in cut for x in xs]
-        logp = np.empty((len(flat), len(self.langs)))
+        logp = np.empty((len(flat), self.prob.shape[1]))
         for at, m in by_length(flat):
             logp[at] = np.log(np.maximum(forward(self.vocab, self.prob, m), 1e-300))
         first = np.cumsum([0, *map(len, cut[:-1])])
         self.memo.update(zip(words, range(len(self.logp), len(self.logp) + len(words))))
         self.logp = np.vstack([self.logp, np.add.reduceat(logp, first)])
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def totals(self, words: list[list[str]]) -> np.ndarray:
+        """Log probability of each text under each language."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo, self.logp = {}, np.empty((0, len(self.langs)))
-        words = [words_of(t) if t else [] for t in texts]
-        if not self.langs:
-            return [UND] * len(texts), [0.0] * len(texts)
+            self.memo, self.logp = {}, np.empty((0, self.prob.shape[1]))
         if new := set().union(*words).difference(self.memo):
             self._learn(sorted(new))
-        get, lang, conf = self.memo.__getitem__, [], []
-        for ws in words:
-            if not ws:
-                lang.append(UND)
-                conf.append(0.0)
-                continue
-            total = self.logp[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0)
+        get = self.memo.__getitem__
+        return np.array([self.logp[np.fromiter(map(get, ws), np.int64, len(ws))].sum(0) for ws in words])
+
+
+class Scorer:
+    """Languages are scored ``PART`` at a time; with more than that, a part's dense table is made for each call."""
+
+    def __init__(self, model: Model, path: str | None = None):
+        self.model, self.langs, self.vocab = model, model.langs, Vocabulary(path)
+        self.only = Part(model.dense(self.vocab, 0, PART), self.vocab) if 0 < len(self.langs) <= PART else None
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        words = [words_of(t) if t else [] for t in texts]
+        lang, conf = [UND] * len(texts), [0.0] * len(texts)
+        have = [k for k, ws in enumerate(words) if ws]
+        if not self.langs or not have:
+            return lang, conf
+        parts = [self.only] if self.only else (Part(self.model.dense(self.vocab, k, k + PART), self.vocab) for k in range(0, len(self.langs), PART))
+        totals = np.hstack([part.totals([words[k] for k in have]) for part in parts])
+        for k, total in zip(have, totals):
             p = np.exp(total - total.max())
-            k = int(p.argmax())
-            lang.append(self.langs[k])
-            conf.append(float(p[k] / p.sum()))
+            best = int(p.argmax())
+            lang[k], conf[k] = self.langs[best], float(p[best] / p.sum())
         return lang, conf
 
 
-def predict(text: Column, spark: SparkSession, model: tuple[list[str], np.ndarray], path: str | None = None) -> Column:
+def predict(text: Column, spark: SparkSession, model: Model, path: str | None = None) -> Column:
     """struct(lang, score) of ``text`` under a fitted model."""
-    shared, key = spark.sparkContext.broadcast((model[0], model[1].astype(np.float64))), fresh("m")
+    shared, key = spark.sparkContext.broadcast(model.rows), fresh("m")
 
     @F.pandas_udf("lang string, score double")
     def lang_id(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = held("language", key, lambda: Scorer(*shared.value, path))
+        scorer = held("language", key, lambda: Scorer(Model(shared.value), path))
         for s in batches:
             lang, score = [], []
             texts = [None if t is None or t != t else t for t in s]

@@ -70,6 +70,18 @@ def test_language_odd_texts(spark):
     assert langid.identify(docs_frame(spark, []), out="l").count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than a part holds; one with long rows only but for a few, one with nothing but long rows, one without ids."""
+    names = [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiouyw"]
+    rows = [(70 * j + i, " ".join([f"{x}{x}{c}" for c in "rstv"] * 3), x, "a") for j in range(2) for i, x in enumerate(names)]
+    rows += [(1000 + k, "uzza uzzi uzzo " * 2000, "long", "a") for k in range(9)] + [(2000 + k, None if k % 2 else "ewwe ewwi ewwo " * 2000, "some", "a") for k in range(400)]
+    rows += [(3000 + k, "ewwe ewwi ewwo", "some", "a") for k in range(4)] + [(None, "yppy yppa yppo", "none", "a")] * 3
+    learnt = {r[2] for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    got = langid.identify(docs_frame(spark, rows), out="l").where("text is not null").select("lang", "l.lang").distinct().collect()
+    assert len(learnt) > langid.PART and {"long", "some", "none"} <= learnt
+    assert {(x, y) for x, y in got if x in learnt} == {(x, x) for x in learnt}
+
+
 def test_forward_sums_all_segmentations():
     vocab = langid.Vocabulary()
     rng = np.random.default_rng(1)
