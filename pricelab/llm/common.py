@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(doc_id: Column | str) -> Column:
-    """True for the fold that no classifier learns from: crc32(doc_id as text) mod 4 is 2."""
+def held_out(doc_id: Column | str, folds: int = 4) -> Column:
+    """True for the fold that no model learns from: crc32(doc_id as text) mod ``folds`` is 2."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == 2, F.lit(False))
 
 
 def bounded_sample(rows: DataFrame, label: str, counts: dict, each: int) -> DataFrame:

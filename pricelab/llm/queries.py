@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, htmltext, langid, licenses, mixing, neardup, substring, topk, toxicity
-from .common import held_out, table
+from . import bpe, exactdedup, htmltext, kneserney, langid, licenses, mixing, neardup, periodic, substring, topk, toxicity, whitening
+from .common import WORD, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,6 +75,41 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7).alias("held_out"))
+    model = kneserney.train(docs.where("not held_out"))
+    got = kneserney.score(docs, model, out="lm")
+    return got.select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                      F.round("lm.base_score", 6).alias("base_score"), F.round("lm.score", 6).alias("score"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    # In every tenth document the words from a on repeat the first p of them.
+    words = docs.withColumn("w", F.when(F.expr("h % 10 = 0"), F.regexp_extract_all("text", F.lit(f"({WORD})"))))
+    words = words.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10"))
+    words = words.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = "slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))"
+    docs = words.select("doc_id", F.expr(f"if(n > 0, array_join(concat(slice(w, 1, int(a)), {tail}), ' '), text)").alias("text"))
+    got = periodic.detect(docs)
+    # Longest by length / period, compared as whole numbers; runs come by start and period, so the first of equals wins.
+    best = F.aggregate("runs", F.try_element_at("runs", F.lit(1)), lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    got = got.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                     F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return got.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 ORACLE["op9_exact_topk"] = """
 WITH ok AS (
   SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
@@ -139,3 +174,44 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)
 """
+
+# crc32 of the id's digits: each byte is xored in and shifted out bit by bit.
+CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ord(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0] for ch in string_split(CAST(doc_id AS VARCHAR), '')])),
+  lambda c, x: CASE WHEN x > 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)"""
+
+ORACLE["op11_lm_score"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(xor({CRC}, 4294967295) % 7 = 2, false) AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), chr(10)) AS words
+  FROM documents
+), t AS (
+  SELECT r, doc_id, held_out, unnest(list_prepend(chr(9), words[:-2])) AS v, unnest(words) AS w FROM d
+), pairs AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY v, w
+), single AS (SELECT w, CAST(sum(c) AS DOUBLE) AS raw, CAST(count(*) AS DOUBLE) AS a FROM pairs GROUP BY w
+), context AS (
+  SELECT v, CAST(sum(c) AS DOUBLE) AS total, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c >= 3) AS n3 FROM pairs GROUP BY v
+), counts AS (
+  SELECT 2 AS k, CAST(c AS DOUBLE) AS c FROM pairs UNION ALL SELECT 1, a FROM single
+), many AS (
+  SELECT k, CAST(count(*) FILTER (c = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (c = 2) AS DOUBLE) AS n2, CAST(count(*) FILTER (c = 3) AS DOUBLE) AS n3, CAST(count(*) FILTER (c = 4) AS DOUBLE) AS n4
+  FROM counts GROUP BY k
+), y AS (SELECT *, n1 > 0 AND n2 > 0 AS ok, n1 / (n1 + 2 * n2) AS y FROM many
+), discount AS (
+  SELECT k, CASE WHEN ok AND 1 - 2 * y * n2 / n1 > 0 THEN 1 - 2 * y * n2 / n1 ELSE 0.5 END AS d1,
+         CASE WHEN ok AND n3 > 0 AND 2 - 3 * y * n3 / n2 > 0 THEN 2 - 3 * y * n3 / n2 ELSE 1.0 END AS d2,
+         CASE WHEN ok AND n3 > 0 AND n4 > 0 AND 3 - 4 * y * n4 / n3 > 0 THEN 3 - 4 * y * n4 / n3 ELSE 1.5 END AS d3 FROM y
+), whole AS (
+  SELECT sum(raw) AS n, CAST(count(*) AS DOUBLE) AS v, sum(a) AS total, max(d1) AS d1, max(d2) AS d2, max(d3) AS d3,
+         (max(d1) * count(*) FILTER (a = 1) + max(d2) * count(*) FILTER (a = 2) + max(d3) * count(*) FILTER (a >= 3)) / sum(a) AS weight
+  FROM single, (SELECT * FROM discount WHERE k = 1) AS x
+), each AS (
+  SELECT t.r, t.doc_id, t.held_out, coalesce(s.raw, 0) AS raw, log10((coalesce(s.raw, 0) + 1) / (g.n + g.v + 1)) AS base,
+         coalesce(s.a - CASE s.a WHEN 1 THEN g.d1 WHEN 2 THEN g.d2 ELSE g.d3 END, 0) / g.total + g.weight / (g.v + 1) AS p1,
+         coalesce(p.c - CASE p.c WHEN 1 THEN e.d1 WHEN 2 THEN e.d2 ELSE e.d3 END, 0) AS top, x.total, (e.d1 * x.n1 + e.d2 * x.n2 + e.d3 * x.n3) / x.total AS weight, g.n
+  FROM t CROSS JOIN whole AS g CROSS JOIN (SELECT * FROM discount WHERE k = 2) AS e
+  LEFT JOIN single AS s ON s.w = t.w LEFT JOIN pairs AS p ON p.v = t.v AND p.w = t.w LEFT JOIN context AS x ON x.v = t.v
+)
+SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (raw > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+       round(fsum(base), 6) AS base_score, round(fsum(log10(CASE WHEN total > 0 THEN top / total + weight * p1 ELSE p1 END)), 6) AS score
+FROM each GROUP BY r
+"""

@@ -16,7 +16,7 @@ def entry():
     return __spark_entry__
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_license_scan", "op8_source_mix", "op9_exact_topk"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_license_scan", "op8_source_mix", "op9_exact_topk", "op11_lm_score"])
 def test_oracle(spark, entry, name):
     import duckdb
 
