@@ -141,6 +141,11 @@ def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZO
         rows = choose_window(rows, seed, horizons)
     else:
         rows = rows.withColumn("pred_days", F.lit(fixed[1])).withColumn("context_days", F.lit(fixed[0]))
+    return fitting(rows)
+
+
+def fitting(rows: DataFrame) -> DataFrame:
+    """Positions whose context and target lie inside the series of ``n`` rows."""
     return rows.where((F.col("i") >= F.col("context_days")) & (F.col("i") + F.col("pred_days") <= F.col("n")))
 
 
@@ -152,13 +157,18 @@ def ts_corpus(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
     join of the pre-formatted close texts (the output itself).
     """
     rows = corpus_positions(prices, seed, horizons, fixed)
+    return render_prompts(rows.withColumn("at", F.col("i")), template)
+
+
+def render_prompts(rows: DataFrame, template: str = K.TRAINING_PROMPT) -> DataFrame:
+    """Prompts of positions: ``i`` names the position, ``at`` is its place in the row's arrays (those of ``prefix_series``)."""
     # start clamped to 1: Catalyst may evaluate this before the fit filter
-    start = F.greatest(F.col("i") - F.col("context_days") + 1, F.lit(1))
+    start = F.greatest(F.col("at") - F.col("context_days") + 1, F.lit(1))
     ctx_text = F.array_join(F.slice("close_texts", start, F.col("context_days")), ", ")
-    tgt_text = F.array_join(F.slice("close_texts", F.col("i") + 1, F.col("pred_days")), ", ")
+    tgt_text = F.array_join(F.slice("close_texts", F.col("at") + 1, F.col("pred_days")), ", ")
     mean, std = window_moments(start - 1, F.col("context_days"))
     first = F.try_element_at("closes", start)
-    last = F.try_element_at("closes", F.col("i"))
+    last = F.try_element_at("closes", F.col("at"))
     text = render(template, ticker="ticker", mean=fmt2(mean), std_dev=fmt2(std), trend=trend2(first, last),
                   context_days=F.col("context_days").cast("string"), context=ctx_text,
                   pred_days=F.col("pred_days").cast("string"), target=tgt_text)

@@ -20,7 +20,7 @@ SELECT ticker, CAST(i AS BIGINT) AS i, CAST(pred_days AS BIGINT) AS pred_days,
        CAST(context_days AS BIGINT) AS context_days, md5(text) AS text_md5 FROM corpus_all""", ("corpus_all",))
 def q_sm_incremental_corpus(spark, sf):
     base = scratch_path(spark, "stream-corpus")
-    inp, out, ck, store = (os.path.join(base, x) for x in ("in", "out", "ckpt", "bars"))
+    inp, out, ck = (os.path.join(base, x) for x in ("in", "out", "ckpt"))
     bars = Ctx(spark, sf).bars()
     month = F.date_format("date", "yyyy-MM")
     # deliveries cut by month: run 1 gets every month but the latest; run 2 gets the latest
@@ -28,11 +28,11 @@ def q_sm_incremental_corpus(spark, sf):
     last = bars.select(F.max(month)).scalar()
     first = bars.select(F.min(month)).scalar()
     bars.where(month != last).repartition(month).write.parquet(os.path.join(inp, "d1"))
-    S.incremental_corpus(spark, inp, out, ck, store)
+    S.incremental_corpus(spark, inp, out, ck)
     bars.where(month == last).write.parquet(os.path.join(inp, "d2"))
     bars.where(month == first).write.parquet(os.path.join(inp, "d3"))
-    S.incremental_corpus(spark, inp, out, ck, store)
-    c = spark.read.parquet(out)
+    S.incremental_corpus(spark, inp, out, ck)
+    c = S.corpus_view(spark, out)
     return c.select("ticker", F.col("i").cast("bigint").alias("i"), F.col("pred_days").cast("bigint").alias("pred_days"),
                     F.col("context_days").cast("bigint").alias("context_days"), F.md5("text").alias("text_md5"))
 
@@ -48,8 +48,8 @@ def q_sm_headline_dedupe(spark, sf):
         cut = h.where(F.col("part") == part).drop("part")
         cut.where(F.col("source") == "pages").write.mode("append").parquet(a)
         cut.where(F.col("source") == "documents").write.mode("append").parquet(b)
-        S.headline_dedupe(spark, [a, b], out, ck)
-    return spark.read.parquet(out).select("ticker", "title")
+        S.headline_dedupe(spark, [a, b], out, ck, buckets=8)
+    return S.distinct_titles(spark, out).select("ticker", "title")
 
 
 @register("sm_rolling_summary", _fold_oracle(), ("series5y",))
