@@ -197,17 +197,18 @@ def news_search(headlines: DataFrame, companies: DataFrame) -> DataFrame:
     return both.dropDuplicates(["_id", "ticker"]).drop("_id")
 
 
-def headline_block(labelled: DataFrame, label: str = "_lab", keys=("ticker",)) -> DataFrame:
+def headline_block(labelled: DataFrame, label: str = "_lab", keys=("ticker",), error: str | None = None) -> DataFrame:
     """``(keys.., n_headlines, headline_block)``: bulleted ``'<title>' (Sentiment: X, Score: 0.93)`` lines.
 
-    ``label`` is a ``struct<label, score>`` column. Lines are sorted by (date,
+    ``label`` is a ``struct<label, score, error>`` column; ``error`` names a column for the first error of a block. Lines are sorted by (date,
     title); a block is one prompt, so its list is as long as the selection upstream lets it be.
     """
     from ..functions.text import fmt2, render
 
     line = render(K.HEADLINE_LINE, title="title", label=F.initcap(F.col(f"{label}.label")),
                   score=fmt2(F.col(f"{label}.score")))
-    lines = labelled.select(*keys, "date", "title", F.concat(F.lit("- "), line).alias("line"))
-    agg = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "title", "line"))).alias("_l"))
-    return agg.select(*keys, F.size("_l").cast("bigint").alias("n_headlines"),
+    lines = labelled.select(*keys, "date", "title", F.concat(F.lit("- "), line).alias("line"), *([F.col(f"{label}.error").alias(error)] if error else []))
+    failed = [F.min(error).alias(error)] if error else []
+    agg = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "title", "line"))).alias("_l"), *failed)
+    return agg.select(*keys, *([error] if error else []), F.size("_l").cast("bigint").alias("n_headlines"),
                       F.array_join(F.col("_l.line"), "\n").alias("headline_block"))

@@ -12,11 +12,9 @@ only on rows that have not already failed (errors are rows, unioned back).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +24,7 @@ from ..functions.text import fmt2, parse_prices, price_list_text, py_list_text,
 from ..operators import backtest as BT
 from ..operators import models as M
 from ..operators.corpus import array_moments, corpus_counts, filter_context, split_corpus, ts_corpus
-from ..operators.features import ingest, last_n, overlap_chunks, prices_for, series_arrays
+from ..operators.features import ingest, last_n, overlap_chunks, series_arrays
 from ..operators.horizons import resolve_horizon, validate_requests
 from ..operators.news import (headline_block, next_day_change, non_blank, quota_by_level, quota_news, select_news, union_headlines,
                               volatility_levels)
@@ -96,14 +94,14 @@ def pl_sentiment_corpus(bars: DataFrame, headlines: DataFrame, scorer: Callable,
     h = select_news(h, asof=_asof_col(bars, asof), days=news_days, lang="en", cap=news_cap, bounded=False, skip_blank=False)
     j = next_day_change(h, prices)
     j = j.withColumn("_prompt", render(K.LABEL_PROMPT, headline=F.coalesce("title", F.lit("None"))))
-    j = M.generate(M.spread(j), "_prompt", "_answer", scorer)
+    j = M.generate(M.spread(j), "_prompt", "_answer", scorer, "error_message")
     score = F.coalesce(F.nullif(F.regexp_extract("_answer", K.RE_SENTIMENT, 1), F.lit("")).try_cast("double"),
                        F.lit(0.0))
-    j = j.withColumn("sentiment_score", score)
+    j = j.withColumn("sentiment_score", F.when(F.col("error_message").isNull(), score))  # no answer: neither score nor text
     text = render(K.SENTIMENT_SAMPLE, headline=F.coalesce("title", F.lit("None")),
                   score=fmt2("sentiment_score"), change=fmt2("next_day_change"))
-    return j.select("ticker", "order_no", "date", "relevancy", "title", "sentiment_score",
-                    "next_day_change", text.alias("text"))
+    return j.select("ticker", "order_no", "date", "relevancy", "title", "sentiment_score", "next_day_change",
+                    F.when(F.col("error_message").isNull(), text).alias("text"), "error_message")
 
 
 def pl_volatility_news(bars: DataFrame, headlines: DataFrame, days: int = 29, period: str = "3mo",
@@ -136,43 +134,26 @@ def pl_volatility_news(bars: DataFrame, headlines: DataFrame, days: int = 29, pe
 # ordered fold (rolling summary)
 # ---------------------------------------------------------------------------
 
-_MODEL_CACHE: dict = {}
-
-
-def model_id(factory: Callable) -> str:
-    """A name for the model that a factory makes: the same for the same code and captured values."""
-    return hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
-
-
-def cached_model(name: str, factory: Callable):
-    """The worker's model of that name; a worker holds one at a time."""
-    if name not in _MODEL_CACHE:
-        _MODEL_CACHE.clear()
-        _MODEL_CACHE[name] = factory()
-    return _MODEL_CACHE[name]
-
-
 def ordered_fold(chunks: DataFrame, key: str, order: str, text: str, factory: Callable,
                  init: str = K.INITIAL_SUMMARY, template: str = K.SUMMARIZER_PROMPT) -> DataFrame:
-    """``s = model(template(prior=s, chunk=text))`` over chunks in order; empty outputs ignored.
+    """(key, summary, error): ``s = model(template(prior=s, chunk=text))`` over chunks in order; empty outputs ignored.
 
     Sequential within a key, parallel across keys: ``groupBy(key).applyInPandas``.
-    A group holds one series' chunks (bounded by the series length).
+    A group holds one series' chunks (bounded by the series length). A step whose
+    model raises ends its key: no summary, and what it raised.
     """
-    key_type, name = dict(chunks.dtypes)[key], model_id(factory)
+    key_type, name = dict(chunks.dtypes)[key], M.model_id(factory)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = cached_model(name, factory)
-        pdf = pdf.sort_values(order)
-        s = init
-        for t in pdf[text].tolist():
-            out = (model([template.format(prior=s, chunk=t)])[0] or "").strip()
-            if out:
-                s = out
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "summary": [s]})
+        s, error = init, None
+        for t in pdf.sort_values(order)[text].tolist():
+            s, error = M.fold_step(name, factory, template.format(prior=s, chunk=t), s)
+            if error:
+                break
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "summary": [None if error else s], "error": [error]})
 
     rows = M.spread(chunks.select(key, order, text), key)  # one model call per chunk: keep the width
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {key_type}, summary string")
+    return rows.groupBy(key).applyInPandas(fold, f"{key} {key_type}, summary string, error string")
 
 
 def fold_sql_chunk_summarizer(chunks: Column, init: str = K.INITIAL_SUMMARY) -> Column:
@@ -214,7 +195,14 @@ def _headline_blocks(headlines: DataFrame, asof_by_ticker: DataFrame, classifier
         b = b.where(F.col("date") <= F.col("asof"))
     u = union_headlines(a.select(*keys, "title", "published_at", "date"),
                         b.select(*keys, "title", "published_at", "date"), keys=(*keys, "title"))
-    return headline_block(M.classify(M.spread(u), "title", "_lab", classifier), keys=keys)
+    return headline_block(M.classify(M.spread(u), "title", "_lab", classifier), keys=keys, error="news_error")
+
+
+def _written_by(df: DataFrame, prompt: Column, out: str, writer: Callable) -> DataFrame:
+    """``out``: the writer's text, trimmed. A row that has failed asks nothing; a model's exception fails its row."""
+    df = df.withColumn("_p", F.when(F.col("error_message").isNull(), prompt))
+    df = M.generate(df, "_p", out, writer, "_e")
+    return df.withColumn(out, F.trim(out)).withColumn("error_message", F.coalesce("error_message", "_e")).drop("_p", "_e")
 
 
 def _sentiment_summary(df: DataFrame, writer: Callable) -> DataFrame:
@@ -223,11 +211,9 @@ def _sentiment_summary(df: DataFrame, writer: Callable) -> DataFrame:
     One pass: rows without headlines get a NULL prompt, which the UDF skips.
     """
     has = F.coalesce(F.col("n_headlines"), F.lit(0)) > 0
-    df = df.withColumn("_sp", F.when(has, render(K.SENTIMENT_SYNTHESIS_PROMPT, ticker="ticker",
-                                                 headlines="headline_block")))
-    df = M.generate(M.spread(df), "_sp", "_ss", writer)
-    return df.withColumn("sentiment_summary",
-                         F.when(has, F.trim("_ss")).otherwise(F.lit(K.NO_NEWS_SUMMARY))).drop("_sp", "_ss")
+    prompt = F.when(has, render(K.SENTIMENT_SYNTHESIS_PROMPT, ticker="ticker", headlines="headline_block"))
+    df = _written_by(M.spread(df), prompt, "_ss", writer)
+    return df.withColumn("sentiment_summary", F.when(has, F.col("_ss")).otherwise(F.lit(K.NO_NEWS_SUMMARY))).drop("_ss", "headline_block")
 
 
 def _materialize(df: DataFrame) -> DataFrame:
@@ -242,72 +228,100 @@ def _materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _prepare(requests: DataFrame, bars: DataFrame, period: str, asof):
-    r = validate_requests(requests)
-    r = r.withColumn("ticker", ticker_from_url("url"))
-    r = resolve_horizon(r)
-    series = series_arrays(ingest(bars, period, asof), with_dates=True)
-    return prices_for(r, series)
+def price_slices(prices: DataFrame, width: int | None = None) -> DataFrame:
+    """A table of per-ticker series (closes, dates, n, last_date), bucketed by ticker in the scratch folder.
+
+    Joined on ``ticker``, its side needs no exchange: what is asked comes to the
+    buckets, and slices are taken where the series lie.
+    """
+    from ..session import scratch_path
+    spark = prices.sparkSession
+    width = width or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = series_arrays(prices, with_dates=True).withColumn("n", F.size("closes")).repartition(width, "ticker")
+    path = scratch_path(spark, "series")
+    name = "series_" + path.rsplit("-", 1)[1]
+    s.write.bucketBy(width, "ticker").sortBy("ticker").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
 
+JOB = ("ticker", "prediction_days")
 
-def _forecast(df: DataFrame, ctx: str, last_price: str, summarizer, forecaster) -> DataFrame:
-    """Rolling summary over ``ctx`` chunks, serving prompt on its last 180 rows, model, parse."""
-    chunks = overlap_chunks(df.select("request_id", ctx), arr=ctx, keys=("request_id",))
-    chunks = chunks.withColumn("chunk_text", price_list_text("chunk"))
-    summ = ordered_fold(chunks, "request_id", "chunk_no", "chunk_text", summarizer)
-    df = df.join(summ, "request_id", "left").withColumn(
-        "summary", summary_trim(F.coalesce("summary", F.lit(K.INITIAL_SUMMARY))))
-    final = last_n(F.col(ctx), K.FINAL_CONTEXT_ROWS)
-    df = df.withColumn("_final", final)
+
+def _prepare(requests: DataFrame, bars: DataFrame, period: str, asof) -> tuple[DataFrame, DataFrame]:
+    """(requests with ticker, horizon and the length of their history; the table of series). Requests stay narrow."""
+    r = resolve_horizon(validate_requests(requests).withColumn("ticker", ticker_from_url("url")))
+    series = price_slices(ingest(bars, period, asof))
+    # two plain exchanges of narrow rows: a ticker that very many ask is split by adaptive execution
+    sizes = series.select("ticker", "n", "last_date").repartition(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return r.join(sizes, "ticker", "left").withColumn("n", F.coalesce("n", F.lit(0))), series
+
+
+def _jobs(ok: DataFrame) -> DataFrame:
+    """What is to be computed: requests of one ticker and horizon share one job, so a ticker has 90 at most."""
+    return ok.select(*JOB, "model_days", "context_days", "n").distinct().withColumn("job", F.concat_ws("|", *JOB))
+
+
+def _forecast(jobs: DataFrame, series: DataFrame, ctx: Column, summarizer, forecaster) -> DataFrame:
+    """Rolling summary over the chunks of ``ctx``, serving prompt on its last 180 rows, model, parse.
+
+    ``ctx`` is a slice of the joined series' closes. The series is joined where chunks and prompts are made; what is
+    exchanged afterwards is text and narrow rows.
+    """
+    closes = series.select("ticker", "closes")
+    chunks = overlap_chunks(jobs.join(closes, "ticker").select("job", ctx.alias("_ctx")), arr="_ctx", keys=("job",))
+    chunks = chunks.select("job", "chunk_no", price_list_text("chunk").alias("chunk_text"))
+    summ = ordered_fold(chunks, "job", "chunk_no", "chunk_text", summarizer).withColumnRenamed("error", "error_message")
+    df = jobs.join(summ, "job", "left").withColumn("summary", summary_trim(F.coalesce("summary", F.lit(K.INITIAL_SUMMARY))))
+    df = df.join(closes, "ticker").withColumn("_final", last_n(ctx, K.FINAL_CONTEXT_ROWS))
     mean, std = array_moments(F.col("_final"))
-    df = (df.withColumn("_mean", mean).withColumn("_std", std)
+    df = (df.withColumn("_mean", mean).withColumn("_std", std).withColumn("last_price", F.try_element_at("_final", F.lit(-1)))
           .withColumn("trend", trend3(F.try_element_at("_final", F.lit(1)), F.try_element_at("_final", F.lit(-1)))))
-    prompt = render(K.SERVING_PROMPT, summary="summary", ticker="ticker", last_price=fmt2(last_price),
+    prompt = render(K.SERVING_PROMPT, summary="summary", ticker="ticker", last_price=fmt2("last_price"),
                     mean=fmt2("_mean"), std_dev=fmt2("_std"), trend="trend",
                     context_days=F.size("_final").cast("string"), context=price_list_text("_final"),
                     pred_days=F.col("model_days").cast("string"))
-    df = M.spread(df.withColumn("prompt", prompt))
-    df = M.generate(df, "prompt", "forecast_text", forecaster)
+    df = df.select("job", *JOB, "summary", "last_price", "error_message", F.when(F.col("error_message").isNull(), prompt).alias("prompt"))
+    df = M.generate(M.spread(df), "prompt", "forecast_text", forecaster, "_e").withColumn("error_message", F.coalesce("error_message", "_e"))
     df = df.withColumn("forecast_prices", parse_prices("forecast_text", F.col("prediction_days")))
-    df = df.withColumn("error_message", F.when(F.size("forecast_prices") == 0, F.lit(K.MSG_NO_FORECAST)))
-    return df.withColumn("is_unreliable", unreliable_jump("forecast_prices")).drop("_final", "_mean", "_std")
+    none = (F.size("forecast_prices") == 0) | F.col("forecast_prices").isNull()
+    df = df.withColumn("error_message", F.coalesce("error_message", F.when(none, F.lit(K.MSG_NO_FORECAST))))
+    return _materialize(df.withColumn("is_unreliable", unreliable_jump("forecast_prices")).drop("_e", "prompt", "forecast_text"))
+
+
+def _results(failed: DataFrame, ok: DataFrame, done: DataFrame, cols: list[str]) -> DataFrame:
+    """One row a request: those that failed before any model, and the others with their job's results."""
+    keep = [c for c in ok.columns if c not in done.columns or c in JOB]
+    both = ok.select(*keep).join(done, list(JOB)).unionByName(failed, allowMissingColumns=True)
+    status = F.when(F.col("error_message").isNull(), F.lit(K.STATUS_OK)).otherwise(F.lit(K.STATUS_FAIL))
+    return both.withColumn("status", status).select(*cols)
 
 
 def pl_analyze(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
                forecaster: Callable, summarizer: Callable, writer: Callable, classifier: Callable,
                period: str = "5y", asof=None) -> DataFrame:
-    """One result row per request (failures included)."""
-    df = _prepare(requests, bars, period, asof)
-    n = F.coalesce(F.size("closes"), F.lit(0))
+    """One result row per request (failures included; a model's exception is one)."""
+    df, series = _prepare(requests, bars, period, asof)
     not_enough = F.format_string(K.MSG_NOT_ENOUGH.replace("{ticker}", "%s").replace("{need}", "%d"),
                                  F.coalesce("ticker", F.lit("")), F.col("context_days"))
-    df = _materialize(df.withColumn("error_message",
-                                    F.coalesce("error_message", F.when(n < F.col("context_days"), not_enough))))
+    df = _materialize(df.withColumn("error_message", F.coalesce("error_message", F.when(F.col("n") < F.col("context_days"), not_enough))))
     failed = df.where(F.col("error_message").isNotNull())
-    ok = (df.where(F.col("error_message").isNull())
-          .withColumn("last_actual_price", F.try_element_at("closes", F.lit(-1)))
-          .withColumn("ctx", last_n(F.col("closes"), F.col("context_days"))))
-    ok = _materialize(_forecast(ok, "ctx", "last_actual_price", summarizer, forecaster).drop("closes", "dates"))
-    bad_fc = ok.where(F.col("error_message").isNotNull())
-    good = ok.where(F.col("error_message").isNull())
-    blocks = _headline_blocks(headlines, good.select("ticker", F.col("last_date").alias("asof")).distinct(),
-                              classifier)
+    ok = df.where(F.col("error_message").isNull())
+    done = _forecast(_jobs(ok), series, last_n(F.col("closes"), F.col("context_days")), summarizer, forecaster)
+    done = done.join(series.select("ticker", "last_date"), "ticker")
+    good = done.where(F.col("error_message").isNull())
+    blocks = _headline_blocks(headlines, good.select("ticker", F.col("last_date").alias("asof")).distinct(), classifier)
     good = good.join(blocks.withColumnRenamed("asof", "last_date"), ["ticker", "last_date"], "left")
-    good = _sentiment_summary(good, writer)
+    good = _sentiment_summary(good.withColumn("error_message", F.col("news_error")), writer)
     warning = F.when(F.col("is_unreliable"), F.lit(K.UNRELIABLE_WARNING)).otherwise(F.lit(""))
-    good = good.withColumn("_rp", render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=warning,
-                                         last_price=fmt2("last_actual_price"),
-                                         pred_days=F.col("prediction_days").cast("string"),
-                                         forecast=py_list_text("forecast_prices"), sentiment="sentiment_summary"))
-    good = M.generate(good, "_rp", "_rep", writer).withColumn("analyst_report", F.trim("_rep"))
+    report = render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=warning, last_price=fmt2("last_price"),
+                    pred_days=F.col("prediction_days").cast("string"), forecast=py_list_text("forecast_prices"), sentiment="sentiment_summary")
+    good = _written_by(good, report, "analyst_report", writer)
     good = good.withColumn("forecast_dates", forecast_dates("last_date", F.size("forecast_prices")))
-    good = good.withColumn("status", F.lit(K.STATUS_OK))
+    done = good.unionByName(done.where(F.col("error_message").isNotNull()), allowMissingColumns=True).withColumnRenamed("last_price", "last_actual_price")
     cols = ["request_id", "url", "ticker", "prediction_days", "model_days", "context_days", "status",
             "error_message", "last_actual_price", "is_unreliable", "summary", "forecast_prices",
             "forecast_dates", "n_headlines", "sentiment_summary", "analyst_report"]
-    fail_all = failed.unionByName(bad_fc, allowMissingColumns=True).withColumn("status", F.lit(K.STATUS_FAIL))
-    return good.select(*cols).unionByName(fail_all.select(*[
-        c if c in fail_all.columns else F.lit(None).alias(c) for c in cols]), allowMissingColumns=True)
+    return _results(failed, ok, done, cols)
 
 
 def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
@@ -317,53 +331,44 @@ def pl_backtest(requests: DataFrame, bars: DataFrame, headlines: DataFrame,
 
     Forecast and holdout are paired step by step and truncated to the shorter
     list (``n_compared``); ``strict=True`` turns a length mismatch into an
-    error row instead.
+    error row instead. A model's exception is its requests' error row.
     """
-    df = _prepare(requests, bars, period, asof)
-    n = F.coalesce(F.size("closes"), F.lit(0))
+    df, series = _prepare(requests, bars, period, asof)
     need = F.col("context_days") + F.col("prediction_days")
     msg = F.format_string(K.MSG_NOT_ENOUGH_BACKTEST.replace("{need}", "%d"), need)
-    df = _materialize(df.withColumn("error_message", F.coalesce("error_message", F.when(n < need, msg))))
+    df = _materialize(df.withColumn("error_message", F.coalesce("error_message", F.when(F.col("n") < need, msg))))
     failed = df.where(F.col("error_message").isNotNull())
     ok = df.where(F.col("error_message").isNull())
     split_at = F.size("closes") - F.col("prediction_days")
-    ok = (ok.withColumn("ctx", F.slice("closes", F.lit(1), split_at))
-          .withColumn("actual_prices", F.slice("closes", split_at + 1, F.col("prediction_days")))
-          .withColumn("last_price_in_context", F.try_element_at("ctx", F.lit(-1)))
-          .withColumn("last_context_date", F.try_element_at("dates", split_at)))
-    ok = _materialize(_forecast(ok, "ctx", "last_price_in_context", summarizer, forecaster)
-                      .drop("closes", "dates"))
+    done = _forecast(_jobs(ok), series, F.slice("closes", F.lit(1), split_at), summarizer, forecaster)
+    # the holdout, at most 90 closes, is fetched when the forecast is there
+    done = done.join(series.select("ticker", "closes", "dates"), "ticker")
+    done = (done.withColumn("actual_prices", F.slice("closes", split_at + 1, F.col("prediction_days")))
+            .withColumn("last_context_date", F.try_element_at("dates", split_at)).drop("closes", "dates"))
     if strict:
         mismatch = F.size("forecast_prices") != F.size("actual_prices")
         msg_len = F.format_string(K.MSG_LENGTH_MISMATCH.replace("{f}", "%d").replace("{a}", "%d"),
                                   F.size("forecast_prices"), F.size("actual_prices"))
-        ok = ok.withColumn("error_message", F.coalesce("error_message", F.when(mismatch, msg_len)))
-    bad_fc = ok.where(F.col("error_message").isNotNull())
-    good = ok.where(F.col("error_message").isNull())
+        done = done.withColumn("error_message", F.coalesce("error_message", F.when(mismatch, msg_len)))
+    good = done.where(F.col("error_message").isNull())
     good = good.withColumn("_pairs", BT.pair_arrays("forecast_prices", "actual_prices"))
     for name, c in BT.forecast_error("_pairs").items():
         good = good.withColumn(name, c)
-    good = good.withColumn("directional_accuracy", BT.directional_accuracy("_pairs"))
+    good = good.withColumn("directional_accuracy", BT.directional_accuracy("_pairs")).drop("_pairs")
     blocks = _headline_blocks(headlines, good.select("ticker", F.col("last_context_date").alias("asof")).distinct(),
                               classifier, bounded=not allow_lookahead, feed_bounded=not allow_lookahead)
     good = good.join(blocks.withColumnRenamed("asof", "last_context_date"), ["ticker", "last_context_date"], "left")
-    good = _sentiment_summary(good, writer)
-    good = good.withColumn("_rp", render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=F.lit(""),
-                                         last_price=fmt2("last_price_in_context"),
-                                         pred_days=F.col("prediction_days").cast("string"),
-                                         forecast=py_list_text("forecast_prices"), sentiment="sentiment_summary"))
-    good = M.generate(good, "_rp", "_rep", writer).withColumn("original_analyst_report", F.trim("_rep"))
-    good = good.withColumn("_vp", render(K.REVIEW_PROMPT, ticker="ticker", report="original_analyst_report",
-                                         forecast=py_list_text("forecast_prices"),
-                                         actual=py_list_text("actual_prices"),
-                                         mae=fmt2("mae"), rmse=fmt2("rmse"), mape=fmt2("mape"),
-                                         da=fmt2("directional_accuracy"), sentiment="sentiment_summary"))
-    good = M.generate(good, "_vp", "_rev", writer).withColumn("final_test_report", F.trim("_rev"))
-    good = good.withColumn("status", F.lit(K.STATUS_OK))
+    good = _sentiment_summary(good.withColumn("error_message", F.col("news_error")), writer)
+    report = render(K.ANALYST_REPORT_PROMPT, ticker="ticker", warning=F.lit(""), last_price=fmt2("last_price"),
+                    pred_days=F.col("prediction_days").cast("string"), forecast=py_list_text("forecast_prices"), sentiment="sentiment_summary")
+    good = _written_by(good, report, "original_analyst_report", writer)
+    review = render(K.REVIEW_PROMPT, ticker="ticker", report="original_analyst_report", forecast=py_list_text("forecast_prices"),
+                    actual=py_list_text("actual_prices"), mae=fmt2("mae"), rmse=fmt2("rmse"), mape=fmt2("mape"),
+                    da=fmt2("directional_accuracy"), sentiment="sentiment_summary")
+    good = _written_by(good, review, "final_test_report", writer)
+    done = good.unionByName(done.where(F.col("error_message").isNotNull()), allowMissingColumns=True).withColumnRenamed("last_price", "last_price_in_context")
     cols = ["request_id", "url", "ticker", "prediction_days", "model_days", "context_days", "status",
             "error_message", "last_price_in_context", "is_unreliable", "summary", "forecast_prices",
             "actual_prices", "n_compared", "mae", "mape", "mse", "rmse", "directional_accuracy",
             "n_headlines", "sentiment_summary", "original_analyst_report", "final_test_report"]
-    fail_all = failed.unionByName(bad_fc, allowMissingColumns=True).withColumn("status", F.lit(K.STATUS_FAIL))
-    return good.select(*cols).unionByName(fail_all.select(*[
-        c if c in fail_all.columns else F.lit(None).alias(c) for c in cols]), allowMissingColumns=True)
+    return _results(failed, ok, done, cols)

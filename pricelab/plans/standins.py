@@ -143,6 +143,23 @@ def md5_scorer() -> TextModel:
 MODELS = (drift_forecaster, chunk_summarizer, md5_writer, md5_classifier)
 
 
+def raising(factory, below: str = "4"):
+    """The same model, but it raises on a prompt whose md5 has a second digit below ``below`` (and on any batch with one)."""
+
+    def made():
+        model = factory()
+
+        def answer(prompts: list[str]):
+            for p in prompts:
+                if _md5(p)[1] < below:
+                    raise RuntimeError("no answer to " + _md5(p)[:8])
+            return model(prompts)
+
+        return answer
+
+    return made
+
+
 def md5_label_cols(title: Column) -> tuple[Column, Column]:
     """SQL form of ``md5_classifier`` (for checks)."""
     h = F.conv(F.substr(F.md5(title), F.lit(1), F.lit(2)), 16, 10).cast("int")

@@ -263,7 +263,7 @@ SUMMARY_OUT = "ticker string, summary string, n_chunks int"
 
 
 def _summary_fold(factory: Callable):
-    from ..plans.pipelines import cached_model, model_id
+    from ..operators.models import cached_model, model_id
 
     name = model_id(factory)
 
