@@ -52,10 +52,22 @@ def price_history(prices: DataFrame, period: str | None = "5y", asof=None) -> Da
     return prices.where(F.col("date") > F.add_months(asof_col, -months))
 
 
-def price_history_by_token(prices: DataFrame, token_col: str, asof=None) -> DataFrame:
-    """Per-row period token variant (token column on the rows)."""
-    asof_col = prices.select(F.max("date")).scalar() if asof is None else asof
-    return prices.where(F.col("date") > F.add_months(asof_col, -period_months(token_col)))
+def price_history_by_request(prices: DataFrame, requests: DataFrame, token: str = "period", asof=None, key: str = "request_id") -> DataFrame:
+    """``(key, prices' columns)``: for each request the bars of its ticker in the period that its token names.
+
+    ``requests(key, ticker, token)``; an unknown token has no bars. One pass for all: the different
+    (ticker, from, to) spans are cut into months, joined with the bars of (ticker, month), and only bars of
+    the first month are compared by day. Requests of one span share its bars, and a ticker that very
+    many ask is split by adaptive execution, since requests are joined last.
+    """
+    to = prices.select(F.max("date")).scalar() if asof is None else asof if isinstance(asof, Column) else F.to_date(F.lit(str(asof)))
+    asked = requests.select(key, "ticker", F.add_months(to, -period_months(token)).alias("_from"), to.alias("_to")).where(F.col("_from").isNotNull())
+    month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
+    spans = asked.select("ticker", "_from", "_to").distinct()
+    spans = spans.withColumn("_month", F.explode(F.sequence(month("_from"), month("_to"))))
+    bars = prices.withColumn("_month", month("date")).join(spans, ["ticker", "_month"])
+    bars = bars.where((F.col("date") > F.col("_from")) & (F.col("date") <= F.col("_to"))).drop("_month")
+    return asked.join(bars, ["ticker", "_from", "_to"]).select(key, *prices.columns)
 
 
 def moving_average(prices: DataFrame, n: int = K.MA_WINDOW, out: str = "ma_20") -> DataFrame:

@@ -178,23 +178,45 @@ def title_words(title) -> Column:
     return F.array_union(words, parts)
 
 
+def name_tokens(text) -> Column:
+    """The lower-case words of a name or title, in order."""
+    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+
 def news_search(headlines: DataFrame, companies: DataFrame) -> DataFrame:
     """``"<company>" OR <ticker>`` over headlines without a ticker: one row for each headline and company found.
 
-    Two equi-joins, no pattern is built from data: the ticker is one of the
-    title's words; the company's first word is one of the title's (lower-cased)
-    and the title contains the whole name. ``companies(ticker, name)``.
+    ``companies(ticker, name)``; a missing name is the ticker. A headline is found if the ticker is one of its words, or
+    if the name's words stand in it side by side, whatever their case. No pattern is built from data:
+
+    1. The headlines are numbered and written; their different words are an inverted index (word, number), and each
+       word's headlines are counted.
+    2. A name is looked up by its rarest word, so "The Home Depot" meets the headlines with "depot", not those with
+       "the"; a name with a word that no headline has is found nowhere.
+    3. Candidates fetch the title by its number, and the name's words are compared in order.
+
+    Repeated headlines are a row each.
     """
-    h = headlines.drop("ticker").withColumn("_id", F.xxhash64(*[F.col(c).cast("string") for c in headlines.columns if c != "ticker"]))
-    c = companies.select("ticker", F.lower(F.coalesce("name", "ticker")).alias("_name")).distinct()
-    by_ticker = h.withColumn("_w", F.explode(F.array_distinct(title_words("title")))).join(
-        c.select("ticker", F.col("ticker").alias("_w")), "_w").drop("_w")
-    first = F.try_element_at(F.regexp_extract_all("_name", F.lit(r"[\p{L}\p{N}_]+"), 0), F.lit(1))
-    lower = F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    by_name = h.withColumn("_w", F.explode(F.array_distinct(lower))).join(c.withColumn("_w", first), "_w").where(
-        F.contains(F.lower("title"), F.col("_name"))).drop("_w", "_name")
-    both = by_ticker.unionByName(by_name)
-    return both.dropDuplicates(["_id", "ticker"]).drop("_id")
+    from ..session import scratch_path
+
+    spark = headlines.sparkSession
+    path = scratch_path(spark, "headlines")
+    headlines.drop("ticker").withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    h = spark.read.parquet(path)
+    words = h.select("_id", F.explode(F.array_distinct(name_tokens("title"))).alias("_word"))
+    c = companies.select("ticker", name_tokens(F.coalesce("name", "ticker")).alias("_name")).distinct()
+    parts = c.where(F.size("_name") > 0).select("ticker", "_name", F.posexplode("_name").alias("_k", "_word"))
+    often = words.join(parts.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
+    rare = parts.join(often, "_word", "left").groupBy("ticker", "_name").agg(
+        F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), "_k")).alias("_word"), F.min(F.coalesce("_n", F.lit(0))).alias("_n"))
+    by_name = words.join(rare.where("_n > 0").select("ticker", "_name", "_word"), "_word").select("_id", "ticker", "_name")
+    signs = h.select("_id", F.explode(F.array_distinct(title_words("title"))).alias("_word"))
+    by_ticker = signs.join(companies.select("ticker", F.col("ticker").alias("_word")).distinct(), "_word")
+    by_ticker = by_ticker.select("_id", "ticker", F.lit(None).cast("array<string>").alias("_name"))
+    inside = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
+    found = by_name.unionByName(by_ticker).join(h, "_id")
+    found = found.where(F.col("_name").isNull() | F.contains(inside(name_tokens("title")), inside("_name")))
+    return found.drop("_name").dropDuplicates(["_id", "ticker"]).drop("_id")
 
 
 def headline_block(labelled: DataFrame, label: str = "_lab", keys=("ticker",), error: str | None = None) -> DataFrame:

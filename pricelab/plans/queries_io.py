@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
+from ..functions.text import fmt2_strict, price_list_text
+from ..operators import corpus as CO
 from ..operators import features as FE
 from ..operators import resume as RS
+from ..operators.numbering import numbered_keys
 from ..session import scratch_path
 from ..sources import files as IO
+from ..sources import runs as RU
+from ..sources import shards as SH
 from ..sources import tables as T
 from . import pipelines as PL
 from . import standins as SI
 from .catalog import Ctx, r6, register
+from .oracle import bucket_sql, list_text_sql
 
 
 @register("snk_price_csv", """
@@ -37,10 +44,7 @@ def q_src_price_csv(spark, sf):
 SELECT CAST(row_number() OVER (ORDER BY ticker) - 1 AS BIGINT) AS pos, ticker FROM (SELECT DISTINCT ticker FROM bars)""",
           ("bars",))
 def q_tk_sorted_universe(spark, sf):
-    doc = IO.universe_json(Ctx(spark, sf).bars())
-    parsed = doc.select(F.from_json("value", "struct<tickers:array<string>>").alias("j"))
-    return parsed.select(F.posexplode("j.tickers").alias("pos", "ticker")).select(
-        F.col("pos").cast("bigint"), "ticker")
+    return numbered_keys(Ctx(spark, sf).bars())
 
 
 @register("snk_ticker_json", """
@@ -103,6 +107,38 @@ def q_snk_result_records(spark, sf):
     return back.select("r.request_id", "r.status")
 
 
+_PRICE_LINE = "CAST(date AS VARCHAR) || ' ' || printf('%.2f', open) || ' ' || printf('%.2f', high) || ' ' || printf('%.2f', low) || ' ' || printf('%.2f', close) || ' ' || printf('%.0f', volume)"
+
+
+@register("snk_result_records_prices", f"""
+SELECT r.request_id, r.ticker, CASE WHEN a.request_id IS NULL THEN 'Failure' ELSE 'Success' END AS status,
+       CASE WHEN a.request_id IS NOT NULL THEN NULL WHEN r.prediction_days NOT BETWEEN 1 AND 90 THEN '{K.MSG_BAD_DAYS}'
+            WHEN coalesce(len(s.closes), 0) < r.context_days
+              THEN 'Not enough historical data for ' || coalesce(r.ticker, '') || ' (need at least ' || CAST(r.context_days AS VARCHAR) || ' days).'
+            ELSE '{K.MSG_NO_FORECAST}' END AS error_message,
+       a.sentiment_summary, round(a.last_actual, 6) AS last_actual_price, {list_text_sql('a.fc')} AS forecast_prices,
+       CAST(a.last_date + 1 AS VARCHAR) || ' ' || CAST(a.last_date + CAST(len(a.fc) AS INTEGER) AS VARCHAR) AS forecast_dates,
+       CAST(coalesce(p.n, 0) AS BIGINT) AS n_prices, p.prices_md5
+FROM rqh r LEFT JOIN an_sent a ON r.request_id = a.request_id LEFT JOIN series5y s ON r.ticker = s.ticker
+LEFT JOIN (SELECT ticker, count(*) AS n, md5(string_agg({_PRICE_LINE}, chr(10) ORDER BY date)) AS prices_md5 FROM prices5y GROUP BY ticker) p
+  ON a.ticker = p.ticker""", ("an_sent", "rqh", "series5y", "prices5y"))
+def q_snk_result_records_prices(spark, sf):
+    """Analysis records with the price rows they rest on, written as JSON lines and read back."""
+    c = Ctx(spark, sf)
+    res = PL.pl_analyze(c.requests(), c.bars(), c.headlines(), *SI.MODELS)
+    res = res.withColumn("asof", F.when(F.col("status") == K.STATUS_OK, F.date_sub(F.try_element_at("forecast_dates", F.lit(1)), 1)))
+    res, path = IO.with_prices(res, FE.ingest(c.bars())), scratch_path(spark, "records")
+    IO.write_records(res, path)
+    back, ok = IO.read_records(spark, path, res.schema), F.col("status") == K.STATUS_OK
+    line = F.transform("historical_data", lambda x: F.concat_ws(" ", x["date"].cast("string"), *[fmt2_strict(x[k]) for k in ("open", "high", "low", "close")],
+                                                                F.format_string("%.0f", x["volume"].cast("double"))))
+    dates = F.concat_ws(" ", F.try_element_at("forecast_dates", F.lit(1)).cast("string"), F.try_element_at("forecast_dates", F.lit(-1)).cast("string"))
+    n = F.size("historical_data").cast("bigint")
+    return back.select("request_id", "ticker", "status", "error_message", F.when(ok, F.col("sentiment_summary")).alias("sentiment_summary"),
+                       F.when(ok, r6("last_actual_price")).alias("last_actual_price"), F.when(ok, price_list_text("forecast_prices")).alias("forecast_prices"),
+                       F.when(ok, dates).alias("forecast_dates"), n.alias("n_prices"), F.when(n > 0, F.md5(F.array_join(line, "\n"))).alias("prices_md5"))
+
+
 @register("src_symbols_from_pages", r"""
 SELECT DISTINCT trim(s) AS symbol FROM (SELECT unnest(regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a>', 1)) AS s FROM pages)
 WHERE trim(s) <> ''""")
@@ -145,8 +181,39 @@ WHERE pos > coalesce((SELECT max(pos) FROM (SELECT CAST(row_number() OVER (ORDER
           ("bars", "portfolio"))
 def q_jn_resume_positional(spark, sf):
     c = Ctx(spark, sf)
-    doc = IO.universe_json(c.bars()).select(F.from_json("value", "struct<tickers:array<string>>").alias("j"))
-    uni = doc.select(F.posexplode("j.tickers").alias("pos", "ticker")).select(F.col("pos").cast("bigint"), "ticker")
+    uni = numbered_keys(c.bars())
     done = PL.pl_portfolio(c.bars()).where(F.col("side") == "volatile").select("ticker")
     return RS.remaining_after(uni, done)
 
+
+@register("jn_resume_manifest", """
+SELECT ticker, CAST(i AS BIGINT) AS i, md5(text) AS text_md5 FROM corpus""", ("corpus",))
+def q_jn_resume_manifest(spark, sf):
+    """A corpus run that ends after two of its four parts, then a resuming run with another cut."""
+    prices, path = FE.ingest(Ctx(spark, sf).bars()), scratch_path(spark, "corpus-run")
+    build = lambda some: CO.ts_corpus(prices.join(some, "ticker", "left_semi"))
+
+    def stop(k):
+        if k == 1:
+            raise InterruptedError
+
+    universe = prices.select("ticker").distinct()
+    try:
+        RU.run(universe, build, path, parts=4, after_part=stop)
+    except InterruptedError:
+        pass
+    RU.run(universe, build, path, parts=3)
+    return RU.corpus(spark, path).select("ticker", F.col("i").cast("bigint").alias("i"), F.md5("text").alias("text_md5"))
+
+
+@register("tk_shuffle_shards", """
+SELECT CAST(row_number() OVER (ORDER BY order_key, ticker, i) - 1 AS BIGINT) AS pos, ticker, CAST(i AS BIGINT) AS i
+FROM (SELECT s.*, """ + bucket_sql("42", "ticker", "i", start=9) + """ AS order_key FROM split s) WHERE split = 'train'""", ("split",))
+def q_tk_shuffle_shards(spark, sf):
+    """The training side of the split, written as shuffled shards and read back by the index."""
+    from .queries_corpus import corpus_df
+    rows = PL.pl_ts_corpus_filter_split(corpus_df(spark, sf)).where("split = 'train'")
+    path = scratch_path(spark, "shards")
+    SH.write_shards(rows, path, shard_rows=1000, columns=("ticker", "i", "text"))
+    back = SH.read_shards(spark, path, "ticker string, i bigint, text string")
+    return back.select("pos", "ticker", "i")

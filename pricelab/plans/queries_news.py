@@ -199,6 +199,26 @@ def q_prj_news_query(spark, sf):
     return NW.news_match(h, comp).select("ticker", "source", "relevancy", "matched")
 
 
+_TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+
+
+@register("prj_news_search", rf"""
+SELECT h.source, h.relevancy, c.ticker
+FROM headlines h JOIN (
+  SELECT ticker, arg_min(list_slice({_TOKENS.format('title')}, 1, 2), (relevancy, source)) AS name FROM headlines
+  WHERE len({_TOKENS.format('title')}) >= 2 GROUP BY ticker) c
+ON contains(' ' || array_to_string({_TOKENS.format('h.title')}, ' ') || ' ', ' ' || array_to_string(c.name, ' ') || ' ')
+  OR list_contains(regexp_extract_all(h.title, '\^?[\p{{L}}\p{{N}}_]+(?:[.\-=][\p{{L}}\p{{N}}_]+)*'), c.ticker)
+  OR list_contains(regexp_extract_all(h.title, '[\p{{L}}\p{{N}}_]+'), c.ticker)""", ("headlines",))
+def q_prj_news_search(spark, sf):
+    """Headlines without their ticker, searched for every company: the first two words of a ticker's foremost title are its name."""
+    h = Ctx(spark, sf).headlines()
+    words = NW.name_tokens("title")
+    names = h.where(F.size(words) >= 2).groupBy("ticker").agg(F.min_by(F.slice(words, 1, 2), F.struct("relevancy", "source")).alias("w"))
+    got = NW.news_search(h, names.select("ticker", F.array_join("w", " ").alias("name")))
+    return got.select("source", "relevancy", "ticker")
+
+
 # ---------------------------------------------------------------------------
 # labels (stand-in models as UDFs; the oracle computes them in SQL)
 # ---------------------------------------------------------------------------

@@ -93,6 +93,25 @@ def q_jn_request_prices(spark, sf):
                     "last_date")
 
 
+_TOKEN_LIST = "[" + ", ".join(f"'{t}'" for t, _ in K.PERIOD_MONTHS) + ", 'never']"
+_MONTH_LIST = "[" + ", ".join(str(m) for _, m in K.PERIOD_MONTHS) + ", NULL]"
+
+
+@register("src_price_history_by_request", f"""
+SELECT r.request_id, {_TOKEN_LIST}[r.request_id % 9 + 1] AS period, CAST(count(*) AS BIGINT) AS n_bars, min(b.date) AS first_date, max(b.date) AS last_date,
+       round(sum(b.close), 2) AS sum_close
+FROM rq r JOIN bars b ON r.ticker = b.ticker AND b.date > (SELECT max(date) FROM bars) - to_months(CAST({_MONTH_LIST}[r.request_id % 9 + 1] AS INTEGER))
+GROUP BY r.request_id""", ("rq", "bars"))
+def q_src_price_history_by_request(spark, sf):
+    """Each request's bars by its own period token: all eight tokens and an unknown one."""
+    c = Ctx(spark, sf)
+    tokens = F.array(*[F.lit(t) for t, _ in K.PERIOD_MONTHS], F.lit("never"))
+    r = _req(c).withColumn("period", F.element_at(tokens, (F.col("request_id") % 9 + 1).cast("int")))
+    got = FE.price_history_by_request(c.bars(), r).groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n_bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.round(F.sum("close"), 2).alias("sum_close"))
+    return r.select("request_id", "period").join(got, "request_id")
+
+
 @register("sc_forecast_dates", """
 SELECT request_id, CAST(step AS BIGINT) AS step, last_date + CAST(step AS INTEGER) AS date
 FROM (SELECT r.request_id, s.last_date, unnest(range(1, r.prediction_days + 1)) AS step

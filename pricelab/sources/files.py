@@ -6,7 +6,7 @@ Writers go to shared storage (a path the caller owns; tests use a folder below
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PRICE_SCHEMA = ("date date, open double, high double, low double, close double, volume double, "
@@ -137,10 +137,31 @@ def to_records(df: DataFrame, key: str = "request_id") -> DataFrame:
     return df.select(key, F.to_json(F.struct(*[c for c in df.columns])).alias("record"))
 
 
+PRICE_ROW = ("date", "open", "high", "low", "close", "volume")
+
+
+def with_prices(results: DataFrame, prices: DataFrame, asof: str = "asof", out: str = "historical_data") -> DataFrame:
+    """Each result with the bars of its ticker up to its ``asof`` date, by day, as a list of records.
+
+    The lists (bounded by the calendar) are made once for each (ticker, asof) that occurs and joined to the
+    results as they are written; a result without an ``asof`` date, as a failed one, has an empty list.
+    """
+    asked = results.select("ticker", F.col(asof).alias("_asof")).where("_asof is not null").distinct()
+    bars = asked.join(prices.select("ticker", *PRICE_ROW), "ticker").where(F.col("date") <= F.col("_asof"))
+    lists = bars.groupBy("ticker", "_asof").agg(F.array_sort(F.collect_list(F.struct(*PRICE_ROW))).alias(out))
+    both = results.alias("r").join(lists.alias("p"), [F.col("r.ticker") == F.col("p.ticker"), F.col(f"r.{asof}") == F.col("p._asof")], "left")
+    return both.select("r.*", F.coalesce(out, F.array().cast(lists.schema[out].dataType)).alias(out))
+
+
 def write_records(df: DataFrame, path: str, key: str = "request_id") -> None:
     to_records(df, key).select("record").write.mode("overwrite").text(path)
 
 
+def read_records(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Records as columns of ``schema`` (that of the results that were written)."""
+    return spark.read.schema(schema).json(path)
+
+
 def extract_link_texts(pages: DataFrame, pattern: str = r"<li><a[^>]*>([^<]*)</a>") -> DataFrame:
     """Link texts of list items: trimmed, non-empty, unique (``symbol``)."""
     t = pages.select(F.explode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("s"))
