@@ -17,13 +17,21 @@ shingle falls into say nothing and are no keys; a set with too few others
 for the pigeonhole to hold without them adds its empty segments as keys.
 
 The keys of all blocks go through the fingerprint exchange; only keys that occur
-twice become rows. Sets that share a key, directly or through others, are a
-cluster; each cluster's sets come together in groups (every pair of slots of
-``SLOT`` sets, for large ones), and a search verifies links: from each
-set found it compares, by sketches first and by the sets themselves where the
-sketches allow a link, with those not found yet. Never are all pairs of a group
-of copies compared or emitted; the groups' links are a forest, and the
-components of all of them are the result.
+twice become rows. Sets that share a key are a group (keys of the same sets are one
+group), and links are verified within groups:
+
+1. In groups of up to ``SLOT`` sets, short sketches drop the sets that no other one of the group can be linked with.
+2. Each set goes once to its largest group, in slots of ``SLOT``, where a search verifies links: from each
+   set found it compares, by sketches first and by the sets themselves where the
+   sketches allow a link, with those not found yet. The links are a forest.
+3. Linked sets are one component from then on. In groups of several slots a few sets of each component are
+   compared next, each component in its largest group, so the parts of a large group of near copies grow together.
+4. Groups that still hold several components, and were not compared as a whole, are compared across
+   components: the largest one's sets against the others', and the others' among each other, slot by slot; one link for two
+   components that are found linked.
+
+So a group of near copies gives links in proportion to its sets, and a set moves again only where components
+stay apart. Never are all pairs of a group of copies compared or emitted.
 
 Copies (equal sets) are one node. Documents without words, or without text, have
 an empty set and no links. A null doc_id sorts last. Rows repeated with the same
@@ -38,7 +46,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, SLICE_ROWS, Block, pack, rows_of
@@ -47,7 +55,7 @@ from .components import components
 from .exchange import marked, shared, with_answers
 from .hashing import MULT, mix, shingle_sets
 
-SLOT = 1000  # sets: a larger cluster is verified slot by slot
+SLOT = 1000  # sets: a larger group is verified slot by slot
 
 
 class Levels:
@@ -111,28 +119,40 @@ def linked(a: int, b: int, both: np.ndarray, percent: int) -> np.ndarray:
     return 100 * both >= percent * (a + b - both)
 
 
-def roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set, the first set of its component under links (an index)."""
+def sketches(flat: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+    """A parity sketch for each set (a row of 64-bit words): every hash flips one bit."""
+    words = np.zeros(len(size) * bits // 64, np.uint64)
+    bit = ((flat >> np.uint64(20)) % np.uint64(bits)).astype(np.int64) + np.repeat(np.arange(len(size)) * bits, size)
+    np.bitwise_xor.at(words, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+    return words.reshape(len(size), -1)
+
+
+def allowed(sketch: np.ndarray, size: np.ndarray, k: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Of ``others`` those that sizes and sketches allow a link with set ``k``."""
+    near = others[(100 * size[others] >= percent * size[k]) & (100 * size[k] >= percent * size[others])]
+    apart = np.bitwise_count(sketch[near] ^ sketch[k]).sum(1)
+    return near[apart <= (size[near] + size[k]) * (100 - percent) // (100 + percent)]
+
+
+def roots(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None) -> np.ndarray:
+    """For each set, the first set of its component under links (an index); sets of one ``label`` are linked already."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     flat = np.concatenate(sets)
     begin = np.cumsum(size) - size
     bits = 64 * int(np.clip(ceil(4 * (2 * size.max() * (100 - percent) / (100 + percent) + 1) / 64), 4, 256))
-    sketch = np.zeros(n * bits // 64, np.uint64)
-    bit = ((flat >> np.uint64(20)) % np.uint64(bits)).astype(np.int64) + np.repeat(np.arange(n) * bits, size)
-    np.bitwise_xor.at(sketch, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
-    sketch = sketch.reshape(n, -1)
+    sketch = sketches(flat, size, bits)
+    kind = np.unique(label, return_inverse=True)[1] if label is not None else np.arange(n)
+    by_kind = np.split(np.argsort(kind, kind="stable"), np.cumsum(np.bincount(kind))[:-1])
     root = np.full(n, -1)
     open_ = np.arange(n)
     while len(open_):
-        top, queue = open_[0], [open_[0]]
-        root[top] = top
-        open_ = open_[1:]
+        top, queue = open_[0], by_kind[kind[open_[0]]].tolist()
+        root[queue] = top
+        open_ = open_[root[open_] < 0]
         while queue and len(open_):
             a = queue.pop()
-            near = open_[(100 * size[open_] >= percent * size[a]) & (100 * size[a] >= percent * size[open_])]
-            apart = np.bitwise_count(sketch[near] ^ sketch[a]).sum(1)
-            near = near[apart <= (size[near] + size[a]) * (100 - percent) // (100 + percent)]
+            near = allowed(sketch, size, a, open_, percent)
             if not len(near):
                 continue
             idx = np.repeat(begin[near] - (np.cumsum(size[near]) - size[near]), size[near]) + np.arange(size[near].sum())
@@ -141,36 +161,129 @@ def roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
             both = np.add.reduceat((sets[a][at] == x).astype(np.int64), np.cumsum(size[near]) - size[near])
             hit = near[linked(size[a], size[near], both, percent)]
             if len(hit):
-                root[hit] = top
-                queue.extend(hit.tolist())
+                new = np.concatenate([by_kind[k] for k in np.unique(kind[hit])])
+                root[new] = top
+                queue.extend(new.tolist())
                 open_ = open_[root[open_] < 0]
     return root
 
 
-def _links(rows: DataFrame, percent: int, group_rows: int = 2000) -> DataFrame:
-    """Forests of links (a, b) within the clusters of ``rows`` (node, cluster, set)."""
-    sizes = stored(rows.groupBy("cluster").agg(F.count("*").alias("n")).select(F.col("cluster").alias("c"), "n"), "clusters")
-    n = sizes.agg(F.sum("n")).collect()[0][0] or 0
-    slots = F.ceil(F.col("n") / SLOT).cast("int")
-    rows = rows.join(sizes, F.col("cluster") == F.col("c")).withColumn("slots", slots)
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots").cast("long")).cast("int"))
-    # A set goes to its slot's pair with every other slot (a cluster of one slot: the pair (0, 0)).
-    rows = rows.withColumn("other", F.explode(F.when(F.col("slots") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("slots") - 1), lambda x: x != F.col("slot")))))
-    group = F.xxhash64("cluster", F.least("slot", "other"), F.greatest("slot", "other"))
-    rows = rows.select("node", group.alias("pair"), "set").withColumn("task", F.pmod("pair", F.lit(max(1, ceil(n / group_rows) * 4))))
+SKETCH_BITS = 512  # of the sketch that goes with a set's name
+
+
+def _groups(found: DataFrame) -> DataFrame:
+    """(grp, n, node): the different groups of sets that share a key; ``n`` sets each."""
+    keys = found.select("node", F.explode("keys").alias("key")).distinct()
+    of = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
+    of = of.groupBy("n", "x", "y").agg(F.min("key").alias("grp"))  # keys of the same sets
+    of = stored(of.select(F.col("grp").alias("g"), "n"), "groups")
+    return stored(keys.join(of, F.col("key") == F.col("g")).select(F.col("g").alias("grp"), "n", "node"), "members")
+
+
+def _possible(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The members that the sketches allow a link in their group; all members of a large group."""
+    names = found.select(F.col("node").alias("m"), "size", "sketch").dropDuplicates(["m"])
+    small = members.where(F.col("n") <= SLOT)
+    rows = small.join(names, F.col("node") == F.col("m")).select("grp", "n", "node", "size", "sketch")
+    tasks = max(1, ceil((small.count() or 1) / 20_000))
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for _, g in pdf.groupby("grp"):
+            size = g["size"].to_numpy()
+            sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+            ok, every = np.zeros(len(g), bool), np.arange(len(g))
+            for k in range(len(g)):
+                if not ok[k]:
+                    near = allowed(sketch, size, k, every, percent)
+                    if len(near) > 1:
+                        ok[near] = True
+            keep.append(g.loc[ok, ["grp", "n", "node"]])
+        return pd.concat(keep)
+
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(tasks)))
+    some = rows.groupBy("task").applyInPandas(check, "grp long, n long, node long")
+    left = some.unionByName(members.where(F.col("n") > SLOT).select("grp", "n", "node"))
+    n = left.groupBy("grp").agg(F.count("*").alias("left")).where("left > 1").withColumnRenamed("grp", "g")
+    left = stored(left, "possible")
+    return stored(left.join(n, F.col("grp") == F.col("g")).select("grp", F.col("left").alias("n"), "node"), "possible")
+
+
+def _links(tiles: DataFrame, sets: DataFrame, percent: int, tile_rows: int = 2000) -> DataFrame:
+    """Links (a, b) between the labels of each tile: ``tiles`` (tile, node, label), each set read by its node."""
+    tiles = stored(tiles, "tiles")
+    rows = tiles.join(sets.select(F.col("node").alias("m"), "set"), F.col("node") == F.col("m")).select("tile", "label", "set")
+    tasks = max(1, ceil(tiles.count() / tile_rows) * 4)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, g in pdf.groupby("pair"):
-            node = g["node"].to_numpy()
-            root = roots([np.frombuffer(s, np.uint64) for s in g["set"]], percent)
-            out = root != np.arange(len(root))
-            a.append(node[out])
-            b.append(node[root[out]])
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for _, g in pdf.groupby("tile"):
+            label = g["label"].to_numpy()
+            root = roots([np.frombuffer(s, np.uint64) for s in g["set"]], percent, label)
+            pairs = np.unique(np.stack([label, label[root]]), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            a.append(pairs[0])
+            b.append(pairs[1])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.groupBy("task").applyInPandas(verify, "a long, b long")
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("tile"), F.lit(tasks)))
+    return stored(rows.groupBy("task").applyInPandas(verify, "a long, b long").distinct(), "links")
+
+
+def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of all sets that have a link."""
+    slots = lambda n: F.ceil(n / F.lit(SLOT)).cast("long")
+    slot = lambda n: F.pmod(F.xxhash64(F.lit(2), "node"), slots(n))
+    # 2. each set once, in its largest group
+    main = members.groupBy("node").agg(F.max(F.struct("n", "grp")).alias("g")).select("node", "g.n", "g.grp")
+    main = stored(main, "main")
+    links = _links(main.select(F.xxhash64("grp", slot(F.col("n"))).alias("tile"), "node", F.col("node").alias("label")), sets, percent)
+    whole = main.where(F.col("n") <= SLOT).groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("c"))
+    rest = members.join(whole, F.col("grp") == F.col("g"), "left").where("c is null or c < n").select("grp", "n", "node")
+
+    rest = stored(rest, "rest")
+
+    def open_groups(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components, and (grp, n, node, label) of the groups that hold several."""
+        labels = components(links)
+        now = rest.join(labels.select(F.col("node").alias("m"), "label"), F.col("node") == F.col("m"), "left").select("grp", "n", "node", F.coalesce("label", "node").alias("label"))
+        several = now.groupBy(F.col("grp").alias("g")).agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+        return labels, stored(now.join(several, F.col("grp") == F.col("g")).select("grp", "n", "node", "label"), "open")
+
+    labels, left = open_groups(links)
+    # 3. some of each component, in its largest group of several slots
+    for _ in range(3):
+        large = left.where(F.col("n") > SLOT)
+        if large.isEmpty():
+            break
+        best = large.groupBy(F.col("label").alias("b")).agg(F.max(F.struct("n", "grp"))["grp"].alias("g"))
+        large = large.join(best, (F.col("label") == F.col("b")) & (F.col("grp") == F.col("g"))).select("grp", "n", "node", "label")
+        order = Window.partitionBy("grp", "label").orderBy(F.xxhash64("node"))
+        some = large.withColumn("k", F.row_number().over(order)).where("k <= 4").drop("k")
+        n = some.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("w"))
+        some = some.join(n, F.col("grp") == F.col("g"))
+        more = _links(some.select(F.xxhash64("grp", slot(F.col("w"))).alias("tile"), "node", "label"), sets, percent)
+        if more.isEmpty():
+            break
+        links = stored(links.unionByName(more), "links")
+        labels, left = open_groups(links)
+    if left.isEmpty():
+        return labels
+    # 4. across components: the largest (side 0) against the others (side 1), and those among each other
+    size = left.groupBy("grp", "label").agg(F.count("*").alias("c"))
+    size = size.groupBy(F.col("grp").alias("g")).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+    size = size.select("g", F.when(F.col("all") > SLOT, F.col("top.label")).alias("top"), "top.c", "all")
+    rows = left.join(size, F.col("grp") == F.col("g")).withColumn("side", F.when(F.col("label") == F.col("top"), 0).otherwise(1))
+    own, others = F.coalesce(slots(F.when(F.col("top").isNotNull(), F.col("c"))), F.lit(0)), slots(F.col("all") - F.when(F.col("top").isNotNull(), F.col("c")).otherwise(0))
+    rows = rows.withColumn("own", own).withColumn("others", others)
+    rows = rows.withColumn("s", F.pmod(F.xxhash64(F.lit(2), "node"), F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("others"))))
+    zero, last = F.lit(0).cast("long"), F.col("others") - 1
+    with_own = F.when(F.col("own") > 0, F.transform(F.sequence(zero, F.greatest(F.col("own") - 1, zero)), lambda x: F.concat_ws("-", F.lit("a"), x, F.col("s")))).otherwise(F.array().cast("array<string>"))
+    among = F.transform(F.sequence(zero, last), lambda x: F.concat_ws("-", F.lit("b"), F.least(x, F.col("s")), F.greatest(x, F.col("s"))))
+    tiles = F.when(F.col("side") == 0, F.transform(F.sequence(zero, last), lambda x: F.concat_ws("-", F.lit("a"), F.col("s"), x))).otherwise(F.concat(with_own, among))
+    rows = rows.select("grp", "node", "label", F.explode(tiles).alias("t")).select(F.xxhash64("grp", "t").alias("tile"), "node", "label")
+    more = _links(rows, sets, percent)
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
@@ -226,18 +339,17 @@ def decide(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
                 at, cut = np.unique(kd, return_index=True)
                 keys = np.split(kk, cut[1:]) if len(at) else []
                 if len(at):
-                    yield pa.record_batch([pa.array(node[at]), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())),
-                                           pa.array([h[begin[d] : begin[d] + count[d]].tobytes() for d in at], pa.binary())], names=["node", "keys", "set"])
-
-    found = stored(with_answers(parts, answers).mapInArrow(suspects, "node long, keys array<long>, set binary"), "suspects")
-    keys = found.select("node", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    least = stored(least.select(F.col("key").alias("k"), "a"), "keys")
-    near = components(keys.join(least, F.col("key") == F.col("k")).where("a <> node").select("a", F.col("node").alias("b")))
-    sets = found.select("node", "set").groupBy("node").agg(F.first("set").alias("set"))
-    cluster = sets.join(near.select(F.col("node").alias("m"), F.col("label").alias("cluster")), F.col("node") == F.col("m")).select("node", "cluster", "set")
-    labels = components(_links(stored(cluster, "sets"), percent))
-    return _named(names, labels)
+                    each = [h[begin[d] : begin[d] + count[d]] for d in at]
+                    sketch = sketches(np.concatenate(each), count[at], SKETCH_BITS)
+                    yield pa.record_batch([pa.array(node[at]), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(count[at].astype(np.int64)),
+                                           pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())],
+                                          names=["node", "keys", "size", "sketch", "set"])
+
+    found = stored(with_answers(parts, answers).mapInArrow(suspects, "node long, keys array<long>, size long, sketch binary, set binary"), "suspects")
+    members = _possible(_groups(found), found, percent)
+    left = stored(members.select(F.col("node").alias("m")).distinct(), "left")
+    sets = found.select("node", "set").join(left, F.col("node") == F.col("m"), "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    return _named(names, _verified(members, stored(sets, "sets"), percent))
 
 
 def _explode(blocks: DataFrame, words: int) -> DataFrame:

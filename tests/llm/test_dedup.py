@@ -89,6 +89,32 @@ def test_near_random_edits(spark, monkeypatch):
     assert sorted(got) == sorted(component_ids(rows, 3, 90))
 
 
+def test_links_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLOT", 40)
+    made, links = [], neardup._links
+
+    def counted(tiles, sets, percent, **how):
+        out = links(tiles, sets, percent, **how)
+        made.append((tiles.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_links", counted)
+    sums = []
+    for n in (150, 600):
+        rng, rows = random.Random(n), []
+        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        for k in range(n):  # each with two words of its own
+            t = list(base)
+            for _ in range(2):
+                t[rng.randrange(len(t))] = f"e{rng.randrange(10**6)}"
+            rows.append((k, " ".join(t), "en", "a"))
+        made.clear()
+        got = neardup.near_duplicates(docs_frame(spark, rows), 3, 90, block_bytes=20_000).collect()
+        assert {r["component_id"] for r in got} == {0}
+        sums.append([sum(x) for x in zip(*made)])
+    assert sums[1][0] <= 5 * sums[0][0] and sums[1][1] <= 5 * sums[0][1] and sums[1][1] < 2 * 600  # 4 times the documents
+
+
 def test_near_empty(spark):
     assert neardup.near_duplicates(docs_frame(spark, [])).count() == 0
     got = neardup.near_duplicates(docs_frame(spark, [(1, None, None, None), (2, " ", None, None)])).collect()
