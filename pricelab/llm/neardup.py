@@ -347,8 +347,11 @@ def decide(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
 
     found = stored(with_answers(parts, answers).mapInArrow(suspects, "node long, keys array<long>, size long, sketch binary, set binary"), "suspects")
     members = _possible(_groups(found), found, percent)
+    # A set that several blocks hold is one already in the task that reads it, before anything moves: an inner join, since a
+    # semi join would be pushed below the aggregate.
+    sets = found.groupBy("node").agg(F.first("set").alias("set"))
     left = stored(members.select(F.col("node").alias("m")).distinct(), "left")
-    sets = found.select("node", "set").join(left, F.col("node") == F.col("m"), "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    sets = sets.join(left, F.col("node") == F.col("m")).select("node", "set")
     return _named(names, _verified(members, stored(sets, "sets"), percent))
 
 
