@@ -27,7 +27,8 @@ group), and links are verified within groups:
 3. Linked sets are one component from then on. In groups of several slots a few sets of each component are
    compared next, each component in its largest group, so the parts of a large group of near copies grow together.
 4. Groups that still hold several components, and were not compared as a whole, are compared across
-   components: the largest one's sets against the others', and the others' among each other, slot by slot; one link for two
+   components: those that share sets together, where they are ``SLOT`` sets at most; else group by group, the largest
+   component's sets against the others', and the others' among each other, slot by slot. There is one link for two
    components that are found linked.
 
 So a group of near copies gives links in proportion to its sets, and a set moves again only where components
@@ -204,8 +205,8 @@ def _possible(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(tasks)))
     some = rows.groupBy("task").applyInPandas(check, "grp long, n long, node long")
     left = some.unionByName(members.where(F.col("n") > SLOT).select("grp", "n", "node"))
-    n = left.groupBy("grp").agg(F.count("*").alias("left")).where("left > 1").withColumnRenamed("grp", "g")
     left = stored(left, "possible")
+    n = left.groupBy("grp").agg(F.count("*").alias("left")).where("left > 1").withColumnRenamed("grp", "g")
     return stored(left.join(n, F.col("grp") == F.col("g")).select("grp", F.col("left").alias("n"), "node"), "possible")
 
 
@@ -269,7 +270,15 @@ def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         labels, left = open_groups(links)
     if left.isEmpty():
         return labels
-    # 4. across components: the largest (side 0) against the others (side 1), and those among each other
+    # 4. across components. What hangs together over open groups is one tile if it is small: a set moves once
+    star = left.groupBy(F.col("grp").alias("g")).agg(F.min("node").alias("a"))
+    near = components(left.join(star, F.col("grp") == F.col("g")).select("a", F.col("node").alias("b")))
+    many = near.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("in_all"))
+    near = near.join(many, F.col("label") == F.col("l")).select(F.col("node").alias("m"), F.col("l").alias("cluster"), "in_all")
+    left = stored(left.join(near, F.col("node") == F.col("m")).drop("m"), "open")
+    together = left.where(F.col("in_all") <= SLOT).select(F.xxhash64(F.lit(3), "cluster").alias("tile"), "node", "label").distinct()
+    left = left.where(F.col("in_all") > SLOT)
+    # in large clusters group by group, the largest component (side 0) against the others (side 1), and those among each other
     size = left.groupBy("grp", "label").agg(F.count("*").alias("c"))
     size = size.groupBy(F.col("grp").alias("g")).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
     size = size.select("g", F.when(F.col("all") > SLOT, F.col("top.label")).alias("top"), "top.c", "all")
@@ -282,7 +291,7 @@ def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     among = F.transform(F.sequence(zero, last), lambda x: F.concat_ws("-", F.lit("b"), F.least(x, F.col("s")), F.greatest(x, F.col("s"))))
     tiles = F.when(F.col("side") == 0, F.transform(F.sequence(zero, last), lambda x: F.concat_ws("-", F.lit("a"), F.col("s"), x))).otherwise(F.concat(with_own, among))
     rows = rows.select("grp", "node", "label", F.explode(tiles).alias("t")).select(F.xxhash64("grp", "t").alias("tile"), "node", "label")
-    more = _links(rows, sets, percent)
+    more = _links(rows.unionByName(together), sets, percent)
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
