@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import held
 
-MEMO_WORDS = 200_000  # in each memo of chunks; half as many pre-tokens
+MEMO_WORDS = 200_000  # in each memo of chunks, in two generations; half as many pre-tokens
 SLICE_BYTES = 1 << 20  # text turned into Python objects at a time
 LONG_WORD = 64  # bytes; longer words are merged by a heap
 ID = (1 << 24) - 1  # a merge is rank << 24 | new id
@@ -80,6 +80,9 @@ class Codec:
             self.bytes_of[i] = b
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)  # the bytes of all tokens, one behind the other
+        self.n_bytes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.offset = np.cumsum(self.n_bytes) - self.n_bytes
         id_of = {b: i for i, b in raw.items()}
         self.byte_id = [id_of[bytes([b])] for b in range(256)]
         self.merge_of: dict[tuple[int, int], int] = {}
@@ -95,6 +98,7 @@ class Codec:
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # by pre-token
+        self.older: dict[str, dict[str, bytes]] = {"first": {}, "spaced": {}, "known": {}}  # the memos before the last turn
         self.pairs = np.empty(0, np.int64)  # sorted keys of the tested pairs ...
         self.pair_ok = np.empty(0, bool)  # ... and their verdicts
         self.exact_words = self.new_words = 0
@@ -138,8 +142,9 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def compatible(self, keys: np.ndarray) -> np.ndarray:
-        """Verdicts on pairs ``left << 32 | right`` (``left == -1``: the token by itself)."""
-        new = np.setdiff1d(keys, self.pairs)
+        """Verdicts on sorted pairs ``left << 32 | right`` (``left == -1``: the token by itself)."""
+        at = np.searchsorted(self.pairs, keys)  # the keys come sorted, each once
+        new = keys[self.pairs[np.minimum(at, len(self.pairs) - 1)] != keys] if len(self.pairs) else keys
         if len(new):
             ok = np.empty(len(new), bool)
             for k, key in enumerate(new.tolist()):
@@ -166,10 +171,15 @@ class Codec:
         self.exact_words += len(failing)
         return [little(self.merge(raw[k]) if k in failing else g) for k, g in enumerate(guess)]
 
-    def remember(self, memo: dict[str, bytes], chunks: set[str], before: str) -> None:
+    def remember(self, name: str, chunks: set[str], before: str) -> None:
         """Memoise the ids of ``before + chunk`` for every chunk."""
-        cut = {x: self.words.findall(before + x) for x in chunks}
-        words = sorted({w for ws in cut.values() for w in ws}.difference(self.known))
+        memo, older, known = getattr(self, name), self.older[name], self.older["known"]
+        again = chunks & older.keys()
+        memo.update((x, older[x]) for x in again)
+        cut = {x: self.words.findall(before + x) for x in chunks - again}
+        words = {w for ws in cut.values() for w in ws}.difference(self.known)
+        self.known.update((w, known[w]) for w in words & known.keys())
+        words = list(words - known.keys())
         self.known.update(zip(words, self.learn(words)) if words else ())
         ids = self.known.__getitem__
         memo.update((x, ids(ws[0]) if len(ws) == 1 else b"".join(map(ids, ws))) for x, ws in cut.items())
@@ -181,9 +191,10 @@ class Codec:
         holds what follows a space (``self.spaced``) or starts a text (``self.first``). A text with two spaces
         together, or one at its end, is cut by the pattern alone.
         """
-        for memo, most in ((self.first, MEMO_WORDS), (self.spaced, MEMO_WORDS), (self.known, MEMO_WORDS // 2)):
-            if len(memo) > most:
-                memo.clear()
+        for name, most in (("first", MEMO_WORDS // 2), ("spaced", MEMO_WORDS // 2), ("known", MEMO_WORDS // 4)):
+            if len(memo := getattr(self, name)) > most:  # words still in use come back from the older memo
+                self.older[name] = memo
+                setattr(self, name, {})
         plan = []  # per text: (ids, chunk that starts it, chunks behind spaces)
         for t in texts:
             parts = self.split.split(t) if self.split and any(s in t for s in self.special) else [t]
@@ -198,9 +209,9 @@ class Codec:
                     plan.append((None, head, rest))
             plan.append(None)
         if new := {x[1] for x in plan if x and x[0] is None}.difference(self.first):
-            self.remember(self.first, new, "")
+            self.remember("first", new, "")
         if new := set().union(*(x[2] for x in plan if x)).difference(self.spaced):
-            self.remember(self.spaced, new, " ")
+            self.remember("spaced", new, " ")
         first, spaced, out, ids = self.first, self.spaced.__getitem__, [], []
         for x in plan:
             if x is None:
@@ -214,8 +225,11 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> str:
-        get = self.bytes_of.__getitem__
-        return b"".join(map(get, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        t = np.frombuffer(ids, "<u4")
+        n = self.n_bytes[t]
+        end = np.cumsum(n)
+        at = np.repeat(self.offset[t] - end + n, n) + np.arange(n.sum())
+        return self.flat[at].tobytes().decode("utf-8", "replace")
 
 
 def codec(path: str) -> Codec:
