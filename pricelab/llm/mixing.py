@@ -109,11 +109,21 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    d, s, z = fresh("d"), fresh("s"), fresh("z")
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows alike in (doc_id, source, size) share what the plan takes of them: the total is dealt evenly, what is over
+    one each in the order of a hash of their texts.
+    """
+    d, s, z, n, c, r = map(fresh, "dszncr")
     text, source, doc_id = how.get("text", "text"), how.get("source", "source"), how.get("doc_id", "doc_id")
-    plan = mix(docs, **how).where("copies > 0")
-    # Equal (doc_id, source, size): as many rows of the document as of the plan; their copies are dealt in total.
-    plan = plan.groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z)).agg(F.max("copies").alias(fresh_copies := fresh("n")))
-    out = docs.join(plan, F.col(doc_id).cast("long").eqNullSafe(F.col(d)) & F.col(source).cast("string").eqNullSafe(F.col(s)) & (size_of(F.col(text)) == F.col(z)))
-    return out.withColumn(r := fresh("r"), F.explode(F.sequence(F.lit(1), F.col(fresh_copies)))).select(docs.columns)
+    plan = mix(docs, **how).groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z)).agg(F.sum("copies").alias(c), F.count("*").alias(n))
+    plan = stored(plan.where(F.col(c) > 0), "copies")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(d)) & F.col(source).cast("string").eqNullSafe(F.col(s)) & (size_of(F.col(text)) == F.col(z))
+    repeated = plan.where(F.col(n) > 1)
+    out = docs.join(plan.where(F.col(n) == 1), same).select(*docs.columns, c)
+    if not repeated.isEmpty():
+        place = F.row_number().over(Window.partitionBy(d, s, z).orderBy(F.xxhash64(text)))
+        share = F.expr(f"{c} div {n}") + (place <= F.expr(f"{c} % {n}")).cast("long")
+        out = out.union(docs.join(repeated, same).select(*docs.columns, share.alias(c)))
+    turns = F.when(F.col(c) > 0, F.sequence(F.lit(1).cast("long"), F.col(c)))
+    return out.withColumn(r, F.explode(turns)).select(docs.columns)
