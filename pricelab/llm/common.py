@@ -1,11 +1,11 @@
-"""Small shared helpers: bounded samples, the learning split, scratch tables."""
+"""Small shared helpers: the learning split, scratch tables."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare_session, scratch_path
@@ -26,21 +26,6 @@ def held_out(doc_id: Column | str, folds: int = 4) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == 2, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, counts: dict, each: int) -> DataFrame:
-    """``each`` rows of smallest hash of ``id`` for every label (all of a rarer one); ``counts``: rows of each label.
-
-    A threshold on the hash leaves about twice as many first, whatever the size of the table, so what is ordered
-    within a label is bounded as the sample is.
-    """
-    if not counts:
-        return rows.limit(0)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * each / n)))])
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = rows.where(place < F.try_element_at(share, F.col(label))).select("id", label).distinct()
-    order = Window.partitionBy(label).orderBy(F.xxhash64("id"), "id")
-    return few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).drop("k")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back (cuts lineage; survives lost executors)."""
     spark = df.sparkSession

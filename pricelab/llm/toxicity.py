@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import bounded_sample, fresh, held, held_out
+from .common import fresh, held, held_out, stored
 
 NGRAMS, BUCKETS, MEMO_WORDS = (3, 4, 5), 1 << 17, 300_000
 MULT, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 17)
@@ -151,16 +151,28 @@ def fit(texts: list[str], labels: np.ndarray, base: float, dims: int = 8, epochs
 
 def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
            sample_rows: int = 2000, sample_chars: int = 20_000) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of the labelled rows of smallest hash for each label, and the share of label 1 among all."""
+    """Texts and labels of the labelled rows of smallest hash for each label, and the share of label 1 among all.
+
+    Only rows of at most ``sample_chars`` characters are picked; of a label without such rows the shortest, by their
+    first ``sample_chars`` characters. An id that has both labels counts as label 1.
+    """
     rows = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(
         F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy("id").agg(F.max("y").alias("y"))
     count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    picked = bounded_sample(rows, "y", count, sample_rows)
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.length(text).alias("size"), F.xxhash64(text).alias("h"))
+    found = stored(texts.drop("text").join(rows, "id"), "labelled")
+    short = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count_if(F.col("size") <= sample_chars).alias("n")).collect()}
+    if not short:
+        return [], np.empty(0, np.int64), count.get(1, 0) / sum(count.values()) if count else 0.0
+    n = F.try_element_at(F.create_map(*[F.lit(x) for kv in short.items() for x in kv]), F.col("y"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    found = found.where((n == 0) | (F.col("size") <= sample_chars) & (place * n < 2.0 * sample_rows)).select("id", "y", "h", F.when(n == 0, F.col("size")).otherwise(0).alias("size")).distinct()
+    order = Window.partitionBy("y").orderBy("size", F.xxhash64("id"), "id", "h")
+    picked = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).select("id", "y", "h")
     # At most 2 * sample_rows ids: small enough to broadcast.
-    got = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length(text) <= sample_chars).join(F.broadcast(picked), "id")
+    got = texts.join(F.broadcast(picked), ["id", "h"]).select("id", F.substring("text", 1, sample_chars).alias("text"), "y").distinct()
     pairs = sorted((r["id"], r["text"], r["y"]) for r in got.toLocalIterator())
-    total = sum(count.values())
-    return [t for _, t, _ in pairs], np.array([y for *_, y in pairs], np.int64), count.get(1, 0) / total if total else 0.0
+    return [t for _, t, _ in pairs], np.array([y for *_, y in pairs], np.int64), count.get(1, 0) / sum(count.values())
 
 
 def predict(text: Column, spark: SparkSession, model: Model) -> Column:
