@@ -11,7 +11,8 @@ query. All arithmetic is in 64-bit integers.
 Vectors that are null or hold null or non-finite components take no part.
 Vectors of another length than the query are scored over the dimensions that
 both have. Ties go to the smaller id; a repeated id is a candidate as often as
-it occurs, but never its own; a query gets all if there are fewer than k.
+it occurs, but never its own, and asks once, with the smallest of its vectors; a
+query gets all if there are fewer than k.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ def quantised(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     x = F.col(vector).cast("array<double>")
     odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     ok = df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & ~F.coalesce(odd, F.lit(True)))
-    return ok.select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    wide = F.raise_error(F.lit("a component beyond 64 bits once scaled")).cast("long")
+    whole = F.transform(x, lambda c: F.when(F.abs(c * scale) < float(1 << 63), F.floor(c * scale)).otherwise(wide))
+    return ok.select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"))
 
 
 def packed(df: DataFrame, blocks: int, name: str) -> DataFrame:
@@ -54,9 +57,12 @@ def best(queries, candidates, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(query id, candidate id, score): the k best of one block for each query."""
     qid, q = matrix(queries)
     cid, c = matrix(candidates)
+    most = [np.abs(m.astype(float)).max(1, initial=0) for m in (q, c)]
+    if sum(a * b for a, b in zip(*most)) >= 1 << 62:
+        q, c = q.astype(object), c.astype(object)  # integers of any size
     out = []
     for row, query in enumerate(qid):
-        score = np.zeros(len(cid), np.int64)
+        score = np.zeros(len(cid), c.dtype)
         weights = q[: len(c), row]
         for term in np.flatnonzero(weights):
             score += weights[term] * c[term]
@@ -65,7 +71,7 @@ def best(queries, candidates, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             kth = np.partition(score[ok], len(ok) - k)[len(ok) - k]
             ok = ok[score[ok] >= kth]  # with all ties at the border
         order = ok[np.lexsort((cid[ok], -score[ok]))][:k]
-        out.append((np.full(len(order), query), cid[order], score[order]))
+        out.append((np.full(len(order), query), cid[order], score[order].astype(np.int64)))
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
@@ -76,7 +82,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_
     # Counts only size the blocks.
     counts = df.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()[0]
     nq, nc = max(1, ceil(counts["q"] / QUERY_BLOCK)), max(1, ceil(counts["n"] / CANDIDATE_BLOCK))
-    left = packed(queries.dropDuplicates(["id"]), nq, "qb").withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))))
+    left = packed(queries.groupBy("id").agg(F.min("v").alias("v")), nq, "qb").withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))))
     pairs = packed(rows, nc, "cb").join(left.withColumnRenamed("cb", "cb2"), F.col("cb") == F.col("cb2")).select("qb_rows", "cb_rows")
 
     def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
