@@ -81,6 +81,19 @@ def test_topk(spark, monkeypatch, n):
     assert got == brute(rows)
 
 
+def test_topk_of_large_values(spark):
+    """Sums beyond 64 bits on the way are exact; a score or a component beyond them is an error."""
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(0, [3e6, 3e6, 1.0]), (1, [2e6, -2e6, 1.0]), (2, [1.0, 1.0, 5.0]), (3, [-1.0, 2.5, 0.0])]
+    assert sorted(map(tuple, topk.search(frame(rows), F.col("vec_id") % 100 == 0).collect())) == brute(rows)
+    one, other = [(7, 5.0), (7, 9.0)], [(8, 2.0)]
+    got = topk.search(frame([(i, [x]) for i, x in one + other]), F.col("vec_id") == 7).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(8, 5 * 2 * 1024**2)]
+    for bad in ([(0, [3e9]), (1, [3e9])], [(0, [1.0]), (1, [1e300])]):
+        with pytest.raises(Exception):
+            topk.search(frame(bad), F.col("vec_id") % 100 == 0).collect()
+
+
 def test_licences(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0.", None, None), (2, "  RELEASED under the MIT Licence!!\r\nCopyright (c) 2020 Somebody\n", None, None),

@@ -45,6 +45,18 @@ def test_bpe_memo_is_bounded(library, monkeypatch):
         assert np.frombuffer(c.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_words_come_back_from_the_older_memo(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 40)
+    c = bpe.Codec(bpe.default_path())
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeinrst"), 6)) for _ in range(60)]
+    for _ in range(30):
+        t = " ".join(rng.choice(words, 12))
+        assert np.frombuffer(c.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(c.first) + len(c.older["first"]) <= 80 and len(c.spaced) + len(c.older["spaced"]) <= 80
+    assert c.new_words < 30 * 12 and c.decode(b"") == ""
+
+
 def test_held_out_is_the_crc(spark):
     df = spark.createDataFrame([(k,) for k in [*range(40), None]], "doc_id long").select("doc_id", held_out("doc_id").alias("h"))
     for r in df.collect():
@@ -82,6 +94,11 @@ def test_every_language_is_learnt(spark):
     assert {(x, y) for x, y in got if x in learnt} == {(x, x) for x in learnt}
 
 
+@pytest.mark.parametrize("text", ["\u00b2\u00b3 \u00b9", "\u00bd\u00be", "\u2167 \u2160", "\u2460\u2461", "12_34 \u0663"])
+def test_numerals_are_no_letters(text):
+    assert langid.words_of(text) == [] and langid.words_of(text + "ab\u00e9") == ["ab\u00e9"]
+
+
 def test_forward_sums_all_segmentations():
     vocab = langid.Vocabulary()
     rng = np.random.default_rng(1)
@@ -129,6 +146,23 @@ def test_toxicity_query_shape(spark):
     assert toxicity.score(docs_frame(spark, []), labels, out="score").count() == 0
 
 
+def test_toxic_sample_takes_rows_that_are_short_enough(spark):
+    """Nearly all toxic rows are long; then all of them."""
+    long = "bad " * 200
+    rows = [(k, f"clean words {k}", "en", "a") for k in range(400)] + [(1000 + k, f"{long}{k}", "en", "a") for k in range(400)]
+    rows += [(2000 + k, f"short bad {k}", "en", "a") for k in range(9)] + [(2000, "short bad 0", "en", "a"), (3000, None, "en", "a")]
+    docs = docs_frame(spark, rows)
+    labels = spark.createDataFrame([(r[0], int(r[0] >= 1000)) for r in rows] + [(0, 1)], "doc_id long, toxic int")
+    learnt = lambda k: zlib.crc32(str(k).encode()) % 4 != 2
+    texts, y, base = toxicity.sample(docs, labels, sample_rows=50, sample_chars=100)
+    assert (y == 0).sum() == 50 and (y == 1).sum() == sum(learnt(2000 + k) for k in range(9)) + learnt(0) and max(map(len, texts)) <= 100
+    ids = {r[0] for r in rows if learnt(r[0])}
+    assert base == pytest.approx(sum(k >= 1000 or k == 0 for k in ids) / len(ids))
+    texts, y, _ = toxicity.sample(docs.where("doc_id not between 2000 and 2999 and doc_id > 0"), labels, sample_rows=50, sample_chars=100)
+    assert (y == 1).sum() == 50 and {t for t, k in zip(texts, y) if k} == {long[:100]}
+    assert toxicity.sample(docs.limit(0), labels)[0] == [] == toxicity.sample(docs, labels.limit(0))[0]
+
+
 @pytest.mark.parametrize("sizes", [[("a", 100), ("b", 50), ("c", 7), ("d", 900)], [("a", 10)], [("a", 0), ("b", 5)], [("x", 1)] * 1 + [("y", 10**6), (None, 3)]])
 def test_shares_by_water_filling(sizes):
     got = mixing.shares(sizes)
@@ -156,3 +190,21 @@ def test_mix(spark):
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(df.where("doc_id is not null and doc_id <> 20")).collect()}
     assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").agg(F.count("*").alias("count")).collect()} == {k: v for k, v in plan.items() if v}
     assert mixing.mix(docs_frame(spark, [])).count() == 0
+
+
+def test_mixed_deals_what_the_plan_takes(spark):
+    """Repeated rows, different texts alike in id, source and size, null ids and sources."""
+    two = [(1, "one two", "en", "a")] * 2
+    assert mixing.mixed(docs_frame(spark, two)).count() == 3
+    rows = two + [(2, "x y z", "en", "a"), (2, "u v w", "en", "a"), (2, "u v", "en", "a"), (None, "p q", "en", None), (None, "p q", "en", None), (None, None, None, None)]
+    rows += [(10 + k % 20, "w " * (k % 5), "en", [None, "a", "b"][k % 3]) for k in range(200)]
+    df = docs_frame(spark, rows)
+    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"])
+    want, got = {}, {}
+    for r in mixing.mix(df).collect():
+        want[key(r)] = want.get(key(r), 0) + r["copies"]
+    out = mixing.mixed(df)
+    for r in out.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size")).collect():
+        got[key(r)] = got.get(key(r), 0) + 1
+    assert out.columns == df.columns and got == {k: v for k, v in want.items() if v}
+    assert mixing.mixed(docs_frame(spark, [])).count() == 0
