@@ -52,6 +52,45 @@ def test_page_without_article():
     assert htmltext.main_text(html).split("\n") == ["Head", long.strip(), long.strip()]
 
 
+LONG = "A paragraph with many words that goes on for quite a while, as the text of an article does. " * 3
+
+
+@pytest.mark.parametrize("part", ['<h2 id="related-work">Kept</h2>', '<h2 id="search-algorithms">Kept</h2>', '<h2 id="social-history">Kept</h2>', '<section id="side-effects">Kept</section>',
+                                  '<div class="share-price">Kept</div>', '<section class="widget">Kept</section>', '<blockquote class="comment">Kept</blockquote>', '<header><h1>Kept</h1></header>',
+                                  '<label>Kept</label>', '<section id="search"><p>Kept</section>', '<p>Kept <span class="share">whole</span></p>'])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_names_inside_an_article_take_no_text_away(part, tag):
+    got = htmltext.main_text(f"<nav><a href=x>menu</a></nav><{tag}><p>{LONG}</p>{part}<p>{LONG}</p></{tag}><footer>end</footer>").split("\n")
+    assert got[0] == got[2] == LONG.strip() and got[1].startswith("Kept") and len(got) == 3
+
+
+@pytest.mark.parametrize("part", ['<div class="ad">Buy this</div>', '<div class="ad-slot"><p>Buy</p></div>', '<div id="comments"><p>I do not agree</p><p>Nor do I</p></div>', '<ul class="share-buttons"><li>one</ul>',
+                                  '<aside>x</aside>', '<footer>x</footer>', '<nav>x</nav>', '<div class="newsletterSignup">Get it</div>'])
+def test_boxes_inside_an_article_go(part):
+    assert htmltext.main_text(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>").split("\n") == [LONG.strip()] * 2
+
+
+def test_ratios_decide(monkeypatch):
+    """With other ratios the result is another, on pages with and without an article."""
+    marked = f"<article><p>{LONG}</p><div class='notice'><p>{LONG * 12}</p></div><div class=ad>Buy</div><p>{LONG}</p></article><article><p>tiny</p></article>"
+    plain = "".join(f"<div>before {k}</div>" for k in range(4)) + f"<p>{LONG}</p><p>{LONG}</p>" + "".join(f"<div>after {k}</div>" for k in range(12))
+    whole = [htmltext.main_text(marked), htmltext.main_text(plain)]
+    assert whole[0].split("\n") == [LONG.strip(), (LONG * 12).strip(), LONG.strip()] and whole[1].count(LONG.strip()) == 2 and "before 0" not in whole[1]
+    monkeypatch.setattr(htmltext, "smooth", lambda ratio, sigma: ratio[::-1])
+    assert htmltext.main_text(marked) != whole[0] and htmltext.main_text(plain) != whole[1]
+
+
+def test_given_pages_keep_their_article(spark):
+    """Brute force over the given pages: the text of each block of the article element."""
+    import html as entities
+
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        inner = re.search(r"<article[^>]*>(.*?)</article>", r["html"], re.S)[1]
+        inner = re.sub(r"(?s)<(script|style|aside|nav|form|footer|button)\b.*?</\1>|<!--.*?-->", "", inner)
+        blocks = (" ".join(entities.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h\d|li|ul|ol|div|section|blockquote|table|tr|td|figure)\b[^>]*>", inner))
+        assert htmltext.main_text(r["html"]).split("\n") == [x for x in blocks if x]
+
+
 def test_extract_column(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
     got = df.withColumn("text", htmltext.extract(F.col("html"))).collect()
