@@ -280,7 +280,58 @@ REVIEW_PROMPT = (
     "        TEST PERFORMANCE REVIEW:<|eot_id|><|start_header_id|>assistant<|end_header_id|>"
 )
 
+# Zero-shot labelling prompt that asks for the score only.
+SCORE_PROMPT = (
+    "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n"
+    "On a scale from -1.0 (extremely negative) to 1.0 (extremely positive), what is the sentiment of this financial headline? Respond with only the number.\n"
+    "HEADLINE: {headline}\n"
+    "SENTIMENT_SCORE:<|eot_id|><|start_header_id|>assistant<|end_header_id|>"
+)
+
+# Report prompt of the exploration notebook, and the data that goes into it.
+EXPLORATION_DATA = "\nPrice Forecast for {ticker} (next {pred_days} days): {forecast}\n\nRecent News Analysis:\n{analyses}"
+EXPLORATION_ANALYSIS = "- {analysis}\n"
+EXPLORATION_REPORT_PROMPT = (
+    "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n"
+    "You are a senior financial analyst. Synthesize the following quantitative forecast and qualitative news analysis into a concise, professional report for an investor.\n"
+    "Do not just list the data. Provide a concluding summary of the likely outlook for the stock.\n"
+    "\n"
+    "--- DATA ---\n"
+    "{data}\n"
+    "--- END DATA ---\n"
+    "\n"
+    "ANALYST REPORT:<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n"
+)
+
+# Forecast prompts of the draft: with the folded summary, and without where no summary could be parsed.
+DRAFT_SUMMARY_PROMPT = (
+    "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n"
+    "        You are a financial analyst specializing in time series forecasting.\n"
+    "        Based on your comprehensive analysis summarized as: \"{summary}\", perform the following task.\n"
+    "\n"
+    "        TASK: Time Series Forecast.\n"
+    "        STOCK: {ticker}\n"
+    "        STATISTICS: mean={mean}, std_dev={std_dev}, trend={trend}\n"
+    "        CONTEXT_DAYS: {context_days}\n"
+    "        DATA: [{context}]\n"
+    "        Predict the next {pred_days} closing prices.<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n"
+    "        PREDICTION:"
+)
+DRAFT_FALLBACK_PROMPT = (
+    "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n"
+    "            You are a financial analyst specializing in time series forecasting. Now, perform the following task.\n"
+    "            TASK: Time Series Forecast.\n"
+    "            STOCK: {ticker}\n"
+    "            STATISTICS: mean={mean}, std_dev={std_dev}, trend={trend}\n"
+    "            CONTEXT_DAYS: {context_days}\n"
+    "            DATA: [{context}]\n"
+    "            Predict the next {pred_days} closing prices.<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n"
+    "            PREDICTION:"
+)
+FALLBACK_SUMMARY = "[Fallback Activated] Using simple 180-day context."
+
 # Regular expressions used by the parsers and tag extractors.
+RE_DRAFT_SUMMARY = r"UPDATED_SUMMARY:(.*?)PREDICTION:"
 RE_PRICE = r"(\d+\.?\d*)"
 RE_PRICE_LOOSE = r"[\d\.]+"
 RE_SENTIMENT = r"SENTIMENT_SCORE:\s*(-?\d+\.\d+)"

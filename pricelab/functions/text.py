@@ -95,6 +95,11 @@ def parse_prices_loose(text) -> Column:
     return F.when(F.exists(vals, lambda v: v.isNull()), F.lit(None)).otherwise(vals)
 
 
+def loose_forecast_text(text) -> Column:
+    """The prices behind the marker as a list's text, or the message that they can't be parsed (no marker, a token that is no number)."""
+    return F.coalesce(py_list_text(parse_prices_loose(after_marker(text))), F.lit(K.MSG_LOOSE_PARSE))
+
+
 def after_marker(text, marker: str = K.PREDICTION_MARKER) -> Column:
     """``text.split(marker)[1]`` -- NULL when the marker is absent."""
     return F.try_element_at(F.split(col(text), re.escape(marker)), F.lit(2))

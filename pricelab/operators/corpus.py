@@ -121,10 +121,11 @@ def window_moments(start0: Column, length: Column) -> tuple[Column, Column]:
 
 
 def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
-                     fixed: tuple[int, int] | None = None) -> DataFrame:
+                     fixed: tuple[int, int] | None = None, every: bool = False) -> DataFrame:
     """``(ticker, closes, close_texts, units, p1, p2, n, i, pred_days, context_days)`` for every usable row.
 
-    ``fixed=(context, pred)`` replaces the random choice (fixed-window variant).
+    ``fixed=(context, pred)`` replaces the random choice (fixed-window variant); ``every=True`` gives each row all
+    windows of ``horizons`` that fit.
     """
     # The per-ticker rows are small (one array per ticker) but explode into the
     # whole corpus, several hundred times their size. AQE would coalesce them by
@@ -137,7 +138,10 @@ def corpus_positions(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZO
     s = prefix_series(prices).repartition(width).withColumn("n", F.size("closes"))
     rows = s.select("ticker", "closes", "close_texts", "units", "p1", "p2", "n",
                     F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    if fixed is None:
+    if every:
+        windows = F.array(*[F.struct(F.lit(p).alias("pred_days"), F.lit(c).alias("context_days")) for p, c in horizons])
+        rows = rows.withColumn("_w", F.explode(windows)).select("*", "_w.*").drop("_w")
+    elif fixed is None:
         rows = choose_window(rows, seed, horizons)
     else:
         rows = rows.withColumn("pred_days", F.lit(fixed[1])).withColumn("context_days", F.lit(fixed[0]))
@@ -150,13 +154,13 @@ def fitting(rows: DataFrame) -> DataFrame:
 
 
 def ts_corpus(prices: DataFrame, seed: int = 42, horizons=K.CORPUS_HORIZONS,
-              template: str = K.TRAINING_PROMPT, fixed: tuple[int, int] | None = None) -> DataFrame:
-    """``corpus(ticker, i, pred_days, context_days, text)`` -- one prompt per usable row.
+              template: str = K.TRAINING_PROMPT, fixed: tuple[int, int] | None = None, every: bool = False) -> DataFrame:
+    """``corpus(ticker, i, pred_days, context_days, text)`` -- one prompt per usable row (``every=True``: per window that fits).
 
     Per prompt the work is two prefix-sum lookups for the statistics plus the
     join of the pre-formatted close texts (the output itself).
     """
-    rows = corpus_positions(prices, seed, horizons, fixed)
+    rows = corpus_positions(prices, seed, horizons, fixed, every)
     return render_prompts(rows.withColumn("at", F.col("i")), template)
 
 

@@ -12,6 +12,7 @@ they raise becomes their row's error; all other rows get their answers.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -114,6 +115,20 @@ def fold_step(name: str, factory: Callable, prompt: str, summary: str) -> tuple[
     return (out or "").strip() or summary, error
 
 
+def parsed_answers(factory: Callable[[], TextModel], pattern: str) -> Callable[[], TextModel]:
+    """The same model, of whose answers only the pattern's first group is kept; an answer without it is empty (a fold passes it over)."""
+
+    def made() -> TextModel:
+        model, find = factory(), re.compile(pattern, re.DOTALL | re.IGNORECASE)
+
+        def answer(prompts: list[str]) -> list[str]:
+            return [m.group(1).strip() if (m := find.search(a or "")) else "" for a in model(prompts)]
+
+        return answer
+
+    return made
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over the available cores before a model call.
 

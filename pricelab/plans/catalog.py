@@ -64,4 +64,4 @@ class Ctx:
 
 
 # modules that register queries (import for side effects)
-from . import queries_core, queries_corpus, queries_news, queries_serving, queries_pipelines, queries_io, queries_stream, queries_indicators, queries_models  # noqa: E402,F401
+from . import queries_core, queries_corpus, queries_news, queries_serving, queries_pipelines, queries_io, queries_stream, queries_indicators, queries_models, queries_variants  # noqa: E402,F401

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.scalar import forecast_dates, ticker_from_url, trend3, unreliable_jump
+from ..functions.scalar import forecast_dates, ticker_from_url, trend2, trend3, unreliable_jump
 from ..functions.text import fmt2, parse_prices, price_list_text, py_list_text, render, summary_trim
 from ..operators import backtest as BT
 from ..operators import models as M
@@ -156,6 +156,33 @@ def ordered_fold(chunks: DataFrame, key: str, order: str, text: str, factory: Ca
     return rows.groupBy(key).applyInPandas(fold, f"{key} {key_type}, summary string, error string")
 
 
+def draft_forecast_prompts(series: DataFrame, summarizer: Callable, pred_days: int) -> DataFrame:
+    """(ticker, summary, error, prompt) of ``series(ticker, closes)``: the draft's forecast prompt with the folded summary.
+
+    Of each answer only what stands between the summary's and the prediction's marker is taken, an answer without
+    both leaves the summary as it is. A series none of whose chunks gave a summary gets the simple prompt instead.
+    A model that raises gives neither summary nor prompt.
+    """
+    chunks = overlap_chunks(series).select("ticker", "chunk_no", price_list_text("chunk").alias("chunk_text"))
+    folded = ordered_fold(chunks, "ticker", "chunk_no", "chunk_text", M.parsed_answers(summarizer, K.RE_DRAFT_SUMMARY))
+    df = series.join(folded, "ticker", "left").withColumn("_f", last_n("closes", K.FINAL_CONTEXT_ROWS))
+    mean, std = array_moments(F.col("_f"))
+    ends = F.try_element_at("_f", F.lit(1)), F.try_element_at("_f", F.lit(-1))
+    values = dict(ticker="ticker", mean=fmt2(mean), std_dev=fmt2(std), trend=trend2(*ends), context_days=F.size("_f").cast("string"),
+                  context=price_list_text("_f"), pred_days=F.lit(str(pred_days)))
+    none = F.col("error").isNull() & F.coalesce(F.col("summary") == K.INITIAL_SUMMARY, F.lit(True))
+    prompt = (F.when(none, render(K.DRAFT_FALLBACK_PROMPT, **values))
+              .when(F.col("error").isNull(), render(K.DRAFT_SUMMARY_PROMPT, summary="summary", **values)))
+    return df.select("ticker", F.when(none, F.lit(K.FALLBACK_SUMMARY)).otherwise(F.col("summary")).alias("summary"), "error", prompt.alias("prompt"))
+
+
+def exploration_report_prompt(ticker: str, pred_days: Column, forecast: Column, analyses: Column) -> Column:
+    """The exploration notebook's report prompt: a forecast (text) and the answers on single headlines (array of texts)."""
+    lines = F.array_join(F.transform(analyses, lambda a: render(K.EXPLORATION_ANALYSIS, analysis=a)), "")
+    data = render(K.EXPLORATION_DATA, ticker=ticker, pred_days=pred_days, forecast=forecast, analyses=lines)
+    return render(K.EXPLORATION_REPORT_PROMPT, data=data)
+
+
 def fold_sql_chunk_summarizer(chunks: Column, init: str = K.INITIAL_SUMMARY) -> Column:
     """The ``chunk_summarizer`` stand-in as a SQL ``aggregate`` (same result as the UDF fold)."""
 

@@ -98,6 +98,23 @@ def chunk_summarizer() -> TextModel:
     return model
 
 
+def draft_summarizer() -> TextModel:
+    """Answers in the draft's shape for chunks whose last price in cents is a multiple of 8, without the markers for the others."""
+
+    def model(prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            m = _RE_CHUNK.search(p)
+            vals = [v for v in (m.group(1).split(", ") if m else []) if v]
+            if not vals or int(vals[-1].replace(".", "")) % 8:
+                out.append("The series goes on. PREDICTION: none")
+            else:
+                out.append(f"Of course.\nUpdated_Summary:\n  From {vals[0]}\nto {vals[-1]}. \nPREDICTION: [1.00]")
+        return out
+
+    return model
+
+
 def md5_writer() -> TextModel:
     """``REPORT <first 12 hex of md5(prompt)>`` -- pins the prompt byte for byte."""
 
