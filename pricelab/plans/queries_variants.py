@@ -18,7 +18,7 @@ from .queries_corpus import _KEYS, _corpus_sql, _keys, corpus_df
 from .queries_news import _LINE_SQL, ASOF_SQL, _asof
 from .queries_serving import _py_list_sql, _responses
 
-CONTEXT_CAP, EVAL_CAP, NEWS_CAP = 365, 40, 4
+CONTEXT_CAP, EVAL_CAP, NEWS_CAP = 90, 10, 4
 
 cte("every_position", ("series5y",), f"""
 SELECT ticker, closes, n, i, pred_days, context_days
