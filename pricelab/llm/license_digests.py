@@ -1,4 +1,4 @@
-"""Digests of the canonical forms of full licence texts. Written by tools/license_digests.py."""
+"""Digests of the canonical forms of full licence texts. Written by make_license_digests.py."""
 
 DIGESTS = {
     "0BSD": """
@@ -13,2354 +13,343 @@ DIGESTS = {
 """.split(),
     "Apache-2.0": """
 045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847
-04d0300d75a0db113c43ace5c74a051dbee9b32786e315d4cc0dd26b2e38a5d1
-0f2d8416203721bedd84bd75cfd09ae0ab43da25e02bd4344a370a72ffe0cb86
 108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87
-129c69b98c0226bf0e61c5c15c7201ed767ff73e90dd77e8aa80b4510b7947ad
 2136ccf013476faf84009ad5c667369e6718de5a3d755f97ad14c74f000e9f6f
-235005264e55677c20fd853e676eb38d7b183f08bce0de5ccc208ef642dc1a2c
-2ab61fb51fff854a8765001eb9103d7081bd8fd4217f03ea3c4776376c54d838
-2d5572c17c0e36b253c2d2f6b70de3e1e853c6440adae2bb0e4884c6f3402820
-33092eb013a0562558d3c7f039c1dd1c1280f2f896d64fbb195cba24baf8411b
-35ae96c2a280611c656d32aca695f6a30acfdedd65c1da6a409855436a3fd896
-36bf4bc3f65a3a3715a27446fcc6e075c896e3b75cb615136b59a98da8c2d2c8
-45cdc985e5267360636e6e3494919221dbcb44a9fc4962311a2278584cab1dae
 46262ed7a2a06fdac885b37f111be9b18bbde572ab1edbd2f416d673551ab967
-496632cc871f595d4561466a8d0cde90286df0734731021ac820b002be6af85d
-4de9e3a3e41e30c71aa362e3d09fecc5844ef9715dc2eb027327ae4de0b96ea8
-4f7913d5ab368cf39858f5e2ea6bf0aecea718ebedd58060bf58867a07bfe1d5
-5f8543714b8fbb6f7eab8931803728bf9029e45ad8616c3250bf46e9e01cd407
 62c23944e22c7e1579b00eab372c8062d04f03e360aaab08b4030b71d5eac153
-68bfed770590b23b32afc5fb67883c4e2a272e31477b6959b3c6ec0daf3e6204
-6a06a1d9ead0de5de6be0959b6d9db039ff9307247f26eb072c578abe49a00d1
-6d0664f218e2f2f85e958a7b7f04bad7ecf7e16af93c44751f0d75e75bf33631
-6d909243af97f2a3be5bbfc3b703cdadfedf978672411fc8050ab6b572548a05
-6e93031c7d61baa616b682b585e2427a8ab8e54b2248ef9e9ccd172bdc4652f3
-6ed3dd4b0e2df327ccc6fabe248425262a87c64d1c35273d0d8d665350b5df12
-7b84c2758611e58ebf67ae5ec6358e9623bb3ef7f65d522e4224bab5c88d85e5
-7df282eb403a98cdc46fa922078ae225d87d1364e972a65dc1e0eeb97205f0ac
-8bc274b78ed86c607ba1cda8907d306bdcd748d87218adf3dcc786d7f5be76c9
-8ce3d3006fa2a9bc3fd68a66906e61c9cd5f6163885a2b5fa812d0863900e4e1
-9066ab789d506f0a80c55ddaf341b02be5d03419062228ea305c480b3e8830a7
-a0e53d9b58d4ff1ce694208a7d58cab24ce7f90e87b3af6a6b2913adb21736af
-a3e98ffd8c2c9416db2ddbd1db45de6fff7c6cc4ef0c7b0b7c914ba018a577c3
-ae626e9179c19cc0283e554f44493f76bf7f83f005527037610ddb9c35c4e4e6
 b0a60aaffc83b2bdcebe90ae6d33365e374a9bf69e8c2e80c0e8c51256d4fc93
+b35b83acee1925f4ac31d46b381bc9d2c40dc1a05e2f34d5dabb988b86b42ab6
 b3b9336d65edf5556d0a2b4e3ad60eb60e7ee0e240d342b7ce6dece24ebd4678
-b3e9c8a2895c5721162902227d1c104d7ff64b7f6c5563b9aaea5927c2e38742
-b404c82a12e43ec895fbfec6f842acc7ceee7bd307ec0b2d4e20b0f4a51acc6c
-b5b37accbca9e21bac97580eadb3dc36a426febc8dda23af9bf09d0af909c7c6
-bb9623a3f15021216105e0ed4e2426d8ef8863d7c5f58860ef1cd2bf983015cf
-bd9b8eb1af358536edbf0bcb42fe1e8a203fdee63d9827b7f95ac6e2cd454741
-c88c077dce1ccf0eb124a726bea499cce2e7d0f47af981bf6f554e8fcd1b497a
-cb8a91174a79af88208e5d2cab3ce45d0ab7575b41514daccb8910a54487f7b4
-cc411e5c73676ae13e68bf0fe2c031a62b3a1ef56829577a7d168699686c1e7e
-cf214346572646834216567fe1a15f1b5969d599a3e6bf125304553b1696b997
-d2cf1faccefb0d1ffc829e40bb098d456a86bb5e3727aee2b2edb54b8b075c3a
-db3d2413d47a8c17f7567209dc8d8b799186f276c882b5bc0a87cc45c76ee3fd
-e06b2e295e44e6e9a7cf5cbcb9baecc8d235f42b50461375e51bca65a3e62d8a
-e118fafb06c67a1e7ce88c9f338710f7ae186cb984efb0299eb51488ce6dd311
-e303ebdf27c871390d80258d6c24fd0777e9942495a5e7686600cdb5c6887994
-e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca
-eec32b27284fb4aa678400a42931ac33548c6e65ef4ad974df979bffac2a440f
-f534ea6c8c6cfa4b873807e835840aa05d311930ee68b903e878e87e6df9542f
-f88b99a09cd799d2e7f9897a6e7c29cde3a566bca460b2704bcbe2d35acf82d9
-f94b35973b79f3e6aea5420fff633fabde1995d314dbff6103ab6da7f6065528
-fb3df1a973e6d86b5fd25d63d0913375fd34a9ed648d7dd93420f0a3a14c8518
-ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100
+d8221a4f10c01c6fa5390685929a5ce31d7264a024162fd3dd4d805c57ce0f43
+e4f2e540d2c4e13a29b650556674e22c46458abf8f8a803515dbc447d9d77ca2
+e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2
+ed44d69699f98d45c0c3e52ef4574fb05d6045eb6e2cd0e5e3810f6177e87f84
+ef9aa6097e8b8724e8bedf9a9a264cbc3142b55ef97f3c3f079b7aa1aeac425c
+f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0
 """.split(),
     "Artistic-2.0": """
-04c225085d19f3a98874ca59a67fadd84e1997b17c04b67b66ae4e243c2dbd39
-071fb5c8099546e4f66221304bd0e976569df02cb23303a5369abead5bc239b2
-1179bc3d3fab61abfec1e2a931d792ce35e211edd8945288ef94de554b5899bf
-17a302b71cafe411eec6e86049c526619ccc0ca424ab5f4c037c18ce83945167
 1a437a5db780632439a4c5149db6a45aba8531e1b1ec012ce51b6ecdc9a494c8
-2dd2e2c6a4fd1f855f3fbcfad5cad92ac22ef3775f64bd409ee19637a5a48b90
-35259bfaa4bcf70b7dc43ef0f2e3fe3a6f656a8475657e2c7a7e09236837634b
-428718240c887b8c107af426bc5964b96d80c8dc450a1bac37a3bf2b7baf9fe2
-488b5ffa492eed65b9df450b57fe1f8376c6449a22b52a83fdc035c2c07f001a
-4db4b8e0e60ad9531a8138641346e5989b7c8d5bd724c4e31d375c5b5adb05ca
-6011b50b9b08a470e4514f91d665cdd2042569182d4bc9da3994bc0bbbfcb3dd
-6abe6568183eb914a0243db126456e5b5711eb5fd27e2b8524ff589afeab2986
-73cad745c7687ed10600c4c463c03746d86ad361edbc52a5e8ce8be9ee29dbd7
-75b0b23bcc3d68f99356fe98938121d4abc1700a770b28eccbac1697f434a9dd
-7a107c6beb0641fd6371847042bcf6e24092ff8f77b31983d944c97e4919b48b
-7ba3b01a1c7e9f77aad3c8e1c0041f4b7c4d15b970e8cb05f4f2077b107b4e2f
-7e60d605e39f682534463f3867988cdc7412291f32b70979484d6ffd079337d7
-867100aced215f03326fdf0ea56c0160ac1ac0390a7596456e087b6477647d33
-8673113e0bb84aca1c18b74b68ec8780b7986dd0a374bfdf22cd892dec14a4b2
-960f609a8bfaf8aeed9c978d92a0a85548d3d9dde6d97db141ba28beee814dc9
-9be34897b90662306a957228851262f9245343e0e4b925d76197019547b9b840
-a0361d45c0c802e379cb558d6923cb49e8e7cc509e34c2439d5fb11695f73321
-abf55bf1b2cb65d6b63b8bf91b4f5176b35531f6fa62f28814870c0a5be513ff
-af0d4527d8b911319ea6f259d9f5b8564dfe016eb99f3287d50b33cc21581d71
-b60b43be39ff7bf770c4333c5d3a8025cd630450d13073652bbdfb295ea3924c
+a5f62b641c73cfa7e7a06bcf206ac0f0758ef9401a79636f7c49e9ae8ce1f113
+b257d8b6a7c9138e5f9522ec5947f70337943d884e7d25a78b34fd817a39de04
 ba4d7b72eb8f170295b02ee4f5f17e40a33a5e25aaaa13a849338f7d8ec1857d
-babdaa970549c62de5aa1cd75e2a48e66c9e120a016c502c89a29daf5e93e2b8
-be145ec4cf9520df73b292edb090ba9c57597e6a034ea0d1949f7f52e07f6722
-cab631c9522cfae86dcb73b5a45e841e3c06907da23a06943828f058c59aefd6
-dbf559f0b200b5cd730c3f6ee96e18a88dceec004d6c6c39bffc132851eea09c
-f0d7a76d54124dbd0fda65bd9b3a972db794f46a1293d0c5698420d179b84c0f
-f14e62107a9ca6fb74cfa64844de459fb655e08c5aad12f8528c1ff300999416
-f221343e03ea2bde381eaf1ec8fbc621338838af9825f262d2aef403a3e2070e
-fa4bf5a57261dcac7edaafff9c2d00edb6af95e20f4c63b504273d26ccacc203
-fab8c8cc276ff338b3c9e5c3b6789c5e9e91f0c7f60590a32b5c32742e002a27
+ef673bda60ff86d93e435501b0dd59d8122a19f7be90131e61d4ce6c5054a465
 ff062107d0f672fcd2ad203df815899e2d4cdf6936a40f33dc40924e7d784baf
 """.split(),
     "BSD-2-Clause": """
-00d0dcdb80794c0be8973d4683fb420fb7d924b2114d530737490b9b5a7f1edb
-01360578935503ac8455d363bed41970c52a8372a0b20099087fdb55ec9f4072
-02ba455f3f46bdc8ecf0f812120e246703dd476fcd0bb6e768d4504e517c68e5
-02e781030d108dc7fbd5eda43a651bd30ce92e3b33633742a5f441c51f9c4369
-04224f959ef82c1f04d7754a77303126d7d024edf92257a3d9c04ce5b30a1abe
-045e3b449208ce5f382450233ac97b7f8d99bceefac0f76aada82f2d8aef990c
-047f7f3b6d6f2d1ca18c906698805b140db8ed4f5e2d8e21c9e61d3ccbf5ee7d
-05f94bf4c9ba031146ed49ce0f4c87bf8f08eccbeef041b074cf6565e9373794
-091b7f555b14c4f29dd58deb693dee271efec9352ca241f5508360d1cb110762
-094e2106b76072409fcc67ff0e7919a965456ee540a8850f359e402ade656d0b
-0a374c6848d25ce2e51597c0fe1b04c3d7feebde6d44c85b726dba8cfd03640f
-0adda12d21449e9a8fbefc99809f38053e28a9a92f6c6035b98b8501a607cff8
-0e686fb69d52bdb10805ee90bb7b0d27b5a40212212975cdc29b7bad02d561ff
-103fff5c48f78d80ff01054c76c6dc90c47dea75a1457c54d789d096e6fef265
 107f8ba0af742645bf7864695e36616fbcaa19b8c1ebb01f30fac7dd4011913a
-16a5b09fccf998e151e069c38d8fc8a3ee143f434ccbe8785be07317009b059d
-186c21969b9c2d82f5cdcd523bff85c6efd1023fbc9682958914b2d671d6c5d9
-187b950570bbdac27211242433c21c2fd6e634b1c61599bb7e1a6aae1d9e143b
-187e6e6aa2e1d7b1f402268c4b148b42dac65c42e82e2a648f1823452421d468
-1a2b3b6810f12b89c354762e25e378f4385b0a4ecb8c6c820cc34959263bc544
-1a64e614ff2d145920ecf80dcbc5068ba3afb8fccc3474282e2652f9d6a51a2e
-1b2196bbd2472a15705af10ed65e875d4e8930e133380c43be7e7420996fb579
-1c0f29f577dd0a264bfcb782f525a4337ed6e7b082da7ce7e204d9d1bdf3a5fc
-1d07b46513de33b7104e1b43df67ffc80e623c905f268ba3e4d8224131590536
-1e9081b3120f0c479cedba2887594100f402c2545a4ca90bdae0c4c726a44fff
-1ee3505b0f2d924c1ad0a3c0f13b1e7cf839501a7d3326ceae96113ed85f21fa
-2073eabeb3e462c8db4718b07b521d1fab8c713d243ab0a1ee90f03806cb90fe
 23d7258e25bd67982ccec4b5bfc05631a20f8ee5bd5fe7eb70694c100aae88d2
-245544d2c6de0c401c96727abadcab41e082b85923fd9d930577497fa0c008cb
-24a865999dfdbace82065ba0039de6f2e403a52998760b54c32a67958137ad61
-253ac36139d792f445921c2f27e6dfa7c03c086d6db7c9a267668619d0f457f8
-26985cd3a96a02d6d3dbc2c21762dfd0fb5076dd3ca72ac5200d0367d4572f0d
-2a6e0be53cb465777c4ca18c88ea31c155447ce8aa88e0fb5df05b4de22a05c9
-2ae642f29e98e0a88beaead469f0cd56c0d35c67c807f0cfd306b2bb75a378e9
-2b35d89b4229a9b943761459f3abe83b9ef177a054ac66c4df0c96add701511b
-2ba17e9ab239fa1f081c4837462417b102d0c124a541f5c489a4ceef95416f43
-2bed7b2f90f51c5bfb6f27ceb2467efed8e6fa67bc864676e43ee6c5e683b307
-2c11f8edca55bbdf17c6edd09b7b70468aa3d5a76d0c7d2b0240c344237760e3
 2c570d136b858b0a4d090e301862eacb53fb1ae2743462bf3b89e602191665f7
-2cd62c8a1eb810e1ff802bd0851aa8801ff6ceeb9139625b6ec3465126f81ed2
-2cdbd19e6cce863a8c4d3f9d772e9031a973b4c15532f1d54d1f5e8dcbabcdf3
-2d56d11c6d3c59c129a8992b338b3a5c2ced69740b24f1641fab3caced15648a
 2e9901df2d3cdd9b2ad2d0541a98d0ffe16ec6a54494b7837b493c08b3bde071
-2ea697ffc872f3ee0aba8b1acd176358602a1e21111e46cea932d3cd55310dfd
-2fb716dbc360343f484c7f900dba550112e403401da78cf3ed3dce79803b0362
-302281c371585c8eb34cabb723fb40185a3efeb5bbb0c46f7e1728918ab5380e
-3075508e2809f3cbbbb73e36d4f938cc7f80d41ec4a2c962aec97534607d1ac3
-30b591b48f44ddf0cdfffddafc5343e56321d9b7e6daf340d40b775df818d92c
-312cf129fcc74f64db9587dec92d20df9a0c3aabc17ef88c77cdba359e7d0aa3
-317695dc3bb0c481f1690942803ff09eca97d627a481e28a7767ce00ba3daabd
-3231a99e3c54972f7909c5c5a7cae407adb7b435dcfac1925fc5ca1b71d4fb3d
-3308799de279fa9dcdb622cf8d1c9d9600ae48113d5eab9b8b5e23422090434f
-3390f5545a718ee19cfd8a59d58780a59b0f81619cc14ee097ea7421499fa099
-349168cc5c9f16306ca3cdbf3442914dcedb3b7a169a9d26e3859408c4197859
-35cb0e83573676b0a0828fc4add8e58dab5ebb73393665445f4f776c6463070d
-3846d72d62a253a450a839089f962f9dfb1324c091ea5849cae79d09363c4085
-39231d27676bea00160cf76db047bc53c7f4e3f0abb45632bf138fca3cc73ed2
-39e75071d7715da081596abd96f717e3bbaa761c015bc5fed64a3deb49668813
-3aadd126e1ad3882ea82acca6f868ce0fa44911c05b5f6f44294ccaeb913546d
-3b25c0f520ad1da3ff01b78b7d8fad4be251a32b3059521aa1e408793ef40031
-3b7d6270ec9c192a1e0387e5c275f418d12ce179f5e27cbff956ed2d60cb90be
-3d5875f15b523baf4f997d659877e25e6b8cd92ca605c265c294378c95d1d238
-3ff743c3aedb9858eec3d4cc7581f9c7ae9acc51c27ace3e4e52a321358729bd
-40407cadaf0096809b2bb359739ff5ca87ce9937a4956af8d09f2081f5817571
-40ff7f9579d4037df9c6123365eea5496b127e6d63db81d68f9168460f01b259
 447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2
-4593c6b1eb256219ab1e5aebd2d8d48fc4170005b0f0f95aa9d4170ed7c7ee1b
-45bb743e028caf06ff729cd03744b1b8c8cf6dd234ef2bd60b731184bd3e45e8
-45c1b799b8a0fdb8e86a3ecc32f58306ddb3661b44226966a4a5e0d68cebe234
-45d27fb58104c78b050077e0a54889b6b3de6a6d13598569aeb0f2f8dc355e04
-49057936bbe6c3dec03a14870a005559d434ce344fd4c2418139e4c185f838e2
-4987478bb92b6e85a414a80e733094a42e01c4416c8c0798dbebf6d8d4c1a255
-49a949c0c21654486fe529338dc6dda7c697baf51d9257eeeb846a98dad27fe1
-4b0224be8ab95933bacbafb86a9496373165c44566f7c8dd153861af92a153bb
-4b7dd638c912bc9e1f711a9475f879e0b1e97dcc236f90a93db89da3461423cf
-4b81c5a8320712d86ef62e599974795026600bb1dbbe5db0b6677b407f810348
-4d26e7421058fc655e49c0f4818de7104c74ee2863d8bd99d0ec30902108a362
 4ede70430bf3b227c2dfb5d047a5c3491e9c45d1f525491374ce169d89856024
-518850e8caebfa346b5a9b881ac8ef797e72e5631ef261eb1bee2558a497b28e
-51933c1115099543a13114c9ec8b854934a1000285dfd2f4447fc5b9bcd76819
-55743a818205dd9161550be5e49b949853fd6e8310cbc392984b49b3bb2d0b4c
-5756849d566f7fb7732c7a31ba47f497be06f61ca7532364b3ba05079e2cbc31
-5d818069ec731e9c3b1b77ba24f53b18eac4eee63b6cee9b447c021ac95ccf2b
-603edba6054f724cd4b85f671afe538be739ebd423aa513ab033eab0dc434ab7
-64a10dc61e10b2525e5ba556785602398c33ec7a70f9547ca71663304fccaf69
-657862dc36660fe6593183c914aad34301276e0539e1035045be073707c9a4bf
-6625dc7b3cfdcf9882e9c00f8232ae9ffb5c959f11a1b7e91f2efe1dd85fdf98
-6706d7733dd4a0bd8dcdf66d3f086df91e36de87d096da94face4a10aa018e6f
-69aefe6187f4f16ab6077c10b07269dae338efacd8c94489785acccd19f1ce14
-6a609591c79cc6521ad57679022e1bdd6477731e6a89588281afff18174230ad
-6b54d2201f2d9d644eb8e0a330b5b848b354056a9281c338f363d3c61096cacd
-6efd97b3aa85e1972747b3c115fe49f5158b2c97ea0c8592f07317f564103bb8
-6f3e36fcc3feca881ff1168d670815170fda1b21576b404a3c39d0bb83ed7665
-703f989e7f319fd69ef6044a2d99bc606a7a5359fa8af647eabe1026c733530e
-714cb079600b510b165fd681add936fbcf3f3c4635a024e393f2e4bf2edaf832
-71a890bc8ca7837a01c9bb2108cce4ab4def034fb3c14dc5b1623024b518b9b2
-71fa5c2f9245276cc892362c2f3000bc5a55c36fcc942c88965a328c12955f81
-725dd0cdb41fe25bd5be3c4c201a2699988addb599f68236046fb6ace2dff88d
-7304ae2acd5ffcb398c6c0fd9d23caf7b5069ec36383ff209ff4ff9ecb81eeda
-737440156313382fc9d150f5fe2f7169fcd4e4b3b985c8ac722c8303771f7d85
-740d34a9eaf41bd7f936da7b9d5b7c619ebe884a64e0bcf1c273a9c7624b39c5
-78b971b09d2204d56e781cba410351d7ed95153e8bbec17e6288c2975109026d
-78e3db28ea59122d166cd1c8a585c810ca8783effbc206ba664722f485dc14b4
-7af64ef8856105b794436a38c0bf39311f25faf95426f5d2045db64443618406
 7c34d5446f49096250652f747457c4f05f648d77b0bd00663b594740c7fae9aa
-7c425c26983d4c5f6e0adf44c26f70481291f8df93de227dab3584e7d2813f70
-7c99e227d8793241b0b08873c97e29a75fd9a72e340b9a4117285ea844da6a46
-7d38aa5de89f327c019893000804c6f5504940f10dad384a5a32733897422c98
-7ea5ea5c1901236f217af42ce12a3491c74efef8c60b374d3a8065db5b54b7e5
-80c32e3f20590c47c9d09c18d950c9c051ecfe5d5f0560361dee940507a54982
-815cf339ff84a016846e25ed94ea028a2e124884c0049952e9dd96388bc91dd4
-81cc841f4434ce71bc0f6814e31a6bfd190b604031989d2027f28533eac5c58a
-8655e913776d09c5b70ae1aa732b604f9244f2a90f644db80ef31344cf6c4a0e
-89beb6b462ca24d74718ac64618200e444070003d7ac125b801417ae9a7e0ea1
-8ae11d4da2d70fed8f53e4c294ea9237feefdbdbdcddb5bc7db203e6e2fb45d9
-8b12ed494e5ed1ed4ca030f1cf12637ca7a74e396682459e42e296eed638102b
-8b3f2c5f213e07eb3388264d1016ffba5522c29c99a14a31004854902cb5e0a6
-8c4d325a445ce396c2e3fbcfb4b6b55746f07e9d0757372b47c8841dd761c7e8
-8d53014e0d7c16e61097ea9ab931e8fb453c8be5f4b595a9e279c6814c26e766
-8e40fc807e3c4f4ddbe897f0382ece6194f0c3d7769a48b212707e8d9facb580
-8fb50c3375624b67182ca22833832f5c61a913cadb5f1dfe82e73f4c5d0c65fe
-909cfb96ffda0174d67c0278730735fb35f52ddd22888565ef6fed1bfffd50f5
 90d48255144eaa2455264d0af9ef20ac2d4b728bc2fa878ea3059038a0bba60b
-91966ffc5611fc59f9cb4c41b8a3e254b5832166d4954d692aae5138bccc290b
-9392b281150f5ff2d0dd403b3f2dc9aa39b48da8657b1015048ab88dc7bf5f7e
-950a223b46caf3c05006b76ce0fdc7f0eeb234acffcebd343e99fb6106a3a6db
-95bdcd0b9e0ee20098d65380ac3c81331a6bcbcf2fd85ea3902d74ebdca58d4c
 986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74
-9896b188615f9c4275147bba75193d3eb572c0aedae98587bb043ebd0cf67b93
-9a12f8b7cfe274f5701b24a7916dfa1a450f180bddd5777b7aa79a99fe59ba5f
-9db3f9d2be28d225753064a684ed476879edaadaaa147317217dd7d324bf2dbb
-9f954653823293cd48810498a6f559cc698432fcc50a047de4ddde41c4f138a6
-a2181709cc26dedb359f2f7fc8205994f036a900187f36dc84ab407ec0ff3c20
-a34673cac7bbecf3fd3ac3691a89cb2108b442d1fd349a9d0323f687e16e0612
-a3662323f889ddeb47b7480e468db50af3282aad57bb828f3a920b853244244b
-a3673baeb20f6bd79095118b3b41f140a1cb52a46b826239f7314b4b386111e4
-a38c2f5973903a2bf90768c0bc67eade7dfabfcb77ece1b4c47b6a90c4fc2d70
-a4b94ecd45e0eefa1288cfb97c181d83533f4b59f047f52905ed098793c7af7b
 a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30
-a59ea0ab38991d454cca0ffb67dd09df4fbde023043927557d2c5b6552099e72
-a74a2480b70759f786f4c388d7f28ac92dde60de79996f97bdd8b1d1e500c02b
-a83f9e2ec7c265ddb1dbf0ac915eb0120db899849a9130f9ede11ff88ef25126
-aa12c48301d3a4ef48fe312047af933da5495abc817f033acc50c7834c5585c3
-aa6caadee42683703ad530c6e2ed6877849bcb16c8d2d34958831589f2b2f3e0
-aac8937778300459ad30c31f6d730a2402b401064a8ba8eb1b3bb0dce256ca48
-aba277afc643dbf1494368bf6762217a15117b2e5ce234f1971e64a05cd252f8
-adb1e6ac48b6f4eebb4b0ae911b558405cb88912dc137c6f77e07f1e1b839f8a
-b1159119701823603a12b7ced00e91aa56d8edbf85b6a305d46c8e192f5331dd
 b265945940ccdc41492a8c56728fe75bfaf767b67d176e33b2649c7dcf426893
-b2c17352411726f6843e41644a29441d9bdaae69ff4557617f43bdde125bb1be
-b5813c235f989338f3aa29181407bf87d4e9f4cf771760aeb8298f84b326802e
-b6c541cf2f0661c07e16d8d034eaa73ec2a60aa47c0027b4520a9abb2746ba37
 b7a2aed1fa065cd606a9a031c76bbda14762c5ee42dc79ffd671ad56ff168604
-b8b4cc45bfc3494493c6f92ed5c6c5a94dc8bd100ae91d8bf1bf2c7c9a095030
 bc1e385eb5d19c6613b84fb0a516cbaef80caefb192cf62a0c520c07f0fcab07
-bc1f4f102206c46851f833133f648ae0d4ac34e0850cc79bbc39f737e8c14de7
-bcb0c38db213a34d012495789e842585ad29c5096340d00884bc994f0dd9b419
-bcf0f5b4fd0e562e8f9825bf6ae38fc0b2691525c7040bfc9d9501ca66400f4b
-c0b37ab46bff207d21ad11f3e34f77ea996b99867763c3be2cddd9a530bceefa
-c388619639abb4bc03d2facfcece636e930dee01ac7aad756bd98074a9ba7c6d
-c39299b7f8c753bf56bede59a520375ed4288d51ffbab8c30ced2b3e2431e716
-c5b800be22d02e6a4fc1365f547c6e6b5e70f90543fe5ce49fc434ceeeb64510
-c5e04328d8bf5aad89b9c04e065ade0294c780a937aff9951d623c7dcfa606d2
-c6a97780a693cb3c65a3e81444a3be2471f53703653b16d4ae14ee9ee957252e
-c720ca0d26d87bbe73091cf13b96964ff8aaea3214a718572154b3c518146c90
 c817b4992e3efcf58b4d313739928808f3b0c9dfa7f34f3bb5163f39ac03121f
-c889ab5516e6359c191eb317ae05d8d352ea2fb22208f12a43ab85c50eb6591e
-c8f525dd40464e7e0ffb0125450ff76f551ae68f3ff74485fd3c3ff3258d5d08
-c97346122b541901836ed2416b4872ec89800544fb7558c40c01c243e2f50fc0
-cb1987149d961163ea3b182e7cebd18090dc7b9eb05a9a728e2e55f4b8fd56de
-cb6141285b86a1beede0f7ff295839d2c195355301addc4f16f777621af5d9d4
-cbb5398e03d10c59d7d31c19fe54602a9d0cb1d11a2ea6dd66aa3f8714ead7a9
-cbee6449056967f6e65ebd6758faeb274825696210ad52f008719427838dbec1
-cd38886d14000ec64416c639ba12f8160f782b59e6ba26183fe21fcd835895c2
-cd8b4d5c1a95eaea5f28ff3a7510450e65328337165f42cd79ebcc6ea5435f93
-d05b764a85100d2cabe8035a2ee483a58e3d4da8595345609bbda6e1295ec8ec
-d19f5c423617b16640885e4f1deab7dce1392b24e32e3589efdd80ae65558fb8
-d265c8f54632219ac0c9da8cdf905ace6804d829a32ddffe86426bbeb3d84d6a
-d2dfc19dfaa837e52bca5307e4b240a4c7ae55953c12e387bad01a1573574aee
-d33b7d9e43d872bca1c0019eeef8e152b5217ae95a69b0fea1bb8a86d9f682f7
 d49335063b3b80bcd045d226634790d754afeca4ebc3f78f90dd2c55fca07834
-d69e4cf73f32c8524a93662ad1e4ab677dd1225363869c43a4ef42682d530222
-d85e0369f5566c04a6206103f237f30ef88f5df46835823aace95c1e1ad96d63
-d91110c9144270023ef2c6f32c69b5d422df7c4cb09cf1793723c414a5456451
-db7c447b21a83da411d707058633b188f743ae214ee74d187108d931ed3d5e72
-de4c8c4faf5a71fbc946cede2f0753084df490c1c4e2dd211812d89e7f684b9c
-ded5cf7c91017e1b58fd3b1adbcfc7c3879ee27ff1cfcb02eec3aec1df8b7a5e
-df71b19935c27411513b524ef6e04b2773b6739a4c938c37b5076ac3eb9a00af
 dfb735646da984cb814b2aab18aef097d6e575950073bd82353f618e44014642
-e15b2f388fc0019c664b23513575f6c732af05fe77a39810c95c4b2ac2deba21
-e37e3fc9f1f585052e6d1c5d92cc34caaafc76281396cb112ed48bf015df8ec2
 e3bac387d3e0531e153b6a34c7c0db19027267c74faea9e4e3e2d45c511eed04
-e50b175e4a655bad8c2d404db67ecd704787d78f016d0f5b008a1d7b764c6854
-e6aa59660db36f4d70d04887b38e3eb781b2331bd6abe9d2521b2e31c03a33c1
 e74f02edf06350e22d771b60d0580c53e28783fd12eda06abd03dab1348bc9d9
-e78980b4151bccbd77addb57bc909cd777ccb9058fb97d27bbbf7ccf692081b8
-e888710cf394a8d045e24b24610e1bd8b901022648a9813d0409c03953a5c47f
-e8bc241e92c6f893646cdcd3f167636f2a8cec2a42350e4f6990a1003b6a9488
-ed801e61fb24d85fc1dc255b18b08e7aa424f3bca85a3ced4dc4b2753b7fa0ca
-ef67c81f317c28d8c63e1db5ff1fe79860463fbb4529eae47eb7019ea6c4e651
-ef9f9f1a398606f8909ece8a23e45ca2dcd0108cbafc1bdb0826c199ff492d2b
-f1c1c1ca28ebcb5ad9f5850d5f8809bebac966fbf3f4990298b979240216a4ad
-f2896bf025f055a60f5d082679143bf9c1197214620b74b42cdf62cfce731aed
-f2d1e1e0a375553c64bc8ae7ff2280be75707044af28710ecec469fd1430b7f2
-f2f7df815d834e1f94b2ac28e6973372701efec30eb46f7e435d306c33ae793c
-f35b29f90118a1de692795f4ecd84ff9dff6a3a295bb35f8b3f08278434d6c74
-f3965d80388e8a84d55dd2785309ffbda21b0c14824a78cda30ba2f049ef2173
-f465f69663aef1e61ea78742ee5f9c0fea521be5fc61b57152d051571a33e1f4
-f5dccd7201cfc2b712043e8d9ac687bc3cff9ea3c0ae90ae6866198e350825ac
 f70e318812c2186c966e06dbe61de79ef179650c6b6b0763f3571effcefd5ab9
-f7224aaccf5d5f0b06ef7a2d8374fce6e844b1372378c644aff90ce89895df59
-facb7092162aa5c168308f7cae74dfb22b1baa9c4e2abeb4c8e144e0cb729598
 fb99f9c35500c071a9fb216cf951e023b13b20354051dc781de1ffcec2dac248
-feea1b2c9fb629fa029b72cb75e8e7b5f898beba3f41e1ec15e0f17fffc76548
-ff422dec13bf86fa71167ad5d8df05bf613d41cfdd8777b6717794b85ca0fdb3
 """.split(),
     "BSD-3-Clause": """
-013faf0cad4eecc5221f8d211fa0da6c74bb1b30da0e8a952774be21ef8dea23
-01d4e6b5ceeef58e662ee7eee5971c9c184129c43d39ea79756249169d2ae722
-059122c0b0862266b4cebce7b363eb9d294784e78246767ddac709b5ea79cb31
-0abdb15903362d64cc9996f21d8c9d1d2cf946b63754ef7a02bedb488c5996d4
-0ae974c0f847cc670a8fa7d78a64bf0860f0abf1ff7df10af214e79d8b72fea2
-0f516fb90c406727e3b95ac86d33666a46c0ead65ff8efc04a5e417049a19f7d
-0f900215d028711be724071c576d50923cdb3523bad77c94368e6648c5531458
-10563469aef9a523170273d3dc602a415336ee2927152d061353ee9d09f7621e
-1362da42e97a2f2457a8e4817f46a7da5c3340e1aec13cf275f1a8a5da5b2ec8
-157a038b1aed95f13ccc5682ba9fd949e3f3846815993e6de845dc1856c9f63a
-16230ab1b4145734154a6132a80c48ff283002e3df72cde7e8fe77f4791fe793
-169a341a7f5f161917d55566d35c4f3668137a8d8716909eb4939badf3e5764f
-17d461c40278d7477abb950e4dfcb0a937cbadb40f5ab8787937ce83eec782da
-17d82c12fb9fb500c6fb33ef5c9891b542713602dc52407a11541de843d761a5
-1a96cf297d865401803d4b151975408749af97d0fa3a4313e08916805f48f5f2
-1be53ef3078ce1667df285b662c43ef9650740c82f4aad64d97a57c0453c01b4
-1f56e03a0af29f4a51488b3049370426b11c8b8d2dd3bde0f7ff17a956d7a971
-205ae133f77b67a2793152b8c216910ed466cfefae266805b452457e07cbd514
-21252a6c1072a6b523dc8f035889462da5131730892e45aa6ca9b35679b94ffe
 214aa9c28152d6d77e6bebfb4a7511e677f65fdaf94b0fe9c0bb580e0eaf8997
 21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651
-2609c2593a15b4cd890b1cff0fae25ea1df6247f8df28d789d3553f434798955
-279e1bc63b1f9f5604d13aa4903579bcbfa18d22d155cb8cfc007a6e667a9a07
-29254194d570da3df6afc0b3c009c32b3bf294c6784ee3472d6d2a9912cf0f08
-2ecbf2186b08aa3410d6240a36b5f5dc13c5cd11f73c47313928d0321c9d5827
-2f0341a26fb1c7065d1ec5eb35835b9c6c0a44e4c39e2c15e1738feac6a39c83
-2f53e3c775ee20fff1cec894f230db19052cac5d5093feaa26e5b66eea9a529d
-2ff8b8deb86902e1bbffccd67d7c8b883d38977cf5f2d3db242b40daaa725a1e
-31f35a6161da8451a3f5efb84d9c6c28e247535cd9c50692759198f25233af9c
-336a4b88af3f85dbc2f3327d1d74a5a8168e84c8b942bf94d5762fa5f38058a7
-348fc5c18ce0607a313b28b17a24347c69ef0e86bbbc1cfdf63dd82357cf76c5
-34fc07bda3545b1d2a323b918434dcc34009f8254c07d5e9ea00f7c9cb0ffef1
-366d41105095b2ada699802a603734f93fe975e028a2583c2d99aa6d0e0d9f11
-36ac7efeaa83e9b1645a0481b683a4e5a39a9b9ed4160bea4c9f97e0578d1b47
-381f7c22f091134ffbca752b14f526540fa0f8c732fd2457c3b62afff5f8f73b
-38f6f80a11315636e8634727567640775db90f84aed5163fb568316579988f1c
-39d19a1fb2c0dbfeecba77f49c6c7b845e8b198bc0eb183a02bddbd1a22e6eee
-3c4cc22a4d4a60ede6f44faa1235906597d671d177473b984ce2a361523e3240
-3f2310aca6fa04bc54180dde72c8ec0f0df865ee0abfd9e583a8c864a91ff261
-3ff0aab0c8eda8455de83fe07680908a0ed41d3818a8c4bcdbe3c173dc16960d
-4065b84ff75d4084dc3e1a893969a112c2b2bbd0891469c23cd4f3081e48918e
-415cb05442c8c0e79d14726e35a8a927f03f0accc117ef945c1fec9a0e20ec02
-4173a0a9a9217ae8c4afb61a1aa0dab80c80b322897e16170916dae8755f20ca
-4448b4181b00ba86a1d13464563fdc3e2607cab6e0b58da6237f52fd33717d4c
-489db2ced3e898896e2291cc9c5bf008749d3fc2291af4f3c6b76fcb71f3ed4f
-4910af564a71a3f0a3555e07de07c68fb22ed600e476eb0eb87f5e380a8bff8a
-4b0a14179368233f6437b430f280a63cb017d82ecfa8257d0b4df73c2b1207f8
-4d588fc9dd7e821ec10cbaf94f1234e0079af4bea127c9616624ecbc69bcc7c5
 52708ae7496bad323efc341f2b977f4deecc250729644235974381dbffa10b45
 53075742228962c7ea381b8242c64602fa32e7b8f52facb6d13ee4f9c596ddfa
-5692346326a72eba3891767cb28e305dfbd7c2d550134a99d561e61d51bbd614
 5a6e7ec0b1ac1e224277a8a6d5cd7691ea38298b0308b87a7a2e539d020ed1e0
-5acf2ff6c73305559f96d7866afee417617a2676993b9d8b397867b5d20b1562
-5b99989b90af4ceff58e9c85c68126f95549c6d75d995178dad42cbd8351e591
-5bff7539b14e43112d37644b9d582eccc50046abcf56025d221344b32eadb241
-5cdec736296efdd057310fdebe09f89d4f3b798d27f4565ea983d8469341acc8
-5d66508702cd2ec89b0aa9157072822c9d487abc7e9dcccfd52b58d4139ab58f
-6060eb3313fb86ae6cb762ca11c4f1b860b784b72b3c348a5bc4876cc9b560a3
-629600f1b1240fda73d9268c1150e69414552765d8413c9e2cad4e7362b42ebb
-6598d9759b7834026bc344c39579cb2b95bfa4b902a532707967671998eedc94
-66af6bbcee63effc3034c07ec9c98571dd814cc376cd7362d224e3bfd0bade5a
-66f3e0b3467a4f5ff05c3908d93ed7ca62669a1c67b7afef6ada9f71f4ed91a7
-68f18c8a687bfb8eca60483890d40d3c5a645136626ace2d6fd3a3b419626f13
-69d4b6c2c82e4ed08f923de6ac3db7e47c5c81d5c9db421cb89ccd9436f8bb81
-69df8aa8a46a4606421ebf538387c37ed2afb6254e2467ec3c7262a2d456d2b6
-6ccfc91c7ddf5083017edffa6e7f90af8817c82320157a31e645bd6803d4858b
 6cd2ec4c1707d264427cffd6a4120fb4ce726f221152e3e5c63f8b57d2e1693e
-6d4504d52dbe0a205902e304260e8257d956886bf22eb4de38a5566e3a771e45
-6dceeac2dfe567cf29f0bbc945a81c59b320084116349b06a4c59a623a1f68e6
-6f4ce5fd799cd6c1bf533f90976156bff0afff221716b0a98c1a0fec5ad96667
 6f922c6cb2a22faa1c3d9be59103bf5dc2942321f1c76cc3b6f0772aa184826c
-7083220d2e8a9cc9e2d78d3af2375802bfb008cad2fb6d73a089559220111eb9
-72725216850afa78d9207964f02bac962bd901588f6d326b0b3dc701c46e77c1
-74d2f16eed025a48ff17523cc70359da37e4fc0fe2a2b3dbf6112d6c63a3880b
-77f9c6825c77c5bacdae76036efa0c3f9fa9aa6227e05cb8fd4be14b82168bcb
-79f2a2af1aa1c29b601a160bf2ee5378fe0ed07f1d4333a4964e5c58cc663246
-7a7846a5c0bf9b8de5076b0e65849f29ddb9ca5b78ae5510382d86720ae407b2
-7cd305199d4b6056e6dec9af0295689d118a8e3820e3e3c0eaebea8b70b62da9
-7d0b80d54f87ae3eb6909ba8099b5926e6e199d9c0dbfead6d2daf19bcca422e
-7dbf2873c0d727ea7117456fa89e407ae4c7aaf6a2071f9cf8b6d6d483fdc8f4
-82db962f0fd486ba63cc544baee3e742bf5e35d0e9c00260a26acc1ded9149e8
-831d526f31a5f276a1adee833e2b7363b069ac8c3a3a81d3d2ed3f4014bcdb7f
-8566c10c4554dd5bad2d35aa10afbe86690fa7cf211fc6a77fe449f6045a357c
-871fb61c4065b7800d3981d5a9fcc457519a1f0e02631ddc73591089e4b1cbfe
-88225c97714b4f54df947785e02b65bdae6659613748fe0acab9a6b7758e1a28
-888c7a07689816301b1d7f61e987f02fd3cbf907656e1e64f46ce5654dc79b84
-88e1b14c6be6f7c9bc6f57423350006409ee27804d65f141087e734cd5221a76
-8cf88380f360f629d1de2fbbcf30cb6e8cd23730cfa08b40e645d8a793e20625
-8cfed0b991c72f7481680b2aaf7a5b7d164a5871fa8b2e5f42a69294343cd9a4
-8f11acfa9242e0b6e811574a274bda58746d47b6fbb478f948756f355acb3c8d
-90154d90c14eb5a7476fb7923f5772ef670563d3e36bc697175bd3f959ef1fec
-902083ee7599ca86b0076ec5f5b0710a484a0e639285c3b0d1601d881d528041
-93668357ad387c6e726b5c98d4c250b6911304b8a6200905b1b641c547787e21
-9520940668d7a079778e1e4bcdbe7d2e9c36597ad8acf35eff03a2ba2917b031
-96208a5b91ab633bc07bfcd2ffd8d5a432f3c33e28ea620c3024602fb02e0f84
-97557dd159ee07accfe0b4d434f5151ee7b59233921db5627dd2696bf251cf5e
-98d7a070b8c4911ff1543a65cafbc39353c5b0b5d533640a9d6932fb19ba5239
-9ad809c8fcb312b97380d494d36bc2fe45f38e480fb2c414ed26e4f024904218
-9b5f265bdcf110b910265c209b00c9c0bc508bd26ab459ab23a70a79c3304a56
 9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2
-9e2dd105e89308bd2ee6df1660e79c0943dd5e9989c4879920c44888de7cca32
-9e4c5667e941fc6e3efc969135c958becdaf93c5131f513a3b3625467da01de0
-9e838bb2fae605584860e7f7a5a5e0be4db70b116f235e1d8825936efe476329
-a0c6d226e9ff5a08ca18ef0d8cea0b4d46c8f8ff638945669c950b97d778f26f
-a1d0be668505a039d69830ce2772eec90848291b5f529fec21d30bf2d9875971
-a26747f05a50143ea4ac47029018b644edebc2800dda0cc1b98e5104b11791b8
-a272d040f2352512a3dcb756bc1d4493f69b25328f87f14e71230704cbfbb67e
-a44317db09a54b480c61d0c7e3b64afb640de19fbb15d38e3461ebbf597a9d60
-a44b3bea5c840a5b1249736e2644261e528c70d7f37eda741daa2d3979a26edd
-a49c6a53d0c35bb8d958544a7b143839f37db7aca0eb14899d0205bc311bed3e
-a672c642d331e43f59d4cedf3fb2b1cba85d017bb67cbfbdadb8ccc75d6d9ea1
-a89d64e77f2dfc1feefa08ce20b8949c4e9dac20dd5a75e80a05b1db1ccf3d28
-a9b5caaf9b25817a1ae8192cd7a55865125f1f7cce091051810bc7a7660e6d1e
-a9fb4347cd2ffd75fcd0b1ab478c8dd05f57c4218b39ae3e05f0d01e28c7cff2
-aae08a1a56472c60d58d93554f8fac210e745ed1dfdd7f73c129508dd68608b6
 ab96d546e6cc543d5b4293c719e371f5b0d14297d55a21baa6643452a92007ce
-ac27320cf5c4a22caebe35123cccbaf5d1ad63e8de449e282f4e43880a6999de
-ac7faf94ec71c80d88f053af2671b0cf09cac3c9ca489eb8cb4b09020758b1fd
-acc3d4d29f70b005326777ee818528e6e42a0e9fde4459b54e1b38286d4986a8
-ad75c11b11d9fece0ddcf964d7861cbd97281a7dd9b158be7cd7527ca36225f8
 afc81ee99a150bf9ad976d1b4b3bae3ec8fb30e82c7f9ec18d0048b070d2ebc8
-b061541655a95ac55e4b3178290de42d95b17cf8ccec70c729e7667d8e22cc1c
-b5c263aec10658dd41db3363140e32874e2ff17d4c258907b85d517a31629ec8
-b78535b4b0a768590eca6d923a09b140d8975e3d1c995d5be421c9751e0abb76
-b98857d5ba43193d416f9dbd370629b81a0446c497817f315613e469a6a22893
-baac180e3d7a5cf18114a6c3f12442fff1d0940c9ac2cec8ed017cc5b6c8be45
-bb0befeee493b45dc787f07382dd616220abf25110c0155628a9f03e9919185c
-bb7867dbde64fe56b8aeb7e7d04022ba4cf5378c21ca186aaf42597e5c50ce6e
-bd35dbe140b252091dc37b4252528fb05e9515ec1415c46c720de7ea32474720
-bddfe43642bd80f5c46a632a8dae1842e4c3df7b0a36b082e939563f1ee31d8b
-be5d963bbb7d40f40e2c150ee03cea1312972c0b9fec02daf94ff70efae00a54
-bff335c3591bbf3664a02dcde8b42f96e3d9bd1f8eaa06ae5d9546c1a5d2c52e
-c024c2f16785c7952af1acb873c187b4d716a9576b353045e586d2d566519db0
-c08f1dd63d13de7b1a365b9f7864c312c54986476136a9c57e452131c644b519
-c1cc727d06426f790b3fa67feac3484c435f6ed17b959470b604b74a482d1f10
-c32ae679d66221f3ac819c26b2bd1bf237324a7fc11f4579076053660ea15a2d
-c389363b751c4c81328f115b3f8d85cede6acf435519f2030b61fc21ba20704d
-c4d71810a985c3d5efc3c080ff648357125f0e78e741a8e5d7cd8c83bbc0bd9a
-c64ce17f4341cce03584e1e95429301adc46fadb93ffad62636a7864f77d410b
-c9e4dbfaf9be59590f402d2bad344a4b27be4404e6f3a24808669041a82d50e4
-cb7b09b314c117e7dd1039b842077df663599ca85840facb157c18821133f243
 cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15
-cda7dc02bffe8a8cde71365caca295004c04f7bb7a653d90b5dc8c2957ecd308
 ceb36b0173297578925e297a5e163a7f0f988327f28c8eb9654153d4354b2598
 d0a339eb5454123c6a1f2696aace557e0561866f3fe33b93ffad58ecfcab7060
 d1ecc0a46c23dad7f9e13b19b877e5be7ec9d2b9bb05a2dfde2e47be83438590
-d23facc80df66c874f5303e1c582387f522d9899435c4332897b1bbe208a4e1d
-d3d4cd8a2cc94a1a4ac75a2de939e46f6ac6165984123a68ab676b126109e4ef
-d464fc074207e42a2ba9361916b0078752e8939e78749f99d2a6b62fdf1850da
-d5e4bfbaaad1293b2060399cefce3224b370c834c64f64dbd8a729762fbfffb9
-d8d7690f356a3d0c8a1deb57f4a6c5038aeddb8a3112324acdf9aff568a8ee40
-da990696db45424740d74c7e8daf3ac799974328e2f6ae620224c4db799780ca
-dbe56a87fbbaea9596cf31cae99fb77a08f1ce502dbb4000ba785da3f131c59f
-ddf7d19bd97224a5ebe6ed2034d44d9c12d4d31e184cff81557a0f778e529555
-e0da25e0b2bf1dec2f70aa0e87f283ef543bf33a056a8e606a18203cccb61505
-e1521000581eed5d73b23072d12570b551d814728993cf8ea558deaad16400a1
-e28a7a345b6cae92147912ac852691d2c9d4e58e836e218f08725662e860a1ff
-e540d8d27a24a4facb747f1db0613812b321e150b3c7ca5a8269369f3277cb8d
-e5f58a9ae2381a045f4c2fcdefb1d5950eda3cc3e2921f2939e99ac22e9ad091
-e61a89c006aa09753938e98f8206dda6764a82f222b4b06ffacf4609e27483c1
-e62238f55272a846bd723952d7d3c9a5cce6973adb07814917fc2866cb77844e
 e651765ec94c99c2ea03cf19aceb85785d656ba08685eb0772747c296340cb54
-e6d6ef9bfc4f328e2b28b44cbedd5fa5098d8d00aea6ec0fbc6b3e9e49367743
-ea730ec17c8c71c4beffb68958518835d108596c4347910fd03af433ff758485
-ea94a6c39711e1590ebad272d0b9c33ca66321613736c110a36dff2fbc271b63
-eaddd3fb607d8e8e9520c7cff0f5b98c9e3984fb3ad570bb3694e160a0515978
-eae1e5d3b3615b5e843fdb276cd2931a153534dec110746e2c639ae3b51f2510
-eaeb9a64240dcbafa44501a0ff9b05471c65206fb8f6fefd122871f18efc6ee4
-ed3f402bc61f83d194a5e57cf79c58bd3ce202884101f2bd9fc58e9f89605855
-ef906b4336104762e82f2fe3145f5c185ebc0ef951b3fc5eb8e2bd1571b4601f
-f05eaa381daf40de143ac143ae89df5cae9ded80c0ecdd580ad0d5a39b5de832
-f1fdf40ce7b9c6ce1f574023d07e4305920a5b8c26e6268bcac68a5e8103f4d6
-f240d904d3692919e1fdcf46ccdc5bd1b887c486472ae4cd99f4090b4c7234a4
-f305cd8ff2877ccb99245d7b71f5dd6ea77d81287ec3362d867ac092c0bccf1e
-f770c7bb6e650c6c87b5fe0ca64e9fca39fe029d9abfef1202aa65aac9fdb126
 f94931e221f919e6cec5ca99e0ea7da1912b2c7d805cdaee8baf508c248bc1af
-f98886c35f963aef1845d270992d488c957c38a38f470eebc218ac0ac6b26fcc
-faa412da897e95bfed6bc708438c9c3f8991af4da15b5517c83a690ae939fc08
-faec67beaa42f36e1773dd64ddc665f22ba3b3071ad88500f82f227c7c769487
-fb06dc6584cea0839d13489383c150a93545badc36c0517336b794c11abdbafc
-fc89a224d69b774df91418eb510baba0e6baf4f2c57e5aadaa3ee87e1916fabf
-ff214cb3ca0c2b5303bb4f9d29b32a9922d7a6a07c10a90545db40982def3f40
 """.split(),
     "BSL-1.0": """
-04a50038cfec89d616bac541cbdf9f63aa313878e8cf2d586adb7f803de109c6
-12ae776b2e0831dff1e715b8ddfad5f1d04b33a573ab8a0bc8c8402db1c06cda
-1d9e97ec35517c492a82b9a572fee55fa0a41c1f398ba2e04a92d7a89b6e41dc
-25705ee0e0b1f47c8d743785f64421bc5aa1fa6d1d96a233ee1aabaf8742c9d1
-499397ac89fc84107de18321628f05d7f761d9886c51e53648f1b45f3d3a9d25
 4f4c9e65217414246c604405ee4900201bd9f230d226fa803a0b7a1f5775bf85
-51ed62df07467ae18466f69e28b525535852cd6d54496db4ace4470631661642
 5fcf89bde8c0c2deb999f4cc626e1aebf90e80fdc5cd334dae008152ef4a1ded
-67746dfbf98b0464af2fe31d1dbce0b28a0014b2729f6bc6c91dbc193341ec00
-71812678f35493ec4566595137d9f823b228065ff11cc872c9cb98b5bfa32bde
 88376b33b906f9c611252122226eaa228686ae5885340c69e5c685fe59ac4b39
-88dad207abede85d8c44bf15a42abd1380564b1d7af2cbb0c811c2dc4ffa7b25
-893780ee2a0e61b7654c94b814998379bd201943a10bdde4d683402a21442648
-b953915ef27f47c3570725ce02f24ac170526dcab71dc0a4ff29498d83cfeb78
 ba411d560418eec8d155b1bf59e53734f541d08e6280665a063063c2cc712183
-c0a05f11186da4567fac7f677a6680ba4304ac4e49589f2fa4a2a6fcc51b6429
-c5b014e9ba73abb460a8fe1189d45455093baa0b03e8720b0e4fd9026c8e4528
-e8bd639ec3f9d24290d4b13f9e833e33f08e5e019e932a1636bca92dc5fdb62a
-eed659bea665aec87d0c5e049ad48c34b0171e1d3869a63703162b48dbb6ba9b
-f592f59050ab07c14a4c4d0d7b55977693bcd1ddcb4bb3cd4671b38e405d2913
-f89bd377cb2b696470fe5a0e242a5220436a54543c6f91410aaad48b1ba42ad2
-fc417cda7ee2825c6440ae162ad5edad8f05f43be4831c138c169331bc1a6ee7
 """.split(),
     "CC0-1.0": """
-07f5c4602ab3111d326655e02e39b0135c422d3f6a6f3f304b452b466caf8cac
-08fd6b16a73ea688ea35f6c7c53738c4183f719d2ee204bb7362bcc425bebcbc
-0c5e85c5462392d69fe7a351dcbb2befd1f79133bea59c2c0e68ac94f0c5702d
-150597ae472b549559eb7528c7585cf3c921dd39c6e07f72d5f5cf96f176e010
-1869c30da5eb838e183671b9f9e1673155df92e3f4a4ce9bf0d137223fc3ea43
-1a36ff901a7e4e5b07c882048617ac65c90d8391f06532e07efe455bbf131e16
-1d6c4a4bbff71d255b9e62d8ff12ca8b3b3c24410f4fa8e7de0f7ec8bc218939
-1fa249f58fbc819b9e6ac699940fa3860467db8173d22fa8d1eddc3d058b74a2
-26130f8e24e9fb39612db3cfdc32630c77be4cd693258350462e972be0fc9e28
-2f18d26b798170e067a5028b4510cd25b7e347740d4ce36d6089546e4c879b78
-3563e33d23014cfbae3bbbad0678b8d1a5803b942fd7b56e67f473b97356b1bf
-35d091efb58257d65ee437001ae5cc0c9c61842043af692572ada09f73d67ff5
-365301ae53b749c53f5db823a24e1c8d0ae7783d8696345f0ec008061031bf1c
-3a08de71f1b9221767a1d76a5a7b3a6005f641456583c4b65989741c3390b00d
-40515b91892e947eef12d0506dd7c09206e8189973807b52e5700976a4b4c5ca
-43a3ae29dfee92c7945b72747c73b3c970af2c54d06f46bafbec2ea674c47ca4
-46ddde505d49b35346e307e97e905b8aa8c6460da07afe57dc88381882639a05
 471f66547bc4cdf104c87ac5a818b67290c55a6942ec3d079c1554eb5a6d7664
 4f8ab63ace774f37529081c81e2730a88143bf70e67392bd3c3701bd0a175152
-686ae6e7507e95ebf5974932ed328e513e37bb320a78bfe47f2ce151e78537ca
-6ca446ef90df0b4b2be3b78544cccb4120a4993f8e904ddf6fae0f1bd00b3300
-71da235d36b9537bfe70819cf57418790f2aa516c76282548ce04220d76a6fc6
-72459406edc45524057fb1a487c21d880e30e08d12c16ae3ea52de80e4599d1c
-75729328f9119f2b6e56cdd01bd601d3430f3718f92a560acb3649a98a7abdde
-790f62f6a43ba3a5ffa56477b25134273c664f713a70c244e6b3406f28e2c3b8
 7ea83353f6a48443a673f3c4eb58917fd6c45b5b9322ba1c20fbbee6cfc5d526
-8c9d2b888403c7ead2d15985ea9f74d860dcabd18800bf36ea3124da5c23c2a1
-8eeb72d6354d21b63efeec423b9c10edb8918f747af6223621385d5fcaeb7e94
 96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f
-9f355cd8588b462560fd53a30bc19391233ada488db77a9a79c312627b8595e7
 a142ae38742c8c4c35f5fa19e0a40ebfa60fc38535daf9c570ca3d7e012e1e32
-a691a047f09ade911c31b75799ba6fa2a6d454d30e4c426a78c06522f6944fb7
-abd9187b75219c40de38d957ecbd1a834a28f3e6ba92b36541196cd557be0450
-b431b5b7e3ec77c41d9840c480ed24fc1e9ac7d8e9d83dd712d140edc97f3b1d
-b5a8892f7769e31fe5872ea75d3d7ef1205529e2519b33f8c4f5ecff6b4f3c0a
-b7d56408b21032d96ff049482446d56e975a0d814a787d19217003137c8688f9
-bbca8108eaff3c4528b57e8b5fca376a984d7139101ed52a09da64e86e1e136c
 bd603030b6385d973f65493a99468780d1faae61c77a5841757efb871cc902c5
-c1860b473048fbc8065b9d974c1508e7f81641af419336f0e55d8d61edda1c44
-c36396e5f79ca7d6c8a6faa813459a5997dfb3c38bbf3d5f5246c43aa52b7699
-c9191e946cd5c8f1317e6b9271fb2d5b8a932f533979065c96be7742e390e06c
-ccf63a21a5c1d4487867fb3e17acdfc4dd2a6ec2113b44e29b02f27dbd9bb804
-d277f800e63d02d34f357c93521b2af4fcd5ddc5286f5f049bcd10fa0b55ed4c
-d64f59c2ec42557afdd44b7464052308408c39db526516b7b5952303c6e6d3cd
-d708f59321e3b6730013ebf9766f869db3e66cfcc37ab3cc62f1f39a51988b40
-d8717a60e8a1f0742b0f0077e6615711a7ab47f71655e465964c8cadccb04b92
-dcb8840f90575202fa5526f96ef077c25a266509eb8ceed73e70d80c08da3fee
-dde131d9b3fadf0a972da5f84912263bc19c89c32d611cf27e22608074117122
-e546c18312e50d9a1a754cce76e4e89b04f59afac763efc032629a7bf5abea18
-e7f873f83f3fb40e75bcdf30d3778784bc77b1845da3a85aa6e8b2991814d241
-ec4455f87b11401dd1f09835b6c838589f4af51eda3b97d01eaaef8efab9e1be
-ec5062c99681ca7c3899458cd9c5e8e0a913350a2ef57186c916dca5c7eec9a1
-efaaa5de5181128f94f7537645320596661de471309c56d6407f59cdc81115f2
-f0187ece67d2678abee54e86ae76af8ba05d86d0b29333d5fd77c5941238fd3f
 """.split(),
     "CDDL-1.0": """
-51286954da4980198a8886737c5f39f00e56117be790070185adc0c16ac1445f
+33127db5fc21585fc96006572142d02ae3c83b65f1ce75bb1890c4415f7d2c85
 5d8babf98deb6694d320f70feed868d584985ce573823ae679d4479daa087922
-f122226f67644eab6f274d2256bc6604d6f53df32cd1577b20d6b035724f7a55
 f30b6a411f9b7b79488e3baaf5f2933a3ce71cb3a098e9273971a7f719c4bc1c
+feafbdf8c6cdafb32fc2dca4bec328d9af036b670d6e1986f1b60a26b5866f01
 """.split(),
     "EPL-2.0": """
 008fb04277de491ac391255f4c173bbea4f169e81d2ced4c924c7caa0c7826c5
-03a1a35f4ee19af5b21e8d2f2bd771db5a9a39d47032e4396da97dda8d6b22ba
 0f33b884ed16e953d6d4e0febad7673c4c1c8fe8fa69bc045fecf443ba8bca0d
-0ffcc30abcc7f02d1e407a8d58810273ba62649751c36730672ab1ad5267ed73
-10f6d88a47d557a99de849dd2c335a33cdd4be9e4a6655953025ef83c6f1d520
-11082365569a5f9e422c5a052675d309ddb20fdd1d02db8674c102ae4c77b947
-30410e4f1453c90bf747e96830a713180f3c9f31f20eec3d9f481c3c49e232e3
-31b3d8a5b197e59d7259b40aa288e1fd63b15e88135d8af66f01d210aac395e0
-37bf1a90a97f4f35c6dff07cd11d8adbcd688c93e55c9a15f1c8d05a162c5ca4
 3a30982c69d6a418c51386342e07bcc7e6bc58fa63acd5b4b5d7a126148fa73e
 3b6fabab64158336d9a33eaa6b1925fe70d79e20ba2da50b6a7e220c38e625dd
 3f0940832a6ad2bb0c8e9f8a8b3fad4427b43e6b2a7110ce5f8c4b1420f8804c
-4271001c8e6273cb6d0be043a0a132c4d20da2a9f822ce04a2b1a43077a43c79
-45f1721e9eb7c732e1ae14ce12b55271a0c9cad883a04b72684495e678ea08ac
-4f39ddca371825b60aed4c39fecec7d89b993269c609d7a6149f4110c7adb1ec
-50f62bd860f88409737cc4b2a808f384e9561d69f2a2eaf87257943374cba767
-587ef4c88838137861b770539793007944c7e4da7c0427c66611113027b9223a
-60b566f2f22d7e4f07da4490776a25905afbdb7c338f3a4b85e8413634920c2e
-6624523ccf13025131ca189fb8898f0d8000e864b4c0dc8d9bc445b5cbcc311b
-67dac0bf870b2a8d65b27bb523625ab1fe8acb8e200e8e295c8c0e7f8484ce9f
-83be83ecd89b71579fc81651c6519be550d5f3bb504913ac1c4a795021590aa6
 8fbb910251c24acd487b634ceb37457ff21d40aef11bed21e8bfa194397787e9
 90a65326bf74c1a80b74cffa85dff0ddb4a9af3957c6eede6c6fdfe31d488452
-916b2523ddcbd6c9f0257d13b535305da3d70fde7266844830f09c3bf4e9aafc
-96fb2523c8a0f0c28298ddea87f898a3143ff9c3e63ca7b63b125d7f9c36fd58
-974795794d72aa9d2910ad302a07487a0c3d761109ba77483b20bb5cb6bb0ac8
-a20d6d0664a2efda9c4585a2b0503cc86bc3e2cc231caeef5d279843c38bbb1f
-af19ccaadeef553fee8b8490eb78bed46607e2516dfd0b1bbb15230bec416cc9
-b18afede8bc9d466011b9f819b78dd1bd778810f8d874e0d09a2e8c6c06e32a9
-b3452006c1832a91ad9914eeb531bf4abf80b9729b1eb87a6f7114f6f4a51267
-c7f9e0cee864b811b9e03c7347d2f6b9e81ddc57fc7556b51caebbb67c0de1a5
-ccf5bfab7450e321d13b63d30102377144aebc3285fbdad84c5f5e8b6accb84f
-e1dacb5f932ed27f05ae980cb9a5e0c6ac27d98998d2bb998293e3301f057f5e
-ec60d201a4647c9bc82e81a10800938e67b9af5ba0a9abcab27f2c9bd9858a7b
-f516c1c8e5bc8c867c785432700bc9edd11c5ee8069225a4ba99ee2706a214c6
-f83cf9f03405cb417e2ee2fbfe50cbaa2529596cd8ad0024cdf051eb528a5216
-ffdcd0e5d2cf1183990449896a42a98629f6da838aa984d1c30e580728d4acdb
 """.split(),
     "GFDL-1.2": """
-0099d5a614f7670da2b1ac8386926074cec60957a68a00f5f80bbc49670f4956
-00bd560bd80e046d8fe0ca2c188b888508b79048ac4d32d3ac3c1d73a62d474b
-01407643fbd1b65bb42544a2ede24e34675811fb57ca0f3bbf1dc1b35657e8a7
-016d270247f0d1ee5d012b67dfda9b4055a62f331531f6e84bdd670786ffea9e
-03525ae10392198cb3f1b067b2a27a0fafd38119086c45d95f59f71fe42fe3aa
-0427b7f3ee2e0e8dc48cf3eeb6f2a6290a2c4eefbe49bcfa33e674dd001d4e48
-042f83d32727a75eba0e2fb1f8500fb002092c2a8f5b513a467cfbc3613c6c63
 04ef6dc34115806196d88d92e03f52b97ee22cb01cc73a59c06b30bd55f544c0
-053955fe0a61c58105afabd774ec7b224c3c4a8cc23f37553a781a5a8707b2d2
-06bd92b1d29bf258d0d25b56a1f3b2633ee54cf41d0dcb01bfae08806d3cbf33
-07e50eeee43d03b600ad7cc6ec9c445dec3fdc51c35848254266e727ab9d7835
-0a50071aa472b8cffdcdc33208a3920641caa088e44127cee6fd5ef2c766e450
-0ce5be3702ffd440141996cd65ed040693481a5a4d5981078ec9c4a316fc727a
-0d33c0ae106a01f98fc81ee9bfd88c7f499409841834d7e619c05875cae9791f
-0de1a1a5faee11124c396c11672a664518c84b6d616019fd20c672ecfb7b41f6
-0e036a4b6108ab1a6a3a04c2bb8f5bbe3416babe59ce72ea3a637c5639c61d69
-0ecf8969da3e565b7753dd905f503e7b4ca77a4a4b26055a6fbf120632e3708b
-0fa677d0bcf911d593e3d66aab864cabcc69575fb84fdd4eb09f76a48c2f0864
-0fe907756888aee11b7b738dffcc64c85149a7a00e81d662553e23c755ca7fc6
-107c63c6ed7a4f43bb097dd1dd982e537e5c211221406abec6d19301eb922ba5
-114a416c7b8540df02ec447bc77852910f86d5279edcc6b41670eec8736f21db
-122cd4e45323b68efb9ef3d3625ce48ae08c4f44b4a907446493704fa1d6d118
-123d6a0943bd06e3efaf3c9337a4e3fd6c01d3abd482a8f46e433debf159dda7
-135b97889991c741677fd16c9321bfddcfd80be7a0f36fa8ea15aea874f10f28
-1379d780f74a38ab5e964c6e9326388c3dbbde6b5035e19c313362c930a1258e
-1426af96317f85324fb2567ca9d74c51da1d1a525cbabd2d2d59dfeb53c13820
-15d7aa0d2341d881bb06295466e64cf516e9a07275a89d7b8552323fae9de7cf
 15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b
-164cd5c5bd04b0643bca94ae3d467325a06c296bab7a8ddc177e86fbd86d924a
-167f06ad00d4779a31bc6a73e8b67816304919864717a26000101aa034f3471e
-17098bc5ba12806ff2db114669a9f53d93ef03e56361e673a2a735368fee2ad1
-17d40d226fe5c4b5fe17880d319c69099344496f7cd8509993750af444eb0aff
-180f9e7e405fc83c3557c9cfbdb699897ed7eb0488c32f5a353098155067984c
-185db38312a5d1b0017ae5218aa076df38c14226485ef9cd28c450bd6ae68e6f
-18688d6db59173caf6f44e33717d44225662179e0fd72a796da7f0d026b86404
-190ac2ef1c15cc43aa92496713fef7b5c6a2452c9aa5a214aa6c0e667b405c17
-199aa6e4086ea79d0adec6a0f35928768b9c34032cc0de8dd343e06d4354f87e
-19b3a0abc09760626c3ded3c8257a10b79bdc7294cda72c5a912c9dfd9497c0a
-19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f
-19e3e0bc21fa90c08b2ab10f652104dd2ba3762f3d8c30e1a2af155643fda781
-1ade2b30ec60279b8fbef02d6d3d5725dd8adb0b6bc5a41e8f3934b34724c63a
-1b2969ccc633ffbf0d892dbce330f03678b724a578e879345c83643c8ee11e42
-1bc15f31402523f5dbc8035ff8589b73a7928593ab7aa1ddb5fcefce70f7cc19
-1bea79c10de5f36abdedb5cabb2177f59a259a306aba777679580dec98997350
 1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f
-1c0f97aa6079efd63094091d774bcff6ddfaafbde4defbc4a767454ccf9f97c4
-1c8f908fef0ca31a7e74d778ef404e92fac16360e2ced6c380867b6a39f8a763
-1ca6ddb13936046089282f4b9ab560aed21d0605a8d7da01f06c3e562f104b28
-1d692c3f73a83092b8981f002fa16536ad5748143dcb9353d79777687ba08f4a
 1dbd72b6f124a1058e786b52a9d4afe44543b834a3aa44faf6c18b747c9de8e2
-1dd1d0cef4cba9f7be493c695ef6696bf4752f33288b7e18b35d92ee8a06ea81
-1ed36b6bb59061d884245feb1c01a14519fd923c1b96cef19df51449b7c06f9c
-1f62e6b99d5f3341d0c7ecfbb9951527a59bc46eb0701b9ea471d0014e5e7163
-20d5073ee03dad22296895bfd726f5bc34262bebc5a24357d552e3f4ad9401e0
-2145f518ebe5506c360978636f70bb31eba800b613b0180c750d3cb74a66c636
-2164973c532d3be2d746750060ea6d79078ab64b2adb09d0be46bcc7d8bcba60
-22392f3c36454ddd02fe6f8be818bdb4016d1e7167b176c334a4556cc98873a4
-2363dabd63e750c9454aad4af37531d9744ee3c86cc604e019bc993a63aca5b5
 2388b35d79f88f97f735cdfb8be8acc23280711514529978420d8df1d6c00362
-23fad2b601bc2e1b3ba93ee9aa4f3fc3727a9cdb88dd742a8dc4bf415efb1696
-242f19a505ea6f51a1527721a0aab5054a158aec5b6d8af461a350f3460111de
-24b102ba4a0c207ff1c21bb429c2d637a9a0ae5a0380a82451e091bc008ba590
-24f7a895dc846b1ca0c8302e0e5e6a5708b5b1dca419e167ba297fc82bf0f4ed
-257c31aea8c96f99c4f25ae537e6fdf7eaebfaba6e7435d6f19ca60fe88a446c
-25f2f33d12738164bddd8a04d5b1e9974920b140914a2f55b9835aa10d47ae80
-2667b8ac389d3c7d154fb338fe5b0ffdb8070d56117202d9a7c5c1f0cc982839
-29be69ce042f443df4a7a7dfa1d4a15cb41e055a5ee22176b84829f6a7c3f73f
-29d3e8ab556b096508cd0114f6eb819e9679d3541e864d01fcf130085fa624b4
 2ac25285928a9ce6a8bde0e68e6d8ed774475113822c19df30f2474f15b171c0
-2aee1767c9725a9eb5c4f65bf58445bcac87fad24fc9d84ccc9b168c1744d2ad
-2d57306f52169df305e23931650f84878e92b3da7710ba3ec339aabc49e37dd5
-2d58a5df17c84fee2c3235c1d116c8f8b23d4c35ecbb84711b5d8c7e08c8c1a1
-2d766a6fec49c24740a1c826ea6e2a663813e3979570114c30b617e0a5335f94
-2daccb1119a4a319df3addfedec0c05fb5fed3e6617c3333c8265b7a0feeb274
-2ddb899c5fe3c7cb36d37f8a1416bb72c8d02f323bb6d54d6b9387300718c22f
-2e37375bf3835f204c333d5b28adad47b5e4ea645b76c2dea67ae13fad872ad9
-2f1a510e173eb1a070367553b090a36db64b3dabb7209d7e55c2e40678ec801e
-30990c88df129fa2771d7c48e1b8c6783704da16cc514dc0fdba1a004c132045
-31158bdc27dd03c317e51eddb588e84458b8140a6bc193025706a18762306401
-321465bbb988cd33cd126cacdc4aa030ad672e0223bb3a7360c1d541566dcf8a
-3262f8bb80a1994fe0d25202ad1b9fde3b9c387360bc3f465dd975075b5459fb
-337a6b06f88d908a84d6cc98a9d560fee1b8a17edd0e4d3eac0cbc7d1df30abe
 33e7b0c926b6b183f54237ad056a663d10fdbb688e1b34a2c0b2d2167ef7b2ac
-34bf03cf077f2d72171d180a136d39392eed57bbdcc81f3c6832985f1e3765c7
 35ae67113854c89d267fca97775f50c442bcb8b5380e884e6a2b0b79295a8ea3
-35c8ead792bf620ec01d7da1b29344cb7caf388a5bf46db5bbbbb95aec9b8777
-364213769428ba79865c136b108d3a203ba92fe6736a424956db145d3ad42142
-36ce5b58ebd4e3e745a291d0fba9bca8d88130170c9bb68a254a893dc0fd0611
-37e2075848c42e725040bd99519e3435ff4a2e57c6196413c2f030eba4555293
-37e58161065ba5c7d51cfaa3eca5663342d6d9f985af6ffeb851897efc9f98b4
-383ae40b187cead99598dd3dd1766b5dd3d52b76a5e120538e2ea56bbd3e9831
-3957473985eab7d9c1f68733bd1fbe0413adeeb80888f3f34c774a44ed3579ed
-3982c527d57d4fe893fb2a8889f79f8cee2728616067112de66ea93fb3a8df9f
-39a326f93711302759ec9da20e582252740890e723c680d7a9b4b057db81ded0
-3b515f7e703dc11f6b09bdda2e97ebd78c0bc3680e46f80456a8eb2837c44275
-3c61e7a955a7f8b79dbfd341d1129628bc75ebf38c52da2570a0e8f5d1acaad7
-3d888f724c07b5fa55396a460cc5ba349b6eb7c69fda3d6e051c0d64fc1fae3e
-3de79cba14621d69b8ee6e584aec6c75e351393470a426cc0de2e89f7b0b16e5
-3e4bc9706c479b3c3f958c54d8d3d777c04a3dcc7f60586c24ea7c0bb798123e
-3e5780801c6e2c425a1bab7ed7d91e95abfed1eb812801c26eb3050937572b57
-3e657e7ed6a195b0dd585bee0e3e964aaed37b3208fbf3cdd27e645f1863bd4b
-3e6b950923a08883d9b8ddc4bbeaa8a69e05a807a99432a6710a4e8565a57836
-414686518c1fac793a080b7d96c8f4571007acd15587bfb6d2224dd7e5f9b6e2
-418f887f404f2aaabbdcac6f4ae238cf45b79a367f9450922ac86513593b4577
-41dc705aac8de8ce07fedd7f676e37b0a5237a7910a4699ba77d5db3a2a43e99
-41fad601e84c5bf4bc6cfc29132d4cd85306589d2e0429ea95063394e48b2738
-422b57e44a6abcf900359b1ef2743f83a9be06abcfde705d1ea631b6ae8e46c9
-436ef08462eeb0c45f7c09a68b8494a0ef4259c9b34d6a01a9200af1fd6f9081
-43c5acb87f92fe3b64d475d9e727535c78f4a1dd7599c5f5a822f2ff809c0d25
 4586dba5ddfcf100fb8904f8e9ed3b5c8475c6a35c144d40b2c7904ea874cef1
-47a515ad9522c7773ced20ca22768b0a3b65bf612f72870a38590c0ca601c4c6
-487da28fe48e8b71bb5bf1f3c876df68c989abfd00f2826000b8679049a5512b
-49eda7bf117bc09972736a0e21b9dda57e74bf05f841d7d7a4d444b77fde5117
-4be6cf4135e80d92b763ca5260ca1e01700b1b58a3afee2c68b774074743b5f1
-4c333a0f9c0421a2c3a7c2103b179473f00a0e3121f8040134c7e2884bcba8ee
-4dae6994280a49576ef572d4ee5e3ccda85a1e5e7a9df59a80b7ab46eec6b3cd
-4dee4392bf04ffd76580c4c6c8116a3334ff1310c8ebbf8ba7f631ee860289f6
-4edad2f2005e0148b68e92df459455399aef940a7a53d9a4462266e0a60c1e11
-5019af0b69688016ad5b6d80a37add9e3a7cf9e47e6050d88f3af6a1036aa07d
-506bd25b2980c4ebe5c31e471dbf5293ccd8df8ab49b37f9d2f6f850b6f29e6f
-50dd30c31cd714a00c7a230a34ec6fca1dc52cd5edce2127499ac59aa21d5a02
-510fbf8cdb6e4d661cc591f1b5df177d31045dcef5524ab4994377dfb0efe316
-5163cc9a7c0073a82eb2e5ab38e769590b08fb69780c7f121d8b8d21eb02497b
-51803cf0b3c98c832baef5c54769595531f4a17a221f5b16eabf4055b338363e
-51ca422e4c28d0b617e2a23bfcadcd50b9defbe15392e5672024d15048c689b7
-52d58285f6ef1afca723a1a0b633db85e2750d6eba12e1e0a0166e27c82548e3
-536f846107fb23eec2a72f473ad9732a75048aed6c0b55bd671537204c00986a
-5395c9a150f6cea94bda4de60e01ed517f9cde945f71cddfdc4d4a30fc87724c
-53fe7954f6c8eb13a06d8c99203aa88200f0a8f239d024e12bdb1594e98280db
-54c30fcab3cc4da249ae46cf4170fb9fe36aadfef2aed0af09f72b681f221568
-563bfab296e4c820d9553c2e50ecc851a402b2d150588d8de50c66b3e27e495f
-57757127371dc54fcdc55b3afe8bc6fbd5d18df82ccf57fbf6d58a7e5174fa0b
-57ce685ffd4169b1a02f08a19986d8131a2f5abe2b3c6ed40639439fd920c2b9
-580e38bd4ba1f7a3b5efbe5923113a7ea24acff985e85c0ad7c2d289b9fe05a0
 587d2eba87ab80a2aaa7b5f1c5b2d444f26a008dc483dafb38e27162fc5c2b7f
-58f2e8ec16652cdeeddf1e3326abd2714f7919577f18b25789dbd3ae8e9e0150
-58f496e1b926f4a94283847e81c7ad33843791a7b18a789ad626e135393f57f0
-598270dce0a939d8688c4a3d02137dd7a85bf39995db61ed2855e5c43d1ff0d2
-59ba029f479bbbbf3f734614ca7b668af0e51f4c1a788978e2cdaae2a5620e76
-5a009ba4a950880c321fe7d4c29e29dd03178ee06259865203a6cb900f45aca6
-5b22c48f1b8c627787e01b8925fbfef813fc8bf67ebc8fba020d9191498a28e4
-5bcedf61d9ab53e56e23eef6ffff2271765118dd1d708836040a31e438d5c2e6
 5c083164ec08b233a6e2819c8c6d4f66a18fb74372858b0f8f418511dfd7adc0
-5c10a2cbfddadcb714e4cd858d550f564a9270f52232a0e96d27d6a790b186bf
-5e12dbe229b9dd66958487a770e6d23ecf5d0c848d8513c7d1e68f3648de4233
-5ea8ca2f9c19e7a0435a82f8fb071595373ffd4e9da79e9a9a8ff48230586ecc
-5f3138b08eec75daf87847cb1c08819de70a464a11cd80c63d6b7326a00cf07a
-5fe8759aae203184de9b6cf5d180c0578c6232ae0583f5d730ac6596234c1f8e
-60906acf476d274b9e7ac6e74ae3458002a8210d3ba39eb4c412d585a41a2167
-615c6bfb59219f4e83767574380a6ed73dd3eb9b830d5775494e58e7b9e98ef4
-619a0ddca2f01384650f85a14ef2167b1b6d8e5ab30443d39faa466b68099339
-61e949665632fdd05326524e3fd120136221657c89ab4826ae7ea42454d7b2ed
-629450218db19fa59eb20223105c5b37f310d8264f6e7e2a0a2b5544a2bb1600
-6299959562c6b1df5a7371b88122b7e83b455be740a4a57a733a52754b9b0fa3
 63010df9e01317a049c4911c8bf71d5557c0e38791419fd9853bf91dd13ded70
 640ac86d192efdf1e2ed963445d1363a94479525fa904e6bb2eab8a50979dc4f
-665bda108a2b97da4c789a72955c9fe030ea772236fc3ad74b29912bccd48eb8
-693abcabd9f133ca28f93e61224267263f9caabd5107930408d18d795fac2c36
-69e015e45fc50b1e2785d95cbb3686f3ffe26d3e2416f77a254a59fd37fe3b7f
-6abc5fb4c1796c349f0ee51a6d9e713490d781ec4a977bb93654d2b762423175
-6ac56acf302016cd28ed01a8ea44ac1594b08e7387a5b3d364a236cc43712b67
-6cb05294a2af015054444772b5cb8d701abbe38aa0bee4be8093f81c7275e01e
-6d31c18f102508875d0562a15a9cf6cae30f73582bd590099b06313d1930f910
-6df14851a16e7a37819ddf4d3b2876f0e23eabe02973f994f6b10bf2bbf8ad0f
-6f052138003d645fa34f822daec84935411c986899f59ae4f746ebcba6ea9f9d
-6f28ae979059457a2ffea73a37c6da85a378000427902dd6c13227ee76069a5a
-6f5ed78ba226cb83b5426bf164a3e37e2e73d420389ad2559238e6e15fd20c73
-70d26749ce9940895ec0964ac54c8db144d919f98d70783688adeae11ca5563f
-710165b42d57d26b4b318fe8689974ce1ebec9fe5f1559fc9f04d7dfc10dd21f
-718b2a1b4fc26774ebc3a733fc2270484b2dc6429efd6dc9ff4c3b5ec50a5257
-7346b2dd56d78ccd9305eca8241113355e2c6e4c663384dcbf6c13943f5f5bea
-73c6f7aad0aec118a8795d4e210b645771715c4cf093b58f02e9334e283b04fb
-742cb97ae873615215c52b2c8eb54d233e57af140a2b82fa6b1a6477de276864
-74da430686f7cc2a0148978462f90c74e812f6f857e74fa175d6976a0c4ffb46
-75b843430d2af911bce851f02581b9601cf20bb5a340028dd583b008b1e044e0
-7659b3327afbec80ca23b191649ea8463c2f7e9fafdba0b0eaf2744aff4fc661
-76d83a8859eb13a5391ff0bb7ae542caade292ee55798f4ade3aa683ff34d9b5
-7795b39e0658890be8745a2fc1e3011445685714ff980f850d589e535f55b85c
-788e17ced15d2c799339c5aea453f16f97d30f27ccd687e4ec763b4cbcf4a61c
-7bd55583af3fb0cf9896da73a8d484a5fd6f7515c1b7493e2d3a533a67b8f3d2
-7c923f4fb522ba43da6c625602d534c30722ccaff8544d2996c78693f96b0c4c
-7d95d5c6726ebc4040e47736444ff3ca1d32f02f4391f2dae473c7e9d2f41144
 7dd9471bc1af62aca23bb4cdc8d3a9e78c0c4e57103d0d753be748d05edbcd5b
-7e51d17e83c6f86bbefe746fe15f77a7d4d55622219294558bd46a43b8ec81db
-7e73c148f1312d2d7a4c533e7b31d4e2f2217f794fbad71a58e359ceb1e0ad35
-7f4133525ef23fb8f169a143e80872a965083d8ffc027b043360b0969df4164d
-811a09b40112774b6467c3e3c7acadc13682802c45d883be022a581193367c4e
-81893bdcef5c2d92184ae2aebe2972ed6e0d3b1072fcb53319d2e6dfe2cd7d72
-835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142
 84ce1e08ecfd175909b5f1a7df90cd0a11e499c1de5accb1fdce50ab69d99de9
-859ea5c6e683ce63cdc9a1d3470e083c9140b8a23de749fa2090191ffce98774
-85b4af4e0127f0f0d5dd0df3a2ac4eb9ecfde882d05a6510fbf4ca86e41008f8
-86d183138d280a782da1b16e5f998dfc0d7dcc356a24ccfe46105a6d08aa8b35
-875a6ea117e342b70d27787d40513b7d463e47c2f656a7d26bbe9951eb00655e
-876f1ed3bfa74169ba0508e592c9d3e7c1800e88d455a7db7e662453cad65e24
-8789d1b31a9ad6658b012c367a0570e32fa6b7426c480751ede34615c4245ddb
-8872a3e17e6f0a61318bd11a7f2bbd30326fa151481214495adcb0a3ea9b028c
-88782790cdfbdde5850064fc09004c54dfefefdb867ce71358e514817bfda84a
-88c2af15ae3b317512662312bf4e6fd674f9b0084ec402931bfcc9dbcbe6e3e9
-88d113f6d83b5a629e8906a1e25cd1b1fb38ae9e0c8f620e9a9f152c7c672c35
-88da5b74e1daa37d95f8119ef569b531a6315abc2e735765dbf304dc8e02f025
-891ed39a6b83eb4bf1ca69dbfd74f938357ce37a1b41b80d796022ebd3ba9cd4
-89eb343286102f911033ec656b75f92813d80ccb7f2281fdc06d49fe0f8ab79b
-8a4174d1b0eba4f94ba1f6b5c5b1ffa70d50c3c427c70bb18965c122ce422b70
-8a4d78348ad051584652685d1bea044c69a1e9f072e934a1748079d8f464604c
-8ac5e131780efe7aae9dc4a825455cafe9ed46df116b802ac1a485e5d7662f9f
-8b9c8d10b4b82a83d544e901f1d8fa297b99f344a8df2b236dbb09f48e6f53ec
-8ba2bcd9dc1917f394134daa6bf698d8338e58f339ace84ca875082dca9a89bf
-8bd89d9ccadc0e73255740f5b0b2822489b3e2516dc93e34797eefe89a504a92
-8c2ea59f33d86165cde33808057f7978fc2bf6627aeea3dd39296f883940d6f6
-8c4a547eb522d2b5a78092df28e50cb3f0730f344d87017de30972898fff98a8
-8cdef3c472b478e722527020bbd67329c0a0c744a1a1490a22ded863d4f8c1bd
-8cf065a570f2041484f3d04b39661621f42acc545eda05b408fd86bec04bc5f1
 8d08c74cec4dc000cf7c1c2967e04c1f2cfbb7b005c9db69c29b0fa77e4da921
-8fab7829617f7c4ae51d27d174233e217ba3c488361d5c163424215ad398cb11
-90440a5e6cb42959f0ea5e4be3318bf8a5575ba9cb8f5f309352a24695bb5b28
-9125e0ede22a16ceb204954b7f38e62c2f9c929b18aab105cd4262cfcb575f9c
-918e144510615125eaa8c69b093d7b369d40c289683d67436772e75d21e85794
-922c5dce7dc9b5c2c7695a9c8fd9208269a37db537b7d2abfe137d900e180a62
 925dba96dda1b00cd8ff146661df40b6b2a302af5bf2f1243976eddb6d5a8450
-92ae300de36c709d164fd4abaaacd661b1679fc55a0d65024277d7dc073b6726
-935574628c3093d2ffef4dcb88bb85beb6729cee25f1a07fa0efbfbbb3113d5f
-93a6a094b32aea0fe855299177214d4abebe658b1df7c904296dbf640d683541
-9508b972fc939d4dc181eb3025d290748fb3089775b1c0b562b2a7681dec654d
-951229dede04e2844784fd0ef02e47cd839a52c32b3ce94f5296165b83eba5c6
-9517c7e3d78e9db468ba4c60b6c4fe89173c19c22576eda26c7a0fcc8cb5e07b
-95938f1a1fabe1cee712f2e646c9cd3b5a4fb0bac83041def1d3551fcfe81f30
-96addc3391703ba921f35e8a5444a114e4e64bf3aa53f93f720756aa5239499e
-97414f354ba655eb8de3362017e09b4fdf260b172b3c42ad60a766f341404556
 994588f2266d45ab1e8811370fbb190009bebdc36ddc540d1ccb8fd6a392977b
-9994bdecfbb302df2c4b1ae2bc3cc011ae95faee512984b9b5be99ff2750eb91
-99a609aa0bf9a9949caf0b83005210f62240a2e8007bb97724b31e63dcf26386
-9a04dd2b11b822c8f1788ae112c3bd983c93fb1eebac30959f093f3a3ccdfc44
-9bc5014e8a9e9ee94de32dc99ec9c45000fb912dc9067380175c8ddb7e2be7b8
-9c804124334339d619a077d38d8a9e787d308f26bb6e4f919699d01f4462d3ea
-9c980fed0bfee643a2fb77aa8792d17b6e8fbf731f669e20c92d5de5db25357d
-9ce1855999e8b7ef02f794b094e0857792f5d26c0d35f4a69063abad0bdc5e3a
-9e24fd4e8e2edceb2e1567154643c681f46c522848a2d7ff6ff56f21c331927f
-9e348e07ae3a3823ed11c2adabe637c5928ab9366c192a3c5359383e8ac8ccc7
-9f10211267f8de49d1a2f8a91c6508ccd273ab0f32bf5b7ce4e60d301bc87dad
-a0136875112e463897ed876741c79ce8feb11e002ac7fde0522733e768764fc5
-a06e02047e2b8194eb4d0c557be7093bed92b5ff06db9e20a893f96b34cbef52
-a0729eb1e33e87b41034199ce334c40f87f0704834e9682e8226e862884da8ec
-a0b0325e2a5aac6f06417663cff43b7582fdd282939f71c49cb1f7835642b73c
-a0db09db8c4dfb701b0e544d4ff215aca1ca9aae695a9f75d3cee61e135419b4
-a15054ea7a99d8420b054a4b9b1311ec8f137ec49fc9148b09182ee952a8a131
-a257de6e652f52fd1b24eb9c619097ffe8ebdb79eb2b34532ed1b5bac48334e6
 a2607c0e38bcc0296add0ea58ccf09e2cc4d92b7aeb27c849b44435df616b905
-a37a238db45042b23becc7bac7174e9d47e57bd20c9e7102878b739e76b52a3f
-a420ad18a979319755447c898d3ea716a3c7ed0b900626cfa79cabad26bc4665
-a455e498fef7ad5e28ea395e29b850d0996d2663683b31cab6cc40471730dfa3
-a4792449b1865eae8c37003591654e1b3b33d1477d7f6b71ed20c047c2a1d888
-a479b61a7ab91e61e461691dcca4328a69a600e95612c22fa27bb87fb57589d9
-a4e757c53430ee9462f61b1bcbbcf0109128f780ebadf7d1d6c0332c8dc8d55b
-a50f9761de527308474a708bef3bffae61f611489c0af0490ccf8c734832ad06
-a5816e72b04677deceefb3256f6ebfb7170e2b180776d394aec9a97b6d6816e9
-a59f45001086eb47a702564d1e1ef63fa959e0178bf3839565b2a9f1fff25274
 a5d55fd7bf2b1cffa2a90fd61efe200f197c552547909b639a5c9555a1fdc71d
-a60b8fa70560854bb909321ba140f396c4ab917e845e1d2d718df20fea999ade
 a65cab2bcaafc465aa9272d67eb31964264720eb9a8eb518aa8d11256e6d3682
-a6d44678ce37896051eb279c2a3c7d5bd33bc5a67eb093e694fb51faeae8d67d
 a7278b28ae1fca0d0e806267dc2a636e722deea44ad03f362339d2953f7a63ca
-a73aa7cc264d4dd99793a7a237fb1b89029ca666dd27a5c2d9043c81766f0718
-a8af0c194dacb07c80f342176e4cdfb162734ae5e2ec5a7a158d77f90118e3a2
-a949394640cca7512f9a1b43b9f3522ee0bdea17016f0fa69585c5a16d080108
-a95ed193082ce0e31f6c54976419292e105614bd4fd4703b919ce4b21c2ea6ab
-a9b4e3b4043c084525b1fe4a8291a7c9f9766e533e6ee2ce869e4a246a1f56cb
-a9f13715ec21d9c0bf39069bf3222c70a9bdf3982d36b77a50c1686c21576e46
-aa9ed2c632eee07a072ab62a20b1d12b7116d17dba382a8644e8349df6dfde16
-ab55480a773c7d112fef12735e1aa717a1a7ecc13d7269bd2ab97c8d6834ff4f
-ace18f2f8cb67ca7f296c1003bc339aabc4d374a5aef36892bcf70e8b8d013bb
-ada2a4de37ff47628e88c009feb617d7bdeb0a7bc45ffd9cc77f0c35818e6a09
-adc9741e631ac3fdb9fc2e7374b8170c1b3c3d0ea08086bab3e5220de3ae52b7
-ae1dcdd2a7ee1298642ae08c80417d834ebf5c030c3fbc13eb0e7f84061710c5
-b0570026de75097872de3a93bfa85726c29636a57ab6a73e97dae8f540a8c5c0
-b071af7465a4a873ed9b69a48b34c309e998c73af71100cae63849a911e269e4
-b0abd4c6514b2a453c5b4750100f3fe486db7bd1dcb8ec350e59496f37efaca5
-b18ccc248dd8703d36e1c111610c63356567fa1fb932df3626d8797657f0e384
-b19044eab3970caac7ff62a3fd59a2de2a0dec25f9c6bc2d8553315612311f3f
-b1cb82353756d20c8c8ba4af6b1ac1df3ff980bd59b96370b8c64d1c3f379b20
-b1e8c5a864dc1e654fb8e38f6179d2cdc35fe4321bc2c5d9ae143f6b9d448896
-b2b3cfec1132c8d29710897f6b24a99019cd320ecadc8b078b33e9922c7aec0d
-b427b995c66ebb6ed3ec5392c134aaba204716c5673ecc3a62b10f6e34bd3a2d
-b555082d1fc53d336281671a7b1ce5ac723f565627ae1b704948e484a2797d99
-b62ab45a4093ee930e345381c0a000b96d8c25faceb391ae10e7ea390a5126dd
-b8025fb28321f2946826666f3392077f62a46935ab706e9fdb6a13fed9e82d66
-b8a25bb73f971b0f713e55428ca47fac7f25054e6c9bd95316d92c085c1297c7
-b921b1588d4e2717c587e71735ff4d23045ace1d7923af35d07073baa212a12a
-b934befd6450174e14d031a2735382023486bad20ee3ed79b94ad9cfb00c614d
 b9843e40d4accd0616d01f52f495d06e17368e7ac16e5564aed546e43415d080
-b9aa0082f8b346d7c39ccbf266c489ba0796555ac4df2b8d6539bc977deab746
-b9be340040a82ad0a3c5e69c19470fd9064e59e0e43e0ea8f7dfc0850a0b015d
-ba570819879d8c0ce1103dbcda5b15e18246eb446797a0b3b33f6ae9fb483e2f
 bad93ce38840261d44664fb0c23ad0451c14b7b49f3108ac5d196b7d6fac8a10
-bb153f792c7dd7414356b62644a708c192a713079748ef8b474813daf915dc4a
-bbbe01730a13f81ac01de3e43c61ea74b2a403e8a4be3570e384c79a79b3a16b
-bc2ef6103db0a731d3c5e5671f6cb60c011eb5b8571db553b219f5eeecfcb14e
-bc85dc893e2204e5574bcfe4af07635e9c7034be6976c642df1d1e9384ae3395
-be6d4e485f094cbb5e6049ef27818cd5ae381f946f38cd6b7d7d1e927d76e0aa
-c32246e949d8e08b8158b0552bb9db6a8dd720306204d00100eefe6bd740b3ba
-c42a7cdd84963d6025935869ab0c6b7407477cc80c25997f9a9b8061245b1d7d
-c4c82547f408a995213a549ef715ba2dea76dd497ba3a58f39522e49ebf09956
-c699fdbe12dd3090a16e5d1bc29d7830911508b9e643d2fd10e187e3644d19b7
-c6c549b4fa72bbc692f4f52dfc9369f5ed56a5812bb55a54583d06c9636c15fd
-c700f785af5e63975eb32b9d2b4c80121f3f09adedb60ac793015206e49cf399
-c7e465a343f253c124809074cd0fff40f361972be20b121a7e8ecea51742c6db
-c89f1a559a68e12c59909f473c812e914d854a519e9fd19ace1ea9bbb74c6438
-c914b7929e4afc2cdfe03324acc6b214bf4b0fcfffb61247459f0ee00cef7ca0
-ca47ff292b12f4c63bb9185c8ec4fc4329c0b3429467696deef82ca8dd589564
-cab2280a6b5c0cc05e87342cefc2c748d1074619b0c9e70f9c95a086e654c7a7
-cb425338f96d45a90b813c8e0e232164309c016baa288423badc0396a797b03d
-cc0c58b2e28f7c285a86c815daefff431fca7d7ccfd3cb6ce587f139e88b8f65
-cc3d78068241c1575f31da52f1596266ea7c4814942847614f21d263d77cb6df
-cc6219d8b0cf10e7f4e0a190568e2224528ebff484a01e2d4fea8b0320744a3f
-cca4d4ade8eff02ff8201b3e45378e23b622e7f4dd5b0acf19e7d96cdb5afd97
-ccb178639b3b160109939ade763e3d9bc793075e18ac331bde47e8b275a1ce94
-cdfebd1dc8b3d6d899f63f72d65bab221fe990b88f528c3453e096f3fade2c64
 ce1687e4173ca953a64439bbec062fac9d3f5ff90129e3a7405f6f345e1048cd
-cfcedcbd041f10a3d80a733d85ff2821c399390365bc6c41be8fb6e2af7d5fd2
 d122717463c92ec73b4f029063157b12ecfed86bcab80b9ac86ca62fc1370778
-d23959bd05aaf077ffa70d8ac0c88eedf5008acc911a680cfc5ad25463237ce6
-d5b5ce601bd6a551d46ff6ca8bd5dddfa51939899ea7d5a0ab4a6cf37956758a
-d5da1aa0e8c938a0b613ba209ff9dbf7d481de8d9160b5f5560ac820d5c3495c
-d6611e67e8d2ac5f8d12bcc0efa59f6982c154564e3fccb10111890d8ad8ca98
-d6ebb0680a2a7ebb83dbc15de1d87a6a158a72a990e823e6db6948585f9b67d1
-d713647ca75652561dfd48a3c34529dc08d708f0ce85ed2e0942e571b5a959e8
-d716e99b12efa3194a2057cbc6a509dcf3d6277f8e8a9d1763fdab134e8d1b8d
-d718b8c845eca7c338b6dd2cb6f5a9215dc72dfdb31583047196e9ae8012ccd8
-d7a76439a934992870a8a113a1d0dd5e99f2b945df652653a9ed2ef68eeaa0a9
-d7de8e22e80337803ee39abdb6489e6ca3f1e6d1d8e51e70f63ea7501988cf0c
-d86a80202f0d03f8961bc98afd7873fffb7d40ac6aaea88bb13a038e8844b7cf
-d8cc6f8f7c9f13b947fe5b040552ecdea59f8d613e027f257a63abfdfae68ee7
-d93a0f8b3ff98a2ac41094bebb9a72ebc2937117463e24a849e951c5a175a974
-d989f737496fa2a1296ebfc8d0192471eb4a182cc08213bd828bffdcb93ebb2e
-da4e800c0885f198aca95dbb0b118fc10e8f5e714e257c835dfdadc26e60ce1a
-da5db837a49ce159908bdd041bb4796cd65fa12fe1e76016a2c9194b49709601
-db09a5d72ba090dea7b7959acd7b7b16eae001889859d6948e11f6d28de0e4af
 db6f09831916c5579e026e27258750ad20217e2fdecb30d0d8730f2444777abf
-dbb3dcca1c8f0b2d6c5ce2e78a52376bc1e9815d4e45619dfad03b9700476320
-dbe5b47af2e730b1b940b2cf3db0ccdd22dbfc3894a8c9650df2f68cb1a8bee3
-dd248292b23e6d3a994d77b8b975600eef1ef290352e6332ddf7414bf465372b
-dd3cf2398855d60070f9843f8a670d19c973b384f270d4b6aa52ae01c57cb009
-de2bde877f59a4b1784afafe57959bf5bf24f16541b07a3d644e77013251bcb0
-de5e063208f3f3029531b75ea05b05b744938e32b404a1bc961073442343833f
-de69c91b4f0b8f1095ee2fedcf1f11ba1e58961e427bc692eba65ccbd357c774
-df796efa5410e88e834cefb1c4f04f69d37d547ec0d4828e6f08bc2462218ede
-df9baa8c01d1244bdf482b5b6da130dab33cb776c105668a28d50e58b3bb3308
-dffc12938310528aa750605a21d30b92a3af4ab0ce6a23870dd2ead7077d21e2
 e078a7e8620cd0cf62ca224a8d44746755f79bde8c966eaee25db83b042c9a4c
-e19a63debbbaade8df0495d4ca8fe0854d933e19195eaf67dd903499e17bba0c
-e28203ccde885dfa3dda058824210ef71848ea153b881887c0c248619d981b5a
-e33ab77cb017516fec768df1577a03fb3677c6dba915ceb2da1e66db6c825f7e
-e3527bf1540eeb769a4f3fe13ff0fa4769f5374ec6e8bdc5c191d9fc2ba071b4
-e3b134fe771fe4d96af01ae84ad63092f825ae555f6f4318fc0eb366cbd54602
-e723efcd765f110218d6dadd624a8ff22b090cd27c0c9b1bc36a3709d6ecc56d
-e7439230a35a8527ca3693035e5d4a578f4683317eeb7098d895894ef2d2526d
-e754113fe5890b270666aa9435745d83a5cf657cdbd50cddfcf20ee0a95bec07
-e7d88e764ee99e202e6a3f4b575c8cba814ebda8f1f48455a522dc8917aea16c
-e84b3b5a66ea0f78a5231b7ef6c5f631d4761c830fc521d61026162e17020f0c
-e9ab6838cf874c6f00e540be095425f0b507df890f20af9032e0158ac739421c
-ed2fc90337fc8d296bdedd0e6f4723805caba2937109ac84568c45e269161d41
 eda7501709d9bbb7545c3457b23433efc97abfe963735675c38e624b70733530
-edb63d5a14cd5d80f6aafadc36a269b8787db56919abf146a186b9cd795e8725
-eded79599a1e1e73db3f25ff03ce8c9f449e99ba9be22789be26aec26513840e
-ee0b6c01a5ec25d115de857aa886aa31268a2ee5b6823fb6bb18aa9a83670b2c
-ee6373032eac8cfce29c3e4300d559e1c78252ab5174ed2fc27805e796ccf149
-eeb6ab7d68146c9910d67551f13b5247016dd4290bfed018a85189e28bc7ff60
-ef136c3bf742c838973a4a1faa37c3be43577a46fb930ec5387098708cb39a1f
-efe66e58a9d804af5094cd655d687151c3dbae0edd59eb2400a8268c5973c459
-f33ce933bbd82de485e4530f6dc7c0d747b643e1061bfb490b89acc417f1aa6d
-f4ce01060e31ab20516410370a38112d2d2188199edd2421ee4d851b767ac164
-f4fe096a1b73add58c9f500e0bd751fdc11760c5344c3855b18897b6202aaeee
-f6346ba23ece911cdf55a898136b9a7daa4c66439bf16c71fa2d3998b3a49e71
-f69e311d4201614da45821260568ed7ed758030af550ee3c26bcaab2342d785d
-f6e8cf7cf516767165054d73e53b1dec649183c15f2cb34c41316dd39d08dd98
-f96be219c4543b61c922c91668ef224f056a469aec5300addda7358baf5f107a
-fad79b7983f6734f4dc1787007ebe7c5c0e0892a21a0031cf651a4d2523eb70a
-fc707e3050eaf5fd31cb15df3431f756b72846da1e699ca492159baecca4a8ae
 fc8a37355e09c667e073ea57851209866258a9b109fcc4955a26414deb2f34d3
 fd90ab14634bddf04e61ca043b724446fe597d1ba0b4a8f0e3f4e2fc84522693
-fddab4ae77a4081db0838e7df9d93edd51f07e565661c7910b43c630835d85d9
-fe8bac8206cc71b06fdcb5204cb3a2c755d10857ef4676c78dcfa31a87f7a098
 ff70e77ff7419e7e0bdabf1b1173d9bcd37fcc97783d0f79bda24c836e9d2ca0
-ffbf87f03f84110bb1895d299054a75112134633b36e3516a42f2d49fa768125
 """.split(),
     "GFDL-1.3": """
-000c3a9682b9e2b27447ae74cb2c6a066b50b3874762db8f28c43fc7a31b8477
-0173cd592dae61ade789b75b4573318e750167442c857e3d31dd838e2747d6c5
-060d8b97d79862326e4e611062b2b0861879291cb5d05c1cb39a6e0173840878
-090fda9a0e8c58a0b9eec2427d9f596ac2776961d83715f5d6d4595c631c4b70
-09df5e92ac7298887e36dfe65f490a204890520c5222da94c9fbc8a117ef1dbe
 0cb0736777286efc71748df95c0748e42cbf34246d31f42e488fded6114061ce
-0ceebbb7b6e73e86638816e6996de1984798f9b56e7db2ee39d211853d9bfe72
-0d7f318dc78807efde46c4b09fcbec426f2466e5c74a21054a07c67b2ce3ccf2
-0dcf8b5c0e2a66b3c8221cccd1ea3c422fb530a13105048fdfeb28f092312dba
-0e578e9388c579e7c95f1bdc5ead29bff91765cfae419229e41d77fddd3795b7
-128f56332ba64c91496951618a1995be59adaf9eff74f98c935afb2826ff5da5
-13a4c6a91284db7baf4fc5b4ec5de6e62fde5e3173aee2c316629f0eec429dc6
-184e7da48af8e996ec2137b3d4b7574a74c9a03033e4c638b9de491fbbc91577
-2033cef72f7b07fc0e8404aa6996b3d2db9a312a7f088e8dd670fbf736778caa
-22083e7a2c5282b95946b08951796d0416cc73b83e0d429093efd1077b796756
-23e0e68504584f62ef56b289f05c6b1e658cd6d8902976fda916990548097ea1
-244dbcbffdbb7d918a04ebf9e554f15b778ab366ea27073730624bc2159b6f96
-2966448c781330f95e08772fe12cdcb6129d2dcf346c11bc42103831becb4f8e
-2b3eeb64bbd27808d42a0dfa42e003351c0ca4609c99f03116dfb2a75fc3161e
-2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3
 2d328b8240a295bbc2d9b77bef84c19ca01d38c19c33d474a6c9482cbb6b9515
 2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d
-2d8bfa0fd6dc81e384f5fd74ddf053407718ffb3dd91b833d5fa734bad22efdc
-2db6926763d701506a32a1d8d5c988f1ae17560c9c7ca1dcafaf9ccc7e5c5a70
-329e889b3281323557bb4db8b111ec778538a7d7cd4bb6ccaff7ed73f7c17eb8
-33841bb403f064099df627a5e8f0d764f2031379bfa71b1d5b8b13c4764340c4
-344ca201434f111a133b7d631b7502ce5912e46f1525fba63150ee98424a0c92
-3463b59bc8063d6a8a9a85ad2d36ba21952964209b00978d8214d5cd077d47aa
-347771ba49c9819ad8783afe6fe719650def8158727465b470769fc0e59abe1e
-3a57022028f75eaa571d135abb751b545baf2150b967d8e9a5a43fba61e1807a
-3d75d41aaf43cecf6d5c1c955aa347cd2a38e2736693c3bc7bf6e1cdd3c9389b
-464a286533b94a822136ccaedfcd13557013b21db04c8a8cbf6e543264ea2b50
-47406ffe9aef5a12b8ff81b0ac4ab441303d821586b1623d75a5e77aef0efadc
-49adffdec060f209c6edf3655e81c3371f9fb4ddf31a5112a629422ff546eeb1
-4da114ef407f643aa6a8a3ea2a42d2d32726fc21bc4e584602d24abad3331ab9
-4e0644165ea8c5a46e8830b4912046f449e35d16b7ddaf0e4a97d2cba37adbcf
-4f3ccaf43ad1b0e9bcc779fdeb966d19f654f5120f9d3c64d911121e3e3cd219
-51630143d6f7f1bf48589b7513e0d358cdaa588af77a5b8e6797ff67ec5ab1da
-51c809b8a7c8f12c330f96fe0c042d2ecf4a97f2e9a2dc15fedc75c0b56cd50c
-526e2b922a97962dcc4cbf0d39c106d78a4c75f79c243031c9c0771c2ffc8bc5
-5470e918bf951a1e16f43866a41cbcff48ce20d3b73d2b6c99f0f6f936e2a96a
-57f26b6108e17d8bdf5e0f60c9d8933c6c2a148a3cf746dd173bf81a1bc8b9ca
-5a4c20dddad506876cdb199869aab99448b910d94b2172bb0db39d23c1cb887f
-5a910d27010a0fa19e6b99c1573f98f144efbb13cfafcade8bcf5e3cec08e95b
-5ed897f6af91ceb55f9bb3b0e0150bc697e5e871a82d0ae985f78ab7db4535a7
-5f733160fbb42697c8729cf2fd57f7d0a28ac5b494a454a081487c4fe95df1ed
-645e9f0f233034d853d60ecce48c3565ef86aea203ceaef64ed43c6115e96aae
 68444f62da25a6bdc866882b55ca255b5530bdee9f7e383e08af2b77054e7f8f
-6914d301bea831f8e8e10705192b78220750d7acd629dbbdeaeaab2927dc0836
-6ad2dced96d4868470120c490e24f5a25c4a376026fb5cad1fd43c69c5a3ff29
-6ba3499b1eda7fa3350b6f74fb96f0a79393afb00b693337d5e0b5fe74c75550
-6c07fac394267bec65c0a5e44735f8359acad3148ade04f9c2b4904f8587f094
-6f47a0d40128a9e50acee1a30a4f46e1fae1e3b78a2442cae2739c3bf799bad6
-70aefefb827f0331255eb511f896e67ad54bab1cc185a3ba20b4624a2d892031
-71833d2593fd3f87f0f386d221207c46754ce1a87c34f813ede476e034c778c3
-718ad6adeda02da387a652aed1c7bc13d54ff4a2aaa4f611860333da34a644c0
-79e11e80fb2da5bf6e78e722c4cecfd288fa94c3056673376767a46aa128554b
-7e8b59b815ea15ebbea8ecf4a8ca27610b55309fec8a7bec2b66587d4ce4b2b3
 7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7
-829a71bfc71f57d6988c91efdade567a865237f4d06723b0efa07c8f44347fa6
-88dc53fb9f4c1c9aa5711ef57063fa28fc260d0243714a0c4f0bbf466baf577f
-893fef29beea378d96a50c06cca8d08a6f78283f48cadf260b92f31faa5ae9c9
-8a49c2e96ca8a18921211be57f22cc8e3909c8857b7d1865af876d55db4c1b17
-8b8e7643245a6f3112e1b049fad6aac3c172e90ad62b7e9e686992ecff49bbd8
 911b9e1b02471fa9b19ec482d019380acd7e0fef00ffbd4395e8813b06533fe7
-924c9f226b5ce78846c9680acd529228eb8e86aae52cf7d2b763ea8f6162bdb4
-9320df6609460524413dd7a89359af33640ad1d930a6294d12ad10ae10eb1850
-93479de541f8769f4731477ad9f3f1d11cf1e3f4691b763cf6ae4fbb8a134bde
-954b2a0b0760feb131f5722611dda05654312c06abac4fc062a295bce1238875
-9932fd3731e3cb1be6fa34ad946457500c7ac4a11ea0f5f7d657ebbb2727045c
-9a1c840088f11bc4ed1d905a70bbae3a498ebd6f6ab3a69a11cf58bab71ace01
-9b86d57474154b08903bec119123997d1c4f710b12f4c73008fde9f0c995aee8
-9cb47b6f8ad679fdc0b7a0e8ad1b0ccc055e9ba73538cbe6cdf1521414bc0bee
-9f98ec557476dfdf4e6117e84c808214366b6a1a3911030b291c82a5ca68ea29
-a4270a8520c20b17d1551ce942b5f0d888e6be262b472743cccd5a4271b51b02
-a4a4021a640dcc29f56984425d40d9f8a0a502b0aa58b01ba33ebc43f00c9117
-a4d53a466bf52acc191b9b5261c7d7b6287dabf6d7973873b10d1d5d3aff85b8
-a5907da11035aeae75fce535cbb91d6950745d90b55a4275ac1ab4991a583700
-a5af36b135508983e678da370aae5edfbc398d885b2c24191020da97a0a11fa2
-a96743a682d654cf604a08035c6a0224c2a7a2e4280b67aa2c1aa9ef87530f06
-aa4b8f5a953a1b80174f9bea35b211437909657e0776ea8e93a8b59ac17d9f6d
-ad5e2471ef5ac29c37f8d1d30271140fcec938583a042b24df674e32f7184bee
-ada0dacad01d69f5b4f9e39d80bd71e8a13b33cc56fd318b0c4e789f8c700830
-adb238535a9c7e671e283cecec9a06532d64e037c31945205736b678092ab294
-afe39d9be41757ba52d19541aa4abbe9864e8b5de16ddb00fab57221c77716aa
-b302c6c19b86307fa36fa668b342490c8d375d70477eba7620a8f4cf65429b16
-ba4abace36a3428ed08f0812b5f651d8c97f7b52e10540bb1804701057be6279
-bbccb10a023137c3e9500b4512e4a1cf3b16190a92d8e762edc7b05354005cc5
 be68d33be24e4896ba28149c4f384a1bb29f6220b748d8ae6a580d56b0f62445
-bee4a8c34015878703b997b5e64c5b828760939462a245d01607a71a0eeff924
-c24acee120293466e78a8a799315bd79a9566291829539d1071a2262faae6fe0
-c2fecf4e08e0fd50bd11a1c083fdcc66ca132d8cb8f09651b37cd75f59d801a0
-c324b269a5e3a08a9b6ab659238b7db1d8f578698506e28f9282b000ab10abf7
-c6c7a86bb6197a767364f33d0ef231d2dd49fc16787589a21fdca814ee6b4886
-c72e3c3e2398309ac31ae69a45144ae4091156e80d8ff057936f8018be592c90
-ca5a1037c9753ac7f6b426815da6cd9b1eee69db1eebf4b6e5c6c30c9c8df888
-ceac586883a7880059cbbd924b97df5637353834a6940a34da932d323a50d636
-d0188fd429a9cc227fd2c5e2549bd7a3b478c98418ffce713858659d422f10cb
-d141420d9e77b1faf9275bee2a503072e795891c938f84c12c38188b778c3fa6
-d187d97d2de964227aca0e7d727896cddad5327b13018597e15bd6871620e4bd
-d2e1e0114ad96145a46c1890a78233cf891561ecd372c4d4d328b4a72cc89980
-d8b5d775bb51bd597bdcbce29c5f08402f0ae1b9a2c77838143e176db6bd3e9c
-d8d2ca85872d18fd73729f8dbdaa1bc2333dfabeba2e17de353bcd85350ef7ff
-daa9c9163cee5d98784399e1353421bd5fc37436d00ec846b2dc6c61a5255ce5
-db055d3d7cd6b327edec1a58eecb8c8831b629f747af450568f1a60363b4edcb
-db94dfcfbde49e47c759d606b8d007f23ee6b7ee858ec6f3455aff75e2259869
-dd24bbc9dff468227dea647ff36b30e1a5e79bee9f3fc1d60bddc6555f7f76c7
-ddb3fa7718df91a78d531e30ab38e42b634bd11e455221f7b6d53533135d49ae
-e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480
-e7322c5f7a3dbbb858ce26cb026a539c4e2182dc2a2f58a6ca3968e3b044f9f3
-e90aa2bcf434daaaa6f8d45ed70849a88e5b23b37941a08ca153d7c6b28125d0
-ea9f628833eaf64fc45a59336492dc6d95b667b26e7b44e814ad5a7f56a5376c
-ed01cda67bda9ee3467594976535c721669a7af44f34ae03ca5e8c04d93cd371
-ed22b43c261125b4711427f75955cb116d875b95d8669bd97cb1f5c7f5d1d4ce
-f1922bb00cb565fd0ece6755d458702be6db21725333be3062c5aa0e4517589d
-f3c3cd3955bfa4f848e965d28a17d1521a96261614477600863a22dd62e52f08
-fb51519c7f830a221b3b36614f38ad221bccc97cab18a4135d5dc989891cfdad
 fc6fcfc8a09b787d46f5061823461cd688e3982c62447eb912f448250a3f1238
-feafd1cf50e0fe7a4e05acb4ef29488f75574dce62cb96d8676420e033b9086a
-ff301a0fae41f183755a335b035e0f896e0223936f81673aab11e1e2a3d35794
 """.split(),
     "GPL-1.0": """
-013111d504c037bf3155322b6d3f877f5686cf3e66b7ba45c51469e2cf288011
-0186b14db3edd5007384dd568a7abe447d594e568fa854b3e75290dbd4d57dfc
-02b44edf9ee5a3357e57470188f9f7edee03072785a2ea5ae9dad505a1c597bf
-05aac2adde156dc738fba53bb5cd048e3611a92a8318c96ec2551b4819ecfdbe
-0a96ca21625823df7296c970509785502a2eed698d57dad36e943f45fda9c4f6
-1039b4740842ca25b6c591d9f9b954d3541fd7926d1bc91970c0b167e541449c
-17aeb0021578cccc978d6c2f3b2b471a8815125729ed2cbefb00335cf84704a2
-1947030a7a83aea8607aecb6b37657da3a85c213e433e18d28b16fa287283d3e
-1d422cde5b8f7fa04542efd1c4722da150eedac5fc9103226f3d8633d2366432
-1d6ee55780e2c6fded2c8a172c067847fb60ea1c605da6de9dd7adda8aaf1e54
-232a0f6471d6b7b1db9115593925c84aaea7c49943ca01bd5e5d3cf9bc72348e
 2360a1b8fc5b5a8b1db5f560a193fbbc23ee8a553de375a1c8fcc5805d683848
-2a9e9c574ab461a0a4d9592dad4c1fc633b6761be4ccdf75c2c932c40df3254c
-33dbd13ef08ef3a8a8ad23a14bc9348aeb01fc0cec9d72458154278770934e38
-34a18497fc7c2ab3fa2032141d755961337ba4b8e888b38ac1f1c9dd23a20cba
-3aa63207d5c1dd6418215275ffe1da7f6d7f3a509198b2f953835876a4838199
 40bfd04fbf3c8d830020922312ae96bc87a830c99d039072b3b0a2381e90dd3a
-41c4ef0a79b0e76c2396f1a86dec15a1829b7e2863969446c517dc0662bc7b4d
-49c591635f0859124b268f0d83f830d3230779fa7d613a1dd0d21fa6fef9aef2
 4a0d740eb4453dafe0e6d04e2d2e4f04c7c85bc1fbef96bc056ea93e7c1c36bc
-4b319b7d4bcf7e5bfed0f40c936d8737e000179c98c49f227ad9a6557eb83454
 534c6ebf14c4c67a730174ff845b6dd8d84e88d8cb58a6d856feb8491b78ae8e
-57bdaffa744deb910b6811827d883af52793487d38bd9478e28181efd11a272f
-5b268167ca98c47111d9e44f2b3df62619e1703b6bf565f4addb2db43e85005a
 5d04efd5064c00f9bae91b82b68bd4bd9845620d93009bf36072f27633c676b2
 5fcc149debc187a5439faada41342d88a9040d1fed00ca78f543889aa201bb79
-60a236f788ceea47f950548702fb25b3de71b9819875bcf120376bdb475f7ce1
 6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc
-63ecd979b3b89698ad87e4009dbe612557e848f0b6be79deb00a76d7af1378c1
 654ccf2c4d22828f80b08e57df67bf8a8dd1693331cff835e06f8042124c3370
-71ea9c5945bfb72edb420866db61dd2f7cd7ccd2d14687ed71d4b7a1031b7b74
-726711cf98b819ccb6c9f1c301ba37e51d296012aeb258bfc2ac98d210f1a4b1
-73317197bf60cf8f1ecb5fd9b03ef77c0e4f75f840e1f8c3ae7d4498607aed51
 733356cadf8ca8b0ac2db2d593fb7c1a2b0528c7e891f8a911fdaeb64719fff5
-7a8222c81ab9ce280489437623acee9ae62309b2da7516e50d6e3075d25c601a
 7ad2d4b030292e9bd75409f5b75517e2c3d3a9a2ba3255d92c4211aee212c58a
 7b86297a2762700b078231c8b488809b0f63cac5e298d74f4270d251bbef230f
-7d1f08bad57970e4f2335db317fc6c4a82f3584ec17affd94f7d06edfb90a99c
 8021668b598cf89806d3e2a446601adc80c2a7f62a47d82342031da7e857e8d0
-805c18be4f75d7950b4bf0963c824650f9fa4f763c08b5d603762a6c3b0c47c6
 81bd9efbfd9b1420ee71c16f433ae083dff4355fc903bc884f978a6d3ff7fc64
 8614c75305372da07d61066dd74c4f35bbd4ed7c93bbda34a8dc96d1fcddc152
-8973a5aade4bc75eaa252f7187fde435bd24171448a8f6a7423979ca4a7bc7d8
-8b79e888eee8ec148c446bd3b6a9445b62592efc26b3decdeff8d6d927080986
-8c7908eab8ada5d8a0e3b6732ecfb07eda2efbc8aeaa6a298cfe1b93bb3a76d8
 8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224
-9e18bb51bec87dfc2d44f118f0f84a9912ca03065a9b607eb11639fb7ec99cf8
-a475b5cb1e045f7825a5b9b7204066c020b17c1c3ab96922f511a002189906cc
 a87d2335c7c408f93c15dd6892a723a61b2645ff1ad65619233239cce6bd570d
 ab14e48cd2a766aa9942b55715172ef4d4f4c4e6b3d0c80607336b312d92619d
 ac9f80a0d38a1e001427acb1e9fa5f9a23aee35e40ee2759901306fd4e382697
-ae88935a5d1675c5abd4af9b2941a0e141cda2e6342c5ce397d5062c2abffb66
-b126a0767b34fcf8c2cd49d89cb47d150768a578f3c0c4f343cc14c54e92e54e
 b1760bf307390061742600594a54c5dd007242ae734df09d72d1086b3b16b1fd
-b533be20452ecb411774e11879c00ff81e38f4ec15e0238e756fee6e428f210a
 b80c75f62f77e4b5c92f32edee9a5be7c924cc651474d90840fecc602674a983
 b8b167b35ef487131786ad1bc3cf81b217124f81f7408c3ccfff21ba946bb0e0
-b90c21fa476b2bf127f24c623c34ef2a2c8b5a60f0db22152a6c2436fa996bb0
-ba970ede78635be2f11d8db60d6716a8e66eb4d1fc1c36dde53e03da3bfaff18
-bccb6f17de098954ba51a3b70d0531b77ce7496007c2e49831744970e00629e7
 be47459d4de292dd05ccf79373129bc9009f77c758ff5cf61b6ac7aaf7a8e885
-c0c762db3ed44d3400f891cd4ad636a72cd2f9e748cb55999da67cc848b4eaaa
-c1ea4a2928c066904744c3ae77993002ca2554f9064cb068bed2ecb22d34d243
-c25fbc9a774a641ddf22c1903239378afedddd1c41e44b0de36b02189daf2dcb
-cc09830df285534178089ac2041234c0bcc9c3f1a2b5e496db82b3018f97aed7
 cdbd45c61854c1e2790a3fbe3e5255711676eeb616f2cd64d0584130cfd4785c
 d8699e6bd21341e8975d442ec5dd3a1ae21c45867386daf3557519f3e68705c2
-efe7ddd0e194efa6bdd0ea3c18dfd18efb3500b523cf344d9b29c2def6e0e8dd
-f1c88a32ec4a190d16fa088222ba15299609202a31289b41b1d5cf379d1da09b
-f2d895154eddc8dd7de5d74d083ef42f52e231423130bbf4dada1a6fc49c3e3f
-f42d481cb8ee3f9087f540fe966bb18156b860cc6709dc42e50463bcc9bf1fef
-f849f932bc5cc9c49be5d2173148244157e15e6e137cadc0a2f64906d47ec9d0
 """.split(),
     "GPL-2.0": """
-00304c02054216fd2155a699350f83309b49743fe570bb925f08367ee9877fef
-01010faadf207ada631bce609cfa3dd17e4ddf2ae8117f6056617893db459c0b
 01fb54bbeecb4129fbe6ad8f9e17f75e0e6746efafca1b4fc03d2a5b9d8059ae
-03de6cfa05e0dc60cbbcb894f7105e086f7f68400381e1fd4dc120c6842894ed
-050376618881d40d1aca21609dda33bf716f5bfdf566136de4118e1d061674a4
-06d488445982c5bef9b2a49ce67219ebb1dea3d6011944f3bda5b88ff0ef2294
 075bcb76902921614c275e6562daee18b3c9f48b9c4c92b8b99ba3df00093abb
-07b8dc2a47ede913f0a6d9bba0abd390fe1321505919659779921f9c4801b2bc
-081f5b4491a678e9799d5e10c262ff2d21b21a01fb86e5160c953c4b4996c9bc
-089d14728ba3a03bb39f9eeeba843cbd4ec7043ead61c2118f598db6b68ad7c4
-08b98b9e9bf0b075bef1beb18c906cb0f881421d2f79c79afb9a805e5ab5172f
-0adf7274488d57b0a2934845fd53c0eeb58dc8151d97ad752224ec605d2f417a
-0bdaf72a99f617d7b81d515b69abb5a3355c666589b11bfd38b5019ea6947f84
-0d87bcce664b19f59e936c8a2b8a9a48e8f01ed334b4df284d5649410de9169d
 0dc0016090bd0e477ccdf0e78d593094b669742ce126c4b7cb035ea6e6443afb
-100750e06189f2e1a1e957ffa1e0ab37f1561bbe4bb036b1e264b17406d4ba0d
 1188bd946c8b086fe6ea384131bc5e4725728e74e0fe1902762c9c87ec4bd36a
-119dcb3afba35ee15d0c0dfece2ba31a377485d6882d156661685ab91379b39d
-128e7fd0f942c732b2fd994911fd97f1177d7e3a08529d715475eaa5674eea0a
-14d70275d935126e893da158667e6cca1a2db7b2cb1e3439a9551cb0879a3762
-14e753410a3ff99f729cff60f88d75f00c32b3e1986c002ef6aaad33b4ad3b03
-16bedd6efcd299c3fe95267aa6ebc6b0e2b60b49c8f543f33bf39af2e3034ad8
-1755344e8bfe46bf6486090f186e0a5a5c7e2e7eb166bb7d96b4223b486f4f5d
-1899f29787585372c3c9bdb8ab66bc36002b1b7713c5ec3bff68725716f6625c
 1984fcc2ea465ff2dfc19786e9f3b804a814faaf19c82c0857a3190a446523ce
 1b00cde680972af3a964062abf5cbc344daf981b9bcff219272d872c2019d5b3
-1ba562dea7c40fe871e66c7d76ba5fa9f08e63067e4dccd66c021d77b4891f55
-1c3efa2ffe6142f8d9f1b7951929a03516cc75ea6086571922ad82a1410c6e64
-1fd0f0e11cedcafb08f06578897679053c8aaf387822a28bfa2bb300786ca59d
-204e948a8cfa361675e01d4bbda1c6a4184f1d04e32ef6606c64bc0356145dcd
-207fed057ba7f57947be806ceff399914013ece01adcd018a3f9a6b42faa63ba
-21a2866f7dd2c5a5619f2afb944cb3dadaedea638448363d44f03a68ecb39707
-21ec298ab22f77861e154847f24f6047994af5d027493f220a1cbdd61478e872
-23bde2fa4abe0658627041c7879a735b92d31131060b29aac58bf1504fb23877
-240252bce5def5589436dbf9b1eb3d3d4c9343d7a03e71693ccd4bcf1a12c00b
-2431e1209911d6616c9410026efa0dfc9019fa13c46855a884fe4d575f86930c
-248a4ed9241bb979d08b36bd2928a4c8d2b545f4d143abdadcf6eacb304d5c50
-25627449d33fbf0884598d51959715a22ffc4dfb1f8d2456afb45d8e5a146ddf
-25cb1ba72e4deea8671edc0d29dbc5ab5b91dbb5f7a91eb4d5bbb6160b5f9677
-2716a2a1fdd638cc571b25734ec81348cd49b8d211d00bad98fe885045badb72
-272bb1699e8b17a50c5281748a050de545d07e500c4babf03945ce11f37fd3ca
-2848200695dd3b96bc7da0cb435f91d7a06aa0bce0fc239ece66c3a75f6f8bf6
-286169313013ee47764be98179c65f2a248e0b8099a6672962ea0a1df67aa581
-2abb3c11c339a99bbb01bfa85be1f554c2fa829f579023c05086baf93fcd8bc7
-2efc1c2b8206be6da1272d460fc3b4045c8783bc65b09473b213d2400409a4d5
-31578f13c89b00cbf8f24d86e1ed1ed3e71b65957ea7deea889cc88b0eb50c9d
 31e3a62a681ff21a505853d6386634ecebd8c7c24dd9cc22fcf962977b5548b5
-367b9b5d211cca987491efc0cb6c78f470f793df6dd36977627d184c80e4133b
-368dc9104f7b0ef20a1d4f279669698d041f04b734df1922efaa89edb6fbcf5e
-376e485f8f440601c542848ff23690b6cb1006b9072200b1bb575f8e52d2140c
-38792936a85e0eecf6ba1eaca7835e57040a849d2d267c27375d2f03ed84f698
-3aaa8af31ae74353a2e50edf632262d5caea0914c799be0dbd10e6ba338bba18
-3dc64e03c000b84cdbee6ea87373c980f60972b578c2e0bdbcba474e38b898c9
-420686c22eb09794b6f52e323769790a8c191854b0bf666881930278469d4922
-4593feff888933c7e1925c3ff1d0bd597a178318d5fdb4bae6cf197e004951b6
-464802421f64446b48268e70271ea0aa463b692b3e97f735c50292baeaa1200a
-46a932a483c769dcf4c74653c58279dd2422945e37409971f14eb587aeeca322
-46dfc25f1715fa36412f255bcdc49078f9cd55cdb79b8a26fc5f643b9b039593
 4767c85efb312bbe244abef9b752be38b44e810f05ed9bfae182caf068d13fd3
-486dd1ad184802f5f33eb647392c50b36bcbb71239b26bc9ad26c792a67ff706
-49c931e89a83aa443b8e6f65e2d5d535252b4fbac3ea3276c7db57d50e232a8d
-4afaf1c9aa50674e6dd6b368ecb6fc3571e2d2b1fcf73a52a63a12d266cec91b
-4b5119edc8c78db90d0d4a1381a8b4a6f5a13e5911d8eefc60ff8ae420845a7b
-4cd5292e212d0bc6f34fd4b2ed868a1ddfc5b1a6b37028cfdf7b243b84045528
-4d54fa41a492ba3510cbe4e58c999feb9fc5479eb976d19b15d20cf3a5f4b50d
-4e27045021adff960b02e3e4bcfdec5d3cce8f9864262636ee4c10df7e927c8b
-4e72277e0220c8c02681f3c9c2173cb365a83b87fc7ac3f5625f5a5f00eb368f
-4f7bc2e916644a3c55ab22bb7faf7917bb2716a346500e91cb8f02209c7c53cf
-51784fcce02e3d6a52a2ec0260f583b9d573810cf33e46bd16fd6a821b36760b
-54c247fe6408c7879f909e46573e8c147a1bcdd5abc301ad38d47799540dd2a8
-55aadc9c1f6ee1e07c070c45df55967f6a79672ceafc21f69b81f6410849725b
-57d00a63859c8ccd769a6206c912194f9e8202a71bdaa3ada8476bf92e558412
-57dc4f4634a5e73e6890dba96d06e4875358a8b255f4fb002066fbd3fa21dc68
 58f387b55eb95a9c5a6ef16e9064e1bfa9420a69181c677ee6eddf6ed1397cfd
-59b1bcaf92319a33208008d1b0f7208195c4f4db53f8f92f2733fdc61a821c87
-5b5cfee5e6aec13ba4e0c89a43bf9fc68585c0663b868aa2402bd7038c2c0b34
-5d02347b29a5e392b7173a627fb9641f4c2efefc3a1732ffd59b3db1ae645559
-5dc1f7c1bef058542734b58594d8280fa41937f83db5b63acfc1a29dcb05ddd8
-5e2f513f63674aa53ed340edd3a27eccd1802cbeefdb1a0b9e4e0842ec9ab3f5
-5e824d1984429978bc1259ffc411a700f4b73bda8f3b290cb1478948278b8784
-5f2d10a6b772f6263daa528d577b9530548e9cf08a6de70f927f34ae8f6c0d52
 5f3bcd48294d593b7647e36010d614bf45bfe3e5950aa6673782a092bbacc1af
-6155e32c6937ee6c6459811049358d5a248e68e51b84f0bc51c1a171eb3d7b97
-616b628d4de2757c1c0090d54aea5bd68cd781dbb6444b5642dc6432e9feda5a
-62859da7e117b6338b4f670a94d570786dbb72f87582c306570d3663de32d9c4
-6401a579a85d6bd66a202c5cbf16be5ff20a9491b928dcec3bdc0794039d3e88
-64722ebf91f0e000eec7b84fd6b828884f3680ba1a1fac22be5eb2406803afcb
-6525fdb3cd98c9210b50315eaef63ac719c3bfefdb9f54248a842ed9304661a3
-661c0ff350b2c95f32b3e6781f618ee39660e019a82a247b8c02c64a9568d75d
-666c3b8cf979f6dcc09165e1f7397210d53a14737f77e061b3a59b251e34679f
-675174f7038968e1e13e6058c1f27f41982e48031b38dbdf99ee7fac0d4336cc
-675e0a25dc0cad2f1982ece58986ff135a3ab609943b1ed118281af9e91ab1f4
-689538cb81c4a34bc36b5bd3aa6e8f89478ce54708a830ef03d51c003816263b
-6b659e3251957f48465e59e3209484c9de12040b7427ad8e81f6fe9d01a1766b
-6c6e0551a087e205d2bca9270cb19b9ba293ba800045d099edad250f55a21eca
-6c7fd457a6c4b4ec868c22f4b566c751635e984ac8f022997fa851950411f167
-6d7adeed8e2b83a683092f705b0604df46be69c3c37ef0749b733621fb9531d0
-6fc8c2cec4c8817d419800b6f264574e600599d18335eada3fec017355d6823a
 71f3bc98cacf711b6e2ff997b37641e59cc5bf623e7c0f0e8343aed2626f4ec9
-7249c92b1859564e674ed027c3b38ac925b446b4f4dce8e85bb9e4ebfecdedc9
 724c8299687866f11de217ce9f08e16805bc84b71e66d8c4ea1307d371e33a4f
-73380f34ad6593770fd6618728ff824da15dfcc5fc805ccf98f319172f65b268
-7346188b53f61ae9d1d16579f2910dc8829e972f5a7730acc85ae0db4be1eb2d
-735f6cd7e6583f5dcb32dca384a3f984f1d6adfca1f363a14ff7f2cb99cd1952
-73d1f69a03c7e49d3bc446b9ed980dc841c6d116aa004e52d0d3dc3d769f7505
-75cc102ad8b79424fe169368c3d2b15db6946e385ead734c9772b86c890c5673
-76ba9116b5fdea7266e60ba0b6fff4a5670b334f071a2b2abbecb4a841c2456d
-78ad6cb4ffec2339e6a8148b9e96146b4c307451f13f35fc22b5f4defb7afd3e
-79edf3a37d351114e6364361f563ae34b2fa4e528629705ffc1e874e039c6b1f
-7d0fe3c8d4df5b3010f5a861ecc4df377f87f3f44576ba874e39f9ff666fac3e
-7e7fa84e372ae7c198f743ebaee9b342625a6be570a84a7b5714b973239e7bd5
-8054f30873ea8b3c6ba032a5905ce8fb59d558e9b74252cbf8748ba60695181a
-80c2ca3dcc3eda3c900422e83639b4f8d6941a971486efdb0ca594d5fbf0d819
-8291aa5291f00b56d04710991a318e5e3ddf5058b491979c7bf146796a93e640
-838bebbdbbc8706343a9440a7a886beaa60b582a30ec8dd9d032064fa01853b7
-851b82c6d0c99d46107f160b37ddb1812fe25854eaaca8eefdda57f3fe405383
 8630277a8949dcf93f5a3e8c0ecdbb7e4a7f92462abe31e00801a63ecba62e23
-86e01810712a9cdb8066745a98e0843477f63d1f58cefaab19268c1738bf5093
-8716b8cea3759cfdffd262811b0b2ad372b49d7ae64176ad0d227ea3341ab17b
 8761fe7162dba1fddadb2c2adff14c1d63d51bf3a946123eaf1e63cd1396e391
-88368fb8260021f97e558acc0b66dbf25f535c0e8b7e559853a49db7b72bfdb5
-8ca086300aa47ad8dbf5deb7c85a9c8180e0afe6f163062431246ba1e6a1b432
-8cea231f835250c1f7b7034a90d536d0c8c7e3f8a4728e3faeed040951f4f36d
-8d2c1e68d32c14e0fe17312d294fb1056962b7a56934a117f64e734d40ea0d75
-8e6b25e754d77b31d1849f6d73275ea9531e390f455fce43d48a6b58b79a0773
 8fa94d3d812775805528fff117ea835ed908322b039e129b957550c1e107d3e2
-8fb0c2172870ecb916e385615cf1f44c836eb629cf3ad61c600f7e94b82380ba
-95dcab92e918d68ecb24d8fea56013ec107bc470cf5ba6d0029dccc214f643bb
-96b85032def3f1a34a303387c8e71b8620d155897589b2efe09d76bc8f47d424
-97664855472bc5de94dca1e975519af456e3fd759c8f704286b6dc182670a795
-9846a360bf02ce2d7edde7b1a35afe288b16fdfd12e3a65b0f7582bd4c1c93f5
-9a823341e00072121416cf4433bcfd10c88a5ae0c20758f91cfc5ec6878a8397
-9bc2b8a9937819ce061f42efa0fcc95464945bff2f8623921b3f3acd8325d36e
-9d0f8fa3205eb319370f5dc027969449ff3fb45f75c2bf1b340395990052a978
-9d54c565c1b7fc018fd3eec43f22c5c5b1afc6b7a10f048484fc365bc902f448
-9e37b21ea0f70e04a16c6f745eef63ffd41c3109bc06606d3fda49b7d22f99f8
-9f3c5a6b408f6566d28c71b699ef121c39b338e249b1059267b77dddb2d55653
-9f5f0afb73331238f26f4c9897c526894f268a4d645ad7ab998bc84515a421fc
-9f68987daae06472cbd6d9eaa34be016cbca22b4e8e817e757f368c1287da125
-a14ded2398197a19bd9fa6caef852caa0f4be820cc85fdd1b975933bc02b31ac
-a4753d973b6d84fcf11614c7712153c1bac377f8db1b69716991fdbe7d28398e
-a6c5370e67356b3316638b4ea3ad00d4f824ded18a0cd2e61d5ae63bd80c6346
-a70b3f309d9efccbde2ed0c7b0f0c6d7e5ec927b5ff81968962fd273a8a738cd
-aa7fd182df6e0b889933a5361a6fc1a16ec50125e2276401ca45682df74cb539
-aaa0e024db05cd95998940f930ab95e63c8ccd13dcff97d1d03c30f81f9be8fb
-ace7f7cded496264e00d3ce61c9957263c49b02304c7f29b1400701e4bec244e
-ae42009aab281a3d550778c2fb28d78a1685481408cd58f4cc3e0322a12c4bf7
-ae706aa0d4f246d89b2d8e9e2dfaba006775f1cec1269c91859b4de03f0fd731
-af98cbae4c1e8111773369eb5e4227966d8b3e754036fb96b70e18ff4849fed5
-b0d56101d21747ea84ae93b3ebf7bc5b06ba29c85a2d969ee05dc884c2fe5ead
 b0dfa528deebaa3b03e925cbdf218bcc35d0d6060bfbc749c47eaa01972287ee
-b1702ee90c90d7eab9d4e8ac18f55a6ead9f9fcca1c92fe95ca68867a4f3ec8a
 b1abfb46077acd6c0450274e16fe4cb4610ec546c090c5977a069c5f74340774
 b1c5aa1739d6987e6a07d17aec22866668fd58e96c5bf8b42f8885db04de1a31
-b3a78984aa0d0997fb00e8b7b74ad7efc6b2ce1ca86130202b0b375964ad6aa2
-b74e4890a19d5b32c2420f74ee6e6181da1c88a379eda4c1ca1036ddc5be0f55
-b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1
-b8f842466770d9aef640059cdc2009f34821cb248108f9c8a5d74e3dbc0def00
-ba535c2e591087656e139982044de3463adbed122c560e8512332fdd22896755
 ba8b5323b72bf2f2c5d07074133b38292e0fa23fde8fa48771ba8a04cccacddd
-bda6a2ef65f65aed418951424be400589661adf4fab781471a6d32c148e69085
-bdd652434e35bdc9b52450c2fd1b3eaa6622088b9e0b58feccde7f73d4b6be65
-bfe0f2247fe1197120650548fed4411cbc0437d1241c8c7c66c43d1f914306dd
-c05dd77465e6691289647ff0b12011aada19533703d6a66e9eb6f75819f7a343
-c233c7b01ea688e82556867de01bec6f979b22e3155d590fbe77b3defe8cc3cd
-c29f9325a885a125e5d2ce3f973eac2b298186a60d1091ccee03fda97d943fcb
-c35f8ec264503c4151aa5082455c65207a8b638d4b5c66a3c49ee7e83230220b
-c41c3c5e5a1ac7429bff76cf9073f43db9fd2fc7eb1ed462caf35d5cc37c9663
-c695abbed1fe9498df1689ccc47ed01d431e4123b50a3b9edb6330af0285af2b
-c79dd435802838635177716720452d4e2eeeaaf02aa2de269d0a4c5610503975
-c9c425d89567d982c8fe8bdd6e249d9f11d18301f91cbcd72669d1f9209508c1
-c9cea32d0db0eb8fb15b70a66871eeea486974c07217531f04c9567ee84c3041
-ca211780079afacc6edd68955b1fa13796089e3de370d080b94067f9c5563bdb
-ca8c9d4b8f25d80d41de8d942d0cd545aeef22880db4581727f12f5f5dbfe957
-cb32541c04c6a3351f82c7c241f844412319df24450b468c1f6f467326362763
 cc5e906da6be25c1bd7043d43b6ae593952ed18b205716a7cd5c93213491d778
-cef42cf82793a34c6392832459504f46d96ae4955542788a9f72de377e29c278
-d0bcb421516f3d3cef611447d8aed738ec04de5c7902c1c285d953c140e2cfc4
-d1bcd53ec0414b94e4c7c9877096b7ee5cc04f142200a37db9f46ed652d98000
-d23b02db0ea4788524c1e2555abcb0ca2b2d96c2b500b050847a5a76e3d3ef26
-d29854f59df05880a6be278e768c5c5472bc9e963fd834b64428dfd43ca4d794
-d3691b0b3fb748d0c2259d1953b34ecbd7ec787fd36a74de111afc4517eb3b30
-d512064cdbb559686159fac0929f0a653a36837f070cbaf54c80be45b3925fbd
-d9f51be522f664314a9eab2d2bdeff1647805cfaa7598bc55ce0f3f0a7684e76
-da0e04c05dca8ffba2a0872b27fe916db69aa12ac7deb0a92c16f1bdfd5f95f6
-da9b43ad3c47b9cdc143b6738e0dcf556a99c8325173649a363c5e3906b425fe
-dbdc7b0f11c464a75899190d50c2b05f15db170837f89c100c7df949a75b7f47
-dcc58dde8a2a631ac4dcaa69a226e3bce5bab388952b127379baec938d6a8918
-dd75b907cfeda09d8bd186c71546b0bbfd58146563b8ab8e529d2f480e50f36d
-dd97eff094588727839df42527c803bf08e2454bbf40d531d71fc463650dabd1
-ddec698511c65424208c2c90ea4a0920c98fd135402d76f9f33bf85dd40b78ac
-dec85c16e0aa219a99f180470da3d408c0fe2530284d266f095afd09d7f3e338
-e11e00c47c5ed68bb751fe1951988cffbb97e067805a8ab0fc827a963268b65e
 e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34
-e22302b34466d20d0c75a58b40b9afb8468a6fb12d2c7db7298d0c3e6210a726
-e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999
-e6a6b521df79eecdaa852ef89cab6ae3f9aa5aee3e1e26bfe41dfd4db36b4a76
-e7bc7b2c2e4b763c9c6ceb90a3984a8273193cd39747fbab315ee26296ddd602
 e9004779fd94929c253c40235c3c24c07f92467f2d376b936ad713d57d2cffc5
-e96baa37e5c2faee89a9a0cfafc80bce9cfe7527e32c7ee5a9b5ac26c9638a2d
-eebd51ddc93d23297ef76f9a487a1f2bba208aa0b7500ef62b41e26f76922ba3
-efb2eb7d109ff3d6f5d2a6452eca813faa31e8b5088aba3ca0a0f37437ec9571
 efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821
 f285bc3733cac5b521b9507129b185a5f644847c954d9c5081d2405c9043b624
-f33d9c38649ddab3b13b7053d403317a7081d58d2aa35347d7993ecf3636d65f
-f3e1c1e72fe7f188d890f0448e243d94cb916e0f890e97ccb7bb2ec1aac008ab
-f726ed16ee16e1575c5422d68e80bd862f802866ffafecfac0d216956f5d44c8
-fa135f47173d22fd90e7ef2c02bc8c77b68424af2aa9f89123c77a5bd584157b
-fabcd3a8ac812f44b2095f640afd94d301ebfd297dfdfc945b88d4d460c0e2a7
-fc1a422af134d4cf92ad31f41ad18da8d839b676d9eae1f9ccd48c7ff2deb58b
-fc5403c33c2a7ec52f831d62055f8797429c393e88f1e123c245362586a9a83b
-fe000ef80fb7591518d97d4d82d8c95ac477ea99ea500d2d55c81a63b0792540
-fec42c65065e2ca47f72f3153a8da72c64ef4ead614e4569bc5bd398f96a2f82
-ff679dbb9d8181da98a10c7e9953dfbe4ec2d6b073b33f6fa654548a117738dc
-ffab882bdeeabdf18ecadc7e0033d1f17fdc721a88559b61c61bde334a9b53e6
-ffe2e38970f0c9cff1e1b731d7d38b2bf6fb331bf792c4159ac6da25edbaa872
 """.split(),
     "GPL-3.0": """
-010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f
-01e18cff569b91b4b5cd112656e56dbe4ad790786242bd69f4fe3041f1dd4f1f
 04a10e711844fe517f9ffba9481db6a825f2f268002c49184ecb8c942911bff3
-08111b5b099aec00105ede33a1c8549f9cd07cf239303669cbc104b482800bf4
-0a7ca8d4f3a4571f371ccb45fe8bbb2faaa8b4bf935052fcc1ce7fde634d67f1
-0e4c3a74ca37cdd7564e78558efff0e267f824f5c3ca9a2cbb73a47de830b62e
-1b5880a27c4a95eb85c60dca823d5c1fd858e3583b392006f1ff12e6944b96c9
-1cc42ebdd01f04dd31e4289e3f6f1795b4ea2b4d04636e00070797408dac44ad
-1fea072b81e833f94b903944c46bfead3847dfaaaf4c1baaf94959147d842fce
-291091c08f24bdf7294d500e92c6aa6e1846c25199f758583fbe49a574fe7688
-3181cc357a902d32b33015fa651a8a10dbdf4fba49f565d45e2b467fb282a9b1
-35dc605e3260fc95ef0bb7443f4c66fb4895b3196484df7ef9f483d20042b2f7
-37b21b005d1b0071c1c491585857efb2c76082f81b27958f1708b6a50f984ee3
-3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b
-3f876cf8c80c4e56e11471b4a6ca69bf4ff85585205f5094e388bb576bf9896d
-42a9594730ce5ec34e016ec5385370ad2ccdbf4394ad071f58cc691ba93f3f29
-473ae9429ac184649a61623f73216ece02b9eec9be25c236a9eb1d72f59e8b3e
-47b080d82bc082a5367ba048a86212afd80c1d81a69ebbd24af096b47a237b7c
-47c9b94b5b2bb31c4e9a421874152bd5cde3a942d435166d94c6fbfb2f0d956c
 4868f466a3292b095d887ce2ca00548d3969efb48c33f6aced9a20c59f578c19
-4c22648651c056946f1d9f08f91492d1c2915070e99571fe1bcc28a5e68ec7dd
-4e700a0031a01793bffad3d3fd380383f9fd7a208984683c438169b80e19cbb3
-4f6eb6b25b4b9be9c703727ed53ec4058eb313ce9cfaef608ee0bc8690dc9751
-54068139581b6de854773cc2e5246bad8fdcb83ab8b6ef4d7d89da3572a4321f
-5615053b764c77e143f8af09fbecba783bfda7bb1f05af8bd31ca9a35156893f
-5aaa568be1fbd4bf646cc9d4bde7c981ee94861dc7222bfa9e3465cc8a71dab8
-5fc5b48e8eeed6e5e77c32ad8641a6bc04d25011d6b500aa7dc7f3183ab812ea
-62778dc1c5bf4b573557ea6712f43e70b1c0b1e5795550c8e1b061eb8d90658e
-64cb16b9766cf03494d3bfa7780ed9114f490ae18458e90b4200282d23ebf975
-6bee773f493f17bda5e6f4e7eb126b69c6de1a1ac5a7270801ee56a1cb351b70
-70d13c20befaf51ded749f0c6fb76dc4ce1bb261d490c4f2f497dcf555769f48
-7457bc2b23ab7b8463f57a461fc78aedaf4b012c3bcfddd77c23cd3a1325d2d4
-783730fc7175f41c76e862fcc64ceac83cd778c8b7c13ee6a4fc428475f1beb7
-79358f8907cc33b468d763eeb34d1fcf5a0b6f6fbdad071665b11fee1193c00f
-7b8479993716863cbacf490dbd0ea7add230c82f570f970336ef6e56ff45bdb1
-7bafe3d811365e96584c3e2ed99cc9c1c824af7adbc8e29aa469c229aa827264
-7bcde208c0a7369b6f8fb54893a35f4bb605dc1fca079e08af660136e514fff0
-7d16aeb043e0e7922fc52179869964fd3990a2388d03a27f919103a0e9b4fe70
-7e1ec759902e79fd98df32aeafb56e0fcc9348cebf7b52c7a875052ac012ad4a
-7ee0392bbfc103ba709567fdbc626bd57d284ee47549de5e97aa75271439921f
-8964dda8b606adaac914f0a5ca7dbe00299ea0e48b9f442435ab9ae4b4fe1d6b
-8cc40e7f402105eb8d3e3dbb6803813a8858dff67f7318dbfec06d4884966905
-8cedb5dfd70aed5872aff7c8f394155a3660980f9cf694a7f260bb6ae2a5285c
-8e6ceae5728b22a073f4e3cca63c2d874997160f97fe8ed7e2ab97a419cc46da
-90c194f7dfebddfc14107f53397a1b2208277ce3f3a0d8b357d94e8dc0060717
-9259ce7aaf2c47f130b9bffff98f90820dba44e09028e35a9ac737933ecab2fb
-92a5ad068d7d020734f228eb88d554b9b022f61a65fd1627aea8d5de74407649
-9d9ee626c2a07da5459aab48069c0488b8773f777158f31076f7db62d6f76d8f
-a220dac815f00cf3d6fd1d8c7f252e68ff566d10f6991e4a4c138eda7eb79345
-a6bc18365548fbd7a08086de9ff6530acc0eb4c506145307287445a0aa8fd4a3
-a7ba25aaa463a0a84a9470f65554591e21aaff557293680170265933086e2053
 a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68
 ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636
-b50e7e9819476519b184f60c225372dfd35f888c0454d8166e3787927b4fc6a6
-ba321f0aa830f6474515523e50c7d2d0c8b3ee91d288e459abe1cf3dccd1867d
-bc2b565c1efa4cacf1c384ea3cc6e49e9a5d2d3ade9bc8903983f5c040b3137b
-be6cf54fefdf7da1142be7b1618883afb88c7df4b5e6b39786326b10aed10940
-c0c9bd5f6daa38ab99b2393ea1bf3fa29104890d97df6f0e6ee8151c8ea15e08
-c13e41645abadbefa476bc68628587f1d72d0d5c5ed5eaa8c7a95732dac0fa42
 c50bb15c5f5e96b27d60ee792a7db1637c2e416eb98869999aab5af68506cd64
-c6b864415235c4410bed9e881f2344018f60e5232df8adefa18d2eecdb8a8189
-c6ccba9e2a516bef347eb7b39192f93c043ab5d18e061135be9b1b38f304bd4f
-ce631478969eb471795913764497d97b93c403e3e4932d1d88f9c3b76188eac7
-cf38a16a7b4188ed25ebe8c727c2a2af61a526104aec75ea6199142c672be61a
-cf63578685bb06542e61af29dda009babf81cb4153cbafb9d28ed6786bb68ff8
-cff2ba9c70c844307ae69cda02e80cba2f37a474effb150ea155bb7675fcde68
-d40f53d2beada7fd3d34ce7738ed1c1b0de79e232baa453a66258b199ab4a13d
-d7448aee532d40241a505b99f0d8e51c784e92aebd872706d185636a40aae331
-d9347897c0de0901f539382fc633f712fbf880747a15cbe2cd5abe7f9e15466c
-da4d20ab00719bd9195cb5d231c167d330d06d10fb2447ec1b288bc98d2a316a
-dd0fdafed8791bce0360a874c60f1c0cf46502cf6e6171b539e18e64374b11c8
-de309f485311f6d72647fd8805a56b72922133cd4458102fdffa3610f4a51a12
-e4ecd34f2ecd6b88aac2eaf38ad17ec7c8cc06cbb0956cc5d8d40b950ba9217e
 eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a
-ebd90cecdd21600f9e4cea3fa0e45ccfa1ab711831b0915337039c6b7629d1c3
-eec19bf83cba3efb0006e847baa888bb8de1facb16590c3ede066b4cc18f724b
-f1ca5f297f910aa4292c65a8cc897b48ec490bd9c8fe40c5019e1fe58cfd1fac
-f1f94fe6b0678e7a447d5fb46c1beb6839580e827a477e29329ac077d94ec6bf
-f24c3e9a4506c2225b964f997b864bb1cd33e1160898fd63388e54699c5aef95
-f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f
-f4e87d2266314d5f9d6c3a1488d4ffd2d9992f355e6cf74f1f83fea59f3e6451
-f6eaf8069e6992495ee63002d3cf837d745ad9c33d0c2129f4dd67750ebe0094
-fdb40f08e3c2547d1bd5845075bbd3333aa53b85e1008714f7f7a5ea3e5ee00d
-ff4c335ac8635629f76ee456e91406931343a09c0ea096fa5c89c88ffe06da8b
 """.split(),
     "ISC": """
-03d217f74c3c68c59664539106a9b6b3b3282994366952b38372c8fb0ef30787
-04cd65c265ecbcaf3a2077e911f8a6928637c3249a5a0b3805722451568cbd48
-07be818709903281e2d6b7889a0ce5879be456d7df6f201e811df1a56880db66
-0815c0c8a61b5fa830af0e0c1c15cb79620fc6c25a1bf716791875a0514d7c63
-088d8328bbe0b37f10c070049cb15b6454cc8f3639dacd8e973a1a484982406f
-0a9b74c1bab55409d274030616597c4670f11b8202cdcd991cc85b62e0e8c883
-0ee82a756bfe4cd4362f780364d0e1baaaad5f54e6a6dc8a78e54955be235b94
-100382f94d83ebf7c27d387efa8de2343d2263e9e3fa39753947e9653a10a70d
-1521e050b9546a1b1f81fd891936e216befd12188bdec168e56cffa4e2b363fe
-168af1101bf4d913be83ff7b8199026c33f7b9d698ac6db46bb9f37b2379c139
-17be466ec44a10e8b5b3b6427efa5d86a9a7e0e5fab4c314be96c0103fbff39b
-17cbf885bd3497eba95af13d853ffe06f860dbac958bbcda3a945bf728083f04
-1829c797845aac9e263ea40da052915ea95fb523f113f10ae15a5b038309f326
-18ca1e56bd26d9fd2eaf98d8da43039e771bc9ea957d6e39d24b0025e59796ad
-1b84f9e1bc13f9befc3a7f03966d2463ac652f0f16b8e55140c423ee7c6c8247
-1f87ae799f1c87be58162b62cefd282331abbaddbf45e50f2c64ad0b6e794da1
-20373287fb7103d1cdd6c3b5fa27226fac3e1997c401f946760b17ab01aa8b57
-21445db5e4383795b1bfffcd7a83e88f4bff9cbcb3a9b2d3df47fbda9855fbff
 217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a
-2233a3919538e2141b355c95094a3185ae1975b398dda1ff33c2da5bad193c76
-226c26a3c6eff54dc16038bd2ecb3d3d96f9f7020b5f744b338de38565641350
-22e54fbaeca0b0798c3186d8bf218c00cb9cb4aa86b8d545eadfc954058d8c42
-23e6badee22bb466695264bbb82579469a4f11f38ed993089bf8e48c11ed41f5
-271138af7f890e1dfc59ea36b53a520e68466fef04718457e84dc0932f19cb41
-2776e7fcc0a343ea4606c846dc88d7eac16139a3a12ad5b356e288bb8108073e
 280d76b420aeff51730e96577a2466120c91213f03dd50d60107078c498c5b29
 28b3b76e4bc702261e30cad89a6515298ec241a0ec504c0153b7c6910cd2f827
 2b614fb2c18253fb7c1d5d24276593e12d81b854b5e79442a26885adc7ddc0c0
-2b6b03b4fd6214f2060ff6e1a53d677339bef869a2ab20cd7544b41ad49857e5
 2c5674d617d20196b487c7b0608b9c209df7c111c557c8207f2fad989914586b
-2cfb7f19826a653845c2805b2e07de1e2a031c35ed724dde6e7aed5f051f1f1f
-2d10200a1846603bb1a82b947bf551699aa1071e6d63dc1b37a93a258b26e389
 2f7ff835ad84c784a0716913eaec1339ce1b7ca3c06c16971c8e8950cccc6414
-2fbd20c51e734360c1e9c5fd7d5f431d11e52f037d812cd3911b1298808ad49b
 30fe7ddd14f7f6d7bce47da437bac0dc1a88496b90a9be0b1bad8404b114c011
-31bec977ad4b6886e168ac8c2b995efa32fc8e4ff5f14255ab0ffc8954381c2e
-3453c1bba1d8d555e9b95b8d6eb6fda6469fc9c7386d8adf638e926a6e73805d
-3747f6d33eb44b79844d300826653becbc56bec9aea35996badfcbd6da586b57
-391a3724ea53a560f1618ed555a5b362623f929095a4a958cb3e2b982cc81105
-3968fb5016f64b58ed512ebf8c3ef712ce60ea6c99881185b63c33b6a2735134
-3b0f7ea50ec471c2884d68c4429147253c9b8b582f9c40a5781577972c151cf3
 3befbb2a7236f8cca831fb417515d0355021b92b4ae3ad84a9504b30215b727d
 3c094e9c7072025f416c19903d3f8c435095de9b51bfac84d6c57e84483dcee9
-3cb8f30097f8a6f39e8ab251b71cf29b9c4986e563bda9f20358a3b9f4660544
-3cdcc0061c1ce127e0f15673ffab9ae53d6ccfc2373de7ebd41e796438f149d3
 3d522e40b21fe47f1c0b4ba98d2813c76a08e24b8869559e32371e837ae9fa78
 40e6eb51c3b409d93549806b55b249c261dab149d19b56cc163624f39a08b1db
-449fdb19ac0d9b91d098d1b9359b1f0c436634c82e8d938b6dd6c12606852cbb
-4bbf91f03df07cbd9963e6db584c71ac2c89041119f36542b1bba9aa4190a5da
-4d8d6761ce97b5c7cb4f766784da11724a5d788bb7d8daa2f34ba3ff40939403
-4dc844a3298a63ed5976333f2025a08af04f2b7d3000ab91b04eea0d18c31a77
-4e22f59036eaf8b075458c54df0b0ca252a672f686ece0b391f6a0b1d6786f3f
-4ebde52ca11e0d6a79e9bae412b02f6dce4674115ad033c8353b956b0cd59ae5
-50bc976a9ae49a3b9dbdbe5e2776226db4cf5abd1a3354fcdadb6dd1024d3320
-517566c29f7c91714d089c4eecbbf1873875384e736c42352ac37928164251b2
-52acae26f8328996062af1c4dfe3b13d3c8a9973bfb47e5c60e9efc64579b9fd
-53ff60e54d88610edacb8d7b2b2ec714ea833b143997e41552e868cb3f962248
-55ae9c763977ad2fcd16c676fc054a71226e901fd7429c926521cfb847222e90
-55e0287c5603376b362e5f65c6c18c30cd689df07ee836735ca475931e62ea89
-570d55697f12c1d3ae6e2bfaf4c1d26017b712437b52cc62d54ec4c9e35a6b18
 571c6f1b092916ec5c47890bbd34b8d9b81d53924bf0295cce6fc61732751ea2
-577a4ba6fb19b90088b1366bb0f651d86f6e3a122acb5a87cca083dd9527bb5e
-58cfc9cd5abb1fff38d4a7a202cd6bda3b3842cae62fe15ead9d12ce44b228c3
-595067d1ba6f34ae7d2f8d0cb0ace5359f68342c31290392d855bf0a00736056
-598aee6922bf74ce136619e3c7a0c5bf25e33f359aa44db0b385b592954c6a70
-5e662d465e4066e7d26eca4e5e099a347d502b14988ab8cdded559869e88c199
-63696aae5d274dd19e37b61d112be93839e1c08ff4c46d232e83b8d6ff74b7af
-6532672cb21f14969e93211b7591a4145e208fbfd860eed615148d8de405674b
 66de9dcb5bbe1dae3a7b5c7eea78ef0f5daaf46d237cd6b3b03e794659954c4c
 673f59dc8ad54524704b5b5d2deeb39eec917afad46597b1b7d4f2963edff317
-67875d05e8fb964bf6c88487dc693af70124af42e02a416398bd7c8ead04aa43
-67cc2cca3b033332981dd66d57daadd6d01cbc180857691afcfd37c4cd4df71d
-6872bb8456dd75de5cc92d75ce472dd86f23be6379ba5cb2a9ce80835d373540
 68cd3b9a1779ba2e8eab1875d0cbaf9b66d4b5bb00a2d65f98d027ce9d50d2ba
-6bedb913c854b82ecf69d4951b6f87e5601200bf969cfc7d7c7dda60c0cc8bc1
-6d8b628e7f2ff2b8a517bf05122f04fab0d7dcfd3482ed1a7662ef2d43e0247f
-6e9dc1cd727a12354f4cef293d9d285ed81ed312d597842774d1120ac62a6dc6
-6ea885374ad1db0fbb30b990f9bf0b463c7b42211a21475a0d80333749c95801
-711a86ae7dc236e80f6c4fd6e6ca07b1140e7e90fdcee93c420b005a28b41980
-721f1bc18d09b2e6acf6115a0238d025a89dc8d795eef18e9db625c34bbeb1f5
-731c030b64d386a583aaaa3b37e313045931a9d2da03f3cc8eb3fc0ce918dfe1
-736a4af67e4ca90c57557bc51657e492901fb0056654a751f8156e3412673270
-769bd8d7292704236f3ed32111292367b7b0a1301a136cc61c0f551e7060ba09
-77ca81f5996e68a854aade318f63b30196dfa706470a89d269ad4ad36815eb52
 7bed11ada181e6a63598e2da423080dd990b5647feaf0f67008662a131aec2c7
-7c86853762f06ae6b2931abaaaeb906372d34d59481e2f102b94c4bf3b0d7858
-7db7feaca601a3f47ece3ea55df918fdd5fafee8df37de84f893d66f297ffe58
-7df7ac9522a3ac1c490068dc53a66c8352f3920aaec983cab3205893fe106c9a
-7ece164e32bcb780154bd1351f36e38edf6dcbf957322ae0e23a59495a2808ab
 88b7717fcdd81146db5806f169a2882599b1b6575d65b88971edaa913b7dbfa4
-8b8079de248bf4895c0ad5bb202e248930967be2b762bc1439361ae88abbd679
-8c8d148067af1fb6e4a4d0cf5c99757b75d4b711f211a33b356d386817b8e49b
-8d9cd027bfaf5b9ced34f9e4c9459ae5571585ccf8485104ebe9ec753059b107
 8ee0d4f927294d5cfe44a2a4b1faecb347cc94d0e53edd910b1abc0f6527865f
-9190a7356d72b3f071225e4d1951ff9d363565752667b70ab4cc6110e577e1fb
-9471ee6c0ee3aec670aa957f2173259fb155eb157313a8837d1b62dc6649ff5c
-94b4e9f723d13830ec6a47b422738caee264943af1673fa32782cefd730ffc82
-98c7bd9dfddab5c53e0b7182e0440bc6021537d19003005a7215a4c8bb506bec
-999a9dd1c560feb0e5977b16aca3a3963a6de14777cda988ccb723334b14c064
-9a078dc66d42468bca7db905f9984606a97b2661f5eb210999f4442e4f916483
-9ccddb30f1375271b82960e09b70af213ed3671ba05a7e5886007255ffda80d8
-9d4226369e569078bd892e40e7533b046b83b1e2cf338be886125abcf415202f
-9fcc9e0981749dbb36d13c3208e993d349110a842741b058decf4891d9c0b71b
-a081fc1b4da31edd067da7dc85e3a22e9c528a05cb45dc7902b92e630927099c
 a78358e4932ba3093f235e64ea2769b9b05e4e6f17c4ad7ee404b2efbf5e1b3a
-a7b0e04146c29221d376056681ca9d72f5b3acaaa33af5367542ac1e24a04733
-aa45c7f89d2edf206a8278e271825e7b9850d289aec9e345020088dfa308a65f
-abe300ba63dc69f7713602c9b9d4c8f44c592a7a072aebaaeb029fe682127b36
-acbf399ed3ea32029045705b6472c2194be0843339b2e2eb2047dfbf8a0762a3
-acc16c310f36205de97961f718b87cf33e8987c1d4e716735982d00452853114
-acc50618f3ec7c735ce1ee8d1d47d71f1e1b51543d99df1ed63a2f06ad7de102
-ad4066ceb5ba287f81a4bc34f1b4c4ca7e04b9009247f0bdab825b1e218004d8
-aff0319033d77b6161af7caf219b84022495782ccbcb124326fc4885c2cba9ef
-aff62785393efd3d943b262cd5ac5338eb8118dcca653435328f175a690c67db
 b2e4e0af769b11c40106718835270bde227329e1bd58ecdf851707a7c2c1a692
-b4080bae41dc370f3ac78a12bd4dc3f23947b4afabafda35ebfd257c402d3567
-b4b8e577923937835df5e215eb119e38a026c4b85f4bac2960a77cfd9b93f1c0
-b55ee8c4bf15cdf8bdc29dd3ebb917d4118b5607e76b685e7d3b9c696013f4bc
-b6b395da4b61ad7e99aa053d167e521daf0ffd6717229cbcfc1e695edcf5535f
-b82dd1c3642317bbffb599281da0b1abc0fd10d79f367bffc1faf9057fe4be63
-b855c78e784dc07b98ca1916fbc4c97acd6b4ecbcc50200694b99a7b498c529a
 b8bccf071a9e4caa2fa23a130c6e25fe4ed53dd1750c125e06a7712517f3a50e
-b9c4038014944f92df249423435ffa0335bbcaf08fcced7af7e25eb0c5509285
-bd1e6ce2f03786577fe29fb24193a12637e6c360c3b600c10388f476948cb9b9
-bf502e513bd1c6bf8176d2ca1b8fa307ec83f1b9260b294d57054b98dcadf38a
-bf735380d7ccc38218bd18e25158c66b653b5fdd91778fbc86aa65d5e95bc880
 c372ed4ac57c4fe92983143d1c292c964b7eab9f9836fcdb124c2bc0c9e83940
-c445b8ac091fe35b51d4bb7bfa6f98b8f22d0b2addaac746ab3b2041a10d137c
-c56d6471d913bcb39a8f1cfc44afb7ac6b08631e657f48cbe08cb905ddb0fe09
-c650764753c3cec9f4c46a17479bfefadfc02fb3d6a703932adb3ee667736dc9
 c8dc4820b7294d311a05f9458126f473d2e604645536d64bac2b3e70f83c6d3a
-cc0772b9180ec292e3ab3abf58f8845be8c3c406edc839addf49e81e18dba78a
 cc9b23110c1c8e319dde4d36f90f7f67a0aceccac0ce41c48af416b80a65c072
-cd1c9b12dd06c6e9392d6a8b3542db4ef0c2e19c6ac6ff4fd42f2ca89d1e3755
-cf125053358ffd048f9f80d7980c5a80797c68dcf5a5bac47e3b7b6849d8527e
 d0a46b711003fa64af35e534578d9f833ba20250bacd25291672c813103c1d33
-d1be1e7c2afacf50d0817603b64d4c570604ec4f60708bfede818ece240cd260
-d1fdf4f9ac7416e3cacf652a54e75a374b1b63901a1d6c57b8ff8eba2200d9a7
-d3111c191f151664b51fd0e0ed620c1bdfdf3cf9b1e39944f83fe62bf4b3af76
-d3137dc564652e11c61d1170b70ddb9ca0b8eb2299a71527f63d318f168c8015
-d325f6af776d6a5a3cb724e1d0dca3dc3691fea370e433178c7988f6bdfdf29e
-d326fb147236948a8cbb71f63fa1b7bf968755d4dfc8149fb44431d32c04e056
-d3d6979d24d0b1ed6930a15cf1a7da3e5a4a689d512c5b09e72effb439373148
-d57df3ac9f8b613f6e0bef77e6055a5b7420fc1db5ec82369001327c3ad1d0de
-d7cd72b19e2ff3ebcde67724f16615d4a0a5a8150093773edc7dd12eb2726f49
 d8ca84128f00bae40f45c9b35bc69e917d4fcd65e71927bc42818061289b9d42
-d9bae2cb57129c80d3598d1222712b1c19d0592834ebdb77b94e17bbc0093e1f
 dd20ca7f0f128eaf02cf7ecc69098fffb747ba179eba3e3735a73e67febfa360
 dd737b7f02b585d36e67c61e03203a1535c4dc1146082a5098c944f4d559453c
-e00f31f158e77a60e7375307e014eeb17754967f6d6757d019567221315db4e1
-e15e449907a4cbee525a26dc9da14aebe4eb8f37d892c4a6e4f5b7fa55f94d0b
 e8a0275fb9678207a4f0f1b5aceff3bbf0ce0d5b784ed391b3a4bcf0b7ace58a
-e8aa962bf3459afa07ad944fa3df07ed04e7cd935e8c4034c9ca2cc9b37230de
-e8db0236bab357133ab64c044e665dc90f128a4d6fd637ed63ee1a2e291ae4e5
 eadff78c959800f94ed84e4c2026527fc6b4b5136e51da305eaa4d1f0ceaa62d
 f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee
-f28e5db1c93022f88261cd05165e0dfe8b5d10724296f3716b81c94ca15af893
-f9d172966b5a19ef0b2512532404e8d50e1cfc97c58656ecd06656cf26539d05
-fa224876c62df0b2fc8bde54e6682fed261c5669e98fcbcd614754b5f1b8e4e2
-fba929b7a915718044385aad4532cdada8c1a17ddfb869064e9fbbccc6c7e2fa
-fbb6b6bb570c282b32aac51ba3b0fa9176f04f0d314a2069794d0a0351350b40
-fc3ec9d33239b0707445bb9c25721f99d32f5d21abb67b7bdec1a15a6f7fadb6
-fe628c6c90f9f5fe236bb4aeb71de5bff43a1fd939d6629980f6e45d66d56f94
 """.split(),
     "LGPL-2.0": """
-006e5fffef04c2b20cc719de1893f9c01b2eab8ba7c8e4affa2f3f1a3a4f999b
-015d70cf915923be0e4f3dceefed33697741568784299858400b846b682ffff6
-02b268943b28c46b91fc66c87481780ae7eab30f3880cc74f55de73accbd489b
-03a0ae7ad5e54b3d05052dcde6c70e974bc05502e7e140142b277ce2189f6af1
-042e83c98987c67921ef512d00ecdb3063c982d080346431dbe284e4c37c6a91
-047e570940fee6be18b61508cb6a9aad284336905fe6cff65196e7d65ede8b78
-049d1057ad2e92ecb775b75ad269bc6e27fc4f76eef135111acc1ec38cf96982
 084782a05c82d5e85c704f06bab601971e84b3b9b90a51c95ffcff2b342d9cf2
-0a6a51d929da3c86d773d31cf4796b4477873ea2241f37d3b220af55380f86db
-0a8f4f3ea3b8a87a945155b3a87a357bd5ad924beb1ab81519772274ec88e0d7
 0c06832b02eec62268b6d8040ddbd7dded0458e499ae7118d35ac54fcaab1f3b
-0c3db89809f317d07dbddb11d7b16153ab7e442308d3f1a9dd5923309fdaa384
-0d37d25215d22ff407442666399ed49ca7e8098c3f18c2be4179337c50493ef2
-0d65ea7def74edf7c8112c00924160a56f0241516c747710305c82f891b31b49
-0f25b0c99314d62036bc344dd184ccb93d6fde5cba150ed77cae2bef55cfd10a
-107da993258f79f6a4ca971b65d61d1660d6b9e45a15f5d3a6be305e8115a8e1
-11b7e30d6b67b71f8b34da188bb9f9e1b7ba95e292d6d8daeb487fb60a5ee9c3
-12bd13b4d58db9e35cbd1db44df9339a9fff8e4bc03da1223e15ea69c72aac77
-12eae0e585d36ef49752cecdf5867b300211a6f65b2fb1860fbb3807d7e77915
-1398fda2514935546abf85144b9f826339447dd23dcb000e3257ffdf9da659eb
-156075fc11e541cb12e2bd2626fc1e04019cd51da7f88e7238086d4033a3abdc
-183d034876438c3ddc267edccb16fb6d5c3b0e29aaf3aa36d9748aa240d0d7b0
-18f2695101429b5d4a47b1b15b4a77a04fe77f0ade0299ba02a0e63d9d0f33f2
-199be3df347e2216b3eb2e308c9289e0e88735f92caa73c28b830419d5f65145
-19c6fc8ef54d47ac70becdfee9eb73a553dd052ef566dc34ec8ee20017492c71
-1c3d8c6ccdb33f85dafe91fe6fdff903841ce3d4514a7447d48d32f1720a85e2
-1dc01bdff4d0d8201f3f4aba4832d67130cdd6540eb4c2c91175bcb456a5cc51
-1e7710541753b342f0f5eeb362cde5ace892be30abec7d6a08cc1e800035a724
-1edf38f77e8980a7d27a1cbd2f8a6bc47659eba0d6a247330c5e8f742494f775
-22e2f94e3eb66cd03a1c05c65ddc819df25011f6d711097561a44537a4483ebe
-23e64688fff42f875911cf61110145ac5ee332c9f414a231d6bb83b74fb02f0e
-269cb3153b0c297004a5bc75483c971ce1736ed71ae81a1b7ff0b45689992402
-26f2ec4b094d58e1e7c73688fc6fd205b7db59952536268a2f657f9fdd829c5e
-2966ffa7cd897071b9fd594a4fc158d1e241e2d9cfc783901f0187a635f44cb7
-2a4d571c35c5ef94b56fa682cc5fc2d29f1c654deb63da57324c2eacd05a05de
-2b4a4d7eb4bc3376ba97f8a9662b3d5279e172da0489cfc00552598f614e5b7c
-2c1219277253c607e5281b682d0555607a1adaba3f7e20adede8f353b869e92c
-2cdc5dc9777c45aa5126b29678804365ec545a606437757c2f631bb71b6df662
-307e7d6264007c4f3049c76c75fc74efd1e6fa508e4778ef54cc5b111a34854d
-3083628e32ac769b2f2a65e003b523256062ce441f05ca08d6321221f8985d22
-30d32d8a3d6487e1c1828dd099609531001936aa46abe83249f0d50a1bdd29f5
-314ba207643512fde75aa590d1f76a30f82fca577a58823f0503de218decb382
-34606719b03bf2b013d9f7011de9b419f08d7e5a35709fab274648b56e4aea5a
-3523d19b96bc41204fb5c45d8ebda2cd90bd3ed7371545235528c5f971ada4c9
-355732a39bd6feb5c39080b5ebbedded4fe29733fc63bdfd7a29c0dea368590f
-36cfa16b1f5f035d9552eca10fb69778d26bb53b53a9fc21575bcbdcfe5f5397
-37c215c0c04794ba342c85cc481bbbeaa740b7b2eabc12178bceb39d1718c7f8
 37fe41bdc706a9d330454293e89edd7bb1942b127ab3e33a95d18ac0ea28a4b7
-383b96309132a76eed3317d41d8754dc069898cbfd0e6513ab6ec7b4c5b1deb0
-394d20da7a2c2e18f4ca9089cfbebb5c540dee873136b4035a447df614b12d34
-3997c92c4e7dd6091dc7e70727ebbaf23285ec03d1e2d7b3b9268e70db3a4924
-3bb0b66476b8957daecaac29f24d43f48846d585f929321ad85e50743bf8fad9
-3bdc948f3208c24a12b237cbb780ece9c531d7ece4f1f78539a427d6d47f512e
-3c45f6249d19e9ae3ba34f6fc38dca8a236c3d2eefba8d0fd532e57ab0d1b4c7
-3f09f61c3ab0bdfc487f14d37eb063dd58e7c8952ea0177fa1ba309873e319eb
-406af64676b20d3255d7ff4cd0b77b790174bc440621fe57a62bf5732e421a5f
 40e1e6ef14eddc03760301819a63fa82ecc44ba2b43b430c1b9b7f51e5454175
-41113ccebf90dbd24eb3dfcf2012ec5a6af9bc1713b66b6f9909db74b2c07f1c
-413b5c96cd408296d867f42baac4a8e10660e55399d973e2f5f19fe8ce4b3b34
-41e818c691d102fb276aecc05b16d202f67f26a69cb8de6c27d460ff8e689c9d
 4267d994f8c02ca4ef8e1b0ff4cbc23bbd6e3a92e635af26765abcc108701db7
-44044770920448e8ff162a605cf0b8f0e549887d33bf13c0a8d0254838753291
-44200bdf57fd3bdc1859e55b7e803fc8192ef3ab66c28355c4e91fcf61d1cc7b
-459ed72a449a5a01324f257698cbcb750e9c2517a9412dc419c5715c3314a8c2
-45fb4bef2a176b212b0267c8aa1516fbcd5ea12d03e26c959cf9f47ea150ca7e
-460485d442d16ff6a0e7f8da70f991082d37603b8e4c18cd9e6528195f092aa5
-46c2951c3d0f7e0aec6578148a03ef13b94537b66de35cca4c10e7d45c9070f7
-47bbffdd05986687455ac7cf2648e021cdfff1bd29d896b0a0dede10e586cfa0
-484b60145069684001de11eb4598797c65256e312940ff32aeefff7e892a432b
-493aa8402c4391f004e39692cd6da2f75c9abe9be8dc409c7bb107288bab2ded
-4950e779ade1af9cf224fa14d856a2f08b64eb9035c84c587a674cd77e7d79d7
-4b5355195445a72cc429e77e40884715124e4f0af8c2ef89ddb8ea78db7838da
-4ba11fa79fcbb6e7634494c55b4975348d0bf6d111b319e3934b283ca2e9faf5
-4c7ae95bc8846b0a9c837b585e4a8cb2bee09422f2f0aa7495fc776b190c16ee
-4c88c53b3c8b1e9f3dc91fbeafe9e8adf06f40da495eb9ed16fe14255a994b88
-4cae27c0149a09bcea6e5b30cd695d511e253f9c10e5f51c5b0c6ab5afc8846e
-4cb9b3374c19e11e661a04fa4a8694f82168f4507728e0db630b16375a598a4f
-4d688be770c6b02db98251e7867f41466d4287ea2a2613409d254612d5ae6109
-4e3edbc7a8f66342a89c9f03be8d579ee101a739dad79cdfb6603777273a871c
-4fa75f76014c9f869e2177ca5f3a618d94380665d3972c273f99139739b41182
 504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260
-5245f00f5c4fcac4f668e2479e8c42f2f2eba2e03b75fb710788642f9d3cdd8f
-52fd965d9b37370a6779c3c2b862526ddd4953d71d3518dd2639c0600acdd95d
-530e0dffa351010e0b4db2fd89ad7b03af379744e58a0711ef51d9b178f71ca7
-533cf5b0a1b42a7afdc551e7e64827e47b959f0b43822f339f0ac0ac4bb5935b
-5370b774b15dc01d488acbde6faff2f537d7e58ec3e638168260711fb8375834
 542237188ef845a737d1eab5621ecfea8c3310f513f6ff72ad59d1d500e84b63
-548906e6453324ca6b1ffeb35b74e47beeb63a44b082e1ba2549c65c94f4ef4f
-56434288d69fc67aee80463f91a675c8a69852edff807c6b619919aaad14237f
-564372b43d73f11e45001960cfe94adca1c963f73863cbf938e5510beba20fa3
-571f415079cabb9843c3edc013ba723e190c06fab2e328d1dd0791618aa46177
-57ff77f72792822ec5ae18873f44225dd8c6c4b5589b6b6d49e42383d839ea0e
-58704afc76e28396d33e9ec63e1625d4097eba81532cdcaf1f85a4fcdfc4dba9
-58e5cc5340f4381f0c87c5d4768ba3d392ec306d90ae375a5da2b678716392e4
-591e2a7be573873f05ec0f37c442e16a047c6dace7a77e9488f8e2f99a9a6bc9
-5aac58d6c0606188d9f75f9ca14ee3aff67f2e232f315e92238f016fc03b8069
-5b6d7dff6755de36c994afa670a7ba96b6e0a8dfc42267ffe816bd3252610365
-5c9ce5cd8cefb19f54a7ce21787ffbb9103fad4b672b48a989860d0ea2e4be06
 5ce88337a2fce97b0f2b6aac63afc49927c0dc31e15bf530a83e603e1d298d8b
-5ef87d19b466079926f12ea501e7082b615488808b11aae9f0b4f227ab76653a
-5f2277554d054ba7a4b8c7f5cce56aa35603f890694a8202a334e27c9130e101
-5f7be73e659be032f7047a59027336ebb42feba0f9b1336be75e0de9d167ebc1
-60e9e814f1805fdf9bff6f397e265654a66d4bcfaa9ee4e44c8a2977fdc1f978
-611dec49118852cc3961d20aed8df3b3b46b4cc3291a3ac91ef548b70c0f7340
 61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908
-62fff691fd09069ef66e435227068c4f5b14efb5bcc7b449c6d7faa3985186d9
-6320b73d2b99b7a0ef7f5d7a22d079db0f895efe75522fb8ea79138954c5bfc9
-6393cf3e2fc19ad44c2ec096e3b63758a37b632225bd8332238cce250d5cd55a
-63bc5f8568b25d12e1a4a5c858013b53fedc8e7e7f05dfacd17db087801309b2
-67a7ec157c2aff4b5c9382a82444c9f761bfaf701726e2daefc48db6e34eb6c4
-68d3f06df1196f5daa3b6de0d6ae8aa3863bb1151b569913e7a2dce963480e92
-6a9c2a10140598ab2449e366195c596e1d5b90fb6286aa79c07c1ba22ffd7a3a
-6b16d19b71c5845ba89715e9100cf4cb19ae0315f0fa6dbd65443230633d1fb8
 6bcf4fae5fac3aedfa4dccf6248ea48bfd1ee53edd8f1191a4970c156e10141f
 6c3bb51c96b2900754a1c65123677aa74c9ec1548193a3d0bac6240c6847f8f8
-6ddf8f1bce1e9fcdc7fc24750cce5d4aa7ef9cc12b17fcdd3d976ce20e22cc7c
-6df0a2c95f067ba07f118ab4cbc60540fdecdeb7dd94c8f98f16c767d250660b
-6e30c10ebe6d0224c618a4b2ba035601fc5d4f1a3ca4b167b12d60e966f58cfa
-6ed6fcf0ea08dabb5219cced7c2335156491c0aaa2ddf3c80a145df3030f0ba5
-6fa5d3e9b45a72e884e2f006f5c8e6eaced5c0f730c48d154681f6323e7f76a9
-710934b86c3dd320caa64091346573b52d8ca58f81fc5de73870bd1baf111374
-728b23a8635ef56529201b638f8e84c3fb8873aeae00a373e7a3332944dc8b7f
-73d02d406fbbdbda8f7635cf10c428706685ce5000fe90ba1a568afee5153a6a
-7561258c45cd963591baa65a968625a6861fb1ac80822181dc1253ab13c470f9
-7615904815ca48b3f30c1140a2afddcaa9c3859c36364dc81eaf71cffebb1a97
-7633cc54f62c07ff632c9596c26a7a34a80023fda3d4d85f80dabc34269fafb1
-784730574645d0395fa3d44a420ff531bc367fbaedb8ffe3b9d7cd52e3beef47
-7b9f82a23f6bbe442db43b3a1949d21609dd1f9946102d79cc1a8f42651cca49
-7e484f65a05fd8a9befb7c52558eddf0e58a80459a1c45a8f421b479914dfdf2
-80be7ab34d516e10b2ec4682419d4982caeb159b2cdb976595576fd67ec87bad
 81ecf332fc652bb79c23397a1431c72d1f39f01ffdcec61843942283b44f4688
-820c4cd8bc158ff3562193b508ba473299bde86f65b1080b85cdc918134c724f
-8287a20a1a880f51f81be6be3870acde1578ee1c9d720f43307f4daa45f5dcce
-829e354de24db0d6b4ea0b9f413ea0502e28bcd08cacc357fcd2462ef7b6cfbd
 882d0602058133b70e56be6b95ceb92d8d460a9d52f5541d9fc924ea10af7f97
-895d825e5c3d6d678096e4f42695cc5e76fa989e085775225c9390946429f9cb
-8b5cff7a6b8b800cdefb691d703a6607d979147677c497cd3be53795169eee23
-8b7482ec8f438ab65779e8ea2eb8b90fbd5519bd3a8ea78ada501f8802edef82
-8ce5f99c602370913e0f44578ff1afd702f3a875500308c38ab7e066fee218cb
-8d2aa78485d19fc8d3a837e7272e1205f3e95199fdff55e8bc6a22da830b3ba0
-8d5e8a06e0a638f99528c73b50ee1577afa462ddc2e75c5681f3c56bffac01f0
-8e296b3e0d2bb8633fb6259a7799b9026619bd4a759a358887e85108262e8f0a
-91102991db63cfabaceff11bcaffb4af98dfba74b327db2e4f1d2b072a276c73
-92d1df0b123e03d7fcac92af18d6d80f5cfe32f718a0f41da7397b44b7ecdb0c
-93a2b5eb7d99561205e125a1367dfd6a49563b57c03012278c91729e97c207ed
-93ee542f8b82a3b32d09d7fe2f53b523ffd503a6bfe0191f335b67a911c2b989
-95dc07d6be544fd7cb1a9265affeeb251b963214c60c2aa1358ac6508c6fd816
-96d1991e7db47b42f6ed6eccbf06e14aadf575c04e27589bc2ab80ac20f139ae
-97258a72d83ead749e738e8c51589d7c67519d14acc73fb28f93949c0a09a0ec
-976c621f00cf05aaf81e7473e6fd7a0c2247de2e83b9a8a6fd573a94b0cce9fd
-97de75811194dcda5ab823a8806e0989d3cbdbda936c3277fced66e3ba6f2b44
-984b7d83def3046dc4f0b51fcfbcffa281c0e3d28542eddb4e25e89da5cdcea7
-98ec73996b87246bf4761b08ca7087f0359b8de84b751b918719a1f4bdc08088
-99170c2f631af52deec67196e6b014c1085294f6611a332a9181415830e91073
-999556e2109a2995b064932cf7bb02a334c495a576b431f5f1e21ebd989da9d0
-9a4f8ef43e471e9a5f010b7fab8d6c0266ead285d2f11f7558d62d1d5805547b
-9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3
-9c81b7c09a199f2e870955340613baa78bccccf126cda5533a4f52fa7b02fdc1
-9ca477eb8147fecf7432e5f3722cacc0ab9dc5a1e51c49293641c2a4bac298d7
-9e9fadf910a23e6a15f54841cf75f25d84bf0b858410a8aec37441ed76a642d1
-9ee0a5997da8e8238b4cb9b74b63c300339cb8476e53ffe2409d80c37c36fd4c
-9f9aef49f24940a061b8ff2bdf782772d73cb8bb584760c330ba534d19973040
-a10f5398cf103e1053bf1d413c25e0f5dbfd9fbd096b508ae4ce804ca37194e3
-a183c9ea6569d81eb0b5379868c9998bf69dfff4dbed55e9c4c99c914d9dc57c
-a1d841db11f42705bf22a514f8a90a087169926697439912a05a2f1b4ef8d3ed
-a3912ea4fa889c0056a1b0dba99e897eaa836cd1ba866987c4b9464775f1d573
-a44653855b9b77998f4ee6023335e65d590b86e9a102bd469138718454cb6fbf
-a45a799fe17fdb22c101c1100ebf973eb1acc0c2e54dbefe5b2204264b99cd23
-a5da1fcceae553a40ecef170a0f7a906d0b79201b5be7ceb7d02c7403cb06afe
-a618359b17f00a4529c3a7e0ef20918d88fb7b056bd6df5e70c4cb5185a50a2f
-a72df611268c79783e8f096dc970ffe32f09a13d4a70034d5df2539e93c06e87
-a7917895b56984e72ccc79ff10cc8c813193fd3a99b18a8a0b2719be739b19b2
-a8f5f57987978c40bffaeb8e6d4038685ceb8cd8489885e1324855efca5380ac
-a960f26c50f762d59a3df6fe710d14f77ab806a2bd36bb89a370eefb7ae0271d
 aa06ce7f6e464e73e65ec0efa0bc575ef5bb7059ae0137ab610c2e57b32ca95c
-aa7cbe1ad1fbd3707a31c147a3a958d1b3419efecfe4f01b35c89273abce63c5
-ab3d52fd0374df6f63f59d8ab4bc877dffae3068a52b8d51809b7643c73cf23d
 adda62b7d3feb92fbb1e301137a27eff0c84ff4a799b7732b44f5e701f8acda1
-adfc05b3b4eb0b6e63097b335533cc3e1b33800c05557184eb1cf78a25461403
-b0a4a6e6c3ca3dccdcadb52e460bf216c41c1cbda920e410242396106c9c652b
-b0efc2eb59d77014e051fcb763ad7b270c7bc3ac50d8850bc4a9828a0bc143fd
-b171cfb350369cb8661ace9d5975bbe12354ec94deeaf5e5a53d0866880f6b4e
-b24744f038a0a247930f5db2fd797f9bf4c8e6573d3f4312cb128f331a68f0ec
-b296ab12bf5845273239b92d7664b389d2c3c36421571e9551efc22bc5ef4dae
-b496fb62035a49fd237313aa52790fc45f61e34cc420034d05ff5b247ee2cc97
-b5b477a33e1c6082bfc0c70f1d99e14a0663e796e9a80da20c120237cb785da3
-b7551a96af0b4c6dc89d86a73c1fffc7fbc3e50585eafedf170bb05b9b724e40
-b8bc3df38417f050ff47d32f939a58d3bf1f92dedd4728c4ae6b1bc58778b276
 b8ea073e439726473d89fe7079f3986c7065d075935ea802950973adc3ab1055
-ba60c9447fd0545536042f0ecd69065fb59a1deeade9e52fbb66af18fc7e99c7
-baf6ea7d42a31ebb70fe59a6ee8d21b74d7fe839fc74a1b2158100184e5fb0af
-bbd597644a81de357326b446c423a4cbaeee2587a85af575feed7e72ee865a8b
-bd39d5a61439850d30823698c5921b2b72d8d9ead01b9bb3d47d44f20b453ea8
-be48bfb878983f4de3142963f6f3afd6c36abc2b1d744b222e5a01f7a784c430
-bfa3d8bc7c76d524eb4af570b918cc149adfa4bf7148c610c09c04eb4d4a29e8
-bfeca2b035c45461a24d89dc885cd84efd37ee38154cfa7c2bde9918e1f0669e
-c06918e6c990b585799ce11dfbcd96accba40347cbcee24fdaed5be01fc9258d
-c09dcdf2242c2d39608b847062cc1bc0e737fece6c75aa2a3ce45d0203d51180
-c0da0715eda4d1f4a1234700471908493f433db8fa929aacd005a0cbc9bc1083
-c1daa90457c144c5502df0f318dbb47a34b33adbe12cc32fe22dea23be967a9d
-c3da01288bf90e126b4856f170b1a3e2cd9a74f2c45a0def956c446be017b717
-c49c61b684f6e3cb30ed41c07ced9044f448e6e02a7f0d582e6d5d1a8d22c07f
-c5e20abb7e0719b77e9b3d9cdbeb40537ce416c261ef90b02a6711513e560858
-c757ead42c1655f215e9fae4cfc49551347173b1bf5e26e984bb2f0a6b45afbb
-c7777b1ea6b681041a7b88d66ad9b0ea49217faf3f60f0e64db7494f729328fd
-c88a9710bd4eb5075888120124a6a626f2081d0e8a6eab453727ba296355971c
-c9105191989264dea6be51c1cac74eae39356787bc1df2c761f4934f9912fe93
-c9cbe87cfb69a7cb76e0e6cb2a94895f902ba1bcfb3936c4eb2d327a3ee408fe
-ca38fc74603171aed3472fb6cfaafff6476b0d8618564d0a03fc88eccff7fdfb
 cb25e5e1095347e992d553a6b90ba28c3eb94162214d5bcb01d79a61f270448e
-ccc79df4459ecc013a33cfafd4db1e8b5d65fd5a55dd19d778d54ab97afc33e0
-ce64fcb459f42139cfdc3842722ad65e9d8a18d0d309a8f232e9f5cdd48e30dc
-ceea60254e4673f5d9229daad321db57bbbc42bf1dd05497c38df2caa9ff1a9d
-cf909639258ccf0ffbe7a0c35cab15194c33ccc5122aab7cae1ff4714ea5b6d9
 cfdb5c66c66bf96ca974b33dd3db756e6c7eb3329f999c38c122137bdb4be319
-d222a36a2b1ccf8a658f07530f9112e21af962df04221a899ad6bb4c64f7c9c4
-d23d028e4dac9ef5ba6615d3a8f5138965024aa5b019bd60b21ece7bb9318de2
-d2781042b48e3a98b0cfc38ec1916f9eeb23a2b85a6004e504bfb04a9a444e76
-d2836d7a338cb44859ba51c4a336f14e2f4aadb1a153a01e335dae4274460b3c
-d291f88ec86c3bbb3c50c25a73402867b562cdfc1a64c8db18a03f3504f777bc
-d3503d0dcf349c3544b6f227456f0aa027e1d036ee66dbbc9c614afcc0cfb93b
-d39228ab96550de0c5773efab5188c28d4f66ee2c6ee6bc566316a628d46d6ec
 d40504a2bf1a1a86ee76e642ced31126577d21774b1ac0a222ce730ec78d7108
-d41273f1a879dded7cbba9ab2f72a55051493c0ef4575bcfe1fecb0262021d6c
 d6ef0358155ba2bbfe03a0ad7bd0c8f55b38c0b2d8a92c13bacb4a3631a294fa
-d7b6c4080be56fff3c69c5f85bb3b27fc1cf2b24ade53b2cce279b799110f8d9
-d87c2b56972de80fdcd82aea60b5d13d57d9ab36a90e9052e2196cac93f24887
 d8f786929d4cd5e353f34a8b5fff503ac6cad8e24ee35ceb9eea0d2298b7b4ef
-da3a965e371cf0c5639d1eaf0547513c3e273292cc5bc6ab60d37d4916526b88
-dd1f82af95e5b8837b210d3c396e0cf140c095d01a189ea78737dc94ebaa8839
-de3551825762a819bd12f71f443d53c35a58f86384be38d8bf0c79d9c117360e
-dfb54d9de97475b2a3c85dd4b1e40d77d469077accb53cb79eccb1f72e78e30e
-dff1703679a385a8eebb9dd64d7361bcafb81a74d1f8fddb6ff7d321ff0cbf2a
-e04846505db2383ec43854fda064c17d5bbae89e466cf823545d289db0b95c4e
-e1cb5de33302e663b422894a5700cb03338fee41a964f3f751e76a0f11aaeebc
-e5ca7d887e6c809bc6527f57acbfea84416867a41f16ee497f13d52bb2901f40
 e722a48a269f88d5d26a630a9e1cdfd4495c01505fe8703f6e6748b4f092828f
-e878c907b96ddac886ed401102280c9c54369afeb987f437b191f0bac519ae93
-e929be4c69b66aad6aca5aeb9fe5d195e3740c8036bfd0ba19c5d364aa026217
-ea1f3d69d944209cc64f54f06566cd7d71f54fa25c485a6fe2a059a9ecfb55f2
-eb0fed7b058392e8ed927ee2b771e030c77349c71241bcfc4657446730b62461
-eb82478e7a1c1c87dd366f7207da91494c5c73178d6bb48e16d0d210afaedb42
-eb8d4c1a2510c0e15a7c9c350559738c121ff426f0729050173f21ac0e3918b5
-ec84c7707b03cded44a4ed2cf84e6f7747b867e837d2bdbd0f058dabb32df043
-ee158dc402d31106b4c773d5f5e0f1f47a3e44977906a2309ead0c02044932da
-ef55fbcb619e1a021430a73a37966aa7205d07e345e902c7d0837a281e02e0ea
 efe55a938a61c4a37a0586d48a0ba7d2dd994fb2c79982bf1a38c2d6d2635a80
-f154332fe324a401a77f62f2d5ef0a69ba47965542dc7dcbc55bd3086765de58
-f3848524a4985a38062375a1003c890bccbfba3ac13d2f32dee207571bd08c53
-f4f0ea4949a14976d50c442d7766794bbbd0d75e0424e8af7396165f3b5721d6
-f5b208fed65e217d2ac81bfbd43f185039badda8e83b3c0a13432a7827d3c7cb
-f6c10a3f021ec26185e0baaa665dfc1880b2d6d4fcce94626b632be57949c6fc
-f72a826add3683c247b09ecc12f900d3996455602bf54acb7568d356e356fa32
-f733b9b1a2d53c75539b008e7e09837c3de5d37ba0b79ae682e679927a7412f8
-f7f930a7c04053f4af0be31641a8c6f797cd215803682fb8cd1cf8b0eec60e79
-f8d285d8327ba88f744366b7c779d4a7fe3898b245b3094e4f923eee484dc8dd
-fa6a6e10236a55e0b73b8c88045f28590761dcba409d6b5d5f21a40382b1d3d4
-fa8a6fbb5f1769ce691d16a12e0203934b7b40d5b346e101a4e8da49cd140982
-fe33e941a21145ce399b9a16a54e95287591cdeaa61bbbf109ccecd467236d26
-fe6f636aa05676f970406271b2692fbd90fddd0ffe8cde6303829b7478167f89
-fe90c176c4c14e161929afe346df46fa580a3dd2022eee2d894b002af18c04a2
 feb45efa998ac9d6ca85b1b2b7dfb124a14b1e88f579d2de38fe3a7970ce7380
-ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c
-ffc82d453358707f8cfc8006b1749cf8130c6bd31c6efbceb593ded0ef38e14a
 """.split(),
     "LGPL-2.1": """
-00439b84b3da16431fa3e5cc84bb7e8f51f82c44c4074b3c61b3ce3cd815d36d
-01499ae5572745a54c9c115706db41a154795d7f018c5d197281d4275d602746
-02a21b7e8e310bec1a96c0ed45640b705cbf5f5dfbcac2637f81acf815e265e5
-02e99659c2f6fc98133a764a6be9d055a1c8ef47ffb3b2395d79ac6d54ed7eeb
-04eabbc054ee148edada9a52311fc02c522d8a57bb8d2f54753ed6dd83889fab
-06b3d7979256b9170baae74dc768b27eb833b9f18b75f5d3dcf936a3db947fb6
-073a86c233cfb37da351baa93a4e847c4ff82bfff23ad23746bc638609567a1b
 081a6ecff0c8e50ab92b129954441c5d8fbc8f1f5a8987bf8d9225cde97aee2c
-0ab28d4659d4f29428660b191cdb13046b21f110fb9367d053119d519c3b3590
-0be1f79cd9f6b0be36551bbcf8f9fc8ee802f39d36fbc89bead1900a941a0859
-0d710846dc83b6624083e7c36868373bda22b99f9125229cefcddfb1584ab1da
 0de2e3ba00ed5f309ce9d71663e50ea414063f6e46865f2d80d4ad038f268c87
-0e29a2b05c688e3b9ef567c83fc008ef24adcac88c802f9b779829b035d9cefb
 0e70bde79a72ea6071aa23f735a8c6c99f8eb3c22ddd65279dc2aa8f01a312d1
-0f7fdcb461844041a79881091747e7e34c70345926913a110fc19b4a4f6bcb97
-0fac641dcaec8173e01551dc498e037e0baefc8abf653f31b210bd41e32d94b5
-0fd99daaa7433e7fcca01fbbebd454bfcc1d89443c34d121231edb64f2052663
 1246388d7683386b80d5bc3d760284895b628490f9a4e36d56f9e2ff0337dd8f
-12bf63ebc0027fc9f5748decdd2bb1811c55083a97be7959fde8a246f6141243
-131a5695e76df6b574f8b61b74c4c067b9c7ad16f549da3913234434019be92d
-13520092aeb8b6aecb99a2e76829d8cf9c9016158103af55a9eee6ad1838013a
-15e0ac15e78b695e74d2aeeb6b437ca88f61df40a4b94a195a55115b9c0c4286
-1624516576fbc8118d9661d6225939ce34f82a29890aaa17672e6877372040d1
-164486ac15681e9d5a448f995eac1cf1d0b322f03f7f3af957fa62cfdd275808
-16d48b5fd2a6b2533282983d823e22c6105bdfa18c33358e2628201edb3491bb
-1a398f35325a48906aaa17230ac1de7caea2b202ac8b72c728a0d8a48fd285e2
-1ab81a6a94ae63c1d9ea26825e2def2b961cb439aa48abbcddd616e59471d377
-1b951544b87cb2d157e9eeff9b323ba4ea129267613efa75c095df602feb62b8
-1bd15c5933f29fdcf2bfb3a8d125d7827f130e5dc7d140bc775ca396a96dce88
-1d2121a275cd707d8ef70b6127acec70c6c9dd8dfff607ff2ff479a8e6bd0b8d
-1dd86492dfaf2200b01644c1615dfe48c5688e55f5302cb9b8e0048eb31b4553
-1f365f9347f943e916610b91f98b5c60fffea6974e724cd48ee558a3d3f96f3f
-205c9d188dfe6c5cbf30a5539c74f023d1378992089dd31dce077cbdd05e73d8
-20cfb4656dade2e6efa336cb6d701ec70f1ffbf451abc5d8451447bc4c337020
-21ab10a618f74a48ffcb6704df5fe40782e7250fc3d8d57a7463f7a1f69fe4d3
-21b7a1714b7e5c717ed983ebac5259d0923e7724ca5e82a4545cb4d4a82d3bb9
-222bfb5cc2edf11063fe7f0d3a38959a59d9c820aa24d5877d0d6922e4fea13e
-22a91b692d7c51ad0c02d2073c6bd17f2151530feb76ab2891bfd26f9fe20666
-23ba9ee4dd23b2d6093ebf5e9cb214ec5f4b704a4add48a4e648a7865f83a72b
-250b902eed64b3fc38f0eb289cfffbc32a7aa2f8cda965e162a9dca4195c82bc
-2680a2b2dd62abb7c1cf5d05fe2328650dfa32ae1b390755ec5926dda2282c76
-2783b0f309e2e9c090d4ce53840ba7b74cfa3a0a343b2983017b186034d333ea
-2931a100e356d04e777b4aeb4e12beb69a068a0241e910a149503049664ab2cc
-2a44991dd580107303b0720e663b0b65f7d346c3a18b739af12993d6c11b900c
-2ac59ebd5d7f135222882d3bd5351b098c96c6e2860a77dcd14641208ced7dc7
-2af939ff8328e699881a975f08e472785a78f345b12710d88122a82c879b6d70
-2c3ed84141705177dd25157744f6fe6de5b6fb61733addbb6052c78049746f5a
-2cbac8e66ed44360914bf5d6687b7c44d8ef59e30aa7e3ce1950475541171d59
-2d4ab4f96a58dc7970cbd69a426fdb68d6ad70bb42c99ab16c45ff75aa295f24
-2f06a8de6e780f0f4e60ca01f2b719032f26996173fb05ac0437b657f87537b5
-2f7fef6eb1a1f97a33040987868908b64f1e86ded55aa39dec5c0cb0c0e0dfd8
-300ed524e964e5291708e75e67a3e52cbf3c108fc1edc499e422eb6001398fd8
-3127467d3ba28384b2d65fce2dd6040b4d5937a4460d4c61532e887c54e0ae18
-31c7bc6d157975ed9c3c94c43cf997b2c0f77f92b56b18e51493ae5dea7a30f2
-328feab46509904f8c4c3c0ee70c25c6fe1a4f25628e4a3d66cea024e89668cf
-33a68577a29ca3799d1328a75a4a9f87f96f7b0492557276569fbe6a833dd451
-33c4e5d0f80e4fa7c9b72d343a634940af2328aed986c80f725a343c25a6e92e
-359509cf11d8ff3c5d1dcc9af8aef0449aa2f4665124a5f19daa9990ee1c77eb
-380d150a0e28e7034070849de93c7c8653b19a1be1c94df66cd4246cd336e231
-388c4d909bbd1a35528e6c31015a257ad1fcf46f191f38883e866e36224488e6
-3ac6ba16f5e834ea023743cd687f00f6aa6424bbbce42ee98bee8db2e6382274
-3ba3d670c2d198e8ff7ecec254da553fdfa749da91c0385801d65f7b929499a9
 3bde1ca18489d8594a2c0c04b5ae1003c1795d1680675f4ef758325e1e1c3169
-3c35558478d679902433ecd682b59cbf6f452757fd57bd0a0ac006fc51cfe7d5
-3c4e10e56da052f7f66fbf3acac39358566887e16d5aef118d0c672672a5994b
-3fcf6b8fdbc45d2f791a0be032980074296013c3021bed24964fe866673e3d1d
-3fee25cbcb7f506c5e5015ce27a642be8dcf53cfe2c7fbb81296045f8eff70d3
-4198c0ac78212f9d11aa79e60c1cbd833b3a82a7b5a80d538e306b9c620680f6
-41de6e82975ed3710b3867a9bb188521dea1b90f1d7366aa1462ec1a7b7873d0
-41f96158decad6b5f9f4802ffd6e552738ba1eb537faa7efd6c18cf11e6484f7
-4236a39adfbeffe778fad690c51135e7752c95102c337c71c83eead79caa6c30
-4359663cb17affb730ec95412730b74ab6f8984487f6919dc7b031a179b0fd5e
-43b0ca4ff66bceaf2a33d3ef66d150395a9ca0269a62fc87c98ca05657145b30
-447741d055cd6f2406bbe3931f083c4657df439f076dc84a3019920e2d4ece9f
 45ab1a2a290e74e8c905ed1fbb6a81f1d48fe964330aa7855ba1aa1f88306f09
-46722909cb3ce07c36d41f788af719f9f8f83fde5b5b925562945572f7a47236
-467315a581879c4c895d9a86be5e5a8e1583a0b23da152e1f78cddf4b35aaba4
-47894de54fb4be8af257e8c0dd09b355be67b36fb5716244195c291857c132bf
-4856fa26e394cd2999bdd6e3bfabc62a779d2bcee60fb80320401a5942314ce9
-48757ad6f41e8677913c36b912338ee91b63f652a8b59bd41f457201fa26e924
 48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4
-4aa6d6280d300432b929a6c3b558b0cfead43eacb269eb1c317016de06a6fba1
-4ac6b10218facc3cd0a602b2e43b9b35791bd16c7d02f58a3a0bfd48cffdaba1
-4b43ffb793faf7825eb4a23a9c6a89e81ec21096f73aa283357b4e7eb44712d0
-4be8df69026e0b5545ecd3650bd9625bbc03acf3336beb6e70f7f139cc2ad88c
-4c761968b323c6f1ee3d262b8dfd4c6b305ffb437bc316595b404361321834f5
 4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891
-4fe867e7bf8215d8cb69cce69a5ed57f40bc114286c00b39256ea3ec4a7679f9
-50c8417519be27267181c6d3516cba1041c6f7cba26eac49ea63334236b59737
-50ca9f18a1e1c8c0e26cf61badecdfc63423ef4da236936652a9395a68c6aad3
-50f1d0c582c0367408af0a3d73f106e9112b96e4ed3e135c82989b08737bc044
-513eb7587d11b5c909aa271a94f433be9169f8c4c8b6d2c89629b67b0d5d4539
-516d196957069d247c329352d5f2bfeb04c1b63e5cb98528fb0e80df90671acb
-51a4e73ab842ad0feb69f1d47322a74c974b5325a92d0c0cb8779a66ea576ad6
-548ac4539c0f74fc45800e09253f3b0c87ee9d047c5d184a3d8dd8214f1386b9
-5553e5ef64194a045d51adb40a93de130332ae739d61f7bc65cf2089d9bd5ef8
-562ad460ffd08be99e11b4e4cd0dad17393da140b8f04e841d46cde18061dced
-56e8f7f20bd2ef0e43b1cd30e69372e7500ada9a9574756267f810776053715f
 580d668437368921310389889745ec2a76860b0f634a684ce33c6a4e5d106957
-5a6da428385a211ea9e4f33e200db06d2e5c2576659d76cb273b5d0d733fd8bb
-5b7513fed35a190feb32ea0575f3aceac51d279916907d02feb71a66fb66ec8d
-5c037e187fcf3f643d99d86730183eccb3c5bd354996c3f2d19031a3031aeb54
-5cca4814090efd53989c11f109244720587e0708555b86cc740a45df1f1ba02d
 5db6a0cf025514ea4a904dd0c2731b3a48aec5259d5f1ec782685806040d7b6a
-5dff2f35d7ecdae5d9e7872bea9c28e0711bc92dbb6776e21ba683ca1312693d
-5f0c9992bcd208fd2ba1d06013edbaa49e5d0868a7e783273c28dfba1776ca09
-60422d4e99cbaf5bcd7982f20f39bab096f346a1959480b0627c09b10218709d
-60df44422e05f326491ba673be2823648d905c657f10cc9c386ebedad2b98569
-625e52d9a62c8ade2380c24b73046a8b8c94d5a3a7df62615abbbb0984f4edd2
-6308bf148fa4a3f04bdeffdc1497938ffac014655f70a3a8d08d2243331e6e8d
-63b8e76d623b9a1f03560a766b42c63cfd5e9854fbf2de86d1a17e5cb6520388
-659ac885171abd30dd790a4eeb21a653146ae6e0baefb3474d65ee78be4e920d
-65ade08e849c48b0b4cf73e7c49f69fd5cb97c3c9abaafa2bfebb82190c7655a
-6604afc1a8cbd5ba9bbcddbe2c276cd1b57eed27be1fd1f53200343f7d719acf
 66eba6a3269fa46e0d45df438c0597f019cf9ee220ad4cdb37394484bd13b088
-67ed073e84312b549a23da04b4c90fa156eeb2b223d345bbc1016c2a80a8162a
-6945e7e1d8f05b11d0778c7b8b0896632436facd52d40a02e7be3f732dcd99a0
-6bac7d993d92a25d922344dd5caf9e9f20cf333f513d088f79a0f860793bae77
-6c8cdbc7e6ccb17f85a0882de3abdd242ff9d332befb8d1210a2e9b8ff1d3207
-6d156dfce05e5b646b510f528652d158a4a5ab91063c5b105bc18dfffebca4b5
-6df5d3d593723bd7fb36913fa58a25931db297c19845a727df13bcc11c09d52e
-7159561c5a8431faff1793e09f654ee8ed359b1ea623cabcde1574e749a6b221
-758fb43e3a34754399d3ce511e784b139aaf5b7754d4b1f038cc81bbeb45460a
 75fd50abdf9b6ede6e1241986dd3e5850aa7c83b83892f5bce9e206765724836
-76203c3496a74b43ab334d22425f1b6303fc43fe65971d899d9186d0325cf7dd
-76807c6d07f0de04ea2ca741a8c0ee6c27347abd490c9a8d221a520dcf54d223
-76edbe154f0d021fa3e52bd31cdbe1da01f5de56d680a2512c59086f851791b2
 77e5acffdb4b83d2e3ef8f1feb41cc7d5c859e0f7b2a31236b807ddc4248f9f5
-78098bb1d9f445f79d17d3f704efba8b269778e62bc94ce3d9e16db0bce65fcc
-781c859b4302cafb0a8ba5447d4b5a3fcb37f5a1752fc4dab5c04b052a0f69cd
-78cccf6f73e4085c5a6c0661fa283717e6f8032931a2e32647b4db7f5e537dff
-7c354ec528c9f19b994fff96ef143a18b4ff8c18b41f389b63595169666341d4
-7d7bbb3c6626edcbfdf74f53fc68540b45b8055bc50fb742566d527e23265349
-7e029bae5ed617cd06a7f115e3d09ad35613139fcc4dbf4290c4b9171de53aea
-7f333c6bb1ecc5a153d8321bfa57c25aaee6f725c1243d5f993043d3a1572908
-809a8d90fadcc1c3c0233a58a14e3c9371d65cb91e1de410f282d271ee1133e1
-8384dd5fa9dea264b0f8764a63c99baff8bd5817a34eb404449425e370371468
-845eb053ac9b2cf95c7cb1d40740d90c4e2cd30feb7680130986148ffe003c87
-84827ff0f81c98af556ef6fd04cbbb5863b42878fdeadf7f2104da1f3f2a5eb2
-84c94336584e4e7ab5aa7d585f64d52f27009a83a4a4868b343c31f64056fe7d
-8500548c69639b7dbacaba5bfb50166530389bf6474c55b7d7c11fb715b72d89
-8538afdd9a5af517de5dc250489bd487bc4c95c6d3b066ad64ae817391a7c1b9
-85af1926a3ec1895183359299ee5b7eec6a80f0d01a735ab6c91c4b41062fb52
-8693826621df05c34551217f5db713c54fbca99b5f4e8b8bf7a2f4a94b5575ce
-873c6426ea80f22a07042cfb8b3158aa05552910ef41064587e403e155d897e9
-877abb4177eba182138c7f0a47e355dbb819317cd46d67d171fa14391972fe09
-8795a0546b7ea8264d98afc2b6268d415315e16088e585e1c4451428c2c83f44
-87c5827756a21f6575f40ebe1a6e65a5635229bb436cd64a33e7701a9c752da8
-87d486a07a418b8892f668f256802e13ecbaeee43847e4617d876f41307d97dd
-87ed889e47850147a7222c21f79fd351f0d2cfc97c0d72b26b620f1043786fbb
-883b023588fb5a2cd9719c16197d09ef323163096b8d0ae84e55b18f42bae5a7
-88cf4912a5bf72c8cc5368872c98b78cab2cb82f9ba61b415b1cc5ecf3db4547
-8a99fe4de3d885bcb1a9b59bc852e6f7a557af32cf0532e690d02d674e3148c1
-8b224eacc4bd93030d4854ddd9f5c25202ee5dd2f168358e7a04345420b0cb55
-8bab9d792408730a7db440852395c0b9512f9d1f5ded1d25e6050681c1a1ad07
-8bd39ad0036f5c28bbfd505f5f0b7c7a9353ffeb5a1db74c11c082e5fc06bba6
-8c0ee8195f4f9613026227b85b65ff16a35fda7d0225620d25bc18312791ef3b
-8eac3e5e56c2bb544198db0e48854d2ab32fa452a0e6d8f08dd6b5dda6b76a75
-911cdafd81f2c31f77794d7182781e7ccee38f80aa45f941aeba881f8fcb330a
-9242cd4c0e9e780e247077be5defdbcc91eb93a84359714249d2b1fd4c4d93b1
-93125450436c32502d36fdaac3002748407eaada4005d2b6ebc771b4ae8571ad
-94050c68a44a8474451724f9da10142f62de846d674e8c77259ae9b753364bcf
-946cf99ed24f3d448c2928aefbe1b86ac0a4921f9edea55696b53b843204a737
-94cb197503ff988d453a58d92e62f90abc392d6c618f97d6b6dc19a5348e757d
-963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c
 98c3badd328e41935b497c104ec34622a1957d223c842d26a1838cdb1d70b452
 98d365a8217633113a201b5777e4d26ae0eb1d88079c5e39838162abe1f18db4
-9aa99e2865f9cf7d4e3b1da562969ff66c7c1acedc8cd79381bb98fc4d17dca2
-9bf8eb53b93d2a5cb08ec56d63f73a6138e52c4d4a9daca5788639cbeba4af8e
-9c305593106379b2c48b6cd0c30051cb34e731833ff49768d53c6800b78f9421
-9c40652c372ffdf1e760d18de747441e8e254112dbd8b36da7e0e27b396c1cd8
-9eca1ad164f0c7e958758fa4015ff66a0fa59895afdd7112958ad68597bb312f
-9f414a95a4e94e55f0e4ad53229dd5aad34073689cd71181d2d869d34fa88042
-a102ab2a66553a155c14e66ef17d19b3515023635f65ec962202d7641f2593d0
 a19848dd8a66913e5880ee7b53afe86b97c83c8b7dc01d8d696b8376c4784067
-a2b531cd39df972eb3001137e2d04c99ebad0023b1c992d22499952eddaad730
 a5ac783c64dc7fa3fe7b641692ee7b8da491bd87f613c9bb99618a9469e71c47
-a87a7fde1f8be5abba41d4992b7d5270757e90ce224132249b5e2a0823bbccaf
-a90845640b4c2154598e767428fc1725fe716dc1a69d43c37048c4a11d35b3eb
-a91df32df8e736ddfd6b638b382d3c56562b77c4e35cc197820a7b8a79d83fb2
-a9be0ee17efc545e7fd37cd6b0231073ac56f0cf6c7d65582022343ca59662de
-a9d6a0ccce4068b80ac76b781e7137eed0ff2016e5650593f717842d074c2131
-a9e33c794e5be1f4a12aaa51d10162bee28485286df1c38a31535b4c6dbf0f01
-ab6d1920ce77f95d9f273578b815b263ce4872c71def7d7aceaf80f9aadecfb0
-ac3624199fe21bbc9938f7319fb0ecdc1f20c25a6b4403f551673eb6e166e36b
-ad0477c0504fe439831a8c45207e6f9dfdf0bc6c10f9c900a30eaddb98385755
-af86c068a50b1ec7351e63dc03b17b3de3a3d29752ffd24bd71a41d7e46a282f
 b11e56f26e36c27490673d8fa272b68666cfd474b64e23db5244d0ccde21fa9e
-b24e5c9747a2bfeabee1a7bbf23478edd9169ae67bf7799e0e8fb95af4911a4f
-b2647c41de06024042b1b20aaf9e6c8ec00fc95f926ab8bf9128efe9ccfa98e6
-b326801202ecb231e5c151c4d755cba22aff6759466538ae0bf341974f67fd72
 b3de6e6f4377549f6ee2b737203403c9e0e029d49f0433e62a4ab6ee7a5329f2
-b4126bf4c83e420adbb70effad2caf8d443448096b94d90dce9f299d54b9184f
 b4c9138abdf2bff9e518e6ecf59ce4aee00f382e3000c2e4065fdd5233d11816
-b4d79c66b095bbf37a6085ed77f11bbe013aa0eeefba38d5c8ac184633f07f8e
-b54ae842086ebba6e1bdc7f75c617dcf71ebc51d1025f827447350600aeed8c2
-b553686913cbbb01b6040f796a9664e7dac4aecfde177489dd96608fa9a144cf
-b65eec0896726cd0c9de30684d386003f24946905bd0affb022987eec2fe90cf
-b7f3d6ff6c2414b424811fff643b71fe5d74f8353cc1acbe893e2ba6ad1b96b0
-b81d6035e370a51ae05071918ffcd55be9c41c8a33b1bb4701de1631b8c9cf96
-b9309600057a4569544ab561b9f3725add1c53e7cb01db46a723480a24941577
-b9a363efd70e6755e0ba49fbb3581cda43b747c1f96a6309aaf5455d41f51258
-b9bc475f03f02559018a055359765e70c541da7b027dd29ad9c70a4c0a326ecb
-b9e329398c5073c9c935b633baf938f38b00c8a4282cad608c93db5d308a6b53
-bac9ddaee67c3386d8739f2266c259489a2fbc36cc0c09276a82670fd6a37bce
-bcc0233224727fc81b195bfb946ffd6aa16d919fc3e505260177c4db6deb1f56
 bd06b7347431b0fc243c0e32d1668ab362329b4a591386570abd310334f6fbdb
-bea748897aefc58c30c7fc0735f2df6882a46bc7ce57422440418cc888d3ca15
-c1d1c770aa7e23dc7b743ec7938a33b988d27cc2083628f5c78f3b16dbc3008a
-c4b2b4f55e24690410b41a97331e1af5bb0ac9b595109e6dd0d9a90d19f18f93
-c550d8e21d1035fc7b2343db34869c58444517450299f2e24addc9ea4a4599b1
-c6074f4f7f65633992b42cb4f00cf3d2e6ef15395af6537b69f6c0c82568027f
-c79151e68278098aa870984012866b4982177cdbe710c269bd2fbbf935054970
-c8003f9a3d3d190d7f501643fd83303e3c01c3f4de894297c78dae0d4727fb31
-c80a4c85f5134d76123ac4b1b98c4bf218d31bcd03e1fce9ae5f386a557de139
-c8c855b348ee6d55b67fd10c01bfb94b9abab6d83c9c9ede8771623dea743d80
-c98a8c15b31c21caf4b4e075932a916789c46dfcde2e5e7cebcb3172180b2c79
-caaa91a7b726da6dac66ae4b7f5005fc3974a21009f8c57cf966bfda0a5c9ab9
 cb12434d1b0bf73c48155fe7934d08dcc73a385848ef79cce6fd7cd370cbdc1e
-cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345
-cb31353fe6ff4650b62b989a65b510a05f0f5e106940c9fa94762d04b4be6a1f
-cbc7f7800baf3d9ec121d6c72dd524936091399cd4e3fc1c12f0449a9761b83a
-cbf78abf3d1f22531911bb316c1573dbacb3f0dd1c31e5552be9173dfe0fe680
-cd882b2c2ffa01c4599648e2c2c3f731eb1cd9b699db003d883ebd79dd436ad1
-cdd73c647c342f20387c436af00ff9592871212f3305631579a3d39d89aede23
-cef3b8d8f1730e9cd96a980379763312713126291b4b3d74d08502a4c74824e3
-cf722cc855f3218e68c3115865ca7d3f5871c57cdf8bd3eddb52a02fd5a89b17
-cfb3edf019354ea114cd1e9d7c0d54be3106f5daa7a026e0d36d4ccab738ba65
-d0d9159750a8e22ce3e8c1f76d6f043f34818def49563a52f4be6811c671d05a
-d100fa6e1b6a2b7b24df98f26b61eecb06e304c275936334e988b52a6946baaf
-d2a64e3dd4d2890c4544c6563fee2a3254dcf964862665edc1b5640ca99508fc
-d33763d18f0f890f1ab40e2f7eb0e3664b4bb771d1f3c1f5fb3cdde86186018a
-d37bd71a41707662b5e61411ab339bc5bf3e205c12068b3840a99e79e65803fc
-d4704160aa5642d85d711de43b4cac44f0f91f387485ea6f01b224d394ace64b
-d4c81d9ba81867f491f1b84aa9c80c0ca6c66003d15933906792e7ee6ddbe2c2
 d6a996bdc3e4d60589ed6eb838f42f4b6dc6519aefc0bbb4cb6d7401cb20109f
-dc5634a2a8e727fa7d5f07389ecf0963e487b37e83548d12428b1108d5c0be5b
-df5549870a262a330270683d633fd18d2412d4f7f1bffb44d4b2b60f79259994
-df827cae05b4996186d5f9dcb7e5a571bc43d35a7b1f6cb70ed712311928cd16
-e1923abe331909017bdad4c77c6f9e059c8dacc790db9b3932c9b7375b9f74f8
-e24c73919bac0592f2c2691faf29542e7cdf3ec82865ab27f05345b0cf0a3649
-e617e0f86e1db618c4b30ced1161e52e6dd4bc7c9ada0d689e6282c117954a2b
 e8569a0bd486071c6889615f7a331a9c15914f9f684e92e729d2b90d5bed08f9
 e94f6c31379c2076fae91e236d6000ea55d918637fc8f30749aa0fe22a265c7f
-ec82158cb440c047ed0adf85a7bc1f1d92207ea405120a304cc2f80a1a351aa2
-ed3da52da731668753edd58ebbe15dfe56ae03e0d5577dd0461fe0f36ced171d
-ee0852c01cd4fb24f077e48bb0d9f4a2108514aeb1d821fb7818dc2aa6aacc3a
-eeec8088cbfd2c54491fd65f3314488d76fac15a524f75e86cf2ce4edd284997
-f10712ec02ace67e52ffff2644ac5343751566cd56850c2252501eb2c0bceacb
-f48155a19b2f61ae618179fd4acc6b388ae52d40ad83bf4b223b43ad91df9b1c
-f56ca8db62092e013da9915158a655109641554a45fd0c7b10c102e04a1bb61d
-f590efb544dd1993b250b8e3c235c33f8d88c351cb0d98b6783b48f52556211b
-f6165ab112ae7e3bd367f331e8ea174cc087c73725bb508e8f6de434697dbe4e
-f6fe3336f20e299021dea9adac45d646a2deb88fbf8ea7f81588d7ee3a562c5f
-f7cd63804c25ac3f3dd64e5f616bb29c219246ce1b868764e95ca4becce42d4b
-f9d8c63510acadfc6b74bb2f6da8f29ced84841c43b4548b8aa673c7d43abba9
-fb8df66730a692fe59b97b762ca9ed485619c7c7cbf2634e4a34b76d1aaece56
-fbfae0aa0ca7113ef3d2388caf1565e564670262cea1c1d38cca4adead3ba071
-fc860a19f5c6b35f2a2ba290a7334b7d6336601a13096c5bb022318dd20648ac
-fd291e908c657f4103e268a2234918968756ebd68ed3b79a1adc528107ffb7c4
-ff09c1ab94a96f223ac38d14e0440a31eb5e13b74a4b13f92d2abe538ab4a5c9
-ff158deeab3f0194dc3498266be79cea1ed5937af75cd132b98f25c00d38c715
-ff7e34e5b05729a950c566f1db18a08af75ff65e3aa68864329928bfdbd7bcc9
-ff8ebd37c33a79862ad05f5d1c304a5c0baf0437bfab0d3e046f7bc61e763d06
-ffc5fe6b42024719ee8f8f7ad89fb3b8b8b1b38d95ef97ccfba3adf2a4498dd0
 """.split(),
     "LGPL-3.0": """
 13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7
 aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be
 """.split(),
     "MIT": """
-01a911b1eef72e358f3dd353205e71743912e10ec1e9aa7d097d292377c775ce
-0787bd9f80b5ca5dcbbfef07687572e9da9381c484ef027984d064771dc0c8a1
 0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c
-10896490ef750e7aaf395ec0ab606dc27848984dabd026fbaf229c02c0c632ae
-1674f9ff70210bc824f330ace1cff45c4642b977b843c0615f68f137c853b844
 1a1db7ea5b6a7a16ca81364fb122204fadcc82f415045e2d7f067f4ea078e5eb
 34a7a77651e43abd07cbd9c72cb035a5ba951ada4af819f95d6ca6fcfab5813d
 35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164
 38ed6a717bb7f453bd96525eabcd93458de42d87cdf4602b4392b0528cf6175b
-4aaf4e0e61f143a77e0ce62250377be9391579eb9de946f9fef161cb6d51b046
-55485b226221ccd73ebba6b36cccb198eba019ccd76f1c8680dedf492085fbfd
-5d01a1651a4c284dfbbf1500c7a5c7abb115387c003fbedd1e4624fe9b90b141
-61f690ebc1b102bbf9cca0466670cd144c26709e5e307c9037eda3dc8085ef99
-6260c22f9372d04bfc30f706faa1b5b0b5c2c97a19f4117e3fb93dad866c8360
-66ad8f5161202292447bdff60b14561d5670916f3c2197c196052068d16fb83d
 6733127d88b7d3bd59c42da120690dbdff1e658acf3fa3e2448092079ad6999a
 6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f
 6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127
 7fc264ddd0eae7563cfc340315d06557c3cb395d713a3ca11bbe10391536dab1
-84ae9560378d5e388840d824fae63acf29749862cd1a58efa309a777ce3e9339
-8af706f4520370b37521646ffa75702dc8924b89c5109cf5700067afdc727e14
-8ce14f0a25c4f5bd8f64dc7c23b76a49753d55b1f48c5f489768f95f099479f1
-94dc2756aa068347d32bc82ecd9f7f309e2a0b433f62b5d2ea960fa9d4ded8fb
-bdd513df17ca64b3df02ab4fb97af8e25b54d51872b6739c746df4adad44c79a
-c34fe21a323cbce8af51fc99095db2ec6f28c105d7fc1a499fa7e3f87c5e2eb1
-c6ad8e2d3c4b04b0c8e25afb5297d47ee7aa24eb5b7464ad26423d0d8f9a96cc
-cac66bac0e5f8f2bfab569dac33a5a76eaf695c630e7615e972455456ebe1ec5
-cc6b5157cbaf73ddd55d4ce52f74e3013e5f2cadcf0685ef12edf6fefbffeae7
-d1f09d859fef0adbc5bd2ee7c5591c76e3b5eb789b490f2f9e81d67fde977143
-dbeb98bc1b52f75b36c50c47125a7df442beb1e3ffd78827b170c9c8652c8b12
-e0ec1133ffbb2b3ca539cd8d8bbc6938fd001480f955360a7068e62c83bf1782
-e59c728ec568ded283bc8c171698176676a52d4dc62537dc959a34bde883a23d
-e5df284c4caef3cc35c3d8c33c440329347f198d9f2bfe109879e723a486de46
-e6ca3cdafe7a31609682cbe23fdbdb1e5ab3f2ce74ed47febde2b734108e3724
 e94a78da9df16f4a9c0a40015bfdca38db305db8c7a415fcd98a243b16607600
 """.split(),
     "MIT-0": """
-09f525bb77d6082a09590308ed4078595eef2779698e82a282343aa7a8b0615e
-18f4a90162e7a400d1aa701f96e3c85cb03c47c12c26c5e6ecdbed2935f31e70
-331b8031ef714458f4eb69b890cb60f1524fce5af04cfe24f60c790cfec508f2
-55a377673e8b0770b984156db463a9cf6c78af55c2389c22b670ecd99dbed89b
-5db61f5786fa3b2521de47a4a0b243dc4fa0fc12034846fb0512b9193b724eda
-630981a3325f36b38db94c73e9e0d37ae3a55f0ab40d7a562427a677024b5865
-7626c7dcbd97004018c4bc2328fb60a2d36600df29b700e36b8c488e4bd4b071
-830778b639b0852a75a53413daa2525f267d25937cc45b59ee4316573940f2cb
-87de386dff2ec8d84e0532adcbc11882f7e8718eec11b20a5f5c1fbad4df8b0f
-8bb87242b101d8d0fbd8c8e6e380497cb6c5cd1086cf09656c0ab75a4d6f99d6
 a181c333030f65ebcf2eabeca3493225b6b03fce6907bdd3e59e7a8a37180fbd
-b11772712e5d433c25d09430933606d61dab9776120f11daa4e01ca1bc89e833
-c262ef28df6e199e0c05dd4f18324b2d0920bc42cbe6e59ee150879b993a823f
-c33a7567a676d43b3f866bb54f9e0f40dbd3a41c6212ed2af3507e4edb780ec2
-c6247bbfe7faf9e08ee2d3240305c4afbd27a65c2364f1bb1ce777841fa15d15
 ea701ff4959a9d345487cc9c0ea90c4282235e7053eb61ada90e8c95f484bd04
 f02e38ce878ac35aa36def58139ed31da3eef4c9e9c1ab4b3751875d209d21f9
-f80a98d0b308bda42e63d0e4e2c0d402ee4a228303b451245287869a739482c8
 """.split(),
     "MPL-1.1": """
 2772c161a7ca5eceb4517ee311d5ee8b30c97502771ed5f826ca5e3856ad5c11
+3a6a0fe0030e6e755a04923126594a93aa582cc0213fe0e705392a915b23ee31
+3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1
+4fbf4b1f3d8cf5d05e627fcb1b0dded60f72dbb2e5c2bc5bb929a8db71982f2d
 5f65790f99e609a9152deed8a1ad32c76ba56e2cd93b039597d4265afb177c60
+80cd52a1836f5ea3706bd2afa402fc448999d4a22581ee62d4041bd8a08efd87
 8e0d6bce1c9edcccd142522e83c6de084a68b9500d79e6741b8903df3316c55a
+979f7243204c7078aaa4d4e66ddf86160e3bfb3a2d6271273e461dc82f604699
+a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b
 f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6
 fb84cdb331a381edd811d3017d5400ac2c74d9d8470038f79413ac78b10c2a59
 fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354
 """.split(),
     "MPL-2.0": """
-11c1af1f193d6524e9d0d774d0936a90f39fc998805b765fc27d6628c4b44d04
+075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de
 2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04
-2e81a6266c83151bfdf00fbd842ef9044917d5ef372bbaa31e3872168fc0ef72
-3987b4f8d59bdb9b3c1de4991c620c2cc04cb8e6072a399fd2537b893a2c194d
 3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7
-44afd59386bcf2d7203557ff421064f391de4cb09d398acac5bb1fd0cb233af3
-46ccffb5f972e77c31cfd26c8f7a4be8b23068e2070f730cfdc9d707ce1b599c
-4c2c2077c47c6cd89c8a1dfc57ae668bb03db026bf8368fc2800df5f2107cdc9
-7312a5634a2b1ac6bf7e3b77a18bbeebbb25d389f8e8ea1ab25421635e4478d1
-75d760ae69e691b6c99614a7e201fb388ef7dfd24622488d966d327a458acfa4
-91901021e065395fa56fc73ffb6371892d0de175ccaaf9138d4e2f21c3be9671
+8f27174c93cb7f68399e5e71af858fdef9c2151b9de96b0dd9bab40a165711b3
 95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9
-b6e3847120fc88e89df3dd0de9ad397b08539a90e964c57c89609c58892db800
-bfa5347b9477c0146c9c18f44f8059378bb723d93165de9cc07aaa6514da5a9d
+9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13
+c0f855aacb6ac1c86bcdd1334db61014d14898798ae14888fea5446cbb9d32e3
 c7625b8590f2bd72af25ea48c9d735f0b781eb75cc74e8419c28c89cb57a87fb
-c89f09e8e9d61a4c44016b8c8363bd76063734fe80b9e2a3ffede9e1e08ec1f7
-d0b2207822d9c8c34e1b5461653c13321b25e6336cbf5568d027dddc95dec217
+ca15f9cdd3f2fd06a41df42402a3886e1de25f02b077725084c5d8d535cfcec4
 e07dcdcc3b2c19db7e604dfb1498cc5dafa0e9cecf6ffc44f7c2b093fe9bafc2
-e7d21c22725c19051e798272b643467ea053669a5e46abad230988955dd6e346
-e8604a60772699359329fe7a016bdd4c195c3f00372ad436017dac096f049f7e
-f2e8ad2253cd278822522a31989cf216e868c206cc39febecd69df868fcd0b45
+f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a
 fa31bb5fe4dacb07f1a4ad162be58edb552e9a96a500b68e081943eb2d3cfec5
-fa97456cdb3becf642350539c9b29554493e1f0a775c4d73f08619e20ad5ad06
-fc9b27f5e454efe9a27f2710b32bdc3971527772c20b0fbf8157a29f29e133e0
 """.split(),
     "Unlicense": """
-02be0809cb6a5c44d2252ee5992bd225f5c3a437a8780ea7403feedcd0232a8c
-1256a2f5916f5056744d722e59756c2d591f11ff710058ab9a51575823c94534
-14ed0bd09f24aefad045a4d1455d8c64946ffa4a1dfbdbb0d23edd55a7ef76c8
-1e26d17b3ea63488abe2f1b038e261919b4b654d53e9d3d488958574ef2457e9
-1e5d7c562db5b7fcc5355649f8b41c76befa860c3b3c806791863ad4ba3e849a
-2106434902799f0dd4cd180f24d510b6c9e327607cfa5605b7f5e0882b57e48e
-27950405aeb496a4e061d4eb21311a21d2c55c7304eba6848998d8ee7c4169fc
-3183da403b8fc29c5fc1fb329249cf643b200a270b0f29017e2e3ad89685ee2c
-349995d221ba18a5f3d54e3071132eccc519fabb55143005600e698a7cf629c5
-3698e3d4fb74162dc2b99f6e5fd595f75dd561b82c66550960a25759ed956da6
-3d25aa54a21c3cac0752c3857ca7a6f32c995723f8454c03de296b6c16c0781b
-403bb6aff8557e730bb90b7aa343d2ca13cbeb045f47e715fe5ccfc020c78046
-4159d663e5103dd21cf8ff829d9089463a7e33c5b8eab0496fe3f4a2cbb45aaa
 41f84c538b3bc6dcfe6afaab48f6e16c34fd1b11b2c6be7db47873ba3bce291a
-429b54f5c1e263ff96dc19c8d78d55867c9a75a8f16f935b11651f8c3288a335
-45b295a02fcc89762ccf2a16eb5e7cfcdfdf7ed7fbae5bb0112e4986db09bc24
-4806cd25fa13a50523ee0527e8507d731476d4289b595aed1dd149d52c609edd
-499092eb4864763429cbea6e1a791d4ab595e69b93255b4515d68402733752b7
 4e4a14653615384fbde1159ab26f714489017d0fada2237d9df5c979a538c7bc
-5532a4bfe60c9838fd2d61e7522a28888a945778f7618ee56804aeae37340730
-5f29c905a7a4be36f6b05f867e14670d2a29d1747469fb318e301b168476b68c
 6077a8a20d606206e486caec85a30b2545701071b1e08d12c37fb9a0e490d1bf
-62e83fdd139688aed8cdd595e41798b88385a6cec44e3312aa74cbb69c3a7853
-6400493e68ba1828f2689eb03c2055b73c6f5f143ff6008212d4e776f81f4989
-6ca9770ca28f640126492e058ac935a976e430e75e04db295d5931f55e5e582b
-6e58f308d38a334424b5fc5349b741f9a7b885ea568ab4bdc3a8eb5501aa2096
-72acaa08be44bd5f5be679abe771f29952b45fd3c6a5952ffff5f53a6a04947d
-767753a3f6c757d78a2c454c1d7ee3ad2dd79a526b7806208d30f75e9bfdd9e2
 7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd
-7cbb9df37ddf8ec25a8235f6cfdca8e8825a9ab3d65121135bd8c07a1e7b6b54
-7f364fd9ed1e5f001c0a5a16a44ab8f5e53f6720e2a9ba6cd58f318f0684131a
-8bb9959a12965385c835c45901a13cf700e7332fbc1707e93be44d803e6fa3eb
-8c87cca619b799110ed5f08a9bcc464368cfc659327b6bd2722c2e43bdb0832a
-8e862df44d16ca18462c1c551da22230f6562a99932c6ab6664058fcb27398e0
-949b75b827fb0574c725cae398664ace50a39284b32c3976b87459be23597263
-9c7ce61565177ae2face6552df424069d1ef89feafe06cedb02acd702628ecbb
-9ff3a2d9f76c48e7c36ab354d6c531c9af92ef6910afd0b5775ef6f10d3baff0
 a85d2f83510bab5c6d6074ce1633e067a6eed07b6edc45d41ae264a0ea78af76
-ad6b800ad49e7f4671cdb49ab978acbf70ff44c349c7e44270a04df715690316
-b8c50c67654144838abef15446e6f5889fde0b5516a2d8227a5e31ad159bca4d
-c3f5118c2dd0752f0ab1ae0efb9811e988e161629c50c3943947eab30e7b99ca
-c5c924a379ab6288394f3cb30da34c14086e0dc50af39a567790b97ec9db17fc
-c6130c2bf7e94fea9c980063ed0789dc6d15b5bd834ee4765d5040d7ded06124
-cda6f919d38f5c008bc05c52a3f7fe7275cc142b5932a9bc2c9f00750a2f1da1
-d18167a92ee7d5efe599c1c8fad6b19c9511df88545407010efdcc5d894d0348
 d7ef23de23a66be0e3fdecee1f6bdf9f3d78ae8b5f45a1085c6bfae0eab283bd
-dc26ed5b14e3e7284271112034f83d3c3aa83c3af8a9c2c81d9db38b445e7d53
-fac37bbccaef6d89cb59ac50b657939f81737745a178972d628727bd0c414bf6
 fd1b07be5f4f94926b6ea4df3943b05ab90c1a1f3b1a3d574ae7ab58bca58fff
 """.split(),
     "Zlib": """

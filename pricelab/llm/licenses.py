@@ -1,6 +1,8 @@
 """Licence scans by canonical digest lookup, in DataFrame functions only.
 
-A text is brought to a canonical form: lower case; copyright lines removed;
+A text is brought to a canonical form: lower case; copyright statements removed (lines
+that start with copyright and a sign, a year or a placeholder, or say that all rights are reserved; running text
+that happens to break before the word stays, so the form does not depend on line breaks);
 punctuation to spaces; equivalent spellings to one; white space to one space.
 The sha256 of the whole form is joined with the digests of the known full
 licence texts (``license_digests``, with and without their titles) and notices,
@@ -53,7 +55,8 @@ SPELLINGS = (
     (("practis",), r"\bpractis(e|ed|es|ing)\b", "practic$1"),
 )
 COPYRIGHT_WORDS = ("copyright", "(c)", "©", "all rights reserved")
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = (r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|:?[ \t]*[12][0-9]{3}|[<\[])[^\n]*|\(c\)[ \t]*(copyright|[12][0-9]{3})[^\n]*|©[^\n]*|"
+                  r"all rights reserved[ \t.]*)$")
 OTHER = r"[^\p{L}\p{N}\n]+"
 
 

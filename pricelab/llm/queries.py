@@ -158,7 +158,12 @@ FROM q, cut
 ORACLE["op6_license_scan"] = f"""
 WITH {licenses.sql_forms("d", "SELECT doc_id, text AS t FROM documents")},
 {licenses.sql_forms("k", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in licenses.KNOWN) + ") AS v(license, t)")},
-known AS (SELECT min(license) AS license, sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) AS digest FROM k GROUP BY 2),
+known AS (
+  SELECT min(license) AS license, digest
+  FROM (SELECT license, sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) AS digest FROM k
+        UNION ALL SELECT * FROM (VALUES {", ".join(f"('{a}', '{x}')" for a, found in licenses.DIGESTS.items() for x in found)}) AS f(license, digest))
+  GROUP BY digest
+),
 lines AS (
   SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n_lines
   FROM (SELECT doc_id, trim(unnest(string_split(form, chr(10)))) AS line FROM d) AS x JOIN known ON digest = sha256(line) WHERE line <> '' GROUP BY doc_id
