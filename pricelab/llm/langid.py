@@ -18,7 +18,6 @@ learnt, give ``und`` with score 0. Ties go to the language that sorts first.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,9 +32,7 @@ from .common import fresh, held, held_out
 PIECE_BYTES, WORD_BYTES, MEMO_WORDS = 8, 32, 250_000
 PART = 64  # languages with a dense table at a time
 UND = "und"
-# \w also takes numerals that are no digits (superscripts, fractions, Roman and circled numerals); no metacharacter is among them.
-NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +84,11 @@ class Vocabulary:
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # \w also takes numerals that are no digits (superscripts, fractions, Roman and circled numerals): they part words.
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def chunks(word: str) -> list[bytes]:
