@@ -62,8 +62,8 @@ class Anchors:
             self.at = self.low = self.high = self.doc = np.empty(0, np.int64)
             self.hash = np.empty(0, np.uint64)
             return
-        bits = int(len(grams)).bit_length()
-        place = np.uint64((1 << bits) - 1)
+        # 32 bits of hash in a block of any length, so equal strings have the same order of grams everywhere
+        place = np.uint64((1 << 32) - 1)
         v = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
         width = 1
         while 2 * width <= reach:

@@ -176,3 +176,20 @@ def test_suffix_sort_survives_colliding_hashes(monkeypatch):
     rows = np.frombuffer(b"bbaaabab", np.uint8).reshape(4, 2)
     order, common = substring.suffix_sort(rows, np.full(4, 2), np.zeros(4, np.int64))
     assert [bytes(rows[k]) for k in order] == [b"aa", b"ab", b"ab", b"bb"] and common.tolist() == [-1, 1, 2, 0]
+
+
+def test_anchors_do_not_depend_on_the_block(monkeypatch):
+    """Hashes that differ in low bits only: the anchors of a text are the same alone and within a block of any length."""
+    windows = substring.Prefixes.windows
+    monkeypatch.setattr(substring.Prefixes, "windows", lambda self, n: windows(self, n) & np.uint64((1 << 30) - 1))
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 300).astype(np.uint8).tobytes()
+    found = []
+    for before in (0, 5000, 3_000_000):
+        data = rng.integers(97, 123, before).astype(np.uint8).tobytes() + text
+        sizes = np.array([before, len(text)])
+        b = substring.Block(np.array([1, 2]).tobytes(), sizes.tobytes(), substring.pa.Codec("zstd").compress(data, asbytes=True))
+        a = substring.Anchors(b, 50)
+        mine = a.doc == 1
+        found.append([(x - before, y - before, z - before) for x, y, z in zip(a.at[mine].tolist(), a.low[mine].tolist(), a.high[mine].tolist())])
+    assert found[0] == found[1] == found[2] and found[0]
