@@ -95,7 +95,10 @@ class Anchors:
             [mix(self.prefixes.spans(at_r, at_r + GRAM + mid)), mix(self.prefixes.spans(at_l - mid - 1, at_l + GRAM) ^ np.uint64(MULT))]))
 
     def prints(self) -> np.ndarray:
-        return np.unique(self.halves()[2])
+        v = np.sort(self.halves()[2])
+        new = np.ones(len(v), bool)
+        new[1:] = v[1:] != v[:-1]
+        return v[new]
 
     def entries(self, answer):
         """The block's entries. Returns (anchor hash, offset of the first string, of the last, context start, key that deals it out,
@@ -151,13 +154,12 @@ class Anchors:
 def extension(table: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Longest common prefix of rows i and j, by binary search over prefix hashes (``table``: row x length)."""
     low, high = np.zeros(len(i), np.int64), np.minimum(sizes[i], sizes[j])
-    while True:
-        live = low < high
-        if not live.any():
-            return low
-        mid = (low + high + 1) >> 1
-        same = table[i, mid] == table[j, mid]
-        low, high = np.where(live & same, mid, low), np.where(live & ~same, mid - 1, high)
+    flat, i, j = table.ravel(), i * table.shape[1], j * table.shape[1]
+    while (low < high).any():
+        mid = (low + high + 1) >> 1  # low itself where nothing is left to search
+        same = flat.take(i + mid) == flat.take(j + mid)
+        low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
+    return low
 
 
 def suffix_sort(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,11 +224,38 @@ def suffix_sort(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple
     return order, common
 
 
+def alike(first, last, ids, context) -> np.ndarray:
+    """For each entry the one of smallest id among those of the same strings: hashes are sorted, then compared on the bytes."""
+    n, wide = context.shape
+    words = np.zeros((n, -(-wide // 8) * 8), np.uint8)
+    words[:, :wide] = context
+    key = mix(first.astype(np.uint64) << np.uint64(8) | last.astype(np.uint64))
+    for word in words.view(np.uint64).T:
+        key = mix(key * np.uint64(MULT) + word)
+    order = np.lexsort((ids, key))
+    new = np.ones(n, bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    least = np.empty(n, np.int64)
+    least[order] = order[new][np.cumsum(new) - 1]
+    differs = (first != first[least]) | (last != last[least]) | (context != context[least]).any(1)
+    return np.where(differs, np.arange(n), least)
+
+
 def seen_before(h, first, last, ids, context, size: int) -> np.ndarray:
     """A mask for each entry: bit o is set if its string at offset ``first + o`` before the anchor starts in a document of smaller id.
 
-    ``context``: row x (size + size - GRAM) bytes, from the entry's first string on.
+    ``context``: row x (size + size - GRAM) bytes, from the entry's first string on, zeros behind its last. Of entries
+    of the same strings only that of smallest id is sorted; all strings of one with a larger id start there as well.
     """
+    least = alike(first, last, ids, context)
+    k = np.flatnonzero(least == np.arange(len(least)))
+    mask = np.empty(len(least), np.uint64)
+    mask[k] = _seen_before(h[k], first[k], last[k], ids[k], context[k], size)
+    full = (np.uint64(1) << (last - first + 1).astype(np.uint64)) - np.uint64(1)
+    return np.where(ids > ids[least], full, mask[least])
+
+
+def _seen_before(h, first, last, ids, context, size: int) -> np.ndarray:
     n = len(h)
     order = np.argsort(h, kind="stable")
     h, first, last, ids, context = h[order], first[order], last[order], ids[order], context[order]

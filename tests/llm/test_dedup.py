@@ -178,6 +178,38 @@ def test_suffix_sort_survives_colliding_hashes(monkeypatch):
     assert [bytes(rows[k]) for k in order] == [b"aa", b"ab", b"ab", b"bb"] and common.tolist() == [-1, 1, 2, 0]
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_strings_seen_before_equal_brute_force(monkeypatch, collide):
+    """Entries of equal strings are merged before the sort; with colliding hashes each is sorted by itself."""
+    rng = np.random.default_rng(3)
+    size, n = 50, 300
+    wide = 2 * size - substring.GRAM
+    grams = rng.integers(97, 99, (4, substring.GRAM)).astype(np.uint8)
+    h = rng.integers(0, 4, n)
+    first = rng.integers(0, size - substring.GRAM + 1, n)
+    last = np.minimum(first + rng.integers(0, 12, n), size - substring.GRAM)
+    ids = rng.integers(0, 40, n)
+    sides = rng.integers(97, 99, (3, 2 * wide)).astype(np.uint8)
+    context = np.zeros((n, wide), np.uint8)
+    for k in range(n):
+        side = sides[rng.integers(0, 3)].copy()
+        side[rng.integers(0, 2 * wide)] = 120
+        whole = np.concatenate([side[:wide], grams[h[k]], side[wide:]])  # the gram starts at ``wide``
+        context[k, : last[k] - first[k] + size] = whole[wide - last[k] : wide - first[k] + size]
+    for c in (h, first, last, ids, context):
+        c[n // 2 :] = c[: n - n // 2] if c is not ids else c[n // 2 :]  # half of the entries repeat the others' strings
+    starts = {}
+    for k in range(n):
+        for o in range(first[k], last[k] + 1):
+            at = last[k] - o
+            starts.setdefault((h[k], o, bytes(context[k, at : at + size])), []).append(ids[k])
+    expected = [sum(1 << int(o - first[k]) for o in range(first[k], last[k] + 1)
+                    if min(starts[h[k], o, bytes(context[k, last[k] - o : last[k] - o + size])]) < ids[k]) for k in range(n)]
+    if collide:
+        monkeypatch.setattr(substring, "mix", lambda x: np.zeros(x.shape, np.uint64))
+    assert substring.seen_before(h.astype(np.uint64), first, last, ids, context, size).tolist() == expected
+
+
 def test_anchors_do_not_depend_on_the_block(monkeypatch):
     """Hashes that differ in low bits only: the anchors of a text are the same alone and within a block of any length."""
     windows = substring.Prefixes.windows
