@@ -35,6 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def files_state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Number, bytes and a hash of path, time and length of the tables' files: another value once a file changes.
+
+    Only the files' names and status are read, in tasks; their content is not.
+    """
+    files = spark.read.format("binaryFile").load([os.path.join(sf_dir, f"{n}.parquet") for n in names])
+    return tuple(files.select("path", "modificationTime", "length").agg(
+        F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first())
+
+
 def order_key():
     """(l_orderkey, l_linenumber, l_partkey, l_suppkey) in one decimal: 13, 2, 12 and 11 digits.
 
