@@ -1,10 +1,11 @@
 """The registered queries and the pipeline over whole small tables."""
 
 import sys
+from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, str(Path(__file__).parents[2]))
 
 SF001 = "/root/testdata/sf0.001"
 
