@@ -24,11 +24,12 @@ def write_shards(rows: DataFrame, path: str, shard_rows: int = 100_000, order: t
     lines = lines.select((F.col("pos") / shard_rows).cast("bigint").alias("shard"), "pos", "value")
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a shard's rows lie in one task, in order: one file
-    lines = lines.repartition(width, "shard").sortWithinPartitions("shard", "pos")
-    lines.select("value", "shard").write.partitionBy("shard").text(os.path.join(path, "shards"))
-    size = (F.octet_length("value") + 1).cast("int")  # with the line's end
+    files = lines.repartition(width, "shard").sortWithinPartitions("shard", "pos")
+    files.select("value", "shard").write.partitionBy("shard").text(os.path.join(path, "shards"))
+    # the index moves sizes only, no texts
+    sizes = lines.select("shard", "pos", (F.octet_length("value") + 1).cast("int").alias("size"))  # with the line's end
     before = Window.partitionBy("shard").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    index = lines.select("shard", (F.col("pos") % shard_rows).cast("int").alias("line"), F.coalesce(F.sum(size).over(before), F.lit(0)).cast("bigint").alias("begin"), size.alias("size"), "pos")
+    index = sizes.select("shard", (F.col("pos") % shard_rows).cast("int").alias("line"), F.coalesce(F.sum("size").over(before), F.lit(0)).cast("bigint").alias("begin"), "size", "pos")
     index.write.parquet(os.path.join(path, "index"))
 
 
@@ -37,9 +38,17 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_shards(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
-    """``(pos, value's columns)`` of all shards, each line cut out of its file at the index's bytes."""
+    """``(pos, value's columns)`` of all shards, each line cut out of its file at the index's bytes.
+
+    A shard meets its part of the index as one row, so its bytes are held once, not once a line; the task that cuts it holds the whole shard.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(os.path.join(path, "shards"))
     files = files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("bigint").alias("shard"), "content")
-    lines = files.join(read_index(spark, path), "shard")
-    text = F.expr("cast(substring(content, cast(begin + 1 as int), size - 1) as string)")
-    return lines.select("pos", F.from_json(text, schema).alias("_v")).select("pos", "_v.*")
+    lines = read_index(spark, path).groupBy("shard").agg(F.collect_list(F.struct("begin", "size", "pos")).alias("lines"))
+    # the small side is hashed, the files are not sorted
+    whole = files.join(lines.hint("shuffle_hash"), "shard")
+    cut = lambda c, x: F.struct(x["pos"].alias("pos"), F.substring(c, (x["begin"] + 1).cast("int"), x["size"] - 1).cast("string").alias("value"))
+    # the file as a variable of a lambda: as a column it would be copied out of the row for each line
+    cuts = F.flatten(F.transform(F.array("content"), lambda c: F.transform("lines", lambda x: cut(c, x))))
+    rows = whole.select(F.explode(cuts).alias("_l")).select("_l.pos", F.from_json("_l.value", schema).alias("_v"))
+    return rows.select("pos", "_v.*")

@@ -63,6 +63,28 @@ def test_shards_in_order_and_by_seek(spark):
     assert [(r.ticker, r.i, r.text) for r in back] == want
 
 
+def test_a_shard_is_joined_once_and_not_once_a_line(spark):
+    path = scratch_path(spark, "t-shards")
+    SH.write_shards(CO.split_corpus(small_corpus(spark)), path, shard_rows=50, columns=("ticker", "i", "text"))
+    back = SH.read_shards(spark, path, "ticker string, i int, text string")
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate ") < plan.index("Join ") < plan.index("Aggregate [shard")  # cut after the join, index grouped before it
+    index = SH.read_index(spark, path)
+    assert sorted(r.pos for r in back.collect()) == sorted(r.pos for r in index.collect())
+    shards = sum(1 for _ in glob.glob(os.path.join(path, "shards", "shard=*", "part-*")))
+    assert shards == 2 and index.select("shard").distinct().count() == shards
+
+
+def test_shards_hold_lines_of_many_bytes_and_rows_alike(spark):
+    rows = spark.createDataFrame([(k // 2, "é" * (k % 7) + '"\n' + str(k // 2)) for k in range(40)], "k int, text string")
+    path = scratch_path(spark, "t-shards")
+    SH.write_shards(rows, path, shard_rows=7, order=("k",))
+    got = SH.read_shards(spark, path).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(40))
+    assert sorted(r.text for r in got) == sorted(r.text for r in rows.collect()) and [int(r.text.split("\n")[1]) for r in got] == [k // 2 for k in range(40)]
+    assert SH.read_index(spark, path).where("begin = 0").count() == 6
+
+
 def stopping(at):
     def after(k):
         if k == at:
