@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let_go, stored
 
 NO_ID = (1 << 63) - 1
 SLICE_ROWS = 500  # rows of a batch that are copied at a time
@@ -75,6 +75,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_byte
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         number, parts, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, [], 0
         for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import rows_of
+from .common import let_go
 
 OWNER_SHARE = 1_000_000  # fingerprints an owner
 
@@ -74,6 +75,7 @@ def shared(blocks: DataFrame, prints: Callable[[dict], np.ndarray], total: int,
     bits = max(bits, min(63, int(np.log2(total + 1)) + 22))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         low = owner_bounds(owners, bits)
         for batch in batches:
             for row in rows_of(batch):

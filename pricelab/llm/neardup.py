@@ -75,6 +75,12 @@ class Levels:
 
     def keys(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document, key) of all documents' sets."""
+        return self.keyed(doc, h, count)[:2]
+
+    def keyed(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, key, side) of all documents' sets, and for each side (0: the set's own level, 1: the one below) and
+        document the fewest keys of the side that the set shares with any set that it is linked with there."""
+        need = np.ones((2, len(count)), np.int64)
         band = np.searchsorted(self.first, count, side="right") - 1  # -1: empty set
         found = []
         for below in (0, 1):
@@ -90,14 +96,15 @@ class Levels:
             word = np.bitwise_xor.reduceat(mix(x), start)
             d, place = d[start], place[start]
             filled = word != 0
-            found.append((d[filled], self._key(level[d], place, word)[filled]))
+            found.append((d[filled], self._key(level[d], place, word)[filled], np.full(filled.sum(), below)))
             full = np.bincount(d[filled], minlength=len(count))
+            need[below] = np.maximum(1, full - self.most[np.maximum(level, 0)])
             for k in np.flatnonzero(use & (full <= self.most[np.maximum(level, 0)])):
                 empty = np.setdiff1d(np.arange(parts[k]), place[filled & (d == k)])
-                found.append((np.full(len(empty), k), self._key(np.full(len(empty), level[k]), empty, np.zeros(len(empty), np.uint64))))
+                found.append((np.full(len(empty), k), self._key(np.full(len(empty), level[k]), empty, np.zeros(len(empty), np.uint64)), np.full(len(empty), below)))
         if not found:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        return tuple(np.concatenate(x) for x in zip(*found))
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), need
+        return *(np.concatenate(x) for x in zip(*found)), need
 
     @staticmethod
     def _key(level, place, word) -> np.ndarray:
@@ -316,18 +323,18 @@ def decide(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
         return names.select("id", "n", "node", F.col("id").alias("component"), F.lit(True).alias("first"))
     levels = Levels(percent, total["largest"])
 
-    def distinct(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sets and keys of the block's different sets."""
+    def distinct(b: Block) -> tuple[np.ndarray, ...]:
+        """Sets and keys (``Levels.keyed``) of the block's different sets."""
         doc, h, count, node = _sets(b, words)
         first = np.zeros(len(node), bool)
         first[np.unique(node, return_index=True)[1]] = True
         first &= count > 0
         keep = first[doc]
         doc, h, count = doc[keep], h[keep], np.where(first, count, 0)
-        return (doc, h, count, node, *levels.keys(doc, h, count))
+        return (doc, h, count, node, *levels.keyed(doc, h, count))
 
     def prints(row: dict) -> np.ndarray:
-        return np.unique(distinct(Block(row["ids"], row["sizes"], row["data"]))[-1])
+        return np.unique(distinct(Block(row["ids"], row["sizes"], row["data"]))[5])
 
     parts = blocks.select("block", "ids", "sizes", "data")
     share = 2 * (100 - percent) / percent  # keys a shingle, over two levels
@@ -336,12 +343,14 @@ def decide(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                doc, h, count, node, kdoc, key = distinct(Block(row["ids"], row["sizes"], row["data"]))
+                doc, h, count, node, kdoc, key, side, need = distinct(Block(row["ids"], row["sizes"], row["data"]))
                 uniq, inv, n = np.unique(key, return_inverse=True, return_counts=True)
                 often = n > 1
                 if row["answer"]:
                     often |= marked(row["answer"])
                 hit = often[inv]
+                several = np.bincount(side[hit] * len(count) + kdoc[hit], minlength=2 * len(count)).reshape(2, -1)
+                hit &= (several >= need)[side, kdoc]  # else no link: it would leave more keys of the side as they are
                 begin = np.cumsum(count) - count
                 order = np.argsort(kdoc[hit], kind="stable")
                 kd, kk = kdoc[hit][order], key[hit][order]

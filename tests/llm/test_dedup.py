@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pricelab.llm import components, exactdedup, exchange, neardup, substring
@@ -225,3 +226,70 @@ def test_anchors_do_not_depend_on_the_block(monkeypatch):
         mine = a.doc == 1
         found.append([(x - before, y - before, z - before) for x, y, z in zip(a.at[mine].tolist(), a.low[mine].tolist(), a.high[mine].tolist())])
     assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_linked_pairs_share_the_keys_that_each_needs():
+    """Sets below, at and above a band's border, changed while still linked, have the fewest shared keys in one level both are in."""
+    rng = np.random.default_rng(11)
+    for percent in (50, 80, 90):
+        levels, most = neardup.Levels(percent, 10_000), 0
+        for size in (1, 2, 5, 17, 60, 300, 1500, *(b + d for b in [b for b in levels.first if 2 < b < 3000][::4] for d in (-1, 0))):
+            for grow in (0.0, 0.5, 1.0):
+                a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+                b = a
+                for step in (max(1, size // 20), 1):
+                    while True:
+                        new = rng.integers(0, 1 << 64, step, dtype=np.uint64)
+                        c = np.append(b, new) if rng.random() < grow else np.append(np.delete(b, rng.choice(len(b), min(step, len(b)), replace=False)), new)
+                        if not neardup.linked(len(a), len(c), len(np.intersect1d(a, c)), percent):
+                            break
+                        b = np.unique(c)
+                count = np.array([len(a), len(b)])
+                doc, key, side, need = levels.keyed(np.repeat([0, 1], count), np.concatenate([a, b]), count)
+                band = np.searchsorted(levels.first, count, side="right") - 1
+                ok = []
+                for x in (0, 1):
+                    for y in (0, 1):
+                        if band[0] - x == band[1] - y:
+                            both = len(np.intersect1d(key[(doc == 0) & (side == x)], key[(doc == 1) & (side == y)]))
+                            ok.append(both >= need[x, 0] and both >= need[y, 1])
+                assert any(ok)
+                most = max(most, need.max())
+        assert most > (20 if percent > 50 else 1)  # it binds on large sets
+
+
+def test_a_common_passage_moves_no_sets(spark, monkeypatch):
+    """Long texts that share a passage and nothing else are no suspects; near copies among them are."""
+    seen, store = {}, neardup.stored
+
+    def kept(df, name):
+        out = store(df, name)
+        if name == "suspects":
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "stored", kept)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(45)]
+    rows = [(k, " ".join([f"w{rng.randrange(10**7)}" for _ in range(700)] + passage + [f"w{rng.randrange(10**7)}" for _ in range(700)]), "en", "a") for k in range(60)]
+    rows += [(100 + k, rows[k][1].replace(" p7 ", " changed "), "en", "a") for k in (3, 5)]
+    got = [tuple(r) for r in neardup.near_duplicates(docs_frame(spark, rows), 5, 80, block_bytes=30_000).collect()]
+    assert sorted(got) == sorted(component_ids(rows, 5, 80))
+    assert 4 <= seen["suspects"] <= 8
+
+
+def test_packing_lets_go_of_what_an_operator_before_kept(spark):
+    """A worker that packs documents holds no model or codec of an earlier stage."""
+    from pyspark.sql import functions as F
+
+    from pricelab.llm import blocks, common
+
+    @F.pandas_udf("long")
+    def keep(s: "pd.Series") -> "pd.Series":
+        common.held("test", "model", lambda: [0] * 1000)
+        return s
+
+    docs = docs_frame(spark, [(k, f"text {k}", "en", "a") for k in range(50)]).repartition(2)
+    docs.select(keep("doc_id")).count()
+    held = blocks.pack(docs, extra=lambda b: {"held": str(len(common._HELD)).encode()}, extra_schema="held binary")
+    assert {bytes(r["held"]) for r in held.collect()} == {b"0"}
