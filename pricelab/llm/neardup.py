@@ -17,7 +17,8 @@ shingle falls into say nothing and are no keys; a set with too few others
 for the pigeonhole to hold without them adds its empty segments as keys.
 
 The keys of all blocks go through the fingerprint exchange; only keys that occur
-twice become rows. Sets that share a key are a group (keys of the same sets are one
+twice become rows. As at most D segments change, a set with a link shares all its filled segments of the level but
+D: sets that share fewer keys, as those with only a common passage, have no link there and go no further. Sets that share a key are a group (keys of the same sets are one
 group), and links are verified within groups:
 
 1. In groups of up to ``SLOT`` sets, short sketches drop the sets that no other one of the group can be linked with.
