@@ -290,6 +290,6 @@ def test_packing_lets_go_of_what_an_operator_before_kept(spark):
         return s
 
     docs = docs_frame(spark, [(k, f"text {k}", "en", "a") for k in range(50)]).repartition(2)
-    docs.select(keep("doc_id")).count()
+    docs.select(keep("doc_id")).collect()
     held = blocks.pack(docs, extra=lambda b: {"held": str(len(common._HELD)).encode()}, extra_schema="held binary")
     assert {bytes(r["held"]) for r in held.collect()} == {b"0"}
