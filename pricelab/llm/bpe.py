@@ -249,6 +249,15 @@ def _slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str
         yield run
 
 
+def cut(texts: pa.Array) -> Iterator[pa.Array]:
+    """The array in runs of whole texts of about ``SLICE_BYTES`` bytes."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.flatnonzero(np.diff(np.cumsum(size) // SLICE_BYTES, prepend=0)).tolist()
+    for begin, end in zip([0, *at], [*at, len(size)]):
+        if end > begin:
+            yield texts.slice(begin, end - begin)
+
+
 def _passed(df: DataFrame, out: list[tuple[str, str]], made: Callable[[pa.RecordBatch], list[pa.Array]], text: str) -> DataFrame:
     """``df`` with columns made from slices of its batches; only one slice at a time is Python objects."""
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in out)])
@@ -256,12 +265,11 @@ def _passed(df: DataFrame, out: list[tuple[str, str]], made: Callable[[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cut = np.flatnonzero(np.diff(np.cumsum(size) // SLICE_BYTES, prepend=0)).tolist()
-            for begin, end in zip([0, *cut], [*cut, len(size)]):
-                if end > begin:
-                    part = batch.slice(begin, end - begin)
-                    yield pa.RecordBatch.from_arrays([*part.columns, *made(part)], [*batch.schema.names, *(n for n, _ in out)])
+            begin = 0
+            for texts in cut(batch.column(at)):
+                part = batch.slice(begin, len(texts))
+                begin += len(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made(part)], [*batch.schema.names, *(n for n, _ in out)])
 
     return df.mapInArrow(run, schema)
 

@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
 from .common import fresh, held, held_out
 
-PIECE_BYTES, WORD_BYTES, MEMO_WORDS = 8, 32, 250_000
+PIECE_BYTES, WORD_BYTES, MEMO_WORDS = 8, 32, 100_000
 PART = 64  # languages with a dense table at a time
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -49,9 +50,10 @@ class Vocabulary:
         slot = (key >> np.uint64(64 - self.bits)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         self.keys, self.ids = np.append(key[order], np.uint64(0)), order
-        self.first = np.searchsorted(slot[order], np.arange(1 << self.bits)).astype(np.int32)
-        self.taken = np.bincount(slot, minlength=1 << self.bits) > 0
-        self.deepest = int(np.bincount(slot).max())
+        used, first, count = np.unique(slot[order], return_index=True, return_counts=True)
+        self.first, self.taken = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, bool)
+        self.first[used], self.taken[used] = first, True
+        self.deepest = int(count.max())
 
     @staticmethod
     def _key(piece: bytes) -> int:
@@ -250,17 +252,16 @@ def predict(text: Column, spark: SparkSession, model: Model, path: str | None =
     """struct(lang, score) of ``text`` under a fitted model."""
     shared, key = spark.sparkContext.broadcast(model.rows), fresh("m")
 
-    @F.pandas_udf("lang string, score double")
-    def lang_id(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def lang_id(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = held("language", key, lambda: Scorer(Model(shared.value), path))
         for s in batches:
             lang, score = [], []
-            texts = [None if t is None or t != t else t for t in s]
-            for run in bpe._slices(texts):
-                a, b = scorer.score(run)
+            for part in bpe.cut(s):
+                a, b = scorer.score(part.to_pylist())
                 lang += a
                 score += b
-            yield pd.DataFrame({"lang": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype=float)})
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     return lang_id(text)
 
