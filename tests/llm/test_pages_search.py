@@ -3,6 +3,7 @@ import re
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,57 @@ def test_topk_of_large_values(spark):
             topk.search(frame(bad), F.col("vec_id") % 100 == 0).collect()
 
 
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_topk_broadcasts_nothing(spark, monkeypatch, batch):
+    """Queries once for every chunk of candidates are more than a driver holds: they go through the shuffle."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 20)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(5)
+    rows = [(20 * k, [float(x) for x in rng.choice([-0.5, 0.0, 0.25, 1.0], rng.integers(0, 9))]) for k in range(300)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0)
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(got) == 600 and got == brute(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
+def test_topk_chunks(spark, monkeypatch):
+    """As few chunks as the values and the cores ask for; their number is not seen in the result."""
+    rows = [(k, [((k * 7 + d * 3) % 11 - 5) / 4 for d in range(6)]) for k in range(250)]
+    df = spark.createDataFrame([*rows, (None, None)], "vec_id long, embedding array<float>")
+    counts = []
+    for values, block in ((1 << 23, 4096), (1 << 23, 130), (100, 4096)):
+        monkeypatch.setattr(topk, "CHUNK_VALUES", values)
+        monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+        counts.append(topk.dealt(df, "embedding"))
+        assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 100 == 0).collect())) == brute(rows)
+    assert counts == [1, 2, 15] and topk.dealt(df.limit(0), "embedding") == 1
+
+
+@pytest.mark.parametrize("large, held", [(100, np.int32), (1 << 14, np.int64), (1 << 30, object)])
+def test_best_of_blocks(large, held):
+    """Over several blocks, with any width of integers, zeros, repeated ids and vectors of any length."""
+    rng = np.random.default_rng(3)
+    value = lambda: int(rng.choice([0, 0, 1, -1, large - 1, -large]))
+    rows = [(int(rng.integers(0, 60)), [value() for _ in range(rng.integers(0, 9))]) for _ in range(90)]
+    asks = [(i, [value() for _ in range(7)]) for i in range(0, 60, 3)]
+    arrays = [pa.array([v for _, v in x], pa.list_(pa.int64())) for x in (rows, asks)]
+    blocks = [(np.array([i for i, _ in rows[a : a + 25]]), topk.matrix(arrays[0].slice(a, 25))) for a in range(0, 90, 25)]
+    q = topk.matrix(arrays[1])
+    assert topk.kind(q, blocks[0][1]) == held
+    got = [x.tolist() for x in topk.best(np.array([i for i, _ in asks]), q, blocks, 10)]
+    expected = []
+    for i, w in asks:
+        expected += [(i, j, -s) for s, j in sorted((-sum(a * b for a, b in zip(w, v)), j) for j, v in rows if j != i)[:10]]
+    assert list(zip(*got)) == expected
+    assert topk.kind(np.array([[1 << 40]]), np.array([[0]])) == np.int64
+
+
 def test_licences(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0.", None, None), (2, "  RELEASED under the MIT Licence!!\r\nCopyright (c) 2020 Somebody\n", None, None),
